@@ -8,7 +8,7 @@ further or write the rows unordered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.money import (
@@ -28,13 +28,6 @@ from tallybook.operators.joins import dated_splits, enrich_splits, splits_with_a
 from tallybook.operators.scopes import Keys, in_dates, in_keys
 from tallybook.sources.schema import ACCOUNT_KINDS, FIRST_DATE, LAST_DATE, SPLIT_KINDS
 
-RUNNING = {
-    "balance": signed_amount(),
-    "debit_balance": amount_of("debit"),
-    "credit_balance": amount_of("credit"),
-}
-
-
 def _sorted(df: DataFrame, ordered: bool, *keys) -> DataFrame:
     return df.orderBy(*keys) if ordered else df
 
@@ -110,6 +103,14 @@ def _statement(rows: DataFrame, ordered: bool, wide: int) -> DataFrame:
     })
 
 
+def _running() -> dict[str, Column]:
+    return {
+        "balance": signed_amount(),
+        "debit_balance": amount_of("debit"),
+        "credit_balance": amount_of("credit"),
+    }
+
+
 def _account_rows(ledger: Ledger, aids: Keys) -> DataFrame:
     """Journal rows of the wanted accounts."""
     around = None if aids is None else in_keys(ledger.splits, "aid", aids)
@@ -125,7 +126,7 @@ def account_statement(
     """
     detail = _account_rows(ledger, aids).filter(in_dates(start, end))
     moves = in_keys(dated_splits(ledger), "aid", aids).filter(in_dates(start, end))
-    totals = running_totals(moves, RUNNING, by=("aid",))
+    totals = running_totals(moves, _running(), by=("aid",))
     return _statement(attach(detail, totals, by=("aid",)), ordered, wide=5)
 
 
@@ -143,7 +144,7 @@ def account_statement_rows(
     probes = dated_splits(ledger) if sids is None else in_keys(dated_splits(ledger), "sid", sids)
     if sids is not None:
         moves = in_keys(moves, "aid", chosen.select("aid").distinct())
-    totals = running_totals(moves, RUNNING, by=("aid",), probes=probes)
+    totals = running_totals(moves, _running(), by=("aid",), probes=probes)
     return _statement(attach(detail, totals, by=("aid",)), ordered, wide=5)
 
 

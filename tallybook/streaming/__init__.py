@@ -1,0 +1 @@
+"""Streams. The ledger workload has none of its own; see ``intake`` for loading files as they arrive."""
