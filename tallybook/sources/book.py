@@ -10,21 +10,22 @@ disturbed. Its row in ``versions`` is added last: until then nobody reads it.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallybook.ledger import Ledger
 from tallybook.operators.checks import (
-    VIOLATIONS,
     require_balanced,
     require_no_fatal,
     require_valid,
     validate_schema,
 )
 from tallybook.operators.journal import build_journal
-from tallybook.sources.schema import DEFAULT_YEAR, TABLES
+from tallybook.sources.schema import DEFAULT_YEAR, KEYS, TABLES
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -174,29 +175,36 @@ def bulk_load(spark: SparkSession, files: dict[str, str], header: bool = True) -
     """Read CSV files of the three tables.
 
     ``files`` maps a table name to its path(s). Returns the ledger made of the
-    readable lines, and the violations: broken column rules, and lines that
-    could not be read (``found`` holds the whole line).
+    lines whose every value can be read as its column's type, and the
+    violations: values that cannot, and broken column rules of the rest.
     """
-    tables, unreadable = {}, None
+    tables, unreadable = {}, []
     for name, schema in TABLES.items():
-        lines = (
-            spark.read.schema(schema.add("_line", "string") if "_line" not in schema.names else schema)
-            .option("header", header)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_line")
-            .csv(files[name])
+        # Read as text and cast here: a scan that prunes columns would only
+        # notice bad values in the columns a query happens to use.
+        texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+        lines = spark.read.schema(texts).option("header", header).csv(files[name])
+        typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema if f.dataType != T.StringType()}
+        bad = {c: F.col(c).isNotNull() & value.isNull() for c, value in typed.items()}
+        sound = reduce(lambda a, b: a & b, [~test for test in bad.values()])
+        tables[name] = lines.filter(sound).select(*[typed.get(c, F.col(c)).alias(c) for c in schema.names])
+        problems = [
+            F.when(
+                test,
+                F.struct(
+                    F.lit(c).alias("column_name"), F.lit("unreadable value").alias("problem"), F.col(c).alias("found")
+                ),
+            )
+            for c, test in bad.items()
+        ]
+        key = typed[KEYS[name]].alias("key")
+        unreadable.append(
+            lines.select(key, F.explode(F.array_compact(F.array(*problems))).alias("p")).select(
+                F.lit(name).alias("table_name"), "key", "p.*"
+            )
         )
-        tables[name] = lines.filter(F.col("_line").isNull()).drop("_line")
-        bad = lines.filter(F.col("_line").isNotNull()).select(
-            F.lit(name).alias("table_name"),
-            F.lit(None).cast("long").alias("key"),
-            F.lit(None).cast("string").alias("column_name"),
-            F.lit("unreadable line").alias("problem"),
-            F.col("_line").alias("found"),
-        )
-        unreadable = bad if unreadable is None else unreadable.unionByName(bad)
     ledger = Ledger(**tables)
-    return ledger, validate_schema(ledger).unionByName(unreadable)
+    return ledger, reduce(DataFrame.unionByName, unreadable, validate_schema(ledger))
 
 
 def append(ledger: Ledger, more: Ledger) -> Ledger:

@@ -1,0 +1,275 @@
+"""Bulk edits on the hand-computed ledger."""
+
+import datetime as dt
+
+import pytest
+from conftest import MICRO_ACCOUNTS, MICRO_SPLITS, MICRO_TRANSACTIONS, make_ledger, money, rows
+
+from tallybook.operators import edits as E
+from tallybook.plans import reports
+from tallybook.plans.views import VIEWS
+from tallybook.sources.schema import EDITS
+
+
+def batch(spark, *lines):
+    """Edits numbered in the order given."""
+    return spark.createDataFrame([(i + 1, *line) for i, line in enumerate(lines)], EDITS)
+
+
+def ids(spark, *targets):
+    return spark.createDataFrame([(i + 1, t) for i, t in enumerate(targets)], "seq long, target_id long")
+
+
+def rejected(staged):
+    return [(r.seq, r.reason, r.fatal) for r in staged.rejects.orderBy("seq").collect()]
+
+
+def table(df, key):
+    return {r[key]: r for r in df.collect()}
+
+
+def unchanged(staged, micro, *names):
+    for name in names:
+        assert sorted(map(tuple, getattr(staged.ledger, name).collect())) == sorted(
+            map(tuple, getattr(micro, name).collect())
+        )
+
+
+def test_statement_amount_goes_to_the_whole_transaction(spark, micro):
+    staged = E.update_statement(micro, batch(spark, (61, "amount", "4")))
+    splits = table(staged.ledger.splits, "sid")
+    assert [splits[s].amount for s in (61, 62, 63)] == [money("4.00")] * 3
+    assert {s: r.amount for s, r in splits.items() if s not in (61, 62, 63)} == {
+        s: money(m) for s, _, _, _, m, _ in MICRO_SPLITS if s not in (61, 62, 63)
+    }
+    assert rejected(staged) == []
+    assert sorted(rows(reports.imbalances(staged.ledger), "tid", "s")) == [(6, money("4.00")), (8, money("1.00"))]
+
+
+@pytest.mark.parametrize(
+    ("sid", "field", "value", "reason", "fatal"),
+    [
+        (63, "amount", "4", "Cannot update amount on irregular transactions.", False),
+        (81, "counter", "Food", "Cannot update counter on irregular transactions.", False),
+        (61, "counter", "Nope", "No account named Nope", False),
+        (21, "account", "Nope", "No account named Nope", False),
+        (21, "amount", "abc", "cannot read abc", False),
+        (21, "balance", "1", "Cannot update field.", False),
+        (21, "date", "soon", 'invalid input syntax for type date: "soon"', True),
+        (999, "date", "2017-01-01", "Could not reselect row in statement update.", True),
+        (999, "amount", "1", "Cannot update amount on irregular transactions.", False),
+    ],
+)
+def test_statement_rejects(spark, micro, sid, field, value, reason, fatal):
+    staged = E.update_statement(micro, batch(spark, (sid, field, value)))
+    assert rejected(staged) == [(1, reason, fatal)]
+    unchanged(staged, micro, "splits", "transactions")
+
+
+def test_statement_counter_moves_the_opposite_split(spark, micro):
+    staged = E.update_statement(micro, batch(spark, (61, "counter", "Card")))
+    splits = table(staged.ledger.splits, "sid")
+    assert (splits[61].aid, splits[62].aid, splits[63].aid) == (5, 3, 8)
+
+
+def test_statement_account(spark, micro):
+    staged = E.update_statement(micro, batch(spark, (42, "account", "Cash Jar")))
+    assert table(staged.ledger.splits, "sid")[42].aid == 4
+
+
+def test_statement_date_and_description_move_the_transaction(spark, micro):
+    staged = E.update_statement(micro, batch(spark, (32, "date", "2017-01-11"), (32, "description", "Machine")))
+    three = table(staged.ledger.transactions, "tid")[3]
+    assert (three.date, three.description) == (dt.date(2017, 1, 11), "Machine")
+    again = reports.account_statement_rows(staged.ledger, [31, 32], "2017-01-01", "2018-01-01")
+    assert set(rows(again, "sid", "date", "description")) == {
+        (31, dt.date(2017, 1, 11), "Machine"),
+        (32, dt.date(2017, 1, 11), "Machine"),
+    }
+
+
+@pytest.mark.parametrize(("value", "kind"), [("", "credit"), ("c", "credit"), ("d", "debit"), ("debit", "debit")])
+def test_split_kind(spark, micro, value, kind):
+    staged = E.update_splits(micro, batch(spark, (51, "kind", value)))
+    assert table(staged.ledger.splits, "sid")[51].kind == kind
+
+
+def test_split_fields(spark, micro):
+    staged = E.update_splits(
+        micro,
+        batch(
+            spark,
+            (51, "memo", "None"),
+            (52, "memo", "note"),
+            (52, "tid", " 4 "),
+            (52, "account", "Food"),
+            (52, "amount", "1e1"),
+        ),
+    )
+    splits = table(staged.ledger.splits, "sid")
+    assert splits[51].memo is None
+    assert tuple(splits[52]) == (52, 4, 5, "credit", money("10.00"), "note")
+    assert rejected(staged) == []
+
+
+@pytest.mark.parametrize(
+    ("sid", "field", "value", "reason", "fatal"),
+    [
+        (51, "kind", "x", "x must be one of debit, credit", False),
+        (51, "tid", "1.5", "cannot read 1.5", False),
+        (51, "tid", "77", "no transaction with this id", True),
+        (51, "account", "Nope", "No account named Nope", False),
+        (51, "amount", "", "cannot read ", False),
+        (51, "sid", "5", "This field cannot be updated.", False),
+        (999, "memo", "x", "Unexpected query result in split update.", True),
+    ],
+)
+def test_split_rejects(spark, micro, sid, field, value, reason, fatal):
+    staged = E.update_splits(micro, batch(spark, (sid, field, value)))
+    assert rejected(staged) == [(1, reason, fatal)]
+    unchanged(staged, micro, "splits")
+
+
+def test_account_name_must_be_unique(spark):
+    twice = [*MICRO_ACCOUNTS, (9, "asset", "Food", None)]
+    book = make_ledger(spark, twice, MICRO_TRANSACTIONS, MICRO_SPLITS)
+    staged = E.update_splits(book, batch(spark, (51, "account", "Food")))
+    assert rejected(staged) == [(1, "No account named Food", False)]
+
+
+def test_accounts(spark, micro):
+    staged = E.update_accounts(
+        micro,
+        batch(
+            spark,
+            (7, "description", "None"),
+            (5, "name", "Groceries"),
+            (5, "kind", "asset"),
+            (2, "kind", "cash"),
+            (2, "balance", "1"),
+            (99, "name", "x"),
+        ),
+    )
+    accounts = table(staged.ledger.accounts, "aid")
+    assert accounts[7].description is None
+    assert (accounts[5].name, accounts[5].kind) == ("Groceries", "asset")
+    assert accounts[2].kind == "asset"
+    assert rejected(staged) == [
+        (4, 'invalid input value for enum account_kind: "cash"', True),
+        (5, "This field cannot be updated.", False),
+        (6, "no account with this id", True),
+    ]
+
+
+def test_transactions(spark, micro):
+    staged = E.update_transactions(
+        micro, batch(spark, (7, "date", "2017-2-3"), (7, "description", "Full"), (7, "tid", "9"), (70, "date", "2017-01-01"))
+    )
+    seven = table(staged.ledger.transactions, "tid")[7]
+    assert (seven.date, seven.description) == (dt.date(2017, 2, 3), "Full")
+    assert rejected(staged) == [
+        (3, "This field cannot be updated.", False),
+        (4, "no transaction with this id", True),
+    ]
+
+
+def test_last_edit_of_a_cell_wins(spark, micro):
+    staged = E.update_splits(micro, batch(spark, (51, "amount", "1"), (51, "amount", "3"), (51, "memo", "a"), (51, "memo", "None")))
+    split = table(staged.ledger.splits, "sid")[51]
+    assert (split.amount, split.memo) == (money("3.00"), None)
+
+
+def test_views_share_one_order(spark, micro):
+    statement = spark.createDataFrame([(1, 51, "amount", "7"), (4, 31, "date", "2017-01-20")], EDITS)
+    splits = spark.createDataFrame([(2, 51, "amount", "8")], EDITS)
+    transactions = spark.createDataFrame([(3, 3, "date", "2017-01-30")], EDITS)
+    staged = E.apply_edits(micro, {"statement": statement, "splits": splits, "transactions": transactions})
+    after = table(staged.ledger.splits, "sid")
+    assert (after[51].amount, after[52].amount) == (money("8.00"), money("7.00"))
+    assert table(staged.ledger.transactions, "tid")[3].date == dt.date(2017, 1, 20)
+
+
+def test_inserts(spark, micro):
+    asked = spark.createDataFrame([(10,), (11,)], "seq long")
+    accounts = table(E.insert_accounts(micro, asked).ledger.accounts, "aid")
+    assert tuple(accounts[10]) == (10, "asset", "account_0010", None)
+    assert len(accounts) == 10
+
+    today = dt.date(2017, 6, 1)
+    transactions = table(E.insert_transactions(micro, asked, today).ledger.transactions, "tid")
+    assert tuple(transactions[11]) == (11, today, "")
+
+    staged = E.insert_splits(micro, asked)
+    splits = table(staged.ledger.splits, "sid")
+    assert tuple(splits[93]) == (93, 1, 1, "debit", money("0.00"), None)
+    assert len(splits) == 18
+    assert rejected(staged) == []
+
+
+def test_insert_splits_of_a_transaction(spark, micro):
+    asked = spark.createDataFrame([(1, 7), (2, 70), (3, None)], "seq long, tid long")
+    staged = E.insert_splits(micro, asked)
+    added = staged.ledger.splits.filter("sid > 92")
+    assert sorted(rows(added, "sid", "tid")) == [(93, 7), (95, 1)]
+    assert rejected(staged) == [(2, "no transaction with this id", True)]
+
+
+def test_insert_split_needs_its_account(spark):
+    book = make_ledger(spark, MICRO_ACCOUNTS[1:], MICRO_TRANSACTIONS, MICRO_SPLITS)
+    staged = E.insert_splits(book, spark.createDataFrame([(1,)], "seq long"))
+    assert rejected(staged) == [(1, "No account named Imbalance", True)]
+    assert staged.ledger.splits.count() == len(MICRO_SPLITS)
+
+
+def test_deletes(spark, micro):
+    gone = E.delete_transactions(micro, ids(spark, 6, 70)).ledger
+    assert {r.tid for r in gone.transactions.collect()} == {1, 2, 3, 4, 5, 7, 8, 9}
+    assert not {61, 62, 63} & {r.sid for r in gone.splits.collect()}
+
+    assert E.delete_splits(micro, ids(spark, 81)).ledger.splits.count() == 15
+
+    staged = E.delete_accounts(micro, ids(spark, 2, 8))
+    assert {r.aid for r in staged.ledger.accounts.collect()} == {1, 2, 3, 4, 5, 6, 7}
+    assert rejected(staged) == [(1, "account is still referenced from splits", True)]
+
+
+def test_delete_by_statement_row(spark, micro):
+    staged = E.delete_by_statement_row(micro, ids(spark, 52, 999))
+    assert not {51, 52} & {r.sid for r in staged.ledger.splits.collect()}
+    assert 5 not in {r.tid for r in staged.ledger.transactions.collect()}
+    assert rejected(staged) == [(2, "Could not reselect row in statement update.", True)]
+
+
+def test_refused(spark, micro):
+    asked = spark.createDataFrame([(1,)], "seq long")
+    for view in ("account_statement", "cash_statement"):
+        assert rejected(VIEWS[view].insert(micro, asked)) == [(1, "Cannot insert into statements.", False)]
+    staged = VIEWS["account_statement"].delete(micro, ids(spark, 21))
+    assert rejected(staged) == [(1, "Cannot delete from statements.", False)]
+    unchanged(staged, micro, "splits", "transactions")
+
+
+def test_reselect_shows_staged_rows(spark, micro):
+    staged = VIEWS["splits"].update(micro, batch(spark, (81, "amount", "2")))
+    assert rows(VIEWS["splits"].reselect(staged.ledger, [81]), "sid", "amount") == [(81, money("2.00"))]
+    assert rows(VIEWS["accounts"].reselect(staged.ledger, [2]), "aid", "balance") == [(2, money("122.00"))]
+    assert rows(VIEWS["transactions"].reselect(staged.ledger, [3]), "tid", "description") == [(3, "ATM")]
+    # the ledger before the batch still answers as before: dropping the new one rolls back
+    assert rows(reports.account_balances(micro, [2]), "balance") == [(money("121.00"),)]
+
+
+def test_many_edits_of_one_large_transaction(spark):
+    """One credit against many debits: every debit is regular, and all edits meet in one transaction."""
+    n = 2000
+    accounts = [(1, "asset", "A", None), (2, "asset", "B", None), (3, "asset", "C", None)]
+    splits = [(0, 1, 2, "credit", "2000.00", None)] + [(i, 1, 1, "debit", "1.00", None) for i in range(1, n + 1)]
+    book = make_ledger(spark, accounts, [(1, "2017-01-01", "big")], splits)
+    edits = spark.createDataFrame(
+        [(i, i, "amount", str(i)) for i in range(1, n + 1)] + [(n + i, i, "counter", "C") for i in range(1, n + 1)], EDITS
+    )
+    staged = E.update_statement(book, edits)
+    assert rejected(staged) == []
+    after = staged.ledger.splits
+    assert after.count() == n + 1
+    assert rows(after.select("amount").distinct(), "amount") == [(money("2000.00"),)]
+    assert rows(after.filter("sid = 0"), "aid") == [(3,)]
