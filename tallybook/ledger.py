@@ -25,6 +25,19 @@ class Ledger:
         """A copy with some tables replaced; the journal no longer fits, so it goes."""
         return replace(self, journal=None, **tables)
 
+    def sql(self, query: str, **parameters) -> DataFrame:
+        """Run a SQL query over ``{accounts}``, ``{transactions}`` and ``{splits}``.
+
+        Parameters are bound by name (``:start``), never pasted into the text.
+        """
+        return self.splits.sparkSession.sql(
+            query,
+            args=parameters,
+            accounts=self.accounts,
+            transactions=self.transactions,
+            splits=self.splits,
+        )
+
 
 @dataclass(frozen=True)
 class Staged:

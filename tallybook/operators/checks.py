@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.ledger import Ledger
-from tallybook.sources.schema import ACCOUNT_KINDS, KEYS, SPLIT_KINDS, TABLES
+from tallybook.sources.schema import ACCOUNT_KINDS, KEYS, SPLIT_KINDS, TABLES, TOTAL
 
 DOMAINS = {("accounts", "kind"): ACCOUNT_KINDS, ("splits", "kind"): SPLIT_KINDS}
 IMBALANCE_MESSAGE = "Imbalances will prevent commit from succeeding."
@@ -101,6 +101,17 @@ def validate_keys(ledger: Ledger) -> DataFrame:
     return result
 
 
+def commit_gate(ledger: Ledger) -> DataFrame:
+    """One row: may the ledger be published, how many transactions are off, and by how much."""
+    from tallybook.plans.reports import imbalances
+
+    return imbalances(ledger).agg(
+        (F.count(F.lit(1)) == 0).alias("ok"),
+        F.count(F.lit(1)).alias("imbalanced"),
+        F.coalesce(F.sum("s"), F.lit(0)).cast(TOTAL).alias("off_by"),
+    )
+
+
 def require_balanced(ledger: Ledger) -> None:
     """Raise unless the splits of every transaction add up to zero."""
     from tallybook.plans.reports import imbalances

@@ -29,6 +29,16 @@ def splits_with_account(ledger: Ledger) -> DataFrame:
     return ledger.splits.join(named_accounts(ledger), "aid")
 
 
+def accounts_left_splits(ledger: Ledger) -> DataFrame:
+    """Every account with each of its splits; one without splits appears once."""
+    return ledger.accounts.join(ledger.splits.select("sid", "tid", "aid", F.col("kind").alias("side"), "amount"), "aid", "left")
+
+
+def transactions_of(ledger: Ledger, splits: DataFrame) -> DataFrame:
+    """The transactions that a set of splits belongs to, each once."""
+    return ledger.transactions.join(splits.select("tid"), "tid", "left_semi")
+
+
 def dated_splits(ledger: Ledger) -> DataFrame:
     """Splits with the date of their transaction; a split without one drops out."""
     if ledger.journal is not None:

@@ -158,8 +158,13 @@ def _cash_moves(ledger: Ledger, pattern: str, start, end) -> DataFrame:
     return moves.withColumn("counter_cash", opposite("cash"))
 
 
+def _internal() -> Column:
+    """A transfer between cash accounts: the word for cash on both sides."""
+    return mentions_cash(F.col("account")) & F.coalesce("counter_cash", F.lit(False))
+
+
 def _cash_totals(moves: DataFrame, probes: DataFrame | None = None) -> DataFrame:
-    internal = mentions_cash(F.col("account")) & F.coalesce("counter_cash", F.lit(False))
+    internal = _internal()
     measures = {
         "balance": signed_amount(),
         "debit_balance": amount_of("debit", unless=internal),
@@ -198,6 +203,13 @@ def cash_statement_rows(
     return _statement(attach(detail, totals), ordered, wide=6)
 
 
+def external_sums(ledger: Ledger, pattern: str = "%", start=FIRST_DATE, end=LAST_DATE) -> DataFrame:
+    """Debits and credits of each cash account, transfers between cash accounts left out."""
+    moves = _cash_moves(ledger, pattern, start, end)
+    internal = _internal()
+    return moves.groupBy("account").agg(debit_sum(internal).alias("debits"), credit_sum(internal).alias("credits"))
+
+
 def _plain_statement(rows: DataFrame, *order) -> DataFrame:
     """Raw kind and amount, balance only, and NULL where there is no counter account."""
     report = rows.select(

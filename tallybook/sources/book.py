@@ -98,7 +98,8 @@ def _write_tables(ledger: Ledger, folder: str) -> None:
     )
 
 
-def _write_journal(ledger: Ledger, folder: str) -> None:
+def write_journal(ledger: Ledger, folder: str) -> None:
+    """Write the journal under ``folder``, clustered by date for the reports' date ranges."""
     (
         build_journal(ledger)
         .repartitionByRange("date", "sid")
@@ -130,7 +131,7 @@ def publish(
     require_valid(written)
     require_balanced(written)
     if journal:
-        _write_journal(written, folder)
+        write_journal(written, folder)
     _announce(spark, root, year, version, journal)
     return read_book(spark, root, year, version)
 
@@ -167,7 +168,7 @@ def store_unchecked(ledger: Ledger, folder: str, journal: bool = True) -> Ledger
     tables = {n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in TABLES.items()}
     if not journal:
         return Ledger(**tables)
-    _write_journal(Ledger(**tables), folder)
+    write_journal(Ledger(**tables), folder)
     return Ledger(**tables, journal=spark.read.parquet(f"{folder}/journal"))
 
 
