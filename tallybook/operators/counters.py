@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.text import mentions_cash
 from tallybook.ledger import Ledger
 from tallybook.operators.joins import splits_with_account
+from tallybook.operators.skew import join_facts
 from tallybook.sources.schema import SPLIT_KINDS
 
 
@@ -55,20 +56,15 @@ def opposite(measure: str) -> Column:
     )
 
 
-def with_counter(splits: DataFrame, ledger: Ledger, among: DataFrame | None = None) -> DataFrame:
-    """Add ``counter``: the account names opposite each split, NULL when there are none.
-
-    ``among`` limits the splits the lists are built from to those that matter.
-    """
-    named = splits_with_account(ledger) if among is None else among
-    lists = account_lists(named)
-    joined = splits.join(lists, "tid", "left")
-    return joined.withColumn("counter", opposite("accounts")).drop(*[c for c in lists.columns if c != "tid"])
+def with_counter(splits: DataFrame, ledger: Ledger) -> DataFrame:
+    """Add ``counter``: the account names opposite each split, NULL when there are none."""
+    joined = join_facts(splits, account_lists(splits_with_account(ledger)), "tid", "sid")
+    return joined.withColumn("counter", opposite("accounts")).drop(*[f"{k}_accounts" for k in SPLIT_KINDS])
 
 
 def counter_splits(splits: DataFrame) -> DataFrame:
     """Each split with the number of opposite splits and, if there is one only, its sid."""
-    return splits.join(side_counts(splits), "tid", "left").select(
+    return join_facts(splits, side_counts(splits), "tid", "sid").select(
         "sid",
         "tid",
         "kind",

@@ -28,6 +28,7 @@ from tallybook.functions.text import (
 from tallybook.ledger import Ledger, Staged
 from tallybook.operators.counters import opposite, side_counts
 from tallybook.operators.scopes import narrow
+from tallybook.operators.skew import join_facts
 from tallybook.sources.schema import (
     ACCOUNT_KINDS,
     ACCOUNTS,
@@ -261,7 +262,7 @@ def _statement_changes(ledger: Ledger, edits: DataFrame) -> _Changes:
     edits = _with_named_account(ledger, edits, "account", "counter")
     found = _found(ledger.splits, "sid", edits, "tid", "kind")
     sides = side_counts(narrow(ledger.splits, "tid", found))
-    placed = found.join(sides, "tid").select(
+    placed = join_facts(found, sides, "tid", "target_id", how="inner").select(
         "target_id",
         "tid",
         opposite("count").alias("opposite_count"),
@@ -333,7 +334,7 @@ def _new_splits(splits: DataFrame, changes: _Changes) -> DataFrame:
         whole = _last_values(_all(changes.amounts), ["amount"]).select(
             F.col("key").alias("tid"), F.col("new_amount").alias("new_whole")
         )
-        joined = joined.join(whole, "tid", "left")
+        joined = join_facts(joined, whole, "tid", "sid", count=splits)
     out = []
     for field in splits.schema:
         old, new = F.col(field.name), None

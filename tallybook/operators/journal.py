@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tallybook.ledger import Ledger
-from tallybook.operators.counters import with_counter
-from tallybook.operators.joins import enrich_splits, splits_with_account
+from tallybook.operators.counters import account_lists, opposite
+from tallybook.operators.joins import named_accounts, splits_with_account
 from tallybook.operators.scopes import narrow
+from tallybook.operators.skew import join_facts
 
 COLUMNS = ("sid", "tid", "aid", "kind", "amount", "memo", "date", "description", "account", "counter")
 
@@ -19,13 +20,19 @@ COLUMNS = ("sid", "tid", "aid", "kind", "amount", "memo", "date", "description",
 def build_journal(ledger: Ledger, around: DataFrame | None = None) -> DataFrame:
     """Join the tables into journal rows.
 
-    ``around`` holds the ``tid`` of the only transactions that will be looked at,
-    if the caller knows them to be a small part.
+    What is known per transaction (date, description, accounts of either side)
+    is put together first, one row each, and meets the splits in one join.
+    ``around`` holds the splits whose transactions alone will be looked at, if
+    the caller knows them to be a small part.
     """
-    among = None
+    named = splits_with_account(ledger)
     if around is not None:
-        among = narrow(splits_with_account(ledger), "tid", around)
-    return with_counter(enrich_splits(ledger), ledger, among).select(*COLUMNS)
+        named = narrow(named, "tid", around)
+    transactions = ledger.transactions.select("tid", "date", "description")
+    facts = transactions.join(account_lists(named), "tid", "full")
+    splits = ledger.splits.join(named_accounts(ledger), "aid", "left")
+    joined = join_facts(splits, facts, "tid", "sid", count=ledger.splits if around is None else around)
+    return joined.withColumn("counter", opposite("accounts")).select(*COLUMNS)
 
 
 def journal_of(ledger: Ledger, around: DataFrame | None = None) -> DataFrame:

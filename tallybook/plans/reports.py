@@ -24,8 +24,9 @@ from tallybook.ledger import Ledger
 from tallybook.operators.asof import attach, running_totals
 from tallybook.operators.counters import cash_sides, opposite
 from tallybook.operators.journal import journal_of
-from tallybook.operators.joins import dated_splits, enrich_splits, splits_with_account
+from tallybook.operators.joins import dated_splits, splits_with_account
 from tallybook.operators.scopes import Keys, in_dates, in_keys
+from tallybook.operators.skew import join_facts
 from tallybook.sources.schema import ACCOUNT_KINDS, FIRST_DATE, LAST_DATE, SPLIT_KINDS
 
 def _sorted(df: DataFrame, ordered: bool, *keys) -> DataFrame:
@@ -148,13 +149,19 @@ def account_statement_rows(
     return _statement(attach(detail, totals, by=("aid",)), ordered, wide=5)
 
 
+def _cash_scope(pattern: str, start, end) -> Column:
+    return in_dates(start, end) & like(F.col("description"), pattern) & is_cash_account(F.col("account"))
+
+
 def _cash_moves(ledger: Ledger, pattern: str, start, end) -> DataFrame:
     """Splits of cash accounts in scope, marked where the other side is cash as well."""
-    scope = in_dates(start, end) & like(F.col("description"), pattern) & is_cash_account(F.col("account"))
+    scope = _cash_scope(pattern, start, end)
     if ledger.journal is not None:
         return ledger.journal.filter(scope).withColumn("counter_cash", mentions_cash(F.col("counter")))
-    sides = cash_sides(splits_with_account(ledger))
-    moves = enrich_splits(ledger).filter(scope).join(sides, "tid", "left")
+    transactions = ledger.transactions.select("tid", "date", "description")
+    facts = transactions.join(cash_sides(splits_with_account(ledger)), "tid", "left")
+    splits = splits_with_account(ledger).filter(is_cash_account(F.col("account")))
+    moves = join_facts(splits, facts, "tid", "sid", how="inner", count=splits).filter(scope)
     return moves.withColumn("counter_cash", opposite("cash"))
 
 
@@ -181,8 +188,7 @@ def cash_statement(
     The balance moves with every cash split; a transfer between cash accounts
     is left out of the running debits and credits.
     """
-    scope = in_dates(start, end) & like(F.col("description"), pattern) & is_cash_account(F.col("account"))
-    detail = journal_of(ledger).filter(scope)
+    detail = journal_of(ledger).filter(_cash_scope(pattern, start, end))
     totals = _cash_totals(_cash_moves(ledger, pattern, start, end))
     return _statement(attach(detail, totals), ordered, wide=6)
 
