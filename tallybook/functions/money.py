@@ -45,8 +45,8 @@ def money_text(value: Column, width: int = 5) -> Column:
     -5.5 becomes ``-    5.50``. A number with more than ``width`` integer digits
     shows as ``#`` in every digit place.
     """
-    rounded = F.round(value, 2)
+    rounded = value.cast(TOTAL)  # rounds half away from zero; nothing to do for sums
     size = F.abs(rounded)
-    digits = F.lpad(size.cast(TOTAL).cast("string"), width + 3, " ")
+    digits = F.lpad(size.cast("string"), width + 3, " ")
     body = F.when(size >= F.lit(10**width), F.lit("#" * width + ".##")).otherwise(digits)
     return F.concat(F.when(rounded < 0, F.lit("-")).otherwise(F.lit(" ")), body)

@@ -27,7 +27,7 @@ from tallybook.functions.text import (
 )
 from tallybook.ledger import Ledger, Staged
 from tallybook.operators.counters import opposite, side_counts
-from tallybook.operators.scopes import narrow
+from tallybook.operators.scopes import few
 from tallybook.operators.skew import join_facts
 from tallybook.sources.schema import (
     ACCOUNT_KINDS,
@@ -261,7 +261,10 @@ def _statement_changes(ledger: Ledger, edits: DataFrame) -> _Changes:
     shown = F.coalesce(value, F.lit(""))
     edits = _with_named_account(ledger, edits, "account", "counter")
     found = _found(ledger.splits, "sid", edits, "tid", "kind")
-    sides = side_counts(narrow(ledger.splits, "tid", found))
+    splits = ledger.splits
+    if few(edits):  # then so are the transactions they touch
+        splits = splits.join(F.broadcast(found.select("tid").distinct()), "tid", "left_semi")
+    sides = side_counts(splits)
     placed = join_facts(found, sides, "tid", "target_id", how="inner").select(
         "target_id",
         "tid",
@@ -288,14 +291,19 @@ def _statement_changes(ledger: Ledger, edits: DataFrame) -> _Changes:
         (F.col("tid").isNull(), NO_STATEMENT_ROW, True),
     )
     accepted = _accepted(judged)
-    aid = F.col("named_aid")
     return _Changes(
         transactions=[
             _cells(accepted.filter(F.col("field").isin("date", "description")), "tid", "field", _transaction_value())
         ],
         splits=[
-            _cells(accepted.filter(_is("account")), "target_id", F.lit("aid"), aid),
-            _cells(accepted.filter(_is("counter")), "opposite_sid", F.lit("aid"), aid),
+            _cells(
+                accepted.filter(F.col("field").isin("account", "counter")).withColumn(
+                    "moved_sid", F.when(_is("counter"), F.col("opposite_sid")).otherwise(F.col("target_id"))
+                ),
+                "moved_sid",
+                F.lit("aid"),
+                F.col("named_aid"),
+            )
         ],
         amounts=[_cells(accepted.filter(_is("amount")), "tid", "field", parse_amount(value))],
         rejects=[_rejected(judged)],
@@ -334,7 +342,7 @@ def _new_splits(splits: DataFrame, changes: _Changes) -> DataFrame:
         whole = _last_values(_all(changes.amounts), ["amount"]).select(
             F.col("key").alias("tid"), F.col("new_amount").alias("new_whole")
         )
-        joined = join_facts(joined, whole, "tid", "sid", count=splits)
+        joined = join_facts(joined, whole, "tid", "sid", counted=splits)
     out = []
     for field in splits.schema:
         old, new = F.col(field.name), None

@@ -11,32 +11,33 @@ from pyspark.sql import DataFrame
 from tallybook.ledger import Ledger
 from tallybook.operators.counters import account_lists, opposite
 from tallybook.operators.joins import named_accounts, splits_with_account
-from tallybook.operators.scopes import narrow
+from tallybook.operators.scopes import zoom
 from tallybook.operators.skew import join_facts
 
 COLUMNS = ("sid", "tid", "aid", "kind", "amount", "memo", "date", "description", "account", "counter")
 
 
-def build_journal(ledger: Ledger, around: DataFrame | None = None) -> DataFrame:
+def build_journal(ledger: Ledger, rows: DataFrame | None = None) -> DataFrame:
     """Join the tables into journal rows.
 
     What is known per transaction (date, description, accounts of either side)
     is put together first, one row each, and meets the splits in one join.
-    ``around`` holds the splits whose transactions alone will be looked at, if
-    the caller knows them to be a small part.
+    ``rows`` are the splits to make rows of, with their ``account`` name, if not
+    all are wanted.
     """
-    named = splits_with_account(ledger)
-    if around is not None:
-        named = narrow(named, "tid", around)
+    if rows is None:
+        rows = ledger.splits.join(named_accounts(ledger), "aid", "left")
     transactions = ledger.transactions.select("tid", "date", "description")
-    facts = transactions.join(account_lists(named), "tid", "full")
-    splits = ledger.splits.join(named_accounts(ledger), "aid", "left")
-    joined = join_facts(splits, facts, "tid", "sid", count=ledger.splits if around is None else around)
+    facts = transactions.join(account_lists(splits_with_account(ledger)), "tid", "full")
+    joined = join_facts(rows, facts, "tid", "sid", counted=ledger.splits)
     return joined.withColumn("counter", opposite("accounts")).select(*COLUMNS)
 
 
-def journal_of(ledger: Ledger, around: DataFrame | None = None) -> DataFrame:
-    """The stored journal, or the joined tables where none is stored."""
+def journal_of(ledger: Ledger, chosen: DataFrame | None = None) -> DataFrame:
+    """The stored journal, or the joined tables where none is stored.
+
+    With ``chosen`` splits the result may leave out other transactions.
+    """
     if ledger.journal is not None:
         return ledger.journal
-    return build_journal(ledger, around)
+    return build_journal(ledger if chosen is None else zoom(ledger, chosen))

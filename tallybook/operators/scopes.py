@@ -10,11 +10,16 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from tallybook.ledger import Ledger
 
 Keys = DataFrame | Iterable[int] | None
 
 #: Up to this many keys of eight bytes are sent to every executor (8 MB of keys).
 BROADCAST_KEYS = 1_000_000
+#: Text that may go with them.
+BROADCAST_BYTES = 64_000_000
 
 
 def in_keys(df: DataFrame, key: str, keys: Keys) -> DataFrame:
@@ -41,14 +46,35 @@ def detail_of(child: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return child.join(parents.select(key), key, "left_semi")
 
 
-def narrow(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Drop rows outside ``keys`` early, when the keys are few enough to broadcast.
+def few(keys: DataFrame) -> bool:
+    """Whether there are few enough keys to broadcast. Runs a count."""
+    return keys.count() <= BROADCAST_KEYS
+
 
-    For use ahead of an aggregate by ``key`` whose result is joined with ``keys``
-    anyway: past the size limit the rows are left as they are, and that join
-    drops the rest.
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Mark a table for broadcast if its measured size allows; else Spark decides.
+
+    For the result of a selective filter, which Spark takes to be as large as
+    the table it was cut from.
     """
-    wanted = keys.select(key).distinct()
-    if wanted.count() > BROADCAST_KEYS:
-        return df
-    return df.join(F.broadcast(wanted), key, "left_semi")
+    texts = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    small = size["rows"] <= BROADCAST_KEYS and size["bytes"] <= BROADCAST_BYTES
+    return F.broadcast(df) if small else df
+
+
+def zoom(ledger: Ledger, chosen: DataFrame) -> Ledger:
+    """The transactions of some chosen splits, with all their splits.
+
+    When the chosen splits are few, both tables are cut down to their
+    transactions by a broadcast, so that what follows shuffles little. Past the
+    limit the ledger is returned whole: the reports select their rows anyway.
+    """
+    if not few(chosen):
+        return ledger
+    tids = F.broadcast(chosen.select("tid").distinct())
+    return ledger.stage(
+        transactions=ledger.transactions.join(tids, "tid", "left_semi"),
+        splits=ledger.splits.join(tids, "tid", "left_semi"),
+    )

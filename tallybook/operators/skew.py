@@ -27,16 +27,21 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
 
 
 def join_facts(
-    rows: DataFrame, facts: DataFrame, key: str, unique: str, how: str = "left", count: DataFrame | None = None
+    rows: DataFrame,
+    facts: DataFrame,
+    key: str,
+    unique: str,
+    how: str = "left",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` with ``facts``, which has one row per ``key``.
 
     ``unique`` is a column that differs between the rows of a key; its hash picks
-    the salt, so a recomputed row lands where it landed before. ``count`` names
-    cheaper rows to find the hot keys in, for instance the table before it was
-    joined: what matters for the result is only that both sides agree.
+    the salt, so a recomputed row lands where it landed before. ``counted`` is
+    what to find the hot keys in, if there is something cheaper than ``rows``
+    with about as many rows per key: the result does not depend on it.
     """
-    hot = F.broadcast(hot_keys(rows if count is None else count, key))
+    hot = F.broadcast(hot_keys(rows if counted is None else counted, key))
     salt = F.coalesce(F.pmod(F.xxhash64(unique), F.col("salts")), F.lit(0)).cast("int")
     salted = rows.join(hot, key, "left").withColumn("salt", salt).drop("salts")
     every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))

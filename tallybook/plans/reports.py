@@ -23,9 +23,9 @@ from tallybook.functions.text import is_cash_account, kind_rank, like, mentions_
 from tallybook.ledger import Ledger
 from tallybook.operators.asof import attach, running_totals
 from tallybook.operators.counters import cash_sides, opposite
-from tallybook.operators.journal import journal_of
-from tallybook.operators.joins import dated_splits, splits_with_account
-from tallybook.operators.scopes import Keys, in_dates, in_keys
+from tallybook.operators.journal import build_journal, journal_of
+from tallybook.operators.joins import dated_splits, named_accounts, splits_with_account
+from tallybook.operators.scopes import Keys, broadcast_if_small, in_dates, in_keys, zoom
 from tallybook.operators.skew import join_facts
 from tallybook.sources.schema import ACCOUNT_KINDS, FIRST_DATE, LAST_DATE, SPLIT_KINDS
 
@@ -112,10 +112,12 @@ def _running() -> dict[str, Column]:
     }
 
 
-def _account_rows(ledger: Ledger, aids: Keys) -> DataFrame:
-    """Journal rows of the wanted accounts."""
-    around = None if aids is None else in_keys(ledger.splits, "aid", aids)
-    return in_keys(journal_of(ledger, around), "aid", aids).filter(F.col("account").isNotNull())
+def _of_accounts(ledger: Ledger, aids: Keys) -> tuple[DataFrame, DataFrame]:
+    """Journal rows of the wanted accounts, and their splits with dates."""
+    if aids is not None and ledger.journal is None:
+        ledger = zoom(ledger, in_keys(ledger.splits, "aid", aids))
+    detail = in_keys(journal_of(ledger), "aid", aids).filter(F.col("account").isNotNull())
+    return detail, in_keys(dated_splits(ledger), "aid", aids)
 
 
 def account_statement(
@@ -125,10 +127,10 @@ def account_statement(
 
     Only splits in ``[start, end)`` count, so each balance starts from zero.
     """
-    detail = _account_rows(ledger, aids).filter(in_dates(start, end))
-    moves = in_keys(dated_splits(ledger), "aid", aids).filter(in_dates(start, end))
-    totals = running_totals(moves, _running(), by=("aid",))
-    return _statement(attach(detail, totals, by=("aid",)), ordered, wide=5)
+    detail, moves = _of_accounts(ledger, aids)
+    scope = in_dates(start, end)
+    totals = running_totals(moves.filter(scope), _running(), by=("aid",))
+    return _statement(attach(detail.filter(scope), totals, by=("aid",)), ordered, wide=5)
 
 
 def account_statement_rows(
@@ -139,13 +141,16 @@ def account_statement_rows(
     The dates limit what is summed, not which rows appear: a row before
     ``start`` shows zero, a row after ``end`` the whole range's total.
     """
-    chosen = in_keys(ledger.splits, "sid", sids)
-    detail = in_keys(journal_of(ledger, None if sids is None else chosen), "sid", sids)
-    moves = dated_splits(ledger).filter(in_dates(start, end))
-    probes = dated_splits(ledger) if sids is None else in_keys(dated_splits(ledger), "sid", sids)
-    if sids is not None:
-        moves = in_keys(moves, "aid", chosen.select("aid").distinct())
-    totals = running_totals(moves, _running(), by=("aid",), probes=probes)
+    if sids is None:
+        detail, probes = journal_of(ledger), dated_splits(ledger)
+        moves = probes
+    else:
+        chosen = in_keys(ledger.splits, "sid", sids)
+        detail = in_keys(journal_of(ledger, chosen), "sid", sids)
+        probes = in_keys(dated_splits(ledger), "sid", sids)
+        # Everything that ever moved the accounts of the chosen splits.
+        _, moves = _of_accounts(ledger, chosen.select("aid").distinct())
+    totals = running_totals(moves.filter(in_dates(start, end)), _running(), by=("aid",), probes=probes)
     return _statement(attach(detail, totals, by=("aid",)), ordered, wide=5)
 
 
@@ -153,16 +158,21 @@ def _cash_scope(pattern: str, start, end) -> Column:
     return in_dates(start, end) & like(F.col("description"), pattern) & is_cash_account(F.col("account"))
 
 
-def _cash_moves(ledger: Ledger, pattern: str, start, end) -> DataFrame:
-    """Splits of cash accounts in scope, marked where the other side is cash as well."""
-    scope = _cash_scope(pattern, start, end)
+def _cash_book(ledger: Ledger, pattern: str, start, end) -> tuple[DataFrame, DataFrame]:
+    """Journal rows of the cash accounts in scope, and the same splits as movements.
+
+    Movements carry ``counter_cash``: whether an account opposite mentions cash.
+    """
+    scope = in_dates(start, end) & like(F.col("description"), pattern) & is_cash_account(F.col("account"))
     if ledger.journal is not None:
-        return ledger.journal.filter(scope).withColumn("counter_cash", mentions_cash(F.col("counter")))
+        detail = ledger.journal.filter(scope)
+        return detail, detail.withColumn("counter_cash", mentions_cash(F.col("counter")))
+    cash = named_accounts(ledger).filter(is_cash_account(F.col("account")))
+    splits = ledger.splits.join(broadcast_if_small(cash), "aid")
     transactions = ledger.transactions.select("tid", "date", "description")
     facts = transactions.join(cash_sides(splits_with_account(ledger)), "tid", "left")
-    splits = splits_with_account(ledger).filter(is_cash_account(F.col("account")))
-    moves = join_facts(splits, facts, "tid", "sid", how="inner", count=splits).filter(scope)
-    return moves.withColumn("counter_cash", opposite("cash"))
+    moves = join_facts(splits, facts, "tid", "sid", how="inner", counted=ledger.splits).filter(scope)
+    return build_journal(ledger, splits).filter(scope), moves.withColumn("counter_cash", opposite("cash"))
 
 
 def _internal() -> Column:
@@ -188,9 +198,8 @@ def cash_statement(
     The balance moves with every cash split; a transfer between cash accounts
     is left out of the running debits and credits.
     """
-    detail = journal_of(ledger).filter(_cash_scope(pattern, start, end))
-    totals = _cash_totals(_cash_moves(ledger, pattern, start, end))
-    return _statement(attach(detail, totals), ordered, wide=6)
+    detail, moves = _cash_book(ledger, pattern, start, end)
+    return _statement(attach(detail, _cash_totals(moves)), ordered, wide=6)
 
 
 def cash_statement_rows(
@@ -205,13 +214,14 @@ def cash_statement_rows(
     chosen = in_keys(ledger.splits, "sid", sids)
     detail = in_keys(journal_of(ledger, None if sids is None else chosen), "sid", sids)
     probes = in_keys(dated_splits(ledger), "sid", sids)
-    totals = _cash_totals(_cash_moves(ledger, pattern, start, end), probes=probes)
+    _, moves = _cash_book(ledger, pattern, start, end)
+    totals = _cash_totals(moves, probes=probes)
     return _statement(attach(detail, totals), ordered, wide=6)
 
 
 def external_sums(ledger: Ledger, pattern: str = "%", start=FIRST_DATE, end=LAST_DATE) -> DataFrame:
     """Debits and credits of each cash account, transfers between cash accounts left out."""
-    moves = _cash_moves(ledger, pattern, start, end)
+    _, moves = _cash_book(ledger, pattern, start, end)
     internal = _internal()
     return moves.groupBy("account").agg(debit_sum(internal).alias("debits"), credit_sum(internal).alias("credits"))
 
@@ -239,11 +249,10 @@ def statement_opening(
 
 
 def _with_balance(ledger: Ledger, aids: Keys, start=None, end=None) -> DataFrame:
-    detail = _account_rows(ledger, aids).filter(in_dates(start, end))
+    detail, moves = _of_accounts(ledger, aids)
     # Rows on or after ``end`` cannot reach any balance shown.
-    moves = in_keys(dated_splits(ledger), "aid", aids).filter(in_dates(None, end))
-    totals = running_totals(moves, {"balance": signed_amount()}, by=("aid",))
-    return attach(detail, totals, by=("aid",))
+    totals = running_totals(moves.filter(in_dates(None, end)), {"balance": signed_amount()}, by=("aid",))
+    return attach(detail.filter(in_dates(start, end)), totals, by=("aid",))
 
 
 # -- checks ----------------------------------------------------------------------
