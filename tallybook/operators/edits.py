@@ -11,7 +11,7 @@ tables: all of it is joins and aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +27,7 @@ from tallybook.functions.text import (
 )
 from tallybook.ledger import Ledger, Staged
 from tallybook.operators.counters import opposite, side_counts
-from tallybook.operators.scopes import few
+from tallybook.operators.scopes import few, not_in_keys
 from tallybook.operators.skew import join_facts
 from tallybook.sources.schema import (
     ACCOUNT_KINDS,
@@ -57,25 +57,35 @@ NO_STATEMENT_ROW = "Could not reselect row in statement update."
 
 VIEWS = ("accounts", "transactions", "splits", "statement")
 
-#: One row per changed cell, before the last edit of each cell is picked.
-CELL = ("key", "seq", "column", "value")
-
 
 # -- shared steps ------------------------------------------------------------------
 
 
 def lookup_account(ledger: Ledger, names: DataFrame) -> DataFrame:
     """The aid of each ``name``, for names that belong to exactly one account."""
-    # The accounts are the larger side: only those asked for are counted.
-    asked = ledger.accounts.join(names.select("name").distinct(), "name", "left_semi")
-    matches = asked.groupBy("name").agg(F.count(F.lit(1)).alias("matches"), F.min("aid").alias("aid"))
-    return matches.filter("matches = 1").select("name", "aid")
+    counted = ledger.accounts.groupBy("name").agg(F.count(F.lit(1)).alias("matches"), F.min("aid").alias("aid"))
+    wanted = names.select("name").distinct()
+    return counted.filter("matches = 1").join(wanted, "name", "left_semi").select("name", "aid")
+
+
+class _Batch:
+    """A batch of edits, and whether it is too small to hold a hot key. Runs a count."""
 
+    def __init__(self, edits: DataFrame):
+        self.edits = edits.select(*EDITS.names)
+        self.small = few(self.edits)
 
-def _found(table: DataFrame, key: str, edits: DataFrame, *columns: str) -> DataFrame:
-    """Rows of ``table`` that edits point at, keyed as ``target_id``."""
-    wanted = edits.select(F.col("target_id").alias(key)).distinct()
-    return table.join(wanted, key, "left_semi").select(F.col(key).alias("target_id"), *columns)
+    def join(self, rows: DataFrame, facts: DataFrame, key: str, unique: str = "seq") -> DataFrame:
+        """Left join edits, or rows found for them, with facts that are unique by ``key``."""
+        if self.small:
+            return rows.join(facts, key, "left")
+        return join_facts(rows, facts, key, unique)
+
+    def found(self, table: DataFrame, key: str, *columns: str, by: str = "target_id") -> DataFrame:
+        """Rows of ``table`` that the batch points at, keyed as ``by``."""
+        wanted = self.edits.select(F.col(by).alias(key)).distinct()
+        rows = table.join(F.broadcast(wanted) if self.small else wanted, key, "left_semi")
+        return rows.select(F.col(key).alias(by), *columns)
 
 
 def _first_reason(*tests: tuple[Column, Column | str, bool]) -> tuple[Column, Column]:
@@ -163,10 +173,10 @@ class _Changes:
         )
 
 
-def _account_changes(ledger: Ledger, edits: DataFrame) -> _Changes:
-    found = _found(ledger.accounts, "aid", edits).withColumn("known", F.lit(True))
+def _account_changes(ledger: Ledger, batch: _Batch) -> _Changes:
+    found = batch.found(ledger.accounts, "aid").withColumn("known", F.lit(True))
     judged = _judge(
-        edits.join(found, "target_id", "left"),
+        batch.join(batch.edits, found, "target_id"),
         (~F.col("field").isin("kind", "name", "description") | F.col("field").isNull(), NOT_EDITABLE, False),
         (
             _is("kind") & ~F.coalesce(F.col("value").isin(*ACCOUNT_KINDS), F.lit(False)),
@@ -196,10 +206,10 @@ def _no_text() -> tuple[Column, str, bool]:
     return (_is("description") & F.col("value").isNull(), "null value in a required field", True)
 
 
-def _transaction_changes(ledger: Ledger, edits: DataFrame) -> _Changes:
-    found = _found(ledger.transactions, "tid", edits).withColumn("known", F.lit(True))
+def _transaction_changes(ledger: Ledger, batch: _Batch) -> _Changes:
+    found = batch.found(ledger.transactions, "tid").withColumn("known", F.lit(True))
     judged = _judge(
-        edits.join(found, "target_id", "left"),
+        batch.join(batch.edits, found, "target_id"),
         (~F.col("field").isin("date", "description") | F.col("field").isNull(), NOT_EDITABLE, False),
         _bad_date(),
         _no_text(),
@@ -211,28 +221,23 @@ def _transaction_changes(ledger: Ledger, edits: DataFrame) -> _Changes:
     )
 
 
-def _with_named_account(ledger: Ledger, edits: DataFrame, *fields: str) -> DataFrame:
+def _with_named_account(ledger: Ledger, batch: _Batch, *fields: str) -> DataFrame:
     """Add ``named_aid``: the account that the value of a naming field stands for."""
-    names = edits.filter(F.col("field").isin(*fields)).select(F.col("value").alias("name"))
-    named = lookup_account(ledger, names).select(
-        F.col("name").alias("named"), F.col("aid").alias("named_aid")
-    )
-    return edits.join(named, F.col("field").isin(*fields) & (F.col("value") == F.col("named")), "left")
+    edits = batch.edits.withColumn("name", F.when(F.col("field").isin(*fields), F.col("value")))
+    named = lookup_account(ledger, edits).withColumnRenamed("aid", "named_aid")
+    return batch.join(edits, named, "name").drop("name")
 
 
-def _split_changes(ledger: Ledger, edits: DataFrame) -> _Changes:
+def _split_changes(ledger: Ledger, batch: _Batch) -> _Changes:
     value = F.col("value")
-    edits = _with_named_account(ledger, edits, "account")
-    found = _found(ledger.splits, "sid", edits).withColumn("known", F.lit(True))
-    moves = edits.filter(_is("tid")).select(parse_tid(value).alias("target_id"))
-    homes = _found(ledger.transactions, "tid", moves).select(F.col("target_id").alias("home"))
+    batch.edits = batch.edits.withColumn("home", F.when(_is("tid"), parse_tid(value)))
+    edits = _with_named_account(ledger, batch, "account")
+    found = batch.found(ledger.splits, "sid").withColumn("known", F.lit(True))
+    homes = batch.found(ledger.transactions, "tid", by="home").withColumn("home_known", F.lit(True))
     kind, amount = parse_split_kind(value), parse_amount(value)
     shown = F.coalesce(value, F.lit(""))
-    joined = edits.join(found, "target_id", "left").join(
-        homes, _is("tid") & (parse_tid(value) == F.col("home")), "left"
-    )
     judged = _judge(
-        joined,
+        batch.join(batch.join(edits, found, "target_id"), homes, "home"),
         (
             ~F.col("field").isin("tid", "account", "kind", "amount", "memo") | F.col("field").isNull(),
             NOT_EDITABLE,
@@ -243,7 +248,7 @@ def _split_changes(ledger: Ledger, edits: DataFrame) -> _Changes:
         (_is("kind") & kind.isNull(), F.concat(shown, F.lit(KIND_CHOICE)), False),
         (_is("amount") & amount.isNull(), F.concat(F.lit(CANNOT_READ), shown), False),
         (F.col("known").isNull(), NO_SPLIT, True),
-        (_is("tid") & F.col("home").isNull(), "no transaction with this id", True),
+        (_is("tid") & F.col("home_known").isNull(), "no transaction with this id", True),
     )
     column = F.when(_is("account"), F.lit("aid")).otherwise(F.col("field"))
     new = (
@@ -256,16 +261,15 @@ def _split_changes(ledger: Ledger, edits: DataFrame) -> _Changes:
     return _Changes(splits=[_cells(_accepted(judged), "target_id", column, new)], rejects=[_rejected(judged)])
 
 
-def _statement_changes(ledger: Ledger, edits: DataFrame) -> _Changes:
+def _statement_changes(ledger: Ledger, batch: _Batch) -> _Changes:
     value = F.col("value")
     shown = F.coalesce(value, F.lit(""))
-    edits = _with_named_account(ledger, edits, "account", "counter")
-    found = _found(ledger.splits, "sid", edits, "tid", "kind")
+    edits = _with_named_account(ledger, batch, "account", "counter")
+    found = batch.found(ledger.splits, "sid", "tid", "kind")
     splits = ledger.splits
-    if few(edits):  # then so are the transactions they touch
+    if batch.small:  # then so is the number of transactions it touches
         splits = splits.join(F.broadcast(found.select("tid").distinct()), "tid", "left_semi")
-    sides = side_counts(splits)
-    placed = join_facts(found, sides, "tid", "target_id", how="inner").select(
+    placed = batch.join(found, side_counts(splits), "tid", unique="target_id").select(
         "target_id",
         "tid",
         opposite("count").alias("opposite_count"),
@@ -274,7 +278,7 @@ def _statement_changes(ledger: Ledger, edits: DataFrame) -> _Changes:
     regular = F.coalesce(F.col("opposite_count") == 1, F.lit(False))
     unnamed = F.concat(F.lit(NO_ACCOUNT), shown)
     judged = _judge(
-        edits.join(placed, "target_id", "left"),
+        batch.join(edits, placed, "target_id"),
         (
             ~F.col("field").isin("date", "description", "account", "counter", "amount")
             | F.col("field").isNull(),
@@ -364,9 +368,7 @@ def apply_edits(ledger: Ledger, edits: dict[str, DataFrame]) -> Staged:
     unknown = set(edits) - set(VIEWS)
     if unknown or not edits:
         raise ValueError(f"edits must be given for some of {VIEWS}, not {sorted(unknown)}")
-    changes = reduce(
-        lambda a, b: a + b, [_JUDGES[view](ledger, df.select(*EDITS.names)) for view, df in edits.items()]
-    )
+    changes = reduce(lambda a, b: a + b, [_JUDGES[view](ledger, _Batch(df)) for view, df in edits.items()])
     tables = {}
     if changes.accounts:
         tables["accounts"] = _overwrite(
@@ -464,17 +466,10 @@ def insert_splits(ledger: Ledger, requests: DataFrame) -> Staged:
     lowest = ledger.transactions.agg(F.min("tid")).scalar()
     holder = ledger.accounts.filter(F.col("name") == IMBALANCE_ACCOUNT)
     holder = holder.agg(F.when(F.count(F.lit(1)) == 1, F.min("aid"))).scalar()
-    asked = requests.select(
-        "seq",
-        given.alias("asked_tid"),
-        F.coalesce(given, lowest).alias("target_id"),
-        holder.alias("aid"),
-    )
-    homes = _found(ledger.transactions, "tid", asked).withColumn("known", F.lit(True))
+    batch = _Batch(_as_edits(requests.select("seq", F.coalesce(given, lowest).alias("target_id"))))
+    homes = batch.found(ledger.transactions, "tid").withColumn("known", F.lit(True))
     judged = _judge(
-        asked.join(homes, "target_id", "left").withColumns(
-            {"field": F.lit(None).cast("string"), "value": F.lit(None).cast("string")}
-        ),
+        batch.join(batch.edits.withColumn("aid", holder), homes, "target_id"),
         (F.col("aid").isNull(), NO_ACCOUNT + IMBALANCE_ACCOUNT, True),
         (F.col("known").isNull(), "no transaction with this id", True),
     )
@@ -501,7 +496,7 @@ def _as_edits(requests: DataFrame) -> DataFrame:
 
 
 def _without(table: DataFrame, key: str, ids: DataFrame, column: str = "target_id") -> DataFrame:
-    return table.join(ids.select(F.col(column).alias(key)).distinct(), key, "left_anti")
+    return not_in_keys(table, key, ids.select(F.col(column).alias(key)))
 
 
 def delete_transactions(ledger: Ledger, requests: DataFrame) -> Staged:
@@ -524,9 +519,10 @@ def delete_accounts(ledger: Ledger, requests: DataFrame) -> Staged:
     """Delete accounts, refusing those that splits still refer to."""
     # Down to one row per account before the join, however many splits it has.
     owners = ledger.splits.select("aid").distinct()
-    in_use = _found(owners, "aid", requests).withColumn("used", F.lit(True))
+    batch = _Batch(_as_edits(requests))
+    in_use = batch.found(owners, "aid").withColumn("used", F.lit(True))
     judged = _judge(
-        _as_edits(requests).join(in_use, "target_id", "left"),
+        batch.join(batch.edits, in_use, "target_id"),
         (F.col("used"), "account is still referenced from splits", True),
     )
     return Staged(
@@ -536,9 +532,9 @@ def delete_accounts(ledger: Ledger, requests: DataFrame) -> Staged:
 
 def delete_by_statement_row(ledger: Ledger, requests: DataFrame) -> Staged:
     """Delete the whole transactions behind cash-statement rows, given by sid."""
-    found = _found(ledger.splits, "sid", requests, "tid")
+    batch = _Batch(_as_edits(requests))
     judged = _judge(
-        _as_edits(requests).join(found, "target_id", "left"),
+        batch.join(batch.edits, batch.found(ledger.splits, "sid", "tid"), "target_id"),
         (F.col("tid").isNull(), NO_STATEMENT_ROW, True),
     )
     gone = _accepted(judged)

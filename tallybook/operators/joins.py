@@ -30,13 +30,20 @@ def splits_with_account(ledger: Ledger) -> DataFrame:
 
 
 def accounts_left_splits(ledger: Ledger) -> DataFrame:
-    """Every account with each of its splits; one without splits appears once."""
-    return ledger.accounts.join(ledger.splits.select("sid", "tid", "aid", F.col("kind").alias("side"), "amount"), "aid", "left")
+    """Every account with each of its splits; one without splits appears once.
+
+    A left join, taken apart: adaptive execution can split an account's many
+    splits in an inner join, but not on the right of an outer one.
+    """
+    splits = ledger.splits.select("sid", "tid", "aid", F.col("kind").alias("side"), "amount")
+    matched = ledger.accounts.join(splits, "aid")
+    idle = ledger.accounts.join(splits.select("aid").distinct(), "aid", "left_anti")
+    return matched.unionByName(idle, allowMissingColumns=True)
 
 
 def transactions_of(ledger: Ledger, splits: DataFrame) -> DataFrame:
     """The transactions that a set of splits belongs to, each once."""
-    return ledger.transactions.join(splits.select("tid"), "tid", "left_semi")
+    return ledger.transactions.join(splits.select("tid").distinct(), "tid", "left_semi")
 
 
 def dated_splits(ledger: Ledger) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tallybook.ledger import Ledger
+from tallybook.operators.skew import join_facts
 
 Keys = DataFrame | Iterable[int] | None
 
@@ -22,15 +23,35 @@ BROADCAST_KEYS = 1_000_000
 BROADCAST_BYTES = 64_000_000
 
 
+def few(keys: DataFrame) -> bool:
+    """Whether there are few enough keys to broadcast. Runs a count."""
+    return keys.count() <= BROADCAST_KEYS
+
+
 def in_keys(df: DataFrame, key: str, keys: Keys) -> DataFrame:
     """Rows whose ``key`` is wanted; None means all of them."""
     if keys is None:
         return df
     if isinstance(keys, DataFrame):
-        return df.join(keys.select(key), key, "left_semi")
+        return _matched(df, key, keys, "left_semi")
     return df.filter(F.col(key).isin(list(keys)))
 
 
+def not_in_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is not among ``keys``."""
+    return _matched(df, key, keys, "left_anti")
+
+
+def _matched(df: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join: the keys are broadcast if few, else hot ones are salted."""
+    wanted = keys.select(key).distinct()
+    if few(keys):
+        return df.join(F.broadcast(wanted), key, how)
+    if key != "sid" and "sid" in df.columns:
+        return join_facts(df, wanted, key, "sid", how)
+    return df.join(wanted, key, how)  # unique in its own table: nothing can be hot
+
+
 def in_dates(start=None, end=None, column: str = "date") -> Column:
     """Half-open range of dates: ``start`` counts, ``end`` does not; None is open."""
     test = F.lit(True)
@@ -43,12 +64,7 @@ def in_dates(start=None, end=None, column: str = "date") -> Column:
 
 def detail_of(child: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """The detail rows of a set of parent rows."""
-    return child.join(parents.select(key), key, "left_semi")
-
-
-def few(keys: DataFrame) -> bool:
-    """Whether there are few enough keys to broadcast. Runs a count."""
-    return keys.count() <= BROADCAST_KEYS
+    return in_keys(child, key, parents)
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:

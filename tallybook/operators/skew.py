@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that a single task takes on; a key with more is hot.
 HOT_ROWS = 1_000_000
+#: Tasks that rows without a key are spread over.
+NULL_SALTS = 1024
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
@@ -42,7 +44,9 @@ def join_facts(
     with about as many rows per key: the result does not depend on it.
     """
     hot = F.broadcast(hot_keys(rows if counted is None else counted, key))
-    salt = F.coalesce(F.pmod(F.xxhash64(unique), F.col("salts")), F.lit(0)).cast("int")
+    # Rows without a key match nothing; they are spread so as not to pile up.
+    salts = F.when(F.col(key).isNull(), F.lit(NULL_SALTS)).otherwise(F.col("salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(unique), salts), F.lit(0)).cast("int")
     salted = rows.join(hot, key, "left").withColumn("salt", salt).drop("salts")
     every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
     spread = facts.join(hot, key, "left").withColumn("salt", every).drop("salts")

@@ -49,7 +49,9 @@ def account_balances(ledger: Ledger, aids: Keys = None, ordered: bool = True) ->
     """All accounts with their balance; an account without splits has zero."""
     accounts = in_keys(ledger.accounts, "aid", aids)
     # One row per account leaves the sum, so even a hot account joins as one row.
-    sums = in_keys(ledger.splits, "aid", aids).groupBy("aid").agg(signed_sum().alias("balance"))
+    # A list of accounts also filters the scan; a frame of them acts in that join.
+    splits = ledger.splits if isinstance(aids, DataFrame) else in_keys(ledger.splits, "aid", aids)
+    sums = splits.groupBy("aid").agg(signed_sum().alias("balance"))
     balance = F.coalesce("balance", F.lit(0)).cast(sums.schema["balance"].dataType)
     report = accounts.join(sums, "aid", "left").select(
         "aid",

@@ -1 +1 @@
-"""Streams. The ledger workload has none of its own; see ``intake`` for loading files as they arrive."""
+"""Empty on purpose: the ledger workload has no streams, so neither has this package."""
