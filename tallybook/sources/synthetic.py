@@ -17,6 +17,7 @@ from tallybook.sources.schema import ACCOUNTS, MONEY, SPLITS, TABLES, TRANSACTIO
 
 # Account numbers and the offset of each transaction type.
 IMBALANCE, DORMANT, CASH, PETTY_CASH, SALES, CUSTOMER = 1, 2, 10, 15, 20, 1000
+CLASSES = 6
 SALE, PAYMENT, TRANSFER, PETTY = 0, 1, 2, 3
 
 
@@ -98,60 +99,50 @@ def derived_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
         ).alias("t")
     ).select("t.*")
 
-    # splits
-    def split(kind: int, place, aid: Column, side: str, amount: Column, memo: str | None = None):
-        return F.struct(
+    # splits: likewise one pass over the orders, with each order's price per class
+    def split(kind: int, place: int, aid, side: str, amount, when: Column, memo: str | None = None) -> Column:
+        row = F.struct(
             (_tid(kind) * 16 + place).cast("long").alias("sid"),
             _tid(kind).cast("long").alias("tid"),
-            aid.cast("long").alias("aid"),
+            F.lit(aid).cast("long").alias("aid"),
             F.lit(side).alias("kind"),
-            amount.cast(MONEY).alias("amount"),
+            F.lit(amount).cast(MONEY).alias("amount"),
             F.lit(memo).cast("string").alias("memo"),
         )
+        return F.when(when, row)
 
-    classes = lines.groupBy("l_orderkey", "class").agg(
-        F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("price")
-    )
-    sold = orders.join(classes, orders.o_orderkey == classes.l_orderkey)
-    credits = sold.select(
-        split(SALE, F.col("class") + 1, F.col("class") + SALES, "credit", F.col("price"), "line total").alias("s")
-    )
-    planted = F.when(F.col("o_orderkey") % 97 == 0, F.lit(1)).otherwise(F.lit(0))
-    debits = (
-        sold.groupBy("o_orderkey", "o_custkey")
-        .agg(F.sum("price").alias("price"))
-        .select(split(SALE, 0, F.col("o_custkey") + CUSTOMER, "debit", F.col("price") + planted).alias("s"))
+    price = F.col("l_extendedprice").cast(MONEY)
+    sold = lines.groupBy("l_orderkey").agg(
+        F.sum(price).alias("sold"),
+        *[F.sum(F.when(F.col("class") == k, price)).alias(f"sold_{k}") for k in range(CLASSES)],
     )
     home = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select("c_custkey", "n_regionkey")
-    payments = orders.filter(paid).join(home, orders.o_custkey == home.c_custkey)
-    payments = payments.select(
-        F.explode(
-            F.array(
-                split(PAYMENT, 0, F.col("n_regionkey") + CASH, "debit", F.col("o_totalprice")),
-                split(PAYMENT, 1, F.col("o_custkey") + CUSTOMER, "credit", F.col("o_totalprice")),
-            )
-        ).alias("s")
+    facts = orders.join(sold, orders.o_orderkey == sold.l_orderkey, "left").join(
+        home, orders.o_custkey == home.c_custkey, "left"
     )
-    hundred, five = F.lit("100.00"), F.lit("5.25")
-    transfers = orders.filter(moved).select(
-        F.explode(
-            F.array(
-                split(TRANSFER, 0, F.lit(CASH), "debit", hundred),
-                split(TRANSFER, 1, F.lit(CASH + 1), "credit", hundred),
-            )
-        ).alias("s")
-    )
-    petty = orders.filter(topped).select(
+    customer_aid = F.col("o_custkey") + CUSTOMER
+    planted = F.when(F.col("o_orderkey") % 97 == 0, F.lit(1)).otherwise(F.lit(0))
+    settled = paid & F.col("n_regionkey").isNotNull()
+    splits = facts.select(
         F.explode(
-            F.array(
-                split(PETTY, 0, F.lit(PETTY_CASH), "debit", five),
-                split(PETTY, 1, F.lit(CASH), "credit", five),
+            F.array_compact(
+                F.array(
+                    split(SALE, 0, customer_aid, "debit", F.col("sold") + planted, F.col("sold").isNotNull()),
+                    *[
+                        split(
+                            SALE, 1 + k, SALES + k, "credit", F.col(f"sold_{k}"), F.col(f"sold_{k}").isNotNull(), "line total"
+                        )
+                        for k in range(CLASSES)
+                    ],
+                    split(PAYMENT, 0, F.col("n_regionkey") + CASH, "debit", F.col("o_totalprice"), settled),
+                    split(PAYMENT, 1, customer_aid, "credit", F.col("o_totalprice"), settled),
+                    split(TRANSFER, 0, CASH, "debit", "100.00", moved),
+                    split(TRANSFER, 1, CASH + 1, "credit", "100.00", moved),
+                    split(PETTY, 0, PETTY_CASH, "debit", "5.25", topped),
+                    split(PETTY, 1, CASH, "credit", "5.25", topped),
+                )
             )
         ).alias("s")
-    )
-    splits = credits
-    for part in (debits, payments, transfers, petty):
-        splits = splits.unionByName(part)
-    splits = splits.select("s.*")
+    ).select("s.*")
 
     return Ledger(accounts, _shape(transactions, "transactions"), _shape(splits, "splits"))
