@@ -5,6 +5,7 @@ from conftest import SMALL
 
 import __spark_entry__ as entry
 import check_queries
+from tallybook.operators import scopes, skew
 
 
 @pytest.fixture(scope="module")
@@ -24,3 +25,39 @@ def test_entry(spark):
 def test_query(spark, db, name):
     note, same = check_queries.compare(spark, db, SMALL, name, entry.queries()[name], entry.oracle_sql()[name])
     assert same, note
+
+
+#: Queries that take another way once keys are many or hot.
+LARGE = (
+    "account_statement",
+    "account_statement_of_accounts",
+    "account_statement_rows_of",
+    "account_balance",
+    "cash_statement_scoped",
+    "counter_splits",
+    "delete_accounts_rejects",
+    "delete_by_statement_row",
+    "delete_transactions",
+    "insert_splits_of",
+    "insert_splits_of_rejects",
+    "lookup_account",
+    "master_detail",
+    "scope_account",
+    "scope_split",
+    "split",
+    "update_accounts",
+    "update_accounts_rejects",
+    "update_splits",
+    "update_splits_rejects",
+    "update_statement",
+    "update_statement_rejects",
+    "update_statement_transactions",
+    "update_two_views",
+)
+
+
+@pytest.mark.parametrize("name", LARGE)
+def test_query_as_if_large(spark, db, name, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    monkeypatch.setattr(scopes, "BROADCAST_KEYS", 0)
+    test_query(spark, db, name)

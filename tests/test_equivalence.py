@@ -7,7 +7,7 @@ import pytest
 from conftest import make_ledger, rows
 
 from tallybook import Ledger
-from tallybook.operators import counters, edits, skew
+from tallybook.operators import counters, edits, scopes, skew
 from tallybook.operators.journal import build_journal
 from tallybook.plans import reports
 
@@ -85,6 +85,7 @@ def pair(request, spark):
 def salted(request, monkeypatch):
     if request.param:
         monkeypatch.setattr(skew, "HOT_ROWS", 20)
+        monkeypatch.setattr(scopes, "BROADCAST_KEYS", 3)
 
 
 def same(report, db, sql):
