@@ -28,6 +28,7 @@ from tallybook.operators.journal import build_journal  # noqa: E402
 from tallybook.plans import reports  # noqa: E402
 from tallybook.plans.views import VIEWS, project_view  # noqa: E402
 from tallybook.sources import book, export  # noqa: E402
+from tallybook.sources.schema import JOURNAL  # noqa: E402
 from tallybook.sources.synthetic import derived_ledger  # noqa: E402
 
 # The date range of the scoped queries, and "today" for new transactions.
@@ -54,7 +55,7 @@ def stored_ledger(spark: SparkSession, sf_dir: str, journal: bool = False) -> Le
         folder = _folder(spark, "journal")
         book.write_journal(plain, folder)
         _stored[(*key, True)] = Ledger(
-            plain.accounts, plain.transactions, plain.splits, spark.read.parquet(f"{folder}/journal")
+            plain.accounts, plain.transactions, plain.splits, spark.read.schema(JOURNAL).parquet(f"{folder}/journal")
         )
     return _stored[(*key, journal)]
 
@@ -323,6 +324,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "splits_with_account": on(joins.splits_with_account),
         "accounts_left_splits": on(joins.accounts_left_splits),
         "counter_splits": on(lambda L: counters.counter_splits(L.splits)),
+        "counter_splits_inner": on(lambda L: counters.counter_splits(joins.dated_splits(L), required=True)),
         "asof_account": on(_asof_account),
         "asof_global": on(lambda L: running_totals(joins.dated_splits(L), {"balance": signed_amount(), "debits": F.when(F.col("kind") == "debit", F.col("amount")).otherwise(0)})),
         "asof_probe": on(_asof_probe),

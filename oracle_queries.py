@@ -338,6 +338,11 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN opposite_count = 1 THEN opposite_sid END AS opposite_sid FROM journal""",
             JOURNAL,
         ),
+        "counter_splits_inner": ledger(
+            """SELECT sid, tid, kind, opposite_count, CASE WHEN opposite_count = 1 THEN opposite_sid END AS opposite_sid
+            FROM journal WHERE opposite_count > 0 AND date IS NOT NULL""",
+            JOURNAL,
+        ),
         "asof_account": ledger(
             f"""SELECT DISTINCT aid, {day()} AS date, {money('SUM(signed) OVER (PARTITION BY aid ORDER BY date)')} AS balance
             FROM journal""",

@@ -62,12 +62,16 @@ def with_counter(splits: DataFrame, ledger: Ledger) -> DataFrame:
     return joined.withColumn("counter", opposite("accounts")).drop(*[f"{k}_accounts" for k in SPLIT_KINDS])
 
 
-def counter_splits(splits: DataFrame) -> DataFrame:
-    """Each split with the number of opposite splits and, if there is one only, its sid."""
-    return join_facts(splits, side_counts(splits), "tid", "sid").select(
+def counter_splits(splits: DataFrame, required: bool = False) -> DataFrame:
+    """Each split with the number of opposite splits and, if there is one only, its sid.
+
+    ``required`` leaves out splits that have none.
+    """
+    counted = join_facts(splits, side_counts(splits), "tid", "sid").select(
         "sid",
         "tid",
         "kind",
         opposite("count").alias("opposite_count"),
         F.when(opposite("count") == 1, opposite("sid")).alias("opposite_sid"),
     )
+    return counted.filter("opposite_count > 0") if required else counted

@@ -11,10 +11,8 @@ from pyspark.sql import DataFrame
 from tallybook.ledger import Ledger
 from tallybook.operators.counters import account_lists, opposite
 from tallybook.operators.joins import named_accounts, splits_with_account
-from tallybook.operators.scopes import zoom
 from tallybook.operators.skew import join_facts
-
-COLUMNS = ("sid", "tid", "aid", "kind", "amount", "memo", "date", "description", "account", "counter")
+from tallybook.sources.schema import JOURNAL
 
 
 def build_journal(ledger: Ledger, rows: DataFrame | None = None) -> DataFrame:
@@ -30,14 +28,9 @@ def build_journal(ledger: Ledger, rows: DataFrame | None = None) -> DataFrame:
     transactions = ledger.transactions.select("tid", "date", "description")
     facts = transactions.join(account_lists(splits_with_account(ledger)), "tid", "full")
     joined = join_facts(rows, facts, "tid", "sid", counted=ledger.splits)
-    return joined.withColumn("counter", opposite("accounts")).select(*COLUMNS)
-
+    return joined.withColumn("counter", opposite("accounts")).select(*JOURNAL.names)
 
-def journal_of(ledger: Ledger, chosen: DataFrame | None = None) -> DataFrame:
-    """The stored journal, or the joined tables where none is stored.
 
-    With ``chosen`` splits the result may leave out other transactions.
-    """
-    if ledger.journal is not None:
-        return ledger.journal
-    return build_journal(ledger if chosen is None else zoom(ledger, chosen))
+def journal_of(ledger: Ledger) -> DataFrame:
+    """The stored journal, or the joined tables where none is stored."""
+    return build_journal(ledger) if ledger.journal is None else ledger.journal

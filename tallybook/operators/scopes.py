@@ -7,6 +7,7 @@ file scan) or a DataFrame of any size holding the key column (a semi join).
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql.types import StringType
 from tallybook.ledger import Ledger
 from tallybook.operators.skew import join_facts
 
-Keys = DataFrame | Iterable[int] | None
+Keys = DataFrame | Iterable[int] | None  # or a KeySet, a frame already sized up
 
 #: Up to this many keys of eight bytes are sent to every executor (8 MB of keys).
 BROADCAST_KEYS = 1_000_000
@@ -28,28 +29,43 @@ def few(keys: DataFrame) -> bool:
     return keys.count() <= BROADCAST_KEYS
 
 
+@dataclass(frozen=True)
+class KeySet:
+    """Wanted keys as a frame, each once, and whether they are few."""
+
+    frame: DataFrame
+    small: bool
+
+
+def key_set(keys: Keys, key: str) -> Keys:
+    """Size up a frame of keys, once, for use in several scopes. Lists stay lists."""
+    if isinstance(keys, DataFrame):
+        return KeySet(keys.select(key).distinct(), few(keys))
+    return keys
+
+
 def in_keys(df: DataFrame, key: str, keys: Keys) -> DataFrame:
     """Rows whose ``key`` is wanted; None means all of them."""
+    keys = key_set(keys, key)
     if keys is None:
         return df
-    if isinstance(keys, DataFrame):
+    if isinstance(keys, KeySet):
         return _matched(df, key, keys, "left_semi")
     return df.filter(F.col(key).isin(list(keys)))
 
 
 def not_in_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Rows whose ``key`` is not among ``keys``."""
-    return _matched(df, key, keys, "left_anti")
+    return _matched(df, key, key_set(keys, key), "left_anti")
 
 
-def _matched(df: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
+def _matched(df: DataFrame, key: str, keys: KeySet, how: str) -> DataFrame:
     """Semi or anti join: the keys are broadcast if few, else hot ones are salted."""
-    wanted = keys.select(key).distinct()
-    if few(keys):
-        return df.join(F.broadcast(wanted), key, how)
+    if keys.small:
+        return df.join(F.broadcast(keys.frame), key, how)
     if key != "sid" and "sid" in df.columns:
-        return join_facts(df, wanted, key, "sid", how)
-    return df.join(wanted, key, how)  # unique in its own table: nothing can be hot
+        return join_facts(df, keys.frame, key, "sid", how)
+    return df.join(keys.frame, key, how)  # unique in its own table: nothing can be hot
 
 
 def in_dates(start=None, end=None, column: str = "date") -> Column:

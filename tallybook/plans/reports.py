@@ -25,7 +25,7 @@ from tallybook.operators.asof import attach, running_totals
 from tallybook.operators.counters import cash_sides, opposite
 from tallybook.operators.journal import build_journal, journal_of
 from tallybook.operators.joins import dated_splits, named_accounts, splits_with_account
-from tallybook.operators.scopes import Keys, broadcast_if_small, in_dates, in_keys, zoom
+from tallybook.operators.scopes import Keys, broadcast_if_small, in_dates, in_keys, key_set, zoom
 from tallybook.operators.skew import join_facts
 from tallybook.sources.schema import ACCOUNT_KINDS, FIRST_DATE, LAST_DATE, SPLIT_KINDS
 
@@ -114,12 +114,25 @@ def _running() -> dict[str, Column]:
     }
 
 
+def _near(ledger: Ledger, column: str, keys: Keys) -> Ledger:
+    """The ledger, less the transactions without a chosen split if that is quick."""
+    if keys is None or ledger.journal is not None:
+        return ledger
+    return zoom(ledger, in_keys(ledger.splits, column, keys))
+
+
 def _of_accounts(ledger: Ledger, aids: Keys) -> tuple[DataFrame, DataFrame]:
     """Journal rows of the wanted accounts, and their splits with dates."""
-    if aids is not None and ledger.journal is None:
-        ledger = zoom(ledger, in_keys(ledger.splits, "aid", aids))
-    detail = in_keys(journal_of(ledger), "aid", aids).filter(F.col("account").isNotNull())
-    return detail, in_keys(dated_splits(ledger), "aid", aids)
+    aids = key_set(aids, "aid")
+    near = _near(ledger, "aid", aids)
+    detail = in_keys(journal_of(near), "aid", aids).filter(F.col("account").isNotNull())
+    return detail, in_keys(dated_splits(near), "aid", aids)
+
+
+def _of_splits(ledger: Ledger, sids: Keys) -> tuple[DataFrame, DataFrame]:
+    """Journal rows of the wanted splits, and the dates to probe for them."""
+    near = _near(ledger, "sid", sids)
+    return in_keys(journal_of(near), "sid", sids), in_keys(dated_splits(near), "sid", sids)
 
 
 def account_statement(
@@ -143,23 +156,16 @@ def account_statement_rows(
     The dates limit what is summed, not which rows appear: a row before
     ``start`` shows zero, a row after ``end`` the whole range's total.
     """
-    if sids is None:
-        detail, probes = journal_of(ledger), dated_splits(ledger)
-        moves = probes
-    else:
-        chosen = in_keys(ledger.splits, "sid", sids)
-        detail = in_keys(journal_of(ledger, chosen), "sid", sids)
-        probes = in_keys(dated_splits(ledger), "sid", sids)
-        # Everything that ever moved the accounts of the chosen splits.
-        _, moves = _of_accounts(ledger, chosen.select("aid").distinct())
+    sids = key_set(sids, "sid")
+    detail, probes = _of_splits(ledger, sids)
+    moves = dated_splits(ledger)
+    if sids is not None:  # everything that ever moved the accounts of the chosen splits
+        aids = key_set(in_keys(ledger.splits, "sid", sids), "aid")
+        moves = in_keys(dated_splits(_near(ledger, "aid", aids)), "aid", aids)
     totals = running_totals(moves.filter(in_dates(start, end)), _running(), by=("aid",), probes=probes)
     return _statement(attach(detail, totals, by=("aid",)), ordered, wide=5)
 
 
-def _cash_scope(pattern: str, start, end) -> Column:
-    return in_dates(start, end) & like(F.col("description"), pattern) & is_cash_account(F.col("account"))
-
-
 def _cash_book(ledger: Ledger, pattern: str, start, end) -> tuple[DataFrame, DataFrame]:
     """Journal rows of the cash accounts in scope, and the same splits as movements.
 
@@ -213,9 +219,7 @@ def cash_statement_rows(
     ordered: bool = True,
 ) -> DataFrame:
     """Cash-statement rows of chosen splits of any account, date and description."""
-    chosen = in_keys(ledger.splits, "sid", sids)
-    detail = in_keys(journal_of(ledger, None if sids is None else chosen), "sid", sids)
-    probes = in_keys(dated_splits(ledger), "sid", sids)
+    detail, probes = _of_splits(ledger, key_set(sids, "sid"))
     _, moves = _cash_book(ledger, pattern, start, end)
     totals = _cash_totals(moves, probes=probes)
     return _statement(attach(detail, totals), ordered, wide=6)

@@ -25,7 +25,7 @@ from tallybook.operators.checks import (
     validate_schema,
 )
 from tallybook.operators.journal import build_journal
-from tallybook.sources.schema import DEFAULT_YEAR, KEYS, TABLES
+from tallybook.sources.schema import DEFAULT_YEAR, JOURNAL, KEYS, TABLES
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -73,7 +73,7 @@ def read_book(spark: SparkSession, root: str, year=DEFAULT_YEAR, version: int |
         raise ValueError(f"no published book of {year} under {root}")
     folder = f"{_book(root, year)}/version={wanted}"
     tables = {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in TABLES.items()}
-    journal = spark.read.parquet(f"{folder}/journal") if known["has_journal"] else None
+    journal = spark.read.schema(JOURNAL).parquet(f"{folder}/journal") if known["has_journal"] else None
     return Ledger(**tables, journal=journal)
 
 
@@ -169,7 +169,7 @@ def store_unchecked(ledger: Ledger, folder: str, journal: bool = True) -> Ledger
     if not journal:
         return Ledger(**tables)
     write_journal(Ledger(**tables), folder)
-    return Ledger(**tables, journal=spark.read.parquet(f"{folder}/journal"))
+    return Ledger(**tables, journal=spark.read.schema(JOURNAL).parquet(f"{folder}/journal"))
 
 
 def bulk_load(spark: SparkSession, files: dict[str, str], header: bool = True) -> tuple[Ledger, DataFrame]:

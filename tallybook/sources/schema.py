@@ -27,6 +27,16 @@ SPLITS = T.StructType([
     T.StructField("amount", MONEY, False),
     T.StructField("memo", T.StringType(), True),
 ])
+#: A split with what the other tables say about it.
+JOURNAL = T.StructType(
+    SPLITS.fields
+    + [
+        T.StructField("date", T.DateType(), True),
+        T.StructField("description", T.StringType(), True),
+        T.StructField("account", T.StringType(), True),
+        T.StructField("counter", T.StringType(), True),
+    ]
+)
 TABLES = {"accounts": ACCOUNTS, "transactions": TRANSACTIONS, "splits": SPLITS}
 KEYS = {"accounts": "aid", "transactions": "tid", "splits": "sid"}
 

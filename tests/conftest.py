@@ -18,13 +18,13 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     builder = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[8]")
         .appName("tallybook-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     )
-    session = configure(builder, shuffle_partitions=4).getOrCreate()
+    session = configure(builder, shuffle_partitions=2).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
@@ -40,9 +40,9 @@ def day(text):
 
 def make_ledger(spark, accounts, transactions, splits):
     return Ledger(
-        spark.createDataFrame(accounts, ACCOUNTS),
-        spark.createDataFrame([(t, day(d), x) for t, d, x in transactions], TRANSACTIONS),
-        spark.createDataFrame([(s, t, a, k, money(m), x) for s, t, a, k, m, x in splits], SPLITS),
+        spark.createDataFrame(accounts, ACCOUNTS).coalesce(1),
+        spark.createDataFrame([(t, day(d), x) for t, d, x in transactions], TRANSACTIONS).coalesce(1),
+        spark.createDataFrame([(s, t, a, k, money(m), x) for s, t, a, k, m, x in splits], SPLITS).coalesce(1),
     )
 
 
