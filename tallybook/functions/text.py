@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tallybook.sources.schema import CASH_ACCOUNT, CASH_ANYWHERE, MONEY
 
+# The word shown for NULL, and the words for the kind of a split.
 NULL_LABEL = "None"
+CREDIT_WORDS = ("credit", "c", "")
+DEBIT_WORDS = ("debit", "d")
 
 
 def null_label(value: Column) -> Column:
@@ -54,7 +57,7 @@ def mentions_cash(name: Column) -> Column:
 
 def parse_split_kind(value: Column) -> Column:
     """Full word, first letter, or nothing (a credit); anything else gives NULL."""
-    return F.when(value.isin("credit", "c", ""), F.lit("credit")).when(value.isin("debit", "d"), F.lit("debit"))
+    return F.when(value.isin(*CREDIT_WORDS), F.lit("credit")).when(value.isin(*DEBIT_WORDS), F.lit("debit"))
 
 
 def parse_amount(value: Column) -> Column:

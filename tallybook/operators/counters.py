@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.text import mentions_cash
 from tallybook.ledger import Ledger
 from tallybook.operators.joins import splits_with_account
 from tallybook.operators.skew import join_facts
@@ -28,15 +27,13 @@ def account_lists(named_splits: DataFrame) -> DataFrame:
     return named_splits.groupBy("tid").agg(*[_listed(k).alias(f"{k}_accounts") for k in SPLIT_KINDS])
 
 
-def cash_sides(named_splits: DataFrame) -> DataFrame:
-    """Per transaction, whether a side has an account that mentions cash.
+def cash_sides(cash_splits: DataFrame) -> DataFrame:
+    """Per transaction, whether a side has a split of an account that mentions cash.
 
-    Same answer as searching the comma-separated list, without building the list.
+    Takes the splits of such accounts only; a transaction without any is absent.
+    Same answer as searching the list of names, without making it.
     """
-    cash = mentions_cash(F.col("account"))
-    return named_splits.groupBy("tid").agg(
-        *[F.max((F.col("kind") == k) & cash).alias(f"{k}_cash") for k in SPLIT_KINDS]
-    )
+    return cash_splits.groupBy("tid").agg(*[F.max(F.col("kind") == k).alias(f"{k}_cash") for k in SPLIT_KINDS])
 
 
 def side_counts(splits: DataFrame) -> DataFrame:

@@ -23,11 +23,12 @@ def build_journal(ledger: Ledger, rows: DataFrame | None = None) -> DataFrame:
     ``rows`` are the splits to make rows of, with their ``account`` name, if not
     all are wanted.
     """
+    counted = rows
     if rows is None:
-        rows = ledger.splits.join(named_accounts(ledger), "aid", "left")
+        rows, counted = ledger.splits.join(named_accounts(ledger), "aid", "left"), ledger.splits
     transactions = ledger.transactions.select("tid", "date", "description")
     facts = transactions.join(account_lists(splits_with_account(ledger)), "tid", "full")
-    joined = join_facts(rows, facts, "tid", "sid", counted=ledger.splits)
+    joined = join_facts(rows, facts, "tid", "sid", counted=counted)
     return joined.withColumn("counter", opposite("accounts")).select(*JOURNAL.names)
 
 

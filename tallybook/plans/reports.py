@@ -175,11 +175,13 @@ def _cash_book(ledger: Ledger, pattern: str, start, end) -> tuple[DataFrame, Dat
     if ledger.journal is not None:
         detail = ledger.journal.filter(scope)
         return detail, detail.withColumn("counter_cash", mentions_cash(F.col("counter")))
-    cash = named_accounts(ledger).filter(is_cash_account(F.col("account")))
-    splits = ledger.splits.join(broadcast_if_small(cash), "aid")
+    # Only accounts that mention cash can mark a transfer, and the cash accounts are among them.
+    mentioning = broadcast_if_small(named_accounts(ledger).filter(mentions_cash(F.col("account"))))
+    marking = ledger.splits.join(mentioning, "aid")
+    splits = ledger.splits.join(mentioning.filter(is_cash_account(F.col("account"))), "aid")
     transactions = ledger.transactions.select("tid", "date", "description")
-    facts = transactions.join(cash_sides(splits_with_account(ledger)), "tid", "left")
-    moves = join_facts(splits, facts, "tid", "sid", how="inner", counted=ledger.splits).filter(scope)
+    facts = transactions.join(cash_sides(marking), "tid", "left")
+    moves = join_facts(splits, facts, "tid", "sid", how="inner").filter(scope)
     return build_journal(ledger, splits).filter(scope), moves.withColumn("counter_cash", opposite("cash"))
 
 

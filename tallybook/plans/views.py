@@ -39,6 +39,7 @@ def _reselect_transactions(ledger, tids, ordered: bool = True) -> DataFrame:
     return reports.transaction_list(ledger.stage(transactions=in_keys(ledger.transactions, "tid", tids)), ordered)
 
 
+# Labels of the views, and the columns that may be edited.
 _SPLIT_EDITABLE = frozenset({"tid", "account", "kind", "amount", "memo"})
 _STATEMENT = {
     "date": "date",
