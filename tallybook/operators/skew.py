@@ -41,9 +41,13 @@ def join_facts(
     ``unique`` is a column that differs between the rows of a key; its hash picks
     the salt, so a recomputed row lands where it landed before. ``counted`` is
     what to find the hot keys in, if there is something cheaper than ``rows``
-    with about as many rows per key: the result does not depend on it.
+    with about as many rows per key: the result does not depend on it. It is
+    counted first: up to ``HOT_ROWS`` rows in all, no key can be hot.
     """
-    hot = F.broadcast(hot_keys(rows if counted is None else counted, key))
+    counted = rows if counted is None else counted
+    if counted.count() <= HOT_ROWS:
+        return rows.join(facts, key, how)
+    hot = F.broadcast(hot_keys(counted, key))
     # Rows without a key match nothing; they are spread so as not to pile up.
     salts = F.when(F.col(key).isNull(), F.lit(NULL_SALTS)).otherwise(F.col("salts"))
     salt = F.coalesce(F.pmod(F.xxhash64(unique), salts), F.lit(0)).cast("int")
