@@ -22,12 +22,28 @@ from tallybook.functions.money import (
 from tallybook.functions.text import is_cash_account, kind_rank, like, mentions_cash
 from tallybook.ledger import Ledger
 from tallybook.operators.asof import attach, running_totals
+from tallybook.operators.checks import imbalances
 from tallybook.operators.counters import cash_sides, opposite
 from tallybook.operators.journal import build_journal, journal_of
 from tallybook.operators.joins import dated_splits, named_accounts, splits_with_account
 from tallybook.operators.scopes import Keys, broadcast_if_small, in_dates, in_keys, key_set, zoom
 from tallybook.operators.skew import join_facts
 from tallybook.sources.schema import ACCOUNT_KINDS, FIRST_DATE, LAST_DATE, SPLIT_KINDS
+__all__ = [
+    "account_balances",
+    "account_statement",
+    "account_statement_rows",
+    "account_sums",
+    "cash_statement",
+    "cash_statement_rows",
+    "external_sums",
+    "imbalances",
+    "split_list",
+    "statement_history",
+    "statement_opening",
+    "transaction_list",
+]
+
 
 def _sorted(df: DataFrame, ordered: bool, *keys) -> DataFrame:
     return df.orderBy(*keys) if ordered else df
@@ -262,10 +278,3 @@ def _with_balance(ledger: Ledger, aids: Keys, start=None, end=None) -> DataFrame
     totals = running_totals(moves.filter(in_dates(None, end)), {"balance": signed_amount()}, by=("aid",))
     return attach(detail.filter(in_dates(start, end)), totals, by=("aid",))
 
-
-# -- checks ----------------------------------------------------------------------
-
-
-def imbalances(ledger: Ledger) -> DataFrame:
-    """Transactions whose splits do not add up to zero."""
-    return ledger.splits.groupBy("tid").agg(signed_sum().alias("s")).filter(F.col("s") != 0)

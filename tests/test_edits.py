@@ -199,6 +199,9 @@ def test_inserts(spark, micro):
     transactions = table(E.insert_transactions(micro, asked, today).ledger.transactions, "tid")
     assert tuple(transactions[11]) == (11, today, "")
 
+    undated = E.insert_transactions(micro, asked).ledger.transactions.filter("tid > 9 and date = current_date()")
+    assert undated.count() == 2
+
     staged = E.insert_splits(micro, asked)
     splits = table(staged.ledger.splits, "sid")
     assert tuple(splits[93]) == (93, 1, 1, "debit", money("0.00"), None)

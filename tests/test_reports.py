@@ -180,3 +180,9 @@ def test_same_day_ties_sort_by_unsigned_amount_then_sid(spark):
     )
     report = reports.account_statement(book, [1])
     assert rows(report, "sid", "balance") == [(5, money("5.00")), (3, money("5.00")), (1, money("5.00"))]
+
+
+def test_sql_with_bound_parameters(micro):
+    query = "SELECT t.tid FROM {transactions} t JOIN {splits} s ON s.tid = t.tid WHERE t.description LIKE :p AND s.amount > :low"
+    assert rows(micro.sql(query, p="M%", low=6), "tid") == [(6,), (6,)]
+    assert micro.sql(query, p="' OR '1'='1", low=0).count() == 0
