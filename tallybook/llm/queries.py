@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import decontam, langid, packing, secret_scan
+from tallybook.llm import (
+    bitsliced,
+    decontam,
+    html_text,
+    langid,
+    line_dedup,
+    packing,
+    secret_scan,
+    sharding,
+    url_rules,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_passages(docs, _table(spark, sf_dir, "benchmark"), drop=("text",))
@@ -23,6 +37,23 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, drop=("text",)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def size_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated_lines(docs)
+
+
 def sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -32,8 +63,13 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_top_k_search": top_k_search,
     "op2_benchmark_decontamination": decontamination,
     "op3_language_id": language_id,
+    "op4_sharding": size_sharding,
+    "op5_html_extraction": html_extraction,
+    "op6_url_filter": url_filter,
+    "op7_line_dedup": repeated_lines,
     "op8_packing": sequence_packing,
     "op10_secret_scan": secrets,
 }
