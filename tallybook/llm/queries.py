@@ -9,6 +9,7 @@ from tallybook.llm import (
     bitsliced,
     decontam,
     html_text,
+    jaccard,
     langid,
     line_dedup,
     packing,
@@ -58,6 +59,10 @@ def sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op6_url_filter": url_filter,
     "op7_line_dedup": repeated_lines,
     "op8_packing": sequence_packing,
+    "op9_ngram_jaccard_join": jaccard_join,
     "op10_secret_scan": secrets,
 }
 
