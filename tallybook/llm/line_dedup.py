@@ -62,13 +62,13 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
         .drop("n"),
         "repeated-windows",
     )
-    covered = windows.join(repeated, ["a", "b"]).filter(~place.eqNullSafe(F.col("first")))
-    # a document's own lines bound the set
+    covered = windows.join(repeated.hint("merge"), ["a", "b"]).filter(~place.eqNullSafe(F.col("first")))
+    # both joins grow with the corpus, so they are shuffles at every size; a document's own lines bound its set
     removed = stored(
         covered.groupBy("doc_id", "h").agg(F.collect_set("line").alias("starts")), "removed-lines"
     ).withColumnsRenamed({"doc_id": "id", "h": "hash"})
     joined = docs.join(
-        removed, docs["doc_id"].eqNullSafe(removed["id"]) & (F.xxhash64(docs["text"]) == removed["hash"]), "left"
+        removed.hint("merge"), docs["doc_id"].eqNullSafe(removed["id"]) & (F.xxhash64(docs["text"]) == removed["hash"]), "left"
     )
     lines = F.split("text", "\n", -1)
     cut = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (WINDOW - 1))))
