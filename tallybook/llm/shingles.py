@@ -97,8 +97,8 @@ def _set_of(words: np.ndarray, shingles: np.ndarray) -> np.ndarray:
         return np.unique(shingles)
     if len(words) == 0:
         return np.empty(0, dtype=_U)
-    whole = words[0] if len(words) == 1 else _mixed(words[:1])[0] + words[1]
-    return _mixed(np.array([whole ^ _U(len(words))], dtype=_U) + _U(_POWER_BASE))
+    whole = words if len(words) == 1 else _mixed(words[:1]) + words[1:]
+    return _mixed((whole ^ _U(len(words))) + _U(_POWER_BASE))
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
