@@ -10,16 +10,20 @@ windows that the triangle inequality allows, level by level:
    fixed share of its shingles, so it is enough to copy a node to its first few pivots: two
    nodes that are to be linked then meet at the first pivot they share.
 3. Regions are split by size, the distance from the empty set: a linked pair differs in
-   size by at most the threshold, so a node stands in its own size class and the next.
-4. In each region the smallest node becomes its pivot, and the distance of all members to it
-   is computed exactly. Members within the threshold are linked to it, and so to each other. A
-   member outside stays open, and so do the members that are near enough to the border to be
-   within the threshold of one outside; all others are done.
-5. What is left of the regions falls apart into groups, and these are joined recursively:
-   large groups are cut into cells by pairs of blocks, every cell is joined exactly by
-   one matrix product, and gives at most as many links as it has nodes.
-
-No step lists all pairs of a region. The links connect the same nodes as all links would; their
+   size by at most the threshold, so a node stands in its own size class and the next. Regions
+   with the same members are joined once.
+4. Inside a region, nodes are compared in a smaller space: the shingles of a node counted
+   in 64 classes. There, distances are never larger than between the sets, so a pair too far apart
+   there is not linked. Nodes that may be linked form groups.
+5. Groups meet with their sets. Document pivots divide a group: a node belongs to its nearest
+   pivot's region and, if another pivot is farther by at most twice the threshold, to that one's
+   as well; by the triangle inequality no linked pair is separated. Regions are divided again
+   until they are small or stop shrinking, and are then joined exactly by a matrix product.
+
+Regions and groups of many nodes are cut into blocks, and pairs of blocks are joined as cells of
+bounded size, so that no group has to fit one task.
+
+A cell gives at most as many links as it has nodes, not its pairs. The links connect the same nodes as all links would; their
 components are found by contraction.
 
 The global order counts shingles over all documents in a table of fixed size; a shared
@@ -49,12 +53,16 @@ from tallybook.llm.components import components
 from tallybook.llm.shingles import shingle_sets
 from tallybook.llm.tables import stored
 
-#: Numbers of counters (as powers of 2) for the order of shingles and for nodes that take part.
-ORDER_BITS, NODE_BITS = 21, 22
+#: Numbers of counters (as powers of 2) for the order of shingles, and for pivots and nodes that take part.
+ORDER_BITS, MARK_BITS = 21, 23
 #: Counters travel in rows of this many; at most ``FAN_IN`` rows are added up by one task at a time.
 _ROW, FAN_IN = 1 << 16, 64
-#: Nodes, and bytes of sets, in a block of a group.
-BLOCK_NODES, BLOCK_BYTES = 512, 16 << 20
+#: Nodes in a block of a region; nodes, and bytes of sets, in a block of a group.
+REGION_NODES, GROUP_NODES, GROUP_BYTES = 1024, 512, 16 << 20
+#: Classes of shingles in the smaller space, and the highest count that is kept.
+CLASSES, _MOST = 64, (1 << 16) - 1
+#: Document pivots of a region, and nodes that are joined without dividing them.
+PIVOTS, FEW = 8, 96
 #: Columns of a matrix product.
 _WIDE = 4096
 
@@ -70,10 +78,6 @@ class Threshold:
     def linked(self, shared, a, b):
         return self.under * shared >= self.over * (a + b - shared)
 
-    def sizes_fit(self, a, b):
-        """Whether sets of these sizes can be linked at all (arrays or Spark columns)."""
-        return (self.under * a >= self.over * b) & (self.under * b >= self.over * a)
-
     def window(self, n: int) -> int:
         """Pivots a node is copied to: it can miss the rest of its shingles and still be linked to a larger node."""
         return n - -(-self.over * n // self.under) + 1
@@ -179,144 +183,119 @@ def _shapes(docs: DataFrame) -> DataFrame:
 
 
 def _once_per_task(docs: DataFrame, nodes: Nodes, schema: str, start, each, end) -> DataFrame:
-    """Map over the distinct sets of each task: ``each(state, node, numbers)``; ``end(state)`` gives the columns."""
+    """Map over the distinct sets of each task: ``each(state, node, doc_id, numbers)``; ``end(state)`` gives columns.
+
+    ``each`` says whether the set is done with; another row with the same set may be asked otherwise.
+    """
 
     def work(batches):
         seen: set[int] = set()
         for batch in batches:
             state = start()
-            for numbers in shingle_sets(batch.column(0)):
+            for doc_id, numbers in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 if len(numbers) and (node := nodes.of(_key(numbers))) not in seen:
-                    seen.add(node)
-                    each(state, node, numbers)
+                    if each(state, node, doc_id, numbers):
+                        seen.add(node)
             yield end(state)
 
-    return _arrow_map(docs.select(F.col("text").cast("string")), schema, work)
+    return _arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), schema, work)
 
 
-def _entries(docs: DataFrame, nodes: Nodes, ranks, at_least: Threshold) -> DataFrame:
-    """(``pivot``, ``node``, ``n``, ``core``): each node at its first pivots in the global order."""
-    shift, low = np.uint64(64 - ORDER_BITS), np.uint64(8)
+def _entries(docs: DataFrame, nodes: Nodes, ranks, at_least: Threshold, marks=None) -> DataFrame:
+    """(``pivot``, ``node``, ``n``, ``core``): each node at its first pivots in the global order.
 
-    def each(state, node, numbers):
+    With ``marks``, only at those whose mark is set.
+    """
+    shift, mark_shift, low = np.uint64(64 - ORDER_BITS), np.uint64(64 - MARK_BITS), np.uint64(8)
+
+    def each(state, node, doc_id, numbers):
         n = len(numbers)
         # rank first, then the number itself; equal keys keep the order of numbers
         order = ranks.value[(numbers >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56) | numbers >> low
         first = numbers[np.argsort(order, kind="stable")[: at_least.window(n)]]
-        state.append((first, node, n, at_least.core(n)))
+        core = np.arange(len(first)) < at_least.core(n)
+        if marks is not None:
+            marked = marks.value[(first >> mark_shift).astype(np.int64)]
+            first, core = first[marked], core[marked]
+        state.append((first, core, node, n))
+        return True
 
     def end(state):
         sizes = [len(s[0]) for s in state]
         first = np.concatenate([s[0] for s in state]).view("<i8") if state else []
-        core = np.concatenate([np.arange(len(s[0])) < s[3] for s in state]) if state else []
-        spread = [np.repeat(np.array([s[k] for s in state], dtype=np.int64), sizes) for k in (1, 2)]
+        core = np.concatenate([s[1] for s in state]) if state else []
+        spread = [np.repeat(np.array([s[k] for s in state], dtype=np.int64), sizes) for k in (2, 3)]
         return [first, spread[0], spread[1].astype(np.int32), core]
 
     return _once_per_task(docs, nodes, "pivot long, node long, n int, core boolean", list, each, end)
 
 
-def _sets(docs: DataFrame, nodes: Nodes, taking_part) -> DataFrame:
-    """(``node``, ``numbers``) of nodes whose counter is not 0, each once."""
-    shift = 64 - NODE_BITS
-
-    def each(state, node, numbers):
-        if taking_part.value[(node & (1 << 64) - 1) >> shift]:
-            state.append((node, numbers.tobytes()))
-
-    def end(state):
-        return [[s[0] for s in state], [s[1] for s in state]]
-
-    found = _once_per_task(docs, nodes, "node long, numbers binary", list, each, end)
-    return found.groupBy("node").agg(F.first("numbers").alias("numbers"))
-
-
-def _regions(entries: DataFrame, at_least: Threshold) -> DataFrame:
-    """Members of regions with more than one node: (``pivot``, ``size``, ``node``, ``n``, ``lead``, ``lead_n``)."""
+def _marks(rows: DataFrame, numbers: Callable[[list[np.ndarray]], np.ndarray]):
+    """A broadcast bit for each value of the highest bits of the 64-bit numbers made of the columns of ``rows``."""
 
-    more = (F.min("node") < F.max("node")) & F.max("core")
-    pivots = stored(entries.groupBy("pivot").agg(more.alias("more")).filter("more").select("pivot"), "pivots")
+    def mark(batches):
+        found = np.zeros(1 << MARK_BITS, dtype=bool)
+        for batch in batches:
+            made = numbers([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns])
+            found[(made >> np.uint64(64 - MARK_BITS)).astype(np.int64)] = True
+        for i in range(0, len(found), _ROW):
+            piece = found[i : i + _ROW]
+            if piece.any():
+                yield [[i // _ROW], [TaskContext.get().partitionId()], [piece.astype(np.uint8).tobytes()]]
+
+    marked = stored(_arrow_map(rows, "row int, part long, counts binary", mark), "marks")
+    total = _summed(marked, max(1, rows.rdd.getNumPartitions()), MARK_BITS)
+    return rows.sparkSession.sparkContext.broadcast(total > 0)
+
+
+def _regions(docs: DataFrame, nodes: Nodes, ranks, at_least: Threshold) -> DataFrame:
+    """Members of regions with more than one node: (``pivot``, ``size``, ``node``, ``n``)."""
+    shared = (F.count("*") > 1) & F.max("core")
+    everywhere = _entries(docs, nodes, ranks, at_least).select("pivot", "core")
+    pivots = stored(everywhere.groupBy("pivot").agg(shared.alias("more")).filter("more").select("pivot"), "pivots")
+    marks = _marks(pivots, lambda columns: columns[0])
+    entries = _entries(docs, nodes, ranks, at_least, marks).join(pivots.hint("merge"), "pivot")
+    met = entries.groupBy("pivot", "node").agg(F.max("n").alias("n"), F.max("core").alias("core"))
     # a little wide, so that rounding never puts a pair that fits more than one class apart
     step = math.log(at_least.under / at_least.over) * (1 + 1e-9)
     own = F.floor(F.log("n") / step).cast("int")
-    met = stored(entries.join(pivots, "pivot").withColumn("size", F.explode(F.array(own, own + 1))), "met")
-    led = met.groupBy("pivot", "size").agg(
-        F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n"), more.alias("more")
+    met = stored(met.withColumn("size", F.explode(F.array(own, own + 1))), "met")
+    alike = ("members", "one", "other")
+    regions = met.groupBy("pivot", "size").agg(
+        shared.alias("more"),
+        F.count("*").alias("members"),
+        F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("other"),
     )
-    regions = stored(led.filter("more").drop("more"), "regions")
-    return stored(met.join(regions, ["pivot", "size"]).drop("core"), "members")
+    kept = regions.filter("more").groupBy(*alike).agg(F.min(F.struct("pivot", "size")).alias("first"))
+    kept = stored(kept.select("first.pivot", "first.size"), "regions")
+    return stored(met.join(kept.hint("merge"), ["pivot", "size"]).drop("core"), "members")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, at_least: Threshold) -> DataFrame:
-    """``pairs`` (``node``, ``lead``) with ``d``, their exact distance, and ``near``, whether they are linked."""
+def _in_cells(rows: DataFrame, key: list[str], blocks) -> DataFrame:
+    """``rows`` copied to the cells ``i``, ``j`` of their group: the pairs of blocks that a row's block is in.
 
-    def work(batches):
-        for batch in batches:
-            near, distance = [], []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (a, b))
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                near.append(bool(at_least.linked(shared, len(a), len(b))))
-                distance.append(1 - shared / (len(a) + len(b) - shared))
-            yield [batch.column(0), batch.column(1), distance, near]
-
-    leads = sets.select(F.col("node").alias("lead"), F.col("numbers").alias("lead_numbers"))
-    both = pairs.join(sets, "node").join(leads, "lead")
-    return _arrow_map(
-        both.select("node", "lead", "numbers", "lead_numbers"),
-        "node long, lead long, d double, near boolean",
-        work,
+    ``blocks`` is the number of blocks as an aggregate over a group.
+    """
+    counted = stored(rows.groupBy(*key).agg(F.ceil(blocks).cast("long").alias("blocks")), "blocks")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+        lambda other: F.struct(F.least(other, own).alias("i"), F.greatest(other, own).alias("j")),
     )
+    return rows.join(counted, key).select(*rows.columns, F.inline(pairs))
 
 
-def _left_open(members: DataFrame, measured: DataFrame, at_least: Threshold) -> DataFrame:
-    """(``pivot``, ``size``, ``node``) of members that can still have a link inside their region."""
-    known = measured.withColumnsRenamed({"node": "m", "lead": "l"})
-    rows = members.filter("node <> lead").join(
-        known, (F.col("node") == F.col("m")) & (F.col("lead") == F.col("l")), "left"
-    )
-    # sizes alone bound the distance of a pair that was not measured
-    bound = 1 - F.least("n", "lead_n") / F.greatest("n", "lead_n")
-    rows = stored(
-        rows.select(
-            "pivot",
-            "size",
-            "node",
-            F.coalesce("near", F.lit(False)).alias("near"),
-            F.coalesce("d", F.lit(1.0)).alias("d"),
-            F.coalesce("d", bound).alias("d_least"),
-        ),
-        "distances",
-    )
-    border = (
-        rows.filter(~F.col("near"))
-        .groupBy("pivot", "size")
-        .agg((F.min("d_least") - (at_least.distance + 1e-9)).alias("border"))
-    )
-    border = stored(border, "borders")
-    return rows.join(border, ["pivot", "size"]).filter(~F.col("near") | (F.col("d") >= F.col("border")))
-
-
-def _join_cell(nodes: np.ndarray, sets: list[np.ndarray], at_least: Threshold) -> list[tuple[int, int]]:
-    """Links that connect the linked nodes of a cell: a forest, not all pairs."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    everything, place = np.unique(np.concatenate(sets), return_inverse=True)
-    frequent = np.bincount(place, minlength=len(everything)) > 1
-    column = np.cumsum(frequent) - 1
-    rows = np.repeat(np.arange(len(sets)), sizes)
-    kept = frequent[place]
-    rows, columns = rows[kept], column[place[kept]]
-    order = np.argsort(columns, kind="stable")
-    rows, columns = rows[order], columns[order]
-    width = int(frequent.sum())
-    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    for at in range(0, width, _WIDE):
-        a, b = np.searchsorted(columns, [at, at + _WIDE])
-        present = np.zeros((len(sets), min(_WIDE, width - at)), dtype=np.float32)
-        present[rows[a:b], columns[a:b] - at] = 1
-        shared += present @ present.T
-    linked = at_least.linked(shared.astype(np.int64), sizes[:, None], sizes[None, :])
-    out, left = [], np.ones(len(sets), dtype=bool)
-    for first in range(len(sets)):
+def _classes(numbers: np.ndarray) -> bytes:
+    """How many shingles fall into each class; all at the top if one count would not fit."""
+    counts = np.bincount((numbers & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+    return (counts if counts.max() < _MOST else np.full(CLASSES, _MOST)).astype("<u2").tobytes()
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the matrix of links connects."""
+    out, left = [], np.ones(len(linked), dtype=bool)
+    for first in range(len(linked)):
         if left[first]:
             left[first] = False
             reached = [first]
@@ -324,43 +303,148 @@ def _join_cell(nodes: np.ndarray, sets: list[np.ndarray], at_least: Threshold) -
                 i = reached.pop()
                 more = np.flatnonzero(linked[i] & left)
                 left[more] = False
-                out += [(int(nodes[i]), int(nodes[j])) for j in more]
+                out += [(i, j) for j in more.tolist()]
                 reached += more.tolist()
     return out
 
 
-def _joined_groups(opened: DataFrame, sets: DataFrame, at_least: Threshold) -> DataFrame:
-    """Links (``a``, ``b``) inside the groups that open regions form."""
-    opened = stored(opened.select("pivot", "size", "node"), "open")
-    first = opened.groupBy("pivot", "size").agg(F.min("node").alias("lead"))
-    grouped = components(opened.join(first, ["pivot", "size"]).select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    rows = grouped.join(sets, "node").select("root", "node", "numbers")
-    rows = stored(rows, "groups")
-    # a group of many nodes, or of large sets, is cut into blocks, and every pair of blocks is a cell
-    blocks = stored(
-        rows.groupBy("root").agg(
-            F.ceil(
-                F.greatest(
-                    F.count("*") / F.lit(float(BLOCK_NODES)), F.sum(F.length("numbers")) / F.lit(float(BLOCK_BYTES))
-                )
-            ).alias("blocks")
-        ),
-        "blocks",
-    )
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    pairs = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-        lambda other: F.struct(F.least(other, own).alias("i"), F.greatest(other, own).alias("j")),
-    )
-    cells = rows.join(blocks, "root").select("root", "node", "numbers", F.inline(pairs))
+def _may_be_linked(sizes: np.ndarray, counts: np.ndarray, at_least: Threshold) -> np.ndarray:
+    """Pairs that the counts by class do not tell apart: the shared shingles are at most the sum of smaller counts."""
+    shared = np.zeros((len(sizes), len(sizes)), dtype=np.int64)
+    for column in counts.T:
+        shared += np.minimum(column[:, None], column[None, :])
+    smaller = np.minimum(sizes[:, None], sizes[None, :])
+    return at_least.linked(np.minimum(shared, smaller), sizes[:, None], sizes[None, :])
+
+
+def _as_links(nodes: np.ndarray, places: list[tuple[int, int]]) -> pa.Table:
+    ends = [pa.array([int(nodes[p[k]]) for p in places], pa.int64()) for k in (0, 1)]
+    return pa.table(ends, names=["a", "b"])
+
+
+def _groups(docs: DataFrame, nodes: Nodes, members: DataFrame, at_least: Threshold) -> DataFrame:
+    """(``node``, ``root``) of the nodes that may be linked to another one."""
+    marks = _marks(members.select("node"), lambda columns: columns[0])
+
+    def each(state, node, doc_id, numbers):
+        if marks.value[(node & (1 << 64) - 1) >> (64 - MARK_BITS)]:
+            state.append((node, _classes(numbers)))
+        return True
+
+    found = _once_per_task(docs, nodes, "node long, counts binary", list, each, lambda s: [[x[0] for x in s], [x[1] for x in s]])
+    counted = found.groupBy("node").agg(F.first("counts").alias("counts"))
+    cells = _in_cells(members, ["pivot", "size"], F.count("*") / float(REGION_NODES))
+
+    def join_cell(table: pa.Table) -> pa.Table:
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype="<u2").reshape(-1, CLASSES)
+        sizes = table.column("n").to_numpy().astype(np.int64)
+        linked = _may_be_linked(sizes, counts.astype(np.int64), at_least)
+        return _as_links(table.column("node").to_numpy(), _forest(linked))
+
+    with_counts = cells.join(stored(counted, "counts").hint("merge"), "node")
+    links = with_counts.groupBy("pivot", "size", "i", "j").applyInArrow(join_cell, "a long, b long")
+    return components(links)
+
+
+class Cell:
+    """Sets with numbered shingles, of which only those that two sets share matter."""
+
+    def __init__(self, sets: list[np.ndarray], at_least: Threshold):
+        self.at_least = at_least
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        everything, place = np.unique(np.concatenate(sets), return_inverse=True)
+        frequent = np.bincount(place, minlength=len(everything)) > 1
+        kept = frequent[place]
+        self.columns = (np.cumsum(frequent) - 1)[place[kept]]
+        counts = np.bincount(np.repeat(np.arange(len(sets)), self.sizes)[kept], minlength=len(sets))
+        self.ends = np.concatenate([[0], np.cumsum(counts)])
+        self.width = int(frequent.sum())
+
+    def _of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``rows``, column) of their shingles."""
+        pieces = [self.columns[self.ends[r] : self.ends[r + 1]] for r in rows.tolist()]
+        return np.repeat(np.arange(len(rows)), [len(p) for p in pieces]), np.concatenate(pieces)
+
+    def shared_with(self, pivot: int, at: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+        """Shingles that rows, given by ``_of``, share with one set."""
+        own = np.zeros(self.width, dtype=bool)
+        own[self.columns[self.ends[pivot] : self.ends[pivot + 1]]] = True
+        return np.bincount(at[own[columns]], minlength=n)
+
+    def product(self, rows: np.ndarray) -> np.ndarray:
+        """Which of these sets are linked, by a matrix product over the shingles they share."""
+        at, columns = self._of(rows)
+        _, columns = np.unique(columns, return_inverse=True)
+        order = np.argsort(columns, kind="stable")
+        at, columns = at[order], columns[order]
+        shared = np.zeros((len(rows), len(rows)), dtype=np.float32)
+        width = int(columns[-1]) + 1 if len(columns) else 0
+        for first in range(0, width, _WIDE):
+            a, b = np.searchsorted(columns, [first, first + _WIDE])
+            present = np.zeros((len(rows), min(_WIDE, width - first)), dtype=np.float32)
+            present[at[a:b], columns[a:b] - first] = 1
+            shared += present @ present.T
+        sizes = self.sizes[rows]
+        return self.at_least.linked(shared.astype(np.int64), sizes[:, None], sizes[None, :])
+
+    def regions(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Regions around document pivots, with the nodes that windows copy into them; together they keep every link."""
+        pivots = rows[np.linspace(0, len(rows) - 1, PIVOTS).astype(int)]
+        at, columns = self._of(rows)
+        sizes = self.sizes[rows]
+        distance = np.empty((len(rows), len(pivots)))
+        for k, pivot in enumerate(pivots.tolist()):
+            shared = self.shared_with(pivot, at, columns, len(rows))
+            distance[:, k] = 1 - shared / (sizes + self.sizes[pivot] - shared)
+        # sets keep shingles no other set has, so a pivot is measured against itself apart
+        distance[rows[:, None] == pivots[None, :]] = 0
+        nearest = distance.min(axis=1)
+        inside = distance <= (nearest + 2 * self.at_least.distance + 1e-9)[:, None]
+        own = distance.argmin(axis=1)
+        return [rows[inside[:, k]] for k in range(len(pivots)) if (own == k).any()]
+
+    def links(self) -> list[tuple[int, int]]:
+        """Places of links that connect all linked sets."""
+        found: list[tuple[int, int]] = []
+        waiting = [np.arange(len(self.sizes))]
+        while waiting:
+            rows = waiting.pop()
+            parts = self.regions(rows) if len(rows) > FEW else []
+            sizes = [len(part) for part in parts]
+            if parts and max(sizes) <= 0.7 * len(rows) and sum(sizes) <= 2 * len(rows):
+                waiting += parts
+            else:  # few, or not divided by these pivots
+                found += [(int(rows[i]), int(rows[j])) for i, j in _forest(self.product(rows))]
+        return found
+
+
+def _joined(docs: DataFrame, nodes: Nodes, grouped: DataFrame, at_least: Threshold) -> DataFrame:
+    """Links (``a``, ``b``) inside groups (rows ``node``, ``root``, ``least``, ``n``)."""
+
+    def both(columns: list[np.ndarray]) -> np.ndarray:
+        return columns[0] ^ (columns[1] * np.uint64(0x9E3779B97F4A7C15))
+
+    # of the rows with a set, the one with the smallest id gives the set
+    marks = _marks(grouped.select("node", F.coalesce("least", F.lit(0))), both)
+
+    def each(state, node, doc_id, numbers):
+        own = (node ^ (doc_id or 0) * 0x9E3779B97F4A7C15) & (1 << 64) - 1
+        if marks.value[own >> (64 - MARK_BITS)]:
+            state.append((node, numbers.tobytes()))
+            return True
+        return False
+
+    sets = _once_per_task(docs, nodes, "node long, numbers binary", list, each, lambda s: [[x[0] for x in s], [x[1] for x in s]])
+    blocks = F.greatest(F.count("*") / float(GROUP_NODES), F.sum("n") * 8 / float(GROUP_BYTES))
+    cells = stored(_in_cells(grouped.select("node", "root", "n"), ["root"], blocks).drop("n"), "cells")
 
     def join_cell(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        sets_ = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("numbers")]
-        links = _join_cell(nodes, sets_, at_least)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        found = dict(zip(table.column("node").to_pylist(), table.column("numbers"), strict=True))  # each node once
+        sets_ = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in found.values()]
+        return _as_links(np.array(list(found), dtype=np.int64), Cell(sets_, at_least).links())
 
-    return cells.groupBy("root", "i", "j").applyInArrow(join_cell, "a long, b long")
+    with_sets = sets.join(cells.hint("merge"), "node")
+    return with_sets.groupBy("root", "i", "j").applyInArrow(join_cell, "a long, b long")
 
 
 def named_nodes(docs: DataFrame, at_least: Threshold) -> tuple[DataFrame, DataFrame, Nodes]:
@@ -378,29 +462,13 @@ def named_nodes(docs: DataFrame, at_least: Threshold) -> tuple[DataFrame, DataFr
     nodes = Nodes([r["k1"] for r in twice.collect()])
     k1 = F.col("k1")
     node = F.when(k1.isin(sorted(nodes.shared)), k1.bitwiseXOR(F.col("k2"))).otherwise(k1) if nodes.shared else k1
+    named = stored(
+        some.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "named"
+    )
 
-    entries = stored(_entries(docs, nodes, ranks, at_least), "entries")
-    members = _regions(entries, at_least)
-
-    def mark(batches):
-        counters = Counters(NODE_BITS)
-        for batch in batches:
-            counters.add(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-        marks = counters.rows()
-        yield [list(range(len(marks))), [TaskContext.get().partitionId()] * len(marks), marks]
-
-    marked = stored(_arrow_map(members.select("node"), "row int, part long, counts binary", mark), "marks")
-    marked_parts = max(1, members.rdd.getNumPartitions())
-    taking_part = spark.sparkContext.broadcast(_summed(marked, marked_parts, NODE_BITS) > 0)
-    sets = stored(_sets(docs, nodes, taking_part), "sets")
-
-    fitting = members.filter("node <> lead").filter(at_least.sizes_fit(F.col("n").cast("long"), F.col("lead_n").cast("long")))
-    measured = stored(_measured(fitting.select("node", "lead").distinct(), sets, at_least), "measured")
-    opened = _left_open(members, measured, at_least)
-    near = measured.filter("near").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    roots = components(near.union(_joined_groups(opened, sets, at_least)))
-
-    named = some.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least"))
+    members = _regions(docs, nodes, ranks, at_least)
+    grouped = stored(_groups(docs, nodes, members, at_least).join(named, "node"), "grouped")
+    roots = components(_joined(docs, nodes, grouped, at_least))
     together = stored(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
     ids = together.groupBy("root").agg(F.min("least").alias("component_id"))
     answer = stored(together.join(ids, "root").select("node", "component_id"), "components")

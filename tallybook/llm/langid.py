@@ -58,9 +58,15 @@ def _codes(text: str) -> list[np.ndarray]:
 
 
 def _slices(text: str):
-    """Slices of a long text that share two characters, so that no 3-gram of letters is missed."""
-    for at in range(0, max(1, len(text)), SLICE):
-        yield text[max(0, at - 2) : at + SLICE]
+    """A long text in slices that end at a space, which changes no n-gram."""
+    at = 0
+    while len(text) - at > SLICE:
+        end = text.find(" ", at + SLICE)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
 
 
 class Presence:

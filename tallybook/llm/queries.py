@@ -12,6 +12,7 @@ from tallybook.llm import (
     jaccard,
     langid,
     line_dedup,
+    oracle,
     packing,
     secret_scan,
     sharding,
@@ -80,4 +81,4 @@ QUERIES = {
     "op10_secret_scan": secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.SQL
