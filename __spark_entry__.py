@@ -8,6 +8,7 @@ folder to the shared folder the session names, and read from there.
 from __future__ import annotations
 
 import sys
+import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -39,7 +40,10 @@ _stored: dict[tuple, Ledger] = {}
 
 
 def _folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder on the shared file system."""
+    """A fresh folder on the shared file system; a local session that names none gets one."""
+    context = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()) and context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallybook-"))
     return f"{book.shared_folder(spark)}/tallybook/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -206,21 +210,61 @@ def _publish_round_trip(ledger: Ledger) -> DataFrame:
     off = reports.imbalances(ledger).withColumn("seq", F.col("tid")).withColumnRenamed("tid", "target_id")
     staged = edits.delete_transactions(ledger, off)
     root = _folder(spark, "books")
-    book.publish(staged.ledger, root, rejects=staged.rejects)
+    book.publish(staged, root)
     return reports.account_balances(book.read_book(spark, root))
 
 
 def _bulk_load(ledger: Ledger) -> DataFrame:
-    """The ledger through CSV files and back."""
+    """The ledger through CSV files, with their columns in another order, and back."""
     spark = ledger.splits.sparkSession
     folder = _folder(spark, "bulk")
     files = {name: f"{folder}/{name}" for name in ("accounts", "transactions", "splits")}
     for name, path in files.items():
-        getattr(ledger, name).write.option("header", True).csv(path)
+        table = getattr(ledger, name)
+        table.select(*reversed(table.columns)).write.option("header", True).csv(path)
     loaded, _ = book.bulk_load(spark, files)
     return joins.enrich_splits(loaded)
 
 
+def _bulk_load_violations(ledger: Ledger) -> DataFrame:
+    """Files with surplus fields, line breaks inside quotes and amounts of three decimals."""
+    spark = ledger.splits.sparkSession
+    folder = _folder(spark, "bulk")
+    paths = {name: f"{folder}/{name}" for name in ("accounts", "whole", "surplus", "splits")}
+    ledger.accounts.write.csv(paths["accounts"])
+    broken = F.concat("description", F.lit("\nsecond line"))
+    ledger.transactions.filter("tid % 5 <> 0").withColumn("description", broken).write.csv(paths["whole"])
+    ledger.transactions.filter("tid % 5 = 0").withColumn("more", F.lit("extra")).write.csv(paths["surplus"])
+    longer = F.when(F.col("sid") % 3 == 0, F.concat(F.col("amount").cast("string"), F.lit("5"))).otherwise(F.col("amount"))
+    ledger.splits.withColumn("amount", longer).write.csv(paths["splits"])
+    files = {"accounts": paths["accounts"], "transactions": [paths["whole"], paths["surplus"]], "splits": paths["splits"]}
+    loaded, violations = book.bulk_load(spark, files, header=False)
+    kept = loaded.transactions.filter(F.col("description").endswith("\nsecond line")).select(
+        F.lit("transactions").alias("table_name"),
+        F.col("tid").alias("key"),
+        F.lit("description").alias("column_name"),
+        F.lit("loaded whole").alias("problem"),
+        "description",
+    )
+    return violations.union(kept)
+
+
+def _insert_returned(ledger: Ledger) -> DataFrame:
+    """Which row came of which request, for inserts into each table."""
+    done = (
+        edits.insert_accounts(ledger, _numbered(ledger.transactions, "tid")),
+        edits.insert_transactions(ledger, _numbered(ledger.accounts, "aid"), TODAY),
+        edits.insert_splits(ledger, ledger.transactions.select(F.col("tid").alias("seq"), (F.col("tid") + 1).alias("tid"))),
+    )
+    return done[0].inserted.union(done[1].inserted).union(done[2].inserted)
+
+
+def _batch_rejects(ledger: Ledger) -> DataFrame:
+    """Fatal and plain rejects of one batch over three views."""
+    batch = {"accounts": account_edits(ledger), "transactions": transaction_edits(ledger), "splits": split_edits(ledger)}
+    return edits.apply_edits(ledger, batch).rejects
+
+
 def _export(ledger: Ledger) -> DataFrame:
     """The accounts view written as text lines and read again."""
     spark = ledger.splits.sparkSession
@@ -306,9 +350,10 @@ def ledger_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                                    transactions=L.transactions.filter("description <> 'Transfer'")))
         ),
         "bulk_load": on(_bulk_load),
+        "bulk_load_violations": on(_bulk_load_violations),
         "publish_round_trip": on(_publish_round_trip),
         "export_report": on(_export),
-        "column_widths": on(lambda L: export.column_widths(project_view(reports.split_list(L, ordered=False), "splits"))),
+        "column_widths": on(lambda L: export.column_widths(project_view(reports.split_list(L, ordered=False), "splits"), export.SCREEN_WIDTH)),
         # views
         **{
             f"view_{name}": on(
@@ -387,7 +432,7 @@ def ledger_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "label_to_null": on(
             lambda L: L.splits.select("sid", text.label_to_null(text.null_label(F.col("memo"))).alias("memo"))
         ),
-        "clip_text": tables(lambda t: t("documents").select("doc_id", text.clip_text(F.col("text"), export.MAX_WIDTH).alias("clipped"))),
+        "clip_text": tables(lambda t: t("documents").select("doc_id", text.clip_text(F.col("text"), export.SCREEN_WIDTH).alias("clipped"))),
         "parse_split_kind": tables(
             lambda t: t("lineitem")
             .select(F.when(F.col("l_returnflag") == "A", "c").when(F.col("l_returnflag") == "N", "").otherwise(F.lower("l_linestatus")).alias("value"))
@@ -455,6 +500,21 @@ def ledger_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "refused_insert": on(lambda L: refused(edits.insert_statement(L, _numbered(L.splits, "sid")))),
         "refused_delete": on(lambda L: refused(edits.delete_statement(L, _targets(L.splits, "sid")))),
         "reselect_changed": on(_reselect),
+        "reselect_accounts": on(
+            lambda L: VIEWS["accounts"].reselect(
+                edits.update_accounts(L, account_edits(L)).ledger, L.accounts.filter("kind = 'income'")
+            )
+        ),
+        "reselect_transactions": on(
+            lambda L: VIEWS["transactions"].reselect(
+                edits.update_transactions(L, transaction_edits(L)).ledger, L.transactions.filter("description = 'Transfer'")
+            )
+        ),
+        "reselect_splits": on(
+            lambda L: VIEWS["splits"].reselect(edits.update_splits(L, split_edits(L)).ledger, L.splits.filter("tid % 16 = 0"))
+        ),
+        "insert_returned": on(_insert_returned),
+        "batch_rejects": on(_batch_rejects),
     }
 
 

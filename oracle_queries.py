@@ -50,11 +50,11 @@ all_splits AS (
     UNION ALL SELECT 16 * (4 * o_orderkey + 3), 4 * o_orderkey + 3, 15, 'debit', 5.25, NULL FROM orders WHERE o_orderkey % 75 = 0
     UNION ALL SELECT 16 * (4 * o_orderkey + 3) + 1, 4 * o_orderkey + 3, 10, 'credit', 5.25, NULL FROM orders WHERE o_orderkey % 75 = 0
 ),
-splits AS (SELECT sid, tid, aid, kind, CAST(amount AS DECIMAL(18,2)) AS amount, memo FROM all_splits)
+splits AS MATERIALIZED (SELECT sid, tid, aid, kind, CAST(amount AS DECIMAL(18,2)) AS amount, memo FROM all_splits)
 """
 
 JOURNAL = """
-counters AS (
+counters AS MATERIALIZED (
     SELECT s.sid, string_agg(DISTINCT a2.name, ',' ORDER BY a2.name) AS counter, COUNT(DISTINCT s2.sid) AS opposite_count,
         MIN(s2.sid) AS opposite_sid
     FROM splits s JOIN splits s2 ON s2.tid = s.tid AND s2.kind <> s.kind JOIN accounts a2 ON a2.aid = s2.aid
@@ -187,7 +187,11 @@ after_transactions AS (
 """
 
 SPLIT_COLUMNS = f"sid, tid, aid, kind, {money('amount')} AS amount, memo"
-IMBALANCES = "imbalances AS (SELECT tid, SUM(signed) AS s FROM journal GROUP BY tid HAVING SUM(signed) <> 0)"
+IMBALANCES = """
+imbalances AS (
+    SELECT tid, SUM(CASE WHEN kind = 'credit' THEN -amount ELSE amount END) AS s FROM splits GROUP BY tid HAVING s <> 0
+)
+"""
 
 
 def balances(where: str = "TRUE") -> str:
@@ -274,6 +278,7 @@ def oracle_sql() -> dict[str, str]:
         ELSE CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END AS value FROM events"""
     next_tid = "insert_rows AS (SELECT tid AS seq, tid + 1 AS tid FROM transactions)"
     new_sid = "(SELECT MAX(sid) FROM splits) + 1 + seq - (SELECT MIN(seq) FROM insert_rows)"
+    new_amount = "CASE WHEN kind = 'debit' THEN amount + 1 ELSE amount END"
     cash_sids = "SELECT sid FROM journal WHERE account LIKE 'Cash%'"
     after_journal = JOURNAL.replace("counters AS", "counters2 AS").replace("journal AS", "journal2 AS")
     after_journal = (
@@ -283,6 +288,24 @@ def oracle_sql() -> dict[str, str]:
         .replace("JOIN counters c", "JOIN counters2 c")
     )
 
+    account_rejects = rejects(
+        """CASE WHEN field = 'balance' THEN 'This field cannot be updated.'
+        WHEN value = 'loan' AND field = 'kind' THEN 'invalid input value for enum account_kind: "loan"' END""",
+        "field = 'kind'",
+    )
+    transaction_rejects = rejects(
+        """CASE WHEN field = 'tid' THEN 'This field cannot be updated.'
+        WHEN field = 'date' AND value = 'soon' THEN 'invalid input syntax for type date: "soon"' END""",
+        "field = 'date'",
+    )
+    split_rejects = rejects(
+        """CASE WHEN field = 'sid' THEN 'This field cannot be updated.'
+        WHEN field = 'account' AND value = 'Nobody' THEN 'No account named Nobody'
+        WHEN field = 'kind' AND value = 'D' THEN 'D must be one of debit, credit'
+        WHEN field = 'amount' AND value = 'n/a' THEN 'cannot read n/a' END""",
+        "FALSE",
+    )
+
     return {
         "accounts": ledger("SELECT * FROM accounts"),
         "transactions": ledger(transactions),
@@ -298,9 +321,15 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'splits', sid, 'tid', 'no such row', CAST(tid AS VARCHAR)
             FROM splits WHERE tid IN (SELECT tid FROM transactions WHERE description = 'Transfer')"""),
         "bulk_load": ledger(f"SELECT {enriched} FROM journal", JOURNAL),
+        "bulk_load_violations": ledger("""
+            SELECT 'transactions' AS table_name, CAST(NULL AS BIGINT) AS key, CAST(NULL AS VARCHAR) AS column_name,
+                'wrong number of fields' AS problem, tid || ',' || CAST(date AS VARCHAR) || ',' || description || ',extra' AS found
+            FROM transactions WHERE tid % 5 = 0
+            UNION ALL SELECT 'splits', sid, 'amount', 'too many decimals', CAST(amount AS VARCHAR) || '5' FROM splits WHERE sid % 3 = 0
+            UNION ALL SELECT 'transactions', tid, 'description', 'loaded whole', description || chr(10) || 'second line'
+            FROM transactions WHERE tid % 5 <> 0"""),
         "publish_round_trip": ledger(
             balances().replace("FROM splits GROUP", "FROM splits WHERE tid NOT IN (SELECT tid FROM imbalances) GROUP"),
-            JOURNAL,
             IMBALANCES,
         ),
         "export_report": ledger(f"SELECT {line} AS line FROM listed", listed, measured),
@@ -325,7 +354,7 @@ def oracle_sql() -> dict[str, str]:
         "like_contains": ledger("SELECT * FROM accounts WHERE name LIKE '%Cash%'"),
         "like_param": ledger(f"{transactions} WHERE description LIKE '%_-%G%'"),
         "not_internal_transfer": ledger("SELECT sid, account, counter FROM journal WHERE account LIKE '%Cash%' AND NOT internal", JOURNAL),
-        "master_detail": ledger(f"SELECT {SPLIT_COLUMNS} FROM splits WHERE tid IN (SELECT tid FROM imbalances)", JOURNAL, IMBALANCES),
+        "master_detail": ledger(f"SELECT {SPLIT_COLUMNS} FROM splits WHERE tid IN (SELECT tid FROM imbalances)", IMBALANCES),
         "parameter_binding": ledger(f"{transactions} WHERE {s} AND description LIKE 'Payment%'"),
         "enrich_splits": ledger(f"SELECT {enriched} FROM journal", JOURNAL),
         "splits_with_account": ledger(f"SELECT sid, tid, aid, kind, {money('amount')} AS amount, memo, account FROM journal", JOURNAL),
@@ -373,7 +402,7 @@ def oracle_sql() -> dict[str, str]:
             FROM journal GROUP BY aid""",
             JOURNAL,
         ),
-        "imbalanced_transactions": ledger(f"SELECT tid, {money('s')} AS s FROM imbalances", JOURNAL, IMBALANCES),
+        "imbalanced_transactions": ledger(f"SELECT tid, {money('s')} AS s FROM imbalances", IMBALANCES),
         "opposite_split_count": ledger("SELECT sid, COALESCE(opposite_count, 0) AS opposite_count FROM journal", JOURNAL),
         "min_tid": ledger("SELECT MIN(tid) AS tid FROM transactions"),
         "running_balance": ledger(f"SELECT sid, account, date, balance FROM ({r7})", JOURNAL),
@@ -416,9 +445,9 @@ def oracle_sql() -> dict[str, str]:
         "cash_statement_rows": ledger(statement(running("journal", "", cash_scope, external=True), 6), JOURNAL),
         "statement_history": ledger(f"SELECT {plain} FROM ({running('journal', PER_ACCOUNT)})", JOURNAL),
         "statement_opening": ledger(f"SELECT {plain} FROM ({running('journal', PER_ACCOUNT)}) WHERE {s}", JOURNAL),
-        "imbalances": ledger(f"SELECT tid, {money('s')} AS s FROM imbalances", JOURNAL, IMBALANCES),
+        "imbalances": ledger(f"SELECT tid, {money('s')} AS s FROM imbalances", IMBALANCES),
         "journal": ledger(f"SELECT {enriched}, counter FROM journal", JOURNAL),
-        "commit_gate": ledger(f"SELECT COUNT(*) = 0 AS ok, COUNT(*) AS imbalanced, {money('SUM(s)')} AS off_by FROM imbalances", JOURNAL, IMBALANCES),
+        "commit_gate": ledger(f"SELECT COUNT(*) = 0 AS ok, COUNT(*) AS imbalanced, {money('SUM(s)')} AS off_by FROM imbalances", IMBALANCES),
         "staged_preview": ledger(
             f"""SELECT a.aid, {money('COALESCE(x.s, 0)')} AS before, {money('COALESCE(y.s, 0)')} AS after FROM accounts a
             LEFT JOIN (SELECT aid, SUM(CASE WHEN kind = 'credit' THEN -amount ELSE amount END) AS s FROM splits GROUP BY aid) x ON x.aid = a.aid
@@ -450,40 +479,17 @@ def oracle_sql() -> dict[str, str]:
         "update_accounts": ledger("""
             SELECT aid, CASE kind WHEN 'asset' THEN 'asset' WHEN 'liability' THEN 'liability' ELSE 'expense' END AS kind,
             name || ' *' AS name, CASE WHEN name LIKE 'Cash%' THEN NULL ELSE name END AS description FROM accounts"""),
-        "update_accounts_rejects": ledger(
-            rejects(
-                """CASE WHEN field = 'balance' THEN 'This field cannot be updated.'
-                WHEN value = 'loan' AND field = 'kind' THEN 'invalid input value for enum account_kind: "loan"' END""",
-                "field = 'kind'",
-            ),
-            ACCOUNT_EDITS,
-        ),
+        "update_accounts_rejects": ledger(account_rejects, ACCOUNT_EDITS),
         "update_transactions": ledger(
             f"""SELECT tid, CAST(CASE WHEN description LIKE 'Sale%' THEN date + 1 ELSE date END AS VARCHAR) AS date,
             description || '!' AS description FROM transactions"""
         ),
-        "update_transactions_rejects": ledger(
-            rejects(
-                """CASE WHEN field = 'tid' THEN 'This field cannot be updated.'
-                WHEN field = 'date' AND value = 'soon' THEN 'invalid input syntax for type date: "soon"' END""",
-                "field = 'date'",
-            ),
-            TRANSACTION_EDITS,
-        ),
+        "update_transactions_rejects": ledger(transaction_rejects, TRANSACTION_EDITS),
         "update_splits": ledger(f"""
             SELECT sid, tid - tid % 4 AS tid, CASE WHEN kind = 'debit' THEN aid ELSE 2 END AS aid, 'credit' AS kind,
             {money("CASE WHEN kind = 'debit' THEN amount + 1 ELSE amount END")} AS amount,
             CASE WHEN memo IS NULL THEN 'checked' END AS memo FROM splits"""),
-        "update_splits_rejects": ledger(
-            rejects(
-                """CASE WHEN field = 'sid' THEN 'This field cannot be updated.'
-                WHEN field = 'account' AND value = 'Nobody' THEN 'No account named Nobody'
-                WHEN field = 'kind' AND value = 'D' THEN 'D must be one of debit, credit'
-                WHEN field = 'amount' AND value = 'n/a' THEN 'cannot read n/a' END""",
-                "FALSE",
-            ),
-            SPLIT_EDITS,
-        ),
+        "update_splits_rejects": ledger(split_rejects, SPLIT_EDITS),
         "update_statement": ledger(f"SELECT {SPLIT_COLUMNS} FROM after", JOURNAL, STATEMENT_AFTER),
         "update_statement_transactions": ledger(f"SELECT tid, {day()} AS date, description FROM after_transactions", JOURNAL, STATEMENT_AFTER),
         "update_statement_rejects": ledger(
@@ -507,7 +513,7 @@ def oracle_sql() -> dict[str, str]:
                 FROM journal WHERE opposite_count = 1 GROUP BY tid) w ON w.tid = s.tid""",
             JOURNAL,
         ),
-        "delete_transactions": ledger(f"SELECT {SPLIT_COLUMNS} FROM splits WHERE tid NOT IN (SELECT tid FROM imbalances)", JOURNAL, IMBALANCES),
+        "delete_transactions": ledger(f"SELECT {SPLIT_COLUMNS} FROM splits WHERE tid NOT IN (SELECT tid FROM imbalances)", IMBALANCES),
         "delete_accounts": ledger(f"SELECT * FROM accounts WHERE {off}"),
         "delete_accounts_rejects": ledger(f"""
             SELECT aid AS seq, aid AS target_id, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS value,
@@ -520,6 +526,35 @@ def oracle_sql() -> dict[str, str]:
             CAST(NULL AS VARCHAR) AS value, 'Cannot insert into statements.' AS reason, FALSE AS fatal FROM splits"""),
         "refused_delete": ledger("""SELECT sid AS seq, sid AS target_id, CAST(NULL AS VARCHAR) AS field,
             CAST(NULL AS VARCHAR) AS value, 'Cannot delete from statements.' AS reason, FALSE AS fatal FROM splits"""),
+        "batch_rejects": ledger(
+            " UNION ALL ".join(
+                f"SELECT * FROM (WITH {steps} {found})"
+                for steps, found in (
+                    (ACCOUNT_EDITS, account_rejects),
+                    (TRANSACTION_EDITS, transaction_rejects),
+                    (SPLIT_EDITS, split_rejects),
+                )
+            )
+        ),
+        "insert_returned": ledger(
+            f"""SELECT tid AS seq, 'accounts' AS table_name,
+                (SELECT MAX(aid) FROM accounts) + 1 + tid - (SELECT MIN(tid) FROM transactions) AS id FROM transactions
+            UNION ALL SELECT aid, 'transactions', (SELECT MAX(tid) FROM transactions) + 1 + aid - (SELECT MIN(aid) FROM accounts) FROM accounts
+            UNION ALL SELECT seq, 'splits', {new_sid} FROM insert_rows WHERE tid IN (SELECT tid FROM transactions)""",
+            next_tid,
+        ),
+        "reselect_accounts": ledger(
+            f"""SELECT aid, 'expense' AS kind, name || ' *' AS name, CASE WHEN name LIKE 'Cash%' THEN NULL ELSE name END AS description,
+            balance, balance_text FROM ({balances("kind = 'income'")})"""
+        ),
+        "reselect_transactions": ledger(
+            f"SELECT tid, {day()} AS date, description || '!' AS description FROM transactions WHERE description = 'Transfer'"
+        ),
+        "reselect_splits": ledger(
+            f"""SELECT sid, tid - tid % 4 AS tid, CASE WHEN kind = 'debit' THEN account ELSE 'Dormant' END AS account, 'credit' AS kind,
+            {money(new_amount)} AS amount, {shown(new_amount)} AS amount_text, CASE WHEN memo IS NULL THEN 'checked' ELSE 'None' END AS memo
+            FROM (SELECT s.*, a.name AS account FROM splits s JOIN accounts a ON a.aid = s.aid) WHERE tid % 16 = 0"""
+        ),
         "reselect_changed": ledger(
             f"SELECT * FROM ({statement(running('journal2', PER_ACCOUNT, s))}) WHERE sid IN (SELECT sid FROM splits WHERE kind = 'debit')",
             JOURNAL,

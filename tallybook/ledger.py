@@ -45,7 +45,10 @@ class Staged:
 
     ``ledger`` and the ledger the batch started from are separate lineages:
     reading ``ledger`` previews the changes, dropping it rolls them back.
+    ``inserted`` tells which row came of which request: (``seq``, ``table_name``, ``id``); None
+    for a batch that inserts nothing.
     """
 
     ledger: Ledger
     rejects: DataFrame
+    inserted: DataFrame | None = None

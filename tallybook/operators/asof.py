@@ -43,8 +43,9 @@ def attach(detail: DataFrame, totals: DataFrame, by: tuple[str, ...] = ()) -> Da
     """Give every detail row its day's running totals; none means zero."""
     keys = [*by, "date"]
     measures = [c for c in totals.columns if c not in keys]
-    # Totals over everything are one row per calendar day, which bounds the
-    # broadcast; totals per account are not bounded, and are left to Spark.
+    # Totals over everything are one row per calendar day: some 64 bytes for each of at
+    # most 3.65 million days, and less than a megabyte for a lifetime of them. That bounds
+    # the broadcast, and no detail row is shuffled. Totals per account are left to Spark.
     side = totals if by else F.broadcast(totals)
     joined = detail.join(side, keys, "left")
     return joined.withColumns({m: F.coalesce(F.col(m), F.lit(0)).cast(TOTAL) for m in measures})

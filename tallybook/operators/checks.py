@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,24 +74,28 @@ def validate_schema(ledger: Ledger) -> DataFrame:
 def validate_keys(ledger: Ledger) -> DataFrame:
     """Repeated keys, and splits that point at no account or no transaction.
 
-    Dearer than ``validate_schema``: each key is counted across the cluster.
+    Dearer than ``validate_schema``: the keys of each table are counted across the cluster once,
+    and the counts of accounts and transactions also answer which references exist.
     """
-    parts = []
-    for table, key in KEYS.items():
-        repeated = getattr(ledger, table).groupBy(key).count().filter("count > 1")
-        parts.append(
-            repeated.select(
-                F.lit(table).alias("table_name"),
-                F.col(key).alias("key"),
-                F.lit(key).alias("column_name"),
-                F.lit("repeated key").alias("problem"),
-                F.col("count").cast("string").alias("found"),
-            )
+    counted = {t: getattr(ledger, t).groupBy(key).agg(F.count(F.lit(1)).alias("n")) for t, key in KEYS.items()}
+    parts = [
+        counted[table]
+        .filter("n > 1")
+        .select(
+            F.lit(table).alias("table_name"),
+            F.col(key).alias("key"),
+            F.lit(key).alias("column_name"),
+            F.lit("repeated key").alias("problem"),
+            F.col("n").cast("string").alias("found"),
         )
-    for column, parent in (("aid", ledger.accounts), ("tid", ledger.transactions)):
-        orphans = ledger.splits.join(parent.select(column), column, "left_anti")
+        for table, key in KEYS.items()
+    ]
+    for column, parent in (("aid", "accounts"), ("tid", "transactions")):
+        # references are brought down to one row per key before they meet their table
+        used = ledger.splits.groupBy(column).agg(F.count(F.lit(1)).alias("uses"))
+        lost = used.join(counted[parent], column, "left_anti").select(column)
         parts.append(
-            orphans.select(
+            ledger.splits.join(lost, column, "left_semi").select(
                 F.lit("splits").alias("table_name"),
                 F.col("sid").alias("key"),
                 F.lit(column).alias("column_name"),
@@ -97,10 +103,7 @@ def validate_keys(ledger: Ledger) -> DataFrame:
                 F.col(column).cast("string").alias("found"),
             )
         )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, parts)
 
 
 def imbalances(ledger: Ledger) -> DataFrame:
@@ -124,8 +127,8 @@ def require_balanced(ledger: Ledger) -> None:
 
 
 def require_valid(ledger: Ledger) -> None:
-    """Raise when a row breaks the column contract, naming one such row."""
-    worst = validate_schema(ledger).take(1)
+    """Raise when a row breaks the column contract, repeats a key or points nowhere, naming one such row."""
+    worst = validate_schema(ledger).take(1) or validate_keys(ledger).take(1)
     if worst:
         raise Refused("Invalid ledger: {table_name}.{column_name}: {problem}".format(**worst[0].asDict()))
 

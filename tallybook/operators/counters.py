@@ -55,7 +55,7 @@ def opposite(measure: str) -> Column:
 
 def with_counter(splits: DataFrame, ledger: Ledger) -> DataFrame:
     """Add ``counter``: the account names opposite each split, NULL when there are none."""
-    joined = join_facts(splits, account_lists(splits_with_account(ledger)), "tid", "sid")
+    joined = join_facts(splits, account_lists(splits_with_account(ledger)), "tid")
     return joined.withColumn("counter", opposite("accounts")).drop(*[f"{k}_accounts" for k in SPLIT_KINDS])
 
 
@@ -64,7 +64,7 @@ def counter_splits(splits: DataFrame, required: bool = False) -> DataFrame:
 
     ``required`` leaves out splits that have none.
     """
-    counted = join_facts(splits, side_counts(splits), "tid", "sid").select(
+    counted = join_facts(splits, side_counts(splits), "tid").select(
         "sid",
         "tid",
         "kind",

@@ -27,7 +27,7 @@ from tallybook.functions.text import (
 )
 from tallybook.ledger import Ledger, Staged
 from tallybook.operators.counters import opposite, side_counts
-from tallybook.operators.scopes import few, not_in_keys
+from tallybook.operators.scopes import not_in_keys
 from tallybook.operators.skew import join_facts
 from tallybook.sources.schema import (
     ACCOUNT_KINDS,
@@ -69,23 +69,15 @@ def lookup_account(ledger: Ledger, names: DataFrame) -> DataFrame:
 
 
 class _Batch:
-    """A batch of edits, and whether it is too small to hold a hot key. Runs a count."""
+    """A batch of edits. Nothing is read while it is judged: the plan is the same for any size."""
 
     def __init__(self, edits: DataFrame):
         self.edits = edits.select(*EDITS.names)
-        self.small = few(self.edits)
-
-    def join(self, rows: DataFrame, facts: DataFrame, key: str, unique: str = "seq") -> DataFrame:
-        """Left join edits, or rows found for them, with facts that are unique by ``key``."""
-        if self.small:
-            return rows.join(facts, key, "left")
-        return join_facts(rows, facts, key, unique)
 
     def found(self, table: DataFrame, key: str, *columns: str, by: str = "target_id") -> DataFrame:
         """Rows of ``table`` that the batch points at, keyed as ``by``."""
         wanted = self.edits.select(F.col(by).alias(key)).distinct()
-        rows = table.join(F.broadcast(wanted) if self.small else wanted, key, "left_semi")
-        return rows.select(F.col(key).alias(by), *columns)
+        return table.join(wanted, key, "left_semi").select(F.col(key).alias(by), *columns)
 
 
 def _first_reason(*tests: tuple[Column, Column | str, bool]) -> tuple[Column, Column]:
@@ -176,7 +168,7 @@ class _Changes:
 def _account_changes(ledger: Ledger, batch: _Batch) -> _Changes:
     found = batch.found(ledger.accounts, "aid").withColumn("known", F.lit(True))
     judged = _judge(
-        batch.join(batch.edits, found, "target_id"),
+        join_facts(batch.edits, found, "target_id"),
         (~F.col("field").isin("kind", "name", "description") | F.col("field").isNull(), NOT_EDITABLE, False),
         (
             _is("kind") & ~F.coalesce(F.col("value").isin(*ACCOUNT_KINDS), F.lit(False)),
@@ -209,7 +201,7 @@ def _no_text() -> tuple[Column, str, bool]:
 def _transaction_changes(ledger: Ledger, batch: _Batch) -> _Changes:
     found = batch.found(ledger.transactions, "tid").withColumn("known", F.lit(True))
     judged = _judge(
-        batch.join(batch.edits, found, "target_id"),
+        join_facts(batch.edits, found, "target_id"),
         (~F.col("field").isin("date", "description") | F.col("field").isNull(), NOT_EDITABLE, False),
         _bad_date(),
         _no_text(),
@@ -225,7 +217,7 @@ def _with_named_account(ledger: Ledger, batch: _Batch, *fields: str) -> DataFram
     """Add ``named_aid``: the account that the value of a naming field stands for."""
     edits = batch.edits.withColumn("name", F.when(F.col("field").isin(*fields), F.col("value")))
     named = lookup_account(ledger, edits).withColumnRenamed("aid", "named_aid")
-    return batch.join(edits, named, "name").drop("name")
+    return join_facts(edits, named, "name").drop("name")
 
 
 def _split_changes(ledger: Ledger, batch: _Batch) -> _Changes:
@@ -237,7 +229,7 @@ def _split_changes(ledger: Ledger, batch: _Batch) -> _Changes:
     kind, amount = parse_split_kind(value), parse_amount(value)
     shown = F.coalesce(value, F.lit(""))
     judged = _judge(
-        batch.join(batch.join(edits, found, "target_id"), homes, "home"),
+        join_facts(join_facts(edits, found, "target_id"), homes, "home"),
         (
             ~F.col("field").isin("tid", "account", "kind", "amount", "memo") | F.col("field").isNull(),
             NOT_EDITABLE,
@@ -265,11 +257,12 @@ def _statement_changes(ledger: Ledger, batch: _Batch) -> _Changes:
     value = F.col("value")
     shown = F.coalesce(value, F.lit(""))
     edits = _with_named_account(ledger, batch, "account", "counter")
-    found = batch.found(ledger.splits, "sid", "tid", "kind")
-    splits = ledger.splits
-    if batch.small:  # then so is the number of transactions it touches
-        splits = splits.join(F.broadcast(found.select("tid").distinct()), "tid", "left_semi")
-    placed = batch.join(found, side_counts(splits), "tid", unique="target_id").select(
+    # a split without its transaction is in no statement, and has no opposite split there
+    found = batch.found(ledger.splits, "sid", "tid", "kind").join(
+        ledger.transactions.select("tid"), "tid", "left_semi"
+    )
+    splits = ledger.splits.join(found.select("tid").distinct(), "tid", "left_semi")
+    placed = join_facts(found, side_counts(splits), "tid").select(
         "target_id",
         "tid",
         opposite("count").alias("opposite_count"),
@@ -278,7 +271,7 @@ def _statement_changes(ledger: Ledger, batch: _Batch) -> _Changes:
     regular = F.coalesce(F.col("opposite_count") == 1, F.lit(False))
     unnamed = F.concat(F.lit(NO_ACCOUNT), shown)
     judged = _judge(
-        batch.join(edits, placed, "target_id"),
+        join_facts(edits, placed, "target_id"),
         (
             ~F.col("field").isin("date", "description", "account", "counter", "amount")
             | F.col("field").isNull(),
@@ -346,7 +339,7 @@ def _new_splits(splits: DataFrame, changes: _Changes) -> DataFrame:
         whole = _last_values(_all(changes.amounts), ["amount"]).select(
             F.col("key").alias("tid"), F.col("new_amount").alias("new_whole")
         )
-        joined = join_facts(joined, whole, "tid", "sid", counted=splits)
+        joined = join_facts(joined, whole, "tid")
     out = []
     for field in splits.schema:
         old, new = F.col(field.name), None
@@ -431,28 +424,34 @@ def _no_rejects(requests: DataFrame) -> DataFrame:
     return requests.limit(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in REJECTS])
 
 
+def _inserted(rows: DataFrame, table: str, key: str) -> DataFrame:
+    return rows.select("seq", F.lit(table).alias("table_name"), F.col(key).alias("id"))
+
+
 def insert_accounts(ledger: Ledger, requests: DataFrame) -> Staged:
     """One new account per row of ``requests(seq)``, named after its number."""
-    aid = _next_ids(ledger.accounts, "aid", requests)
-    rows = requests.select(aid.alias("aid")).select(
+    numbered = requests.select("seq", _next_ids(ledger.accounts, "aid", requests).alias("aid"))
+    rows = numbered.select(
         "aid",
         F.lit(NEW_ACCOUNT_KIND).alias("kind"),
         default_account_name(F.col("aid")).alias("name"),
         F.lit(None).alias("description"),
     )
     accounts = ledger.accounts.unionByName(_shaped(rows, ACCOUNTS))
-    return Staged(ledger.stage(accounts=accounts), _no_rejects(requests))
+    return Staged(ledger.stage(accounts=accounts), _no_rejects(requests), _inserted(numbered, "accounts", "aid"))
 
 
 def insert_transactions(ledger: Ledger, requests: DataFrame, today=None) -> Staged:
     """One new transaction per row of ``requests(seq)``: today, without description."""
     rows = requests.select(
+        "seq",
         _next_ids(ledger.transactions, "tid", requests).alias("tid"),
         (F.current_date() if today is None else F.lit(today)).alias("date"),
         F.lit("").alias("description"),
     )
     transactions = ledger.transactions.unionByName(_shaped(rows, TRANSACTIONS))
-    return Staged(ledger.stage(transactions=transactions), _no_rejects(requests))
+    staged = ledger.stage(transactions=transactions)
+    return Staged(staged, _no_rejects(requests), _inserted(rows, "transactions", "tid"))
 
 
 def insert_splits(ledger: Ledger, requests: DataFrame) -> Staged:
@@ -469,11 +468,12 @@ def insert_splits(ledger: Ledger, requests: DataFrame) -> Staged:
     batch = _Batch(_as_edits(requests.select("seq", F.coalesce(given, lowest).alias("target_id"))))
     homes = batch.found(ledger.transactions, "tid").withColumn("known", F.lit(True))
     judged = _judge(
-        batch.join(batch.edits.withColumn("aid", holder), homes, "target_id"),
+        join_facts(batch.edits.withColumn("aid", holder), homes, "target_id"),
         (F.col("aid").isNull(), NO_ACCOUNT + IMBALANCE_ACCOUNT, True),
         (F.col("known").isNull(), "no transaction with this id", True),
     )
     rows = _accepted(judged).select(
+        "seq",
         _next_ids(ledger.splits, "sid", requests).alias("sid"),
         F.col("target_id").alias("tid"),
         "aid",
@@ -482,7 +482,7 @@ def insert_splits(ledger: Ledger, requests: DataFrame) -> Staged:
         F.lit(None).alias("memo"),
     )
     splits = ledger.splits.unionByName(_shaped(rows, SPLITS))
-    return Staged(ledger.stage(splits=splits), _rejected(judged))
+    return Staged(ledger.stage(splits=splits), _rejected(judged), _inserted(rows, "splits", "sid"))
 
 
 # -- deletes ---------------------------------------------------------------------------
@@ -522,7 +522,7 @@ def delete_accounts(ledger: Ledger, requests: DataFrame) -> Staged:
     batch = _Batch(_as_edits(requests))
     in_use = batch.found(owners, "aid").withColumn("used", F.lit(True))
     judged = _judge(
-        batch.join(batch.edits, in_use, "target_id"),
+        join_facts(batch.edits, in_use, "target_id"),
         (F.col("used"), "account is still referenced from splits", True),
     )
     return Staged(
@@ -534,7 +534,7 @@ def delete_by_statement_row(ledger: Ledger, requests: DataFrame) -> Staged:
     """Delete the whole transactions behind cash-statement rows, given by sid."""
     batch = _Batch(_as_edits(requests))
     judged = _judge(
-        batch.join(batch.edits, batch.found(ledger.splits, "sid", "tid"), "target_id"),
+        join_facts(batch.edits, batch.found(ledger.splits, "sid", "tid"), "target_id"),
         (F.col("tid").isNull(), NO_STATEMENT_ROW, True),
     )
     gone = _accepted(judged)

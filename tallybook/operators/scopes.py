@@ -6,66 +6,57 @@ file scan) or a DataFrame of any size holding the key column (a semi join).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tallybook.ledger import Ledger
 from tallybook.operators.skew import join_facts
 
-Keys = DataFrame | Iterable[int] | None  # or a KeySet, a frame already sized up
 
-#: Up to this many keys of eight bytes are sent to every executor (8 MB of keys).
-BROADCAST_KEYS = 1_000_000
-#: Text that may go with them.
-BROADCAST_BYTES = 64_000_000
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``, or else the context's checkpoint folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return folder
 
 
-def few(keys: DataFrame) -> bool:
-    """Whether there are few enough keys to broadcast. Runs a count."""
-    return keys.count() <= BROADCAST_KEYS
+Keys = DataFrame | Iterable[int] | None
 
 
-@dataclass(frozen=True)
-class KeySet:
-    """Wanted keys as a frame, each once, and whether they are few."""
+def stored_keys(keys: Keys, key: str) -> Keys:
+    """A frame of keys written once, each key once, for use in several scopes. Lists stay lists.
 
-    frame: DataFrame
-    small: bool
+    What is read back has a known size, by which Spark decides whether to send it along.
+    """
+    if not isinstance(keys, DataFrame):
+        return keys
+    return stored_columns(keys.select(key).distinct())
 
 
-def key_set(keys: Keys, key: str) -> Keys:
-    """Size up a frame of keys, once, for use in several scopes. Lists stay lists."""
-    if isinstance(keys, DataFrame):
-        return KeySet(keys.select(key).distinct(), few(keys))
-    return keys
+def stored_columns(df: DataFrame) -> DataFrame:
+    """A working copy in the folder the session names for them."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tallybook/scope-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def in_keys(df: DataFrame, key: str, keys: Keys) -> DataFrame:
     """Rows whose ``key`` is wanted; None means all of them."""
-    keys = key_set(keys, key)
     if keys is None:
         return df
-    if isinstance(keys, KeySet):
-        return _matched(df, key, keys, "left_semi")
+    if isinstance(keys, DataFrame):
+        return join_facts(df, keys.select(key).distinct(), key, "left_semi")
     return df.filter(F.col(key).isin(list(keys)))
 
 
 def not_in_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Rows whose ``key`` is not among ``keys``."""
-    return _matched(df, key, key_set(keys, key), "left_anti")
-
-
-def _matched(df: DataFrame, key: str, keys: KeySet, how: str) -> DataFrame:
-    """Semi or anti join: the keys are broadcast if few, else hot ones are salted."""
-    if keys.small:
-        return df.join(F.broadcast(keys.frame), key, how)
-    if key != "sid" and "sid" in df.columns:
-        return join_facts(df, keys.frame, key, "sid", how)
-    return df.join(keys.frame, key, how)  # unique in its own table: nothing can be hot
+    return join_facts(df, keys.select(key).distinct(), key, "left_anti")
 
 
 def in_dates(start=None, end=None, column: str = "date") -> Column:
@@ -83,29 +74,17 @@ def detail_of(child: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return in_keys(child, key, parents)
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Mark a table for broadcast if its measured size allows; else Spark decides.
-
-    For the result of a selective filter, which Spark takes to be as large as
-    the table it was cut from.
-    """
-    texts = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
-    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
-    size = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
-    small = size["rows"] <= BROADCAST_KEYS and size["bytes"] <= BROADCAST_BYTES
-    return F.broadcast(df) if small else df
+def cut(ledger: Ledger, transactions: DataFrame) -> Ledger:
+    """The ledger of some of its transactions, with all their splits."""
+    kept = transactions.select("tid")
+    return ledger.stage(
+        transactions=transactions, splits=ledger.splits.join(kept, "tid", "left_semi")
+    )
 
 
 def zoom(ledger: Ledger, chosen: DataFrame) -> Ledger:
-    """The transactions of some chosen splits, with all their splits.
-
-    When the chosen splits are few, both tables are cut down to their
-    transactions by a broadcast, so that what follows shuffles little. Past the
-    limit the ledger is returned whole: the reports select their rows anyway.
-    """
-    if not few(chosen):
-        return ledger
-    tids = F.broadcast(chosen.select("tid").distinct())
+    """The transactions of some chosen splits, with all their splits."""
+    tids = stored_keys(chosen, "tid")
     return ledger.stage(
         transactions=ledger.transactions.join(tids, "tid", "left_semi"),
         splits=ledger.splits.join(tids, "tid", "left_semi"),

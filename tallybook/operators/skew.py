@@ -1,57 +1,31 @@
 """Joining rows with per-key facts when a few keys own a large part of the rows.
 
-Adaptive execution splits a hot partition only where both sides of the join come
-straight from a shuffle. Facts that were aggregated by the join key do not, so a
-hot key is spread here: its rows over several salts, its fact to each of them.
+Adaptive execution splits a hot partition only where both sides of the join come straight from
+a shuffle made for that join. Facts that were aggregated by the join key are already laid out
+by it, so Spark would not shuffle them again, and the rows of a hot key would stay together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Rows of one key that a single task takes on; a key with more is hot.
-HOT_ROWS = 1_000_000
-#: Tasks that rows without a key are spread over.
-NULL_SALTS = 1024
 
+def laid_out_anew(facts: DataFrame, key: str) -> DataFrame:
+    """``facts`` with their layout by ``key`` forgotten, so that a join on it shuffles them itself.
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """Keys with more than ``HOT_ROWS`` rows, and the number of salts each needs.
-
-    Counted with a map-side combine, over the key column alone. There can be no
-    more of them than one per ``HOT_ROWS`` rows, 16 bytes each, which bounds
-    their broadcast: a trillion rows have at most a million hot keys.
+    The key makes a detour that does not change it but that hides where it came from.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows_of_key"))
-    salts = F.ceil(F.col("rows_of_key") / HOT_ROWS).cast("int")
-    return counts.filter(F.col("rows_of_key") > HOT_ROWS).select(key, salts.alias("salts"))
-
-
-def join_facts(
-    rows: DataFrame,
-    facts: DataFrame,
-    key: str,
-    unique: str,
-    how: str = "left",
-    counted: DataFrame | None = None,
-) -> DataFrame:
+    if isinstance(facts.schema[key].dataType, StringType):
+        return facts.withColumn(key, F.concat(F.col(key), F.lit("")))
+    return facts.withColumn(key, F.col(key).cast("string").cast(facts.schema[key].dataType))
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join ``rows`` with ``facts``, which has one row per ``key``.
 
-    ``unique`` is a column that differs between the rows of a key; its hash picks
-    the salt, so a recomputed row lands where it landed before. ``counted`` is
-    what to find the hot keys in, if there is something cheaper than ``rows``
-    with about as many rows per key: the result does not depend on it. It is
-    counted first: up to ``HOT_ROWS`` rows in all, no key can be hot.
+    Building the join reads nothing. A key that holds a large part of the rows, or rows without a
+    key, are split at run time; small facts are sent along, as Spark measures them.
     """
-    counted = rows if counted is None else counted
-    if counted.count() <= HOT_ROWS:
-        return rows.join(facts, key, how)
-    hot = F.broadcast(hot_keys(counted, key))
-    # Rows without a key match nothing; they are spread so as not to pile up.
-    salts = F.when(F.col(key).isNull(), F.lit(NULL_SALTS)).otherwise(F.col("salts"))
-    salt = F.coalesce(F.pmod(F.xxhash64(unique), salts), F.lit(0)).cast("int")
-    salted = rows.join(hot, key, "left").withColumn("salt", salt).drop("salts")
-    every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-    spread = facts.join(hot, key, "left").withColumn("salt", every).drop("salts")
-    return salted.join(spread, [key, "salt"], how).drop("salt")
+    return rows.join(laid_out_anew(facts, key), key, how)

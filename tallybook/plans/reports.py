@@ -26,9 +26,10 @@ from tallybook.operators.checks import imbalances
 from tallybook.operators.counters import cash_sides, opposite
 from tallybook.operators.journal import build_journal, journal_of
 from tallybook.operators.joins import dated_splits, named_accounts, splits_with_account
-from tallybook.operators.scopes import Keys, broadcast_if_small, in_dates, in_keys, key_set, zoom
+from tallybook.operators.scopes import Keys, cut, in_dates, in_keys, stored_keys, zoom
 from tallybook.operators.skew import join_facts
-from tallybook.sources.schema import ACCOUNT_KINDS, FIRST_DATE, LAST_DATE, SPLIT_KINDS
+from tallybook.sources.schema import ACCOUNT_KINDS, SPLIT_KINDS
+
 __all__ = [
     "account_balances",
     "account_statement",
@@ -130,16 +131,28 @@ def _running() -> dict[str, Column]:
     }
 
 
+def _cut(ledger: Ledger, start, end, pattern: str = "%") -> Ledger:
+    """The ledger of the transactions in scope; all of it if everything is, or if a journal is at hand."""
+    if ledger.journal is not None or (start is None and end is None and pattern == "%"):
+        return ledger
+    return cut(ledger, ledger.transactions.filter(in_dates(start, end) & like(F.col("description"), pattern)))
+
+
 def _near(ledger: Ledger, column: str, keys: Keys) -> Ledger:
-    """The ledger, less the transactions without a chosen split if that is quick."""
+    """The ledger, less the transactions without a chosen split."""
     if keys is None or ledger.journal is not None:
         return ledger
     return zoom(ledger, in_keys(ledger.splits, column, keys))
 
 
+def _dated(detail: DataFrame, start, end) -> DataFrame:
+    """Rows in ``[start, end)``; a split without a transaction has no date and is in no statement."""
+    return detail.filter(F.col("date").isNotNull() & in_dates(start, end))
+
+
 def _of_accounts(ledger: Ledger, aids: Keys) -> tuple[DataFrame, DataFrame]:
     """Journal rows of the wanted accounts, and their splits with dates."""
-    aids = key_set(aids, "aid")
+    aids = stored_keys(aids, "aid")
     near = _near(ledger, "aid", aids)
     detail = in_keys(journal_of(near), "aid", aids).filter(F.col("account").isNotNull())
     return detail, in_keys(dated_splits(near), "aid", aids)
@@ -152,32 +165,31 @@ def _of_splits(ledger: Ledger, sids: Keys) -> tuple[DataFrame, DataFrame]:
 
 
 def account_statement(
-    ledger: Ledger, aids: Keys = None, start=FIRST_DATE, end=LAST_DATE, ordered: bool = True
+    ledger: Ledger, aids: Keys = None, start=None, end=None, ordered: bool = True
 ) -> DataFrame:
     """Splits of each account with its running balance, debits and credits.
 
-    Only splits in ``[start, end)`` count, so each balance starts from zero.
+    Only splits in ``[start, end)`` count, so each balance starts from zero; without
+    dates all of them do.
     """
-    detail, moves = _of_accounts(ledger, aids)
-    scope = in_dates(start, end)
-    totals = running_totals(moves.filter(scope), _running(), by=("aid",))
-    return _statement(attach(detail.filter(scope), totals, by=("aid",)), ordered, wide=5)
+    detail, moves = _of_accounts(_cut(ledger, start, end), aids)
+    totals = running_totals(_dated(moves, start, end), _running(), by=("aid",))
+    return _statement(attach(_dated(detail, start, end), totals, by=("aid",)), ordered, wide=5)
 
 
 def account_statement_rows(
-    ledger: Ledger, sids: Keys = None, start=FIRST_DATE, end=LAST_DATE, ordered: bool = True
+    ledger: Ledger, sids: Keys = None, start=None, end=None, ordered: bool = True
 ) -> DataFrame:
     """The statement rows of chosen splits, whatever their own date.
 
     The dates limit what is summed, not which rows appear: a row before
     ``start`` shows zero, a row after ``end`` the whole range's total.
     """
-    sids = key_set(sids, "sid")
+    sids = stored_keys(sids, "sid")
     detail, probes = _of_splits(ledger, sids)
     moves = dated_splits(ledger)
     if sids is not None:  # everything that ever moved the accounts of the chosen splits
-        aids = key_set(in_keys(ledger.splits, "sid", sids), "aid")
-        moves = in_keys(dated_splits(_near(ledger, "aid", aids)), "aid", aids)
+        moves = in_keys(moves, "aid", in_keys(ledger.splits, "sid", sids))
     totals = running_totals(moves.filter(in_dates(start, end)), _running(), by=("aid",), probes=probes)
     return _statement(attach(detail, totals, by=("aid",)), ordered, wide=5)
 
@@ -187,18 +199,19 @@ def _cash_book(ledger: Ledger, pattern: str, start, end) -> tuple[DataFrame, Dat
 
     Movements carry ``counter_cash``: whether an account opposite mentions cash.
     """
-    scope = in_dates(start, end) & like(F.col("description"), pattern) & is_cash_account(F.col("account"))
     if ledger.journal is not None:
-        detail = ledger.journal.filter(scope)
+        scope = like(F.col("description"), pattern) & is_cash_account(F.col("account"))
+        detail = _dated(ledger.journal.filter(scope), start, end)
         return detail, detail.withColumn("counter_cash", mentions_cash(F.col("counter")))
+    near = _cut(ledger, start, end, pattern)
     # Only accounts that mention cash can mark a transfer, and the cash accounts are among them.
-    mentioning = broadcast_if_small(named_accounts(ledger).filter(mentions_cash(F.col("account"))))
-    marking = ledger.splits.join(mentioning, "aid")
-    splits = ledger.splits.join(mentioning.filter(is_cash_account(F.col("account"))), "aid")
-    transactions = ledger.transactions.select("tid", "date", "description")
+    mentioning = named_accounts(near).filter(mentions_cash(F.col("account")))
+    marking = near.splits.join(mentioning, "aid")
+    splits = marking.filter(is_cash_account(F.col("account")))
+    transactions = near.transactions.select("tid", "date", "description")
     facts = transactions.join(cash_sides(marking), "tid", "left")
-    moves = join_facts(splits, facts, "tid", "sid", how="inner").filter(scope)
-    return build_journal(ledger, splits).filter(scope), moves.withColumn("counter_cash", opposite("cash"))
+    moves = join_facts(splits, facts, "tid", how="inner").withColumn("counter_cash", opposite("cash"))
+    return _dated(build_journal(near, splits), start, end), _dated(moves, start, end)
 
 
 def _internal() -> Column:
@@ -217,7 +230,7 @@ def _cash_totals(moves: DataFrame, probes: DataFrame | None = None) -> DataFrame
 
 
 def cash_statement(
-    ledger: Ledger, pattern: str = "%", start=FIRST_DATE, end=LAST_DATE, ordered: bool = True
+    ledger: Ledger, pattern: str = "%", start=None, end=None, ordered: bool = True
 ) -> DataFrame:
     """One statement across all cash accounts.
 
@@ -232,18 +245,18 @@ def cash_statement_rows(
     ledger: Ledger,
     sids: Keys = None,
     pattern: str = "%",
-    start=FIRST_DATE,
-    end=LAST_DATE,
+    start=None,
+    end=None,
     ordered: bool = True,
 ) -> DataFrame:
     """Cash-statement rows of chosen splits of any account, date and description."""
-    detail, probes = _of_splits(ledger, key_set(sids, "sid"))
+    detail, probes = _of_splits(ledger, stored_keys(sids, "sid"))
     _, moves = _cash_book(ledger, pattern, start, end)
     totals = _cash_totals(moves, probes=probes)
     return _statement(attach(detail, totals), ordered, wide=6)
 
 
-def external_sums(ledger: Ledger, pattern: str = "%", start=FIRST_DATE, end=LAST_DATE) -> DataFrame:
+def external_sums(ledger: Ledger, pattern: str = "%", start=None, end=None) -> DataFrame:
     """Debits and credits of each cash account, transfers between cash accounts left out."""
     _, moves = _cash_book(ledger, pattern, start, end)
     internal = _internal()
@@ -276,5 +289,5 @@ def _with_balance(ledger: Ledger, aids: Keys, start=None, end=None) -> DataFrame
     detail, moves = _of_accounts(ledger, aids)
     # Rows on or after ``end`` cannot reach any balance shown.
     totals = running_totals(moves.filter(in_dates(None, end)), {"balance": signed_amount()}, by=("aid",))
-    return attach(detail.filter(in_dates(start, end)), totals, by=("aid",))
+    return attach(_dated(detail, start, end), totals, by=("aid",))
 

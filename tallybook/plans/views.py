@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ class View:
     """A named view.
 
     ``columns`` maps each label to the report column behind it, in display
-    order; ``editable`` are the labels that ``update`` accepts. ``select`` runs
+    order; ``update`` accepts edits of the labels in ``editable`` and rejects others. ``select`` runs
     the report, ``reselect`` the same for given ids only, usually on a staged
     ledger to show changed rows.
     """
@@ -32,6 +32,20 @@ class View:
     update: Callable[..., edits.Staged]
     delete: Callable[..., edits.Staged]
     nullable: frozenset[str] = field(default_factory=frozenset)
+    refusal: str = edits.NOT_EDITABLE
+
+
+def _enforced(spec: View) -> View:
+    """The view with an ``update`` that rejects edits of other labels before the rest is judged."""
+    change = spec.update
+
+    def update(ledger, batch: DataFrame) -> edits.Staged:
+        allowed = F.coalesce(F.col("field").isin(*sorted(spec.editable)), F.lit(False))
+        staged = change(ledger, batch.filter(allowed))
+        others = edits.refuse(ledger, batch.filter(~allowed), spec.refusal).rejects
+        return replace(staged, rejects=staged.rejects.unionByName(others))
+
+    return replace(spec, update=update)
 
 
 def _reselect_transactions(ledger, tids, ordered: bool = True) -> DataFrame:
@@ -106,6 +120,7 @@ VIEWS = {
         insert=edits.insert_statement,
         update=edits.update_statement,
         delete=edits.delete_statement,
+        refusal=edits.NOT_EDITABLE_STATEMENT,
     ),
     "cash_statement": View(
         columns=_STATEMENT,
@@ -115,8 +130,10 @@ VIEWS = {
         insert=edits.insert_statement,
         update=edits.update_statement,
         delete=edits.delete_by_statement_row,
+        refusal=edits.NOT_EDITABLE_STATEMENT,
     ),
 }
+VIEWS = {name: _enforced(spec) for name, spec in VIEWS.items()}
 
 
 def project_view(report: DataFrame, view: str) -> DataFrame:

@@ -1,23 +1,25 @@
 """Books on storage: one folder per year, one sub-folder per published version.
 
-    <root>/book_year=2017/version=3/{accounts,transactions,splits,journal}
-    <root>/book_year=2017/versions          one row per published version
+    <root>/book_year=2017/attempt-<unique>/{accounts,transactions,splits,journal}
+    <root>/book_year=2017/versions          one row per published version, naming its folder
 
 A version is written once and never changed, so readers of an older one are not
-disturbed. Its row in ``versions`` is added last: until then nobody reads it.
+disturbed. Its row in ``versions`` is added last: until then nobody reads it. Every attempt
+writes a folder of its own, so two publishers never mix their files; of two that end up with
+the same number, the one whose folder sorts last is the version.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.ledger import Ledger
+from tallybook.ledger import Ledger, Staged
 from tallybook.operators.checks import (
     require_balanced,
     require_no_fatal,
@@ -25,56 +27,61 @@ from tallybook.operators.checks import (
     validate_schema,
 )
 from tallybook.operators.journal import build_journal
+from tallybook.operators.scopes import shared_folder
 from tallybook.sources.schema import DEFAULT_YEAR, JOURNAL, KEYS, TABLES
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as the session names it.
-
-    Only a local session without one falls back to a folder of this machine.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tallybook-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-
-
 def _book(root: str, year) -> str:
     return f"{root}/book_year={year}"
 
 
 def published_versions(spark: SparkSession, root: str, year=DEFAULT_YEAR) -> DataFrame:
-    return spark.read.schema("version long, has_journal boolean").parquet(f"{_book(root, year)}/versions")
+    schema = "version long, has_journal boolean, folder string"
+    return spark.read.schema(schema).parquet(f"{_book(root, year)}/versions")
 
 
-def _latest(spark: SparkSession, root: str, year) -> tuple[int, bool]:
-    """Number of the newest version (0: none yet) and whether it has a journal."""
+def _version(spark: SparkSession, root: str, year, version: int | None = None):
+    """The row of a version, the newest one unless it is named; None if there is none."""
     try:
-        row = published_versions(spark, root, year).agg(
-            F.max("version").alias("version"), F.max_by("has_journal", "version").alias("has_journal")
-        ).first()
+        known = published_versions(spark, root, year)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return 0, False
-    return row["version"] or 0, bool(row["has_journal"])
+        return None
+    if version is not None:
+        known = known.filter(F.col("version") == version)
+    return known.orderBy(F.desc("version"), F.desc("folder")).first()
 
 
 def read_book(spark: SparkSession, root: str, year=DEFAULT_YEAR, version: int | None = None) -> Ledger:
     """The ledger of one year, newest version unless one is named."""
-    latest, _ = _latest(spark, root, year)
-    wanted = latest if version is None else version
-    known = published_versions(spark, root, year).filter(F.col("version") == wanted).first() if latest else None
+    known = _version(spark, root, year, version)
     if known is None:
         raise ValueError(f"no published book of {year} under {root}")
-    folder = f"{_book(root, year)}/version={wanted}"
+    return _read_folder(spark, f"{_book(root, year)}/{known['folder']}", known["has_journal"])
+
+
+def _read_folder(spark: SparkSession, folder: str, journal: bool) -> Ledger:
     tables = {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in TABLES.items()}
-    journal = spark.read.schema(JOURNAL).parquet(f"{folder}/journal") if known["has_journal"] else None
-    return Ledger(**tables, journal=journal)
+    return Ledger(**tables, journal=spark.read.schema(JOURNAL).parquet(f"{folder}/journal") if journal else None)
+
+
+#: Bytes of a file of a table.
+FILE_BYTES = 128 << 20
+
+
+def _write_ranges(rows: DataFrame, folder: str, name: str, keys: tuple[str, ...], order: tuple[str, ...]) -> None:
+    """Write rows in ranges of ``keys``, each sorted by ``order``.
+
+    Finding the ranges reads the rows once more than writing them, so they are first written as
+    they come; the number of ranges follows from their measured bytes.
+    """
+    spark = rows.sparkSession
+    rows.write.parquet(f"{folder}/unsorted/{name}")
+    raw = spark.read.schema(rows.schema).parquet(f"{folder}/unsorted/{name}")
+    size = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = raw.repartitionByRange(-(-size // FILE_BYTES) or 1, *keys)
+    ranges.sortWithinPartitions(*order).write.parquet(f"{folder}/{name}")
 
 
 def _write_tables(ledger: Ledger, folder: str) -> None:
@@ -84,78 +91,44 @@ def _write_tables(ledger: Ledger, folder: str) -> None:
     large part of all rows is spread over as many files as it needs.
     """
     ledger.accounts.select(*TABLES["accounts"].names).write.parquet(f"{folder}/accounts")
-    (
-        ledger.transactions.select(*TABLES["transactions"].names)
-        .repartitionByRange("date", "tid")
-        .sortWithinPartitions("date", "tid")
-        .write.parquet(f"{folder}/transactions")
-    )
-    (
-        ledger.splits.select(*TABLES["splits"].names)
-        .repartitionByRange("tid", "sid")
-        .sortWithinPartitions("tid", "sid")
-        .write.parquet(f"{folder}/splits")
-    )
+    for name, keys in (("transactions", ("date", "tid")), ("splits", ("tid", "sid"))):
+        _write_ranges(getattr(ledger, name).select(*TABLES[name].names), folder, name, keys, keys)
 
 
 def write_journal(ledger: Ledger, folder: str) -> None:
     """Write the journal under ``folder``, clustered by date for the reports' date ranges."""
-    (
-        build_journal(ledger)
-        .repartitionByRange("date", "sid")
-        .sortWithinPartitions("date", "aid")
-        .write.parquet(f"{folder}/journal")
-    )
+    _write_ranges(build_journal(ledger), folder, "journal", ("date", "sid"), ("date", "aid"))
 
 
-def publish(
-    ledger: Ledger,
-    root: str,
-    year=DEFAULT_YEAR,
-    rejects: DataFrame | None = None,
-    journal: bool = True,
-) -> Ledger:
+def publish(staged: Staged | Ledger, root: str, year=DEFAULT_YEAR, journal: bool = True) -> Ledger:
     """Write a ledger as the book's next version, unless it is invalid or unbalanced.
 
-    The tables are written first and checked as written, so the changes behind
-    them are computed once. A refused version keeps its files but gets no row in
-    ``versions``, hence is never read. Returns the published ledger.
+    A staged batch comes with its rejects and is refused if one of them is fatal; a plain
+    ledger has none. The tables are written first and checked as written, keys and
+    references included, so the changes behind them are computed once. A refused version
+    keeps its files but gets no row in ``versions``, hence is never read. Returns the
+    published ledger.
     """
+    ledger = staged.ledger if isinstance(staged, Staged) else staged
     spark = ledger.splits.sparkSession
-    require_no_fatal(rejects)
-    # A refused attempt may have left files: its number is not used again.
-    version = _next_free(spark, root, year)
-    folder = f"{_book(root, year)}/version={version}"
+    if isinstance(staged, Staged):
+        require_no_fatal(staged.rejects)
+    name = f"attempt-{uuid.uuid4().hex}"
+    folder = f"{_book(root, year)}/{name}"
     _write_tables(ledger, folder)
-    written = Ledger(**{n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in TABLES.items()})
+    written = _read_folder(spark, folder, journal=False)
     require_valid(written)
     require_balanced(written)
     if journal:
         write_journal(written, folder)
-    _announce(spark, root, year, version, journal)
-    return read_book(spark, root, year, version)
-
-
-def _next_free(spark: SparkSession, root: str, year) -> int:
-    version = _latest(spark, root, year)[0] + 1
-    while _exists(spark, f"{_book(root, year)}/version={version}/accounts"):
-        version += 1
-    return version
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.schema("x int").parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return False
-    return True
-
-
-def _announce(spark: SparkSession, root: str, year, version: int, journal: bool) -> None:
-    row = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(journal).alias("has_journal"))
+    latest = _version(spark, root, year)
+    row = spark.range(1).select(
+        F.lit(latest["version"] + 1 if latest else 1).cast("long").alias("version"),
+        F.lit(journal).alias("has_journal"),
+        F.lit(name).alias("folder"),
+    )
     row.write.mode("append").parquet(f"{_book(root, year)}/versions")
+    return _read_folder(spark, folder, journal)
 
 
 def store_unchecked(ledger: Ledger, folder: str, journal: bool = True) -> Ledger:
@@ -165,40 +138,74 @@ def store_unchecked(ledger: Ledger, folder: str, journal: bool = True) -> Ledger
     """
     spark = ledger.splits.sparkSession
     _write_tables(ledger, folder)
-    tables = {n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in TABLES.items()}
-    if not journal:
-        return Ledger(**tables)
-    write_journal(Ledger(**tables), folder)
-    return Ledger(**tables, journal=spark.read.schema(JOURNAL).parquet(f"{folder}/journal"))
+    if journal:
+        write_journal(_read_folder(spark, folder, journal=False), folder)
+    return _read_folder(spark, folder, journal)
+
 
+def _read_lines(spark: SparkSession, name: str, path, header: bool, multi_line: bool) -> DataFrame:
+    """The lines of one table's files as text columns, and ``broken``: the line, where its fields do not fit.
 
-def bulk_load(spark: SparkSession, files: dict[str, str], header: bool = True) -> tuple[Ledger, DataFrame]:
+    With a header, columns go by their names; files of one table must name them in the same order.
+    """
+    schema = TABLES[name]
+    options = {"multiLine": multi_line, "escape": '"', "header": header}
+    columns = schema.names
+    if header:
+        columns = spark.read.options(**options).csv(path).columns
+        unknown, missing = sorted(set(columns) - set(schema.names)), sorted(set(schema.names) - set(columns))
+        if unknown or missing or len(columns) != len(schema.names):
+            raise ValueError(f"{name}: unknown or repeated columns {unknown or columns}, missing columns {missing}")
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "broken"]])
+    reader = spark.read.schema(texts).options(**options, enforceSchema=False, columnNameOfCorruptRecord="broken")
+    return reader.csv(path)
+
+
+def _unreadable(text: Column, kind: T.DataType) -> Column:
+    """Whether a text is not a value of this type; an amount with more decimals than are kept is none."""
+    bad = text.isNotNull() & text.try_cast(kind).isNull()
+    if not isinstance(kind, T.DecimalType):
+        return bad
+    exact = text.try_cast(T.DecimalType(38, 18))
+    longer = text.rlike(r"\.[0-9]{" + str(kind.scale) + r"}[0-9]*[1-9]")
+    return bad | F.coalesce(longer | (exact != text.try_cast(kind)), F.lit(False))
+
+
+def bulk_load(
+    spark: SparkSession, files: dict[str, str], header: bool = True, multi_line: bool = True
+) -> tuple[Ledger, DataFrame]:
     """Read CSV files of the three tables.
 
-    ``files`` maps a table name to its path(s). Returns the ledger made of the
-    lines whose every value can be read as its column's type, and the
-    violations: values that cannot, and broken column rules of the rest.
+    ``files`` maps a table name to its path(s). With a header, columns are matched by name, and
+    an unknown or missing one raises; without, they come in the order of the schema. Returns the
+    ledger made of the lines that have a field for each column and whose every value can be
+    read as its column's type, and the violations: lines with too few or too many
+    fields, values that cannot be read or would be rounded, and broken column rules of the rest.
+
+    ``multi_line`` allows line breaks inside quotes. A file is then read by one task, so
+    large loads come in many files; without it a file is split.
     """
     tables, unreadable = {}, []
     for name, schema in TABLES.items():
-        # Read as text and cast here: a scan that prunes columns would only
-        # notice bad values in the columns a query happens to use.
-        texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-        lines = spark.read.schema(texts).option("header", header).csv(files[name])
+        # Read as text and cast here: every violation is then seen, whatever columns a query uses.
+        lines = _read_lines(spark, name, files[name], header, multi_line)
+        whole = F.col("broken").isNull()
         typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema if f.dataType != T.StringType()}
-        bad = {c: F.col(c).isNotNull() & value.isNull() for c, value in typed.items()}
-        sound = reduce(lambda a, b: a & b, [~test for test in bad.values()])
+        bad = {c: _unreadable(F.col(c), schema[c].dataType) for c in typed}
+        sound = reduce(lambda a, b: a & b, [whole, *[~test for test in bad.values()]])
         tables[name] = lines.filter(sound).select(*[typed.get(c, F.col(c)).alias(c) for c in schema.names])
-        problems = [
-            F.when(
-                test,
-                F.struct(
-                    F.lit(c).alias("column_name"), F.lit("unreadable value").alias("problem"), F.col(c).alias("found")
-                ),
+
+        def problem(test: Column, column: Column, text: str, found: Column) -> Column:
+            return F.when(
+                test, F.struct(column.alias("column_name"), F.lit(text).alias("problem"), found.alias("found"))
             )
-            for c, test in bad.items()
-        ]
-        key = typed[KEYS[name]].alias("key")
+
+        problems = [problem(~whole, F.lit(None).cast("string"), "wrong number of fields", F.col("broken"))]
+        for c, test in bad.items():
+            rounded = whole & test & typed[c].isNotNull()
+            problems.append(problem(whole & test & ~rounded, F.lit(c), "unreadable value", F.col(c)))
+            problems.append(problem(rounded, F.lit(c), "too many decimals", F.col(c)))
+        key = F.when(whole, typed[KEYS[name]]).alias("key")
         unreadable.append(
             lines.select(key, F.explode(F.array_compact(F.array(*problems))).alias("p")).select(
                 F.lit(name).alias("table_name"), "key", "p.*"

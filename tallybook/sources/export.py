@@ -7,34 +7,30 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.text import clip_text, null_label
 
-# Fixed value: no column is shown wider than this.
-MAX_WIDTH = 45
+# Fixed value: the widest column of a screen.
+SCREEN_WIDTH = 45
 
 
 def _shown(column: str):
     return null_label(F.col(column).cast("string"))
 
 
-def column_widths(report: DataFrame) -> DataFrame:
-    """One row: per column the longest text, header included, up to the limit."""
-    return report.agg(
-        *[
-            F.least(F.greatest(F.coalesce(F.max(F.length(_shown(c))), F.lit(0)), F.lit(len(c))), F.lit(MAX_WIDTH)).alias(c)
-            for c in report.columns
-        ]
-    )
+def column_widths(report: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row: per column the longest text, header included, up to the limit if there is one."""
+    widths = {c: F.greatest(F.coalesce(F.max(F.length(_shown(c))), F.lit(0)), F.lit(len(c))) for c in report.columns}
+    return report.agg(*[(w if limit is None else F.least(w, F.lit(limit))).alias(c) for c, w in widths.items()])
 
 
-def text_lines(report: DataFrame, gap: str = " | ") -> DataFrame:
-    """One ``line`` per report row: cells clipped and padded to their column's width."""
-    widths = column_widths(report).first().asDict()
+def text_lines(report: DataFrame, gap: str = " | ", limit: int | None = None) -> DataFrame:
+    """One ``line`` per report row: cells padded to their column's width, and clipped to the limit."""
+    widths = column_widths(report, limit).first().asDict()
     cells = [F.rpad(clip_text(_shown(c), widths[c]), widths[c], " ") for c in report.columns]
     return report.select(F.concat_ws(gap, *cells).alias("line"))
 
 
-def header_line(report: DataFrame, gap: str = " | ") -> str:
+def header_line(report: DataFrame, gap: str = " | ", limit: int | None = None) -> str:
     """The column names, laid out like the lines below them."""
-    widths = column_widths(report).first().asDict()
+    widths = column_widths(report, limit).first().asDict()
     return gap.join(_clip(c, widths[c]).ljust(widths[c]) for c in report.columns)
 
 
@@ -42,8 +38,8 @@ def _clip(text: str, size: int) -> str:
     return text if len(text) <= size else text[: size - 3] + "..."
 
 
-def export_report(report: DataFrame, path: str, form: str = "csv") -> None:
-    """Write a report as CSV with a header, or as aligned text lines.
+def export_report(report: DataFrame, path: str, form: str = "csv", limit: int | None = None) -> None:
+    """Write a report as CSV with a header, or as aligned text lines; ``limit`` clips the cells of the latter.
 
     Rows keep the report's order over the numbered part files.
     """
@@ -51,6 +47,6 @@ def export_report(report: DataFrame, path: str, form: str = "csv") -> None:
         shown = report.select(*[_shown(c).alias(c) for c in report.columns])
         shown.write.option("header", True).csv(path)
     elif form == "text":
-        text_lines(report).write.text(path)
+        text_lines(report, limit=limit).write.text(path)
     else:
         raise ValueError(f"form must be csv or text, not {form}")

@@ -55,7 +55,7 @@ REJECTS = T.StructType(
 ACCOUNT_KINDS = ("asset", "liability", "equity", "income", "expense")
 SPLIT_KINDS = ("debit", "credit")
 
-# Defaults of a new account, a new split, an open date range, a book.
+# Defaults of a new account, a new split, a book; and the widest range of dates, for callers who want it.
 NEW_ACCOUNT_KIND = "asset"
 NEW_SPLIT_KIND = "debit"
 IMBALANCE_ACCOUNT = "Imbalance"

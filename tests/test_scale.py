@@ -4,9 +4,10 @@ import contextlib
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tallybook.operators import scopes, skew
+from tallybook.operators import counters, edits, scopes
 from tallybook.plans import reports
 
 
@@ -65,8 +66,8 @@ def test_no_quadratic_join_and_no_python(spark, book, journaled, name):
 
 def test_no_registered_query_has_a_quadratic_join(spark):
     """Joins without an equality: none, over all registered queries that only read."""
-    for name, query in entry.queries().items():
-        if name in ("publish_round_trip", "bulk_load", "export_report"):
+    for name, query in entry.ledger_queries().items():
+        if name in ("publish_round_trip", "bulk_load", "bulk_load_violations", "export_report"):
             continue  # these run jobs of their own; their reads are covered above
         with settings(spark, **NO_AUTO_BROADCAST):
             text = plan(query(spark, SMALL))
@@ -91,38 +92,80 @@ def test_stored_tables_match_the_rules(book, spark):
     assert (book.accounts.count(), book.transactions.count(), book.splits.count()) == (164, 2043, 6895)
 
 
-def test_hot_transaction_is_salted(spark, book, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_ROWS", 3)
-    hot = {r.tid: r.salts for r in skew.hot_keys(book.splits, "tid").collect()}
-    counts = {r.tid: r["count"] for r in book.splits.groupBy("tid").count().collect()}
-    assert hot == {t: -(-n // 3) for t, n in counts.items() if n > 3}
+TINY = {
+    **NO_AUTO_BROADCAST,
+    "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "4k",
+    "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "1.0",
+    "spark__sql__adaptive__advisoryPartitionSizeInBytes": "4k",
+    "spark__sql__shuffle__partitions": "16",
+}
+
+
+def test_hot_transaction_is_split_by_adaptive_execution(spark, book):
+    """All splits in one transaction: its rows meet the transaction's facts in several tasks."""
+    with settings(spark, **TINY):
+        splits = book.splits.withColumn("tid", F.lit(4).cast("long")).repartition(8)
+        for df in (counters.counter_splits(splits), counters.with_counter(splits, book.stage(splits=splits))):
+            df.collect()
+            assert "skew=true" in plan(df)
+
+
+def test_hot_target_of_edits_is_split_by_adaptive_execution(spark, book):
+    with settings(spark, **TINY):
+        batch = book.splits.select(
+            F.col("sid").alias("seq"), F.lit(256).cast("long").alias("target_id"), F.lit("memo").alias("field"), F.lit("x").alias("value")
+        )
+        df = edits.update_splits(book, batch.repartition(8)).rejects
+        df.collect()
+        assert "skew=true" in plan(df)
+
+
+def jobs_while(spark, build):
+    """Jobs that run while a plan is built."""
+    tracker, group = spark.sparkContext.statusTracker(), "building"
+    spark.sparkContext.setJobGroup(group, group)
+    before = set(tracker.getJobIdsForGroup(group))
+    build()
+    return len(set(tracker.getJobIdsForGroup(group)) - before)
+
+
+def test_building_a_batch_reads_nothing(spark, book):
+    batches = {"splits": entry.split_edits(book), "statement": entry.statement_edits(book)}
+    assert jobs_while(spark, lambda: edits.apply_edits(book, batches)) == 0
+    assert jobs_while(spark, lambda: reports.account_statement(book, None, "1996-01-01", "1998-01-01")) == 0
+    assert jobs_while(spark, lambda: reports.cash_statement(book, "Payment%", "1996-01-01", "1998-01-01")) == 0
+
+
+def test_scoped_statements_collect_names_in_scope_only(spark, book):
+    """The scope's transactions filter the splits below the list of names."""
+    for df in (
+        reports.account_statement(book, None, "1996-01-01", "1998-01-01", ordered=False),
+        reports.cash_statement(book, "Payment%", "1996-01-01", "1998-01-01", ordered=False),
+    ):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        names = text[text.index("collect_set") :]
+        assert "Join LeftSemi" in names and "date" in names[names.index("Join LeftSemi") :]
+
+
+def test_rows_of_a_frame_of_splits_need_few_scans(spark, book):
+    chosen = book.splits.join(book.accounts.filter("name like 'Cash%'"), "aid", "left_semi")
+    made = []
+    jobs = jobs_while(spark, lambda: made.append(reports.account_statement_rows(book, chosen, "1996-01-01", "1998-01-01")))
+    assert jobs <= 6
+    assert plan(made[0]).count("Scan parquet") <= 24
 
 
 def test_hot_account_is_split_by_adaptive_execution(spark, book):
     """A sales account holds over a tenth of all splits; its join partition is split."""
-    tiny = {
-        **NO_AUTO_BROADCAST,
-        "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "4k",
-        "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "1.0",
-        "spark__sql__adaptive__advisoryPartitionSizeInBytes": "4k",
-        "spark__sql__shuffle__partitions": "16",
-    }
-    with settings(spark, **tiny):
+    with settings(spark, **TINY):
         spread = book.splits.repartition(8)
         df = reports.account_statement(book.stage(splits=spread))
         df.collect()
         assert "skew=true" in plan(df)
 
 
-def test_size_checks(spark, book, monkeypatch):
+def test_zoom(book):
     chosen = book.splits.filter("aid = 15")
-    assert scopes.zoom(book, chosen).splits.count() < book.splits.count()
-    monkeypatch.setattr(scopes, "BROADCAST_KEYS", 5)
-    assert scopes.zoom(book, chosen) is book
-    accounts = book.accounts.select("name")
-    assert scopes.broadcast_if_small(accounts) is accounts
-    one = reports.account_statement(book, [15]).collect()
-    monkeypatch.undo()
-    assert reports.account_statement(book, [15]).collect() == one
-    monkeypatch.setattr(scopes, "BROADCAST_BYTES", 10)
-    assert scopes.broadcast_if_small(accounts) is accounts
+    near = scopes.zoom(book, chosen)
+    assert near.splits.count() == book.splits.join(chosen.select("tid"), "tid", "left_semi").count() < book.splits.count()
+    assert near.transactions.count() == chosen.select("tid").distinct().count()
