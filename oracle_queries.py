@@ -552,7 +552,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "reselect_splits": ledger(
             f"""SELECT sid, tid - tid % 4 AS tid, CASE WHEN kind = 'debit' THEN account ELSE 'Dormant' END AS account, 'credit' AS kind,
-            {money(new_amount)} AS amount, {shown(new_amount)} AS amount_text, CASE WHEN memo IS NULL THEN 'checked' ELSE 'None' END AS memo
+            {money(new_amount)} AS amount, {shown(new_amount)} AS amount_text, CASE WHEN memo IS NULL THEN 'checked' END AS memo
             FROM (SELECT s.*, a.name AS account FROM splits s JOIN accounts a ON a.aid = s.aid) WHERE tid % 16 = 0"""
         ),
         "reselect_changed": ledger(

@@ -83,8 +83,8 @@ def cut(ledger: Ledger, transactions: DataFrame) -> Ledger:
 
 
 def zoom(ledger: Ledger, chosen: DataFrame) -> Ledger:
-    """The transactions of some chosen splits, with all their splits."""
-    tids = stored_keys(chosen, "tid")
+    """The transactions of some chosen splits, best a stored frame of known size, with all their splits."""
+    tids = chosen.select("tid").distinct()
     return ledger.stage(
         transactions=ledger.transactions.join(tids, "tid", "left_semi"),
         splits=ledger.splits.join(tids, "tid", "left_semi"),

@@ -26,7 +26,7 @@ from tallybook.operators.checks import imbalances
 from tallybook.operators.counters import cash_sides, opposite
 from tallybook.operators.journal import build_journal, journal_of
 from tallybook.operators.joins import dated_splits, named_accounts, splits_with_account
-from tallybook.operators.scopes import Keys, cut, in_dates, in_keys, stored_keys, zoom
+from tallybook.operators.scopes import Keys, cut, in_dates, in_keys, stored_columns, stored_keys, zoom
 from tallybook.operators.skew import join_facts
 from tallybook.sources.schema import ACCOUNT_KINDS, SPLIT_KINDS
 
@@ -138,13 +138,6 @@ def _cut(ledger: Ledger, start, end, pattern: str = "%") -> Ledger:
     return cut(ledger, ledger.transactions.filter(in_dates(start, end) & like(F.col("description"), pattern)))
 
 
-def _near(ledger: Ledger, column: str, keys: Keys) -> Ledger:
-    """The ledger, less the transactions without a chosen split."""
-    if keys is None or ledger.journal is not None:
-        return ledger
-    return zoom(ledger, in_keys(ledger.splits, column, keys))
-
-
 def _dated(detail: DataFrame, start, end) -> DataFrame:
     """Rows in ``[start, end)``; a split without a transaction has no date and is in no statement."""
     return detail.filter(F.col("date").isNotNull() & in_dates(start, end))
@@ -152,16 +145,23 @@ def _dated(detail: DataFrame, start, end) -> DataFrame:
 
 def _of_accounts(ledger: Ledger, aids: Keys) -> tuple[DataFrame, DataFrame]:
     """Journal rows of the wanted accounts, and their splits with dates."""
-    aids = stored_keys(aids, "aid")
-    near = _near(ledger, "aid", aids)
+    near = ledger
+    if aids is not None and ledger.journal is None:
+        aids = stored_keys(aids, "aid")
+        near = zoom(ledger, stored_keys(in_keys(ledger.splits, "aid", aids), "tid"))
     detail = in_keys(journal_of(near), "aid", aids).filter(F.col("account").isNotNull())
     return detail, in_keys(dated_splits(near), "aid", aids)
 
 
-def _of_splits(ledger: Ledger, sids: Keys) -> tuple[DataFrame, DataFrame]:
-    """Journal rows of the wanted splits, and the dates to probe for them."""
-    near = _near(ledger, "sid", sids)
-    return in_keys(journal_of(near), "sid", sids), in_keys(dated_splits(near), "sid", sids)
+def _chosen(ledger: Ledger, sids: Keys) -> DataFrame | None:
+    """Keys of the wanted splits, with their transactions and accounts, written once; None for all."""
+    return None if sids is None else stored_columns(in_keys(ledger.splits, "sid", sids).select("sid", "tid", "aid"))
+
+
+def _of_splits(ledger: Ledger, chosen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Journal rows of the chosen splits, and the dates to probe for them."""
+    near = ledger if chosen is None or ledger.journal is not None else zoom(ledger, chosen)
+    return in_keys(journal_of(near), "sid", chosen), in_keys(dated_splits(near), "sid", chosen)
 
 
 def account_statement(
@@ -185,11 +185,10 @@ def account_statement_rows(
     The dates limit what is summed, not which rows appear: a row before
     ``start`` shows zero, a row after ``end`` the whole range's total.
     """
-    sids = stored_keys(sids, "sid")
-    detail, probes = _of_splits(ledger, sids)
-    moves = dated_splits(ledger)
-    if sids is not None:  # everything that ever moved the accounts of the chosen splits
-        moves = in_keys(moves, "aid", in_keys(ledger.splits, "sid", sids))
+    chosen = _chosen(ledger, sids)
+    detail, probes = _of_splits(ledger, chosen)
+    # everything that ever moved the accounts of the chosen splits
+    moves = in_keys(dated_splits(_cut(ledger, start, end)), "aid", chosen)
     totals = running_totals(moves.filter(in_dates(start, end)), _running(), by=("aid",), probes=probes)
     return _statement(attach(detail, totals, by=("aid",)), ordered, wide=5)
 
@@ -250,7 +249,7 @@ def cash_statement_rows(
     ordered: bool = True,
 ) -> DataFrame:
     """Cash-statement rows of chosen splits of any account, date and description."""
-    detail, probes = _of_splits(ledger, stored_keys(sids, "sid"))
+    detail, probes = _of_splits(ledger, _chosen(ledger, sids))
     _, moves = _cash_book(ledger, pattern, start, end)
     totals = _cash_totals(moves, probes=probes)
     return _statement(attach(detail, totals), ordered, wide=6)

@@ -102,9 +102,10 @@ TINY = {
 
 
 def test_hot_transaction_is_split_by_adaptive_execution(spark, book):
-    """All splits in one transaction: its rows meet the transaction's facts in several tasks."""
+    """Two thirds of the splits in one transaction: they meet its facts in several tasks."""
     with settings(spark, **TINY):
-        splits = book.splits.withColumn("tid", F.lit(4).cast("long")).repartition(8)
+        hot = F.when(F.col("sid") % 3 > 0, F.lit(4)).otherwise(F.col("tid"))
+        splits = book.splits.withColumn("tid", hot.cast("long")).repartition(8)
         for df in (counters.counter_splits(splits), counters.with_counter(splits, book.stage(splits=splits))):
             df.collect()
             assert "skew=true" in plan(df)
@@ -113,7 +114,7 @@ def test_hot_transaction_is_split_by_adaptive_execution(spark, book):
 def test_hot_target_of_edits_is_split_by_adaptive_execution(spark, book):
     with settings(spark, **TINY):
         batch = book.splits.select(
-            F.col("sid").alias("seq"), F.lit(256).cast("long").alias("target_id"), F.lit("memo").alias("field"), F.lit("x").alias("value")
+            F.col("sid").alias("seq"), F.when(F.col("sid") % 3 > 0, F.lit(256)).otherwise(F.col("sid")).cast("long").alias("target_id"), F.lit("memo").alias("field"), F.lit("x").alias("value")
         )
         df = edits.update_splits(book, batch.repartition(8)).rejects
         df.collect()
@@ -151,7 +152,7 @@ def test_rows_of_a_frame_of_splits_need_few_scans(spark, book):
     chosen = book.splits.join(book.accounts.filter("name like 'Cash%'"), "aid", "left_semi")
     made = []
     jobs = jobs_while(spark, lambda: made.append(reports.account_statement_rows(book, chosen, "1996-01-01", "1998-01-01")))
-    assert jobs <= 6
+    assert jobs <= 4
     assert plan(made[0]).count("Scan parquet") <= 24
 
 
