@@ -70,13 +70,13 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     joined = docs.join(
         removed.hint("merge"), docs["doc_id"].eqNullSafe(removed["id"]) & (F.xxhash64(docs["text"]) == removed["hash"]), "left"
     )
-    lines = F.split("text", "\n", -1)
-    cut = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (WINDOW - 1))))
+    lines, starts = F.split(docs["text"], "\n", -1), removed["starts"]
+    cut = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (WINDOW - 1))))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut)
     text = F.array_join(F.transform(left, lambda at: F.get(lines, at)), "\n")
-    has = F.col("starts").isNotNull()
+    has = starts.isNotNull()
     return joined.select(
-        "doc_id",
+        docs["doc_id"],
         F.when(has, text).otherwise(docs["text"]).alias("text"),
         *[docs[c] for c in kept],
         F.when(docs["text"].isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tallybook.llm import line_dedup
 
@@ -34,7 +35,9 @@ def test_against_brute_force(spark, documents):
 
 
 def test_other_columns_stay(spark, documents):
-    found = line_dedup.remove_repeated_lines(documents([(1, A), (2, A)]))
+    docs = documents([(1, A), (2, A)]).withColumns({c: F.lit(1) for c in ("starts", "hash", "id", "a", "line", "n_removed")})
+    found = line_dedup.remove_repeated_lines(docs)
+    assert {(r["doc_id"], r["starts"], r["n_removed"]) for r in found.collect()} == {(1, 1, 0), (2, 1, 4)}
     assert "odd name" in found.columns and found.columns.count("n_removed") == 1
     again = line_dedup.remove_repeated_lines(found)
     assert again.count() == 2
