@@ -509,5 +509,8 @@ def keep_one(docs: DataFrame, over: int = 90, under: int = 100) -> DataFrame:
     judged = named.withColumn("__spread", spread).join(answer, F.col("__spread") == F.col("__own"), "left")
     empty = F.col("__node").isNull()
     chosen = judged.filter(empty | F.col("doc_id").eqNullSafe(F.col("__component")))
-    one = chosen.filter(~empty).dropDuplicates(["__spread"])
+    # repeated rows are dropped by a key the join is not laid out by: a set that a third of all rows
+    # share is then split between tasks of the join, and dropped before it is shuffled again
+    own = F.col("__spread").cast("string").cast("long")
+    one = chosen.filter(~empty).withColumn("__spread", own).dropDuplicates(["__spread"])
     return one.select(*docs.columns).union(chosen.filter(empty).select(*docs.columns))
