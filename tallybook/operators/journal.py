@@ -21,15 +21,12 @@ def build_journal(ledger: Ledger, rows: DataFrame | None = None) -> DataFrame:
     What is known per transaction (date, description, accounts of either side)
     is put together first, one row each, and meets the splits in one join.
     ``rows`` are the splits to make rows of, with their ``account`` name, if not
-    all are wanted; accounts are then listed for their transactions only.
+    all are wanted.
     """
-    named = splits_with_account(ledger)
     if rows is None:
         rows = ledger.splits.join(named_accounts(ledger), "aid", "left")
-    else:
-        named = join_facts(named, rows.select("tid").distinct(), "tid", "left_semi")
     transactions = ledger.transactions.select("tid", "date", "description")
-    facts = transactions.join(account_lists(named), "tid", "full")
+    facts = transactions.join(account_lists(splits_with_account(ledger)), "tid", "full")
     joined = join_facts(rows, facts, "tid")
     return joined.withColumn("counter", opposite("accounts")).select(*JOURNAL.names)
 

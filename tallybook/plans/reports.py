@@ -143,11 +143,10 @@ def _dated(detail: DataFrame, start, end) -> DataFrame:
     return detail.filter(F.col("date").isNotNull() & in_dates(start, end))
 
 
-def _of_accounts(ledger: Ledger, aids: Keys) -> tuple[DataFrame, DataFrame]:
-    """Journal rows of the wanted accounts, and their splits with dates."""
-    near = ledger
+def _of_accounts(ledger: Ledger, aids: Keys, start=None, end=None) -> tuple[DataFrame, DataFrame]:
+    """Journal rows of the wanted accounts, and their splits with dates; the dates only spare work."""
+    near = _cut(ledger, start, end)
     if aids is not None and ledger.journal is None:
-        aids = stored_keys(aids, "aid")
         near = zoom(ledger, stored_keys(in_keys(ledger.splits, "aid", aids), "tid"))
     detail = in_keys(journal_of(near), "aid", aids).filter(F.col("account").isNotNull())
     return detail, in_keys(dated_splits(near), "aid", aids)
@@ -172,7 +171,7 @@ def account_statement(
     Only splits in ``[start, end)`` count, so each balance starts from zero; without
     dates all of them do.
     """
-    detail, moves = _of_accounts(_cut(ledger, start, end), aids)
+    detail, moves = _of_accounts(ledger, aids, start, end)
     totals = running_totals(_dated(moves, start, end), _running(), by=("aid",))
     return _statement(attach(_dated(detail, start, end), totals, by=("aid",)), ordered, wide=5)
 

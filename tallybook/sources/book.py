@@ -66,8 +66,8 @@ def _read_folder(spark: SparkSession, folder: str, journal: bool) -> Ledger:
     return Ledger(**tables, journal=spark.read.schema(JOURNAL).parquet(f"{folder}/journal") if journal else None)
 
 
-#: Bytes of a file of a table.
-FILE_BYTES = 128 << 20
+#: Bytes of a file of a table, at most; and at least, as long as there are tasks to read more of them.
+FILE_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 
 
 def _write_ranges(rows: DataFrame, folder: str, name: str, keys: tuple[str, ...], order: tuple[str, ...]) -> None:
@@ -80,7 +80,8 @@ def _write_ranges(rows: DataFrame, folder: str, name: str, keys: tuple[str, ...]
     rows.write.parquet(f"{folder}/unsorted/{name}")
     raw = spark.read.schema(rows.schema).parquet(f"{folder}/unsorted/{name}")
     size = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    ranges = raw.repartitionByRange(-(-size // FILE_BYTES) or 1, *keys)
+    files = max(-(-size // FILE_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES), 1)
+    ranges = raw.repartitionByRange(files, *keys)
     ranges.sortWithinPartitions(*order).write.parquet(f"{folder}/{name}")
 
 
