@@ -149,23 +149,26 @@ def _key(numbers: np.ndarray) -> tuple[int, int]:
 
 
 class Nodes:
-    """Names of sets: the first half of the key, or a mix of both halves where two sets share it."""
+    """Sets of shingles of ``width`` words, and their names: the first half of the key, or a mix of both halves where two sets share it."""
 
-    def __init__(self, shared: list[int]):
-        self.shared = frozenset(shared)
+    def __init__(self, shared: list[int], width: int):
+        self.shared, self.width = frozenset(shared), width
+
+    def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        return shingle_sets(texts, self.width)
 
     def of(self, key: tuple[int, int]) -> int:
         return key[0] if key[0] not in self.shared else key[0] ^ key[1]
 
 
-def _shapes(docs: DataFrame) -> DataFrame:
+def _shapes(docs: DataFrame, width: int) -> DataFrame:
     """A row for each document (``doc_id``, ``n``, ``k1``, ``k2``), and rows of counters for each task."""
 
     def work(batches):
         counters = Counters(ORDER_BITS)
         for batch in batches:
             ns, keys = [], []
-            for numbers in shingle_sets(batch.column(1)):
+            for numbers in shingle_sets(batch.column(1), width):
                 ns.append(len(numbers))
                 keys.append(_key(numbers) if len(numbers) else (None, None))
                 counters.add(numbers)
@@ -192,7 +195,7 @@ def _once_per_task(docs: DataFrame, nodes: Nodes, schema: str, start, each, end)
         seen: set[int] = set()
         for batch in batches:
             state = start()
-            for doc_id, numbers in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+            for doc_id, numbers in zip(batch.column(0).to_pylist(), nodes.sets(batch.column(1)), strict=True):
                 if len(numbers) and (node := nodes.of(_key(numbers))) not in seen:
                     if each(state, node, doc_id, numbers):
                         seen.add(node)
@@ -447,10 +450,10 @@ def _joined(docs: DataFrame, nodes: Nodes, grouped: DataFrame, at_least: Thresho
     return with_sets.groupBy("root", "i", "j").applyInArrow(join_cell, "a long, b long")
 
 
-def named_nodes(docs: DataFrame, at_least: Threshold) -> tuple[DataFrame, DataFrame, Nodes]:
+def named_nodes(docs: DataFrame, at_least: Threshold, width: int = 3) -> tuple[DataFrame, DataFrame, Nodes]:
     """(rows ``doc_id``, ``n``, ``node``; rows ``node``, ``component_id``; the names of sets)."""
     spark = docs.sparkSession
-    shapes = stored(_shapes(docs), "shapes")
+    shapes = stored(_shapes(docs, width), "shapes")
     parts = max(1, docs.rdd.getNumPartitions())
     counts = _summed(shapes.filter("counts IS NOT NULL").select("row", "part", "counts"), parts, ORDER_BITS)
     ranks = spark.sparkContext.broadcast(np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8))
@@ -459,7 +462,7 @@ def named_nodes(docs: DataFrame, at_least: Threshold) -> tuple[DataFrame, DataFr
     some = rows.filter("n > 0")
     # halves of keys that several sets share: next to none, whatever the size of the corpus
     twice = some.groupBy("k1").agg(F.min("k2").alias("a"), F.max("k2").alias("b")).filter("a <> b").select("k1")
-    nodes = Nodes([r["k1"] for r in twice.collect()])
+    nodes = Nodes([r["k1"] for r in twice.collect()], width)
     k1 = F.col("k1")
     node = F.when(k1.isin(sorted(nodes.shared)), k1.bitwiseXOR(F.col("k2"))).otherwise(k1) if nodes.shared else k1
     named = stored(
@@ -487,19 +490,21 @@ def join(docs: DataFrame, over: int = 90, under: int = 100) -> DataFrame:
     return linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").union(alone)
 
 
-def keep_one(docs: DataFrame, over: int = 90, under: int = 100) -> DataFrame:
+def keep_one(docs: DataFrame, over: int = 90, under: int = 100, width: int = 3) -> DataFrame:
     """``docs`` with one row of each component, the one that names it; rows without shingles all stay.
 
+    Shingles are of ``width`` words.
+
     Where no row of a component has an id, one row of each distinct set stays.
     """
-    _, answer, nodes = named_nodes(docs.select("doc_id", "text"), Threshold(over, under))
+    _, answer, nodes = named_nodes(docs.select("doc_id", "text"), Threshold(over, under), width)
 
     given = docs.select(F.col("text").cast("string").alias("__text"), *[docs[f"`{c}`"] for c in docs.columns])
     schema = StructType([StructField("__node", LongType()), *docs.schema.fields])
 
     def run(batches):
         for batch in batches:
-            found = [nodes.of(_key(s)) if len(s) else None for s in shingle_sets(batch.column(0))]
+            found = [nodes.of(_key(s)) if len(s) else None for s in nodes.sets(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *batch.columns[1:]], names=schema.names)
 
     named = given.mapInArrow(run, schema)

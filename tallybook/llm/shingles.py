@@ -87,24 +87,27 @@ def _hash_long(data: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=_U)
 
 
-def _shingle_hashes(words: np.ndarray) -> np.ndarray:
-    """Hashes of every three consecutive words."""
-    return _mixed(_mixed(_mixed(words[:-2]) + words[1:-1]) + words[2:])
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """A number for every ``width`` consecutive words, not mixed yet."""
+    n = max(0, len(words) - width + 1)
+    out = words[:n]
+    for k in range(1, width):
+        out = _mixed(out) + words[k : k + n]
+    return out
 
 
-def _set_of(words: np.ndarray, shingles: np.ndarray) -> np.ndarray:
-    if len(words) >= 3:
+def _set_of(words: np.ndarray, shingles: np.ndarray, width: int) -> np.ndarray:
+    if len(words) >= width:
         return np.unique(shingles)
     if len(words) == 0:
         return np.empty(0, dtype=_U)
-    whole = words if len(words) == 1 else _mixed(words[:1]) + words[1:]
-    return _mixed((whole ^ _U(len(words))) + _U(_POWER_BASE))
+    return _mixed((_folded(words, len(words)) ^ _U(len(words))) + _U(_POWER_BASE))
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The set of every text, in order: sorted hashes of its distinct shingles of three words.
+def shingle_sets(texts: pa.Array, width: int = 3) -> Iterator[np.ndarray]:
+    """The set of every text, in order: sorted hashes of its distinct shingles of ``width`` words.
 
-    A text of one or two words has its whole sequence as one; a text without words, or null, has none.
+    A text of fewer words has its whole sequence as one; a text without words, or null, has none.
     """
     texts = texts.cast(pa.large_string()).fill_null("")
     buffers = texts.buffers()
@@ -117,12 +120,12 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         piece = data[offsets[row] : offsets[end]]
         if len(piece) > SLICE:  # a single long text
             words = _hash_long(piece)
-            yield _set_of(words, _shingle_hashes(words))
+            yield _set_of(words, _mixed(_folded(words, width)), width)
         else:
             firsts = offsets[row : end + 1] - offsets[row]
             words, starts = _hash_words(piece, firsts)
-            shingles = _shingle_hashes(words) if len(words) >= 3 else words[:0]
+            shingles = _mixed(_folded(words, width))
             at = np.searchsorted(starts, firsts).tolist()
             for a, b in zip(at[:-1], at[1:], strict=True):
-                yield _set_of(words[a:b], shingles[a : max(a, b - 2)])
+                yield _set_of(words[a:b], shingles[a : max(a, b - width + 1)], width)
         row = end

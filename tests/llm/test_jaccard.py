@@ -169,3 +169,16 @@ def test_windows_hold_every_linked_pair(a, b, shared):
         assert 100 * a >= 90 * b
         assert a - shared + 1 <= at_least.core(a)
         assert b - shared + 1 <= at_least.window(b)
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_shingles_of_another_width(width):
+    texts = ["a b c d e f a b c d e", "A b c d e", "b c d e f", "a b c d", "a b c", "a", "", None, "x " * 4000]
+    expected = []
+    for text in texts:
+        words = (text or "").lower().split()
+        expected.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    found = list(shingles.shingle_sets(pa.array(texts, pa.string()), width))
+    assert [len(f) for f in found] == [len(e) for e in expected]
+    for a, x in zip(found, expected):
+        assert [len(np.intersect1d(a, b)) for b in found] == [len(x & y) for y in expected]

@@ -57,3 +57,15 @@ def test_run_packs_what_the_stages_keep(spark, folder):
 
 def test_real_tables(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_near_copies_of_four_fifths_go(spark, documents):
+    """Ten spread edits in 500 words leave 446 of 546 five-word shingles shared, but 0.886 of those of three words."""
+    words = [f"w{i}" for i in range(500)]
+    edited = [f"x{i}" if i % 50 == 25 else w for i, w in enumerate(words)]
+    longer = [*words, *[f"y{i}" for i in range(80)]]
+    other = [f"x{i}" if i % 40 == 25 else w for i, w in enumerate(words)]  # 12 or 13 edits: below 0.8
+    texts = {1: words, 2: edited, 3: longer, 4: [f"z{w}" for w in words], 5: [f"z{w}" for w in other]}
+    docs = documents([(i, " ".join(t)) for i, t in texts.items()])
+    kept = corpus_pipeline.keep_one_of_similar(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5]
