@@ -15,6 +15,7 @@ are packed as rows of their own; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -54,7 +55,7 @@ def byte_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Ids of a text, as the tokenizer file gives them.
+    """Ids of a text without added tokens, as the tokenizer file gives them.
 
     A long text is encoded in slices. A single space with other characters on both sides
     always starts a token, so a text may be cut before one.
@@ -87,6 +88,29 @@ class Encoder:
         return len(text)
 
 
+class Tokenizer:
+    """Ids of a text in which added tokens of the file stand for their own ids."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on what stands around them are not supported")
+        self._added = {t["content"]: t["id"] for t in added if t["content"]}
+        longest_first = sorted(self._added, key=len, reverse=True)
+        self._split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self._added else None
+        self._encoder = Encoder(path)
+
+    def ids(self, text: str) -> np.ndarray:
+        pieces = self._split.split(text) if self._split else [text]
+        if len(pieces) == 1:
+            return self._encoder.ids(text)
+        # text and added tokens by turns
+        return np.concatenate(
+            [np.array([self._added[p]], dtype="<u4") if i % 2 else self._encoder.ids(p) for i, p in enumerate(pieces)]
+        )
+
+
 class Packer:
     """Places pieces (doc_id, start, ids, doc_tokens) into windows; closed windows are lists of pieces."""
 
@@ -184,7 +208,7 @@ def pack(
             return batch
 
         for batch in batches:
-            encoder = encoder or Encoder(path)
+            encoder = encoder or Tokenizer(path)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encoder.ids(text.as_py() or ""), np.array([SEPARATOR], dtype="<u4"))
                 for window in packer.place(doc_id, ids):

@@ -125,3 +125,37 @@ def test_round_trip_with_few_open_windows(sizes, most):
     for i, ids in enumerate(docs):
         assert [x for _, part in sorted(got[i]) for x in part] == ids.tolist()
     assert len(windows) == -(-sum(sizes) // 16)
+
+
+@pytest.fixture(scope="module")
+def unchanged():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_added_tokens_have_their_own_ids(unchanged):
+    end = "<|endoftext|>"
+    tokenizer = packing.Tokenizer(packing.default_tokenizer())
+    assert tokenizer.ids(f"a {end} x").tolist() == [64, 220, 50256, 2124]
+    for text in [*TEXTS, end, end * 3, f" {end}\n\n{end} it's", "<|endoftext|", f"<|endof{end}text|>", f"x{end}  \t"]:
+        assert [*tokenizer.ids(text).tolist(), 0] == unchanged(text)
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", " ", "a", "\n", "'s", "é", "  "]), max_size=12))
+def test_ids_around_added_tokens(pieces):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    if not hasattr(test_ids_around_added_tokens, "both"):
+        test_ids_around_added_tokens.both = packing.Tokenizer(path), Tokenizer.from_file(path)
+    ours, theirs = test_ids_around_added_tokens.both
+    text = "".join(pieces)
+    assert ours.ids(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_with_added_tokens(spark, documents, unchanged):
+    docs = [(i, f"word{i} <|endoftext|> and more" * (i % 9)) for i in range(60)]
+    check(packing.pack(documents(docs, 2), capacity=64).collect(), docs, unchanged, 64, 2)
