@@ -59,7 +59,7 @@ ORDER_BITS, MARK_BITS = 21, 23
 _ROW, FAN_IN = 1 << 16, 64
 #: Nodes in a block of a region; nodes, and bytes of sets, in a block of a group.
 REGION_NODES, GROUP_NODES, GROUP_BYTES = 1024, 512, 16 << 20
-#: Classes of shingles in the smaller space, and the highest count that is kept.
+#: Classes of shingles in the smaller space, and the highest count that is stored in 16 bits.
 CLASSES, _MOST = 64, (1 << 16) - 1
 #: Document pivots of a region, and nodes that are joined without dividing them.
 PIVOTS, FEW = 8, 96
@@ -290,9 +290,17 @@ def _in_cells(rows: DataFrame, key: list[str], blocks) -> DataFrame:
 
 
 def _classes(numbers: np.ndarray) -> bytes:
-    """How many shingles fall into each class; all at the top if one count would not fit."""
+    """How many shingles fall into each class, in 16 bits each, or in 32 if one would not fit."""
     counts = np.bincount((numbers & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-    return (counts if counts.max() < _MOST else np.full(CLASSES, _MOST)).astype("<u2").tobytes()
+    return counts.astype("<u2" if counts.max() <= _MOST else "<u4").tobytes()
+
+
+def _counts_of(rows: list[bytes]) -> np.ndarray:
+    """Counts by class, a row for each node."""
+    out = np.empty((len(rows), CLASSES), dtype=np.int64)
+    for own, stored_counts in zip(out, rows, strict=True):
+        own[:] = np.frombuffer(stored_counts, dtype="<u2" if len(stored_counts) == 2 * CLASSES else "<u4")
+    return out
 
 
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -339,9 +347,9 @@ def _groups(docs: DataFrame, nodes: Nodes, members: DataFrame, at_least: Thresho
     cells = _in_cells(members, ["pivot", "size"], F.count("*") / float(REGION_NODES))
 
     def join_cell(table: pa.Table) -> pa.Table:
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype="<u2").reshape(-1, CLASSES)
+        counts = _counts_of(table.column("counts").to_pylist())
         sizes = table.column("n").to_numpy().astype(np.int64)
-        linked = _may_be_linked(sizes, counts.astype(np.int64), at_least)
+        linked = _may_be_linked(sizes, counts, at_least)
         return _as_links(table.column("node").to_numpy(), _forest(linked))
 
     with_counts = cells.join(stored(counted, "counts").hint("merge"), "node")

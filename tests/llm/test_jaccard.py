@@ -182,3 +182,23 @@ def test_shingles_of_another_width(width):
     assert [len(f) for f in found] == [len(e) for e in expected]
     for a, x in zip(found, expected):
         assert [len(np.intersect1d(a, b)) for b in found] == [len(x & y) for y in expected]
+
+
+@pytest.mark.parametrize("most", [3, 150, 65_535])
+def test_counts_beyond_16_bits_tell_no_linked_pair_apart(monkeypatch, most):
+    monkeypatch.setattr(jaccard, "_MOST", most)
+    rng = np.random.default_rng(1)
+    a = np.unique(rng.integers(0, 1 << 63, 10_000).astype(np.uint64))
+    sets = [a, a[50:], a[:30], rng.integers(0, 1 << 63, 10_000).astype(np.uint64)]
+    counts = jaccard._counts_of([jaccard._classes(s) for s in sets])
+    assert counts.sum(axis=1).tolist() == [len(s) for s in sets]
+    may = jaccard._may_be_linked(np.array([len(s) for s in sets]), counts, jaccard.Threshold(90, 100))
+    assert may[0, 1] and not may[0, 2]
+
+
+def test_a_class_of_over_65535_shingles():
+    """More shingles than 64 classes of 16 bits can count, and one in a hundred changed."""
+    a = np.arange(4_700_000, dtype=np.uint64)
+    b = a + np.uint64(47_000)
+    counts = [np.frombuffer(c, "<u2" if len(c) == 128 else "<u4").astype(np.int64) for c in map(jaccard._classes, (a, b))]
+    assert jaccard._may_be_linked(np.array([len(a), len(b)]), np.array(counts), jaccard.Threshold(90, 100)).all()
