@@ -8,8 +8,9 @@ regression per language (one against the rest) is solved in that space. Scoring
 matrix products: n-gram presence times landmark presence, times the weights.
 
 The classifier is fitted on a bounded sample of labelled rows (``sample`` in all, the same
-expected number from each language, taken by a hash of the text and id); the landmarks are a
-part of them. Prediction reads every text whole, long ones in slices.
+expected number from each language, taken by a hash of the text and id; with very many languages
+``LEAST`` of each); the landmarks are a part of them, at least one of each language. Every label
+that has a row with a text can be predicted. Prediction reads every text whole, long ones in slices.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is
 every text where there is no labelled row to learn from; a null id or label is carried; equal
@@ -32,8 +33,8 @@ UNKNOWN = "und"
 #: Labelled rows a classifier is fitted on, and how many of them are landmarks.
 SAMPLE, LANDMARKS = 2400, 240
 RIDGE = 0.05
-#: Languages that can be told apart, the most frequent ones; the sample is shared among them.
-LANGUAGES = 200
+#: Rows a language has in the sample (expected number), however many languages share it.
+LEAST = 12
 #: Characters of a text taken at a time, and texts scored at a time.
 SLICE, SCORED = 1 << 18, 128
 
@@ -118,7 +119,11 @@ class Model:
 def _solve(languages: list[str], labels: list[str], sets: list[np.ndarray], landmarks: int, ridge: float) -> Model:
     """Kernel ridge regression in the space of landmarks: minimises |K w - y|^2 + ridge * n * w' M w."""
     chosen: list[int] = []
-    by_language = [[i for i, label in enumerate(labels) if label == language] for language in languages]
+    number = {language: k for k, language in enumerate(languages)}
+    own = np.array([number[label] for label in labels])
+    by_language: list[list[int]] = [[] for _ in languages]
+    for i, language in enumerate(own.tolist()):
+        by_language[language].append(i)
     for rows in by_language:
         chosen += rows[: max(1, landmarks // len(languages))]
     vocabulary = np.unique(np.concatenate([sets[i] for i in chosen]))
@@ -128,7 +133,8 @@ def _solve(languages: list[str], labels: list[str], sets: list[np.ndarray], land
         model.landmarks[place[sets[i]], column] = 1 / np.sqrt(max(1, len(sets[i])))
     k = np.concatenate([model.kernel(sets[i : i + SCORED]) for i in range(0, len(sets), SCORED)]).astype(float)
     m = k[chosen]
-    y = np.array([[float(label == language) for language in languages] for label in labels])
+    y = np.zeros((len(labels), len(languages)))
+    y[np.arange(len(labels)), own] = 1
     # each language counts alike, however many rows the sample holds of it
     weight = 1 / np.maximum(1, y.sum(axis=0))[y.argmax(axis=1)]
     left = (k * weight[:, None]).T @ k + ridge * len(languages) * ((m + m.T) / 2) / len(chosen)
@@ -146,14 +152,15 @@ def fit(
         F.col("text").cast("string").alias("text"),
         F.xxhash64(F.col("doc_id"), F.col("text")).alias("h"),
     ).filter("label IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
     if not counts:
         return None
-    each = max(2, sample // len(counts))
-    share: Column = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("label") == r["label"], F.lit(min(1.0, each / r["count"]))).otherwise(share)
-    part = rows.filter(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share)
+    each = max(LEAST, sample // len(counts))
+    shares = [(r["label"], min(1.0, each / r["n"]), r["least"]) for r in counts]
+    shares = docs.sparkSession.createDataFrame(shares, "label string, share double, least long")
+    # one row at least of each label
+    taken_by_hash = (F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < F.col("share")) | (F.col("h") == F.col("least"))
+    part = rows.join(F.broadcast(shares), "label").filter(taken_by_hash).select("label", "text", "h")
 
     def worker():
         presence = Presence()
@@ -169,9 +176,16 @@ def fit(
     return _solve(languages, list(taken["label"]), sets, landmarks, ridge) if languages else None
 
 
-def predict(docs: DataFrame, model: Model | None, drop: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1). Columns in ``drop`` are left out."""
+def predict(
+    docs: DataFrame, model: Model | None, drop: tuple[str, ...] = (), lettered: str | None = None
+) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (0 to 1). Columns in ``drop`` are left out.
+
+    A column named ``lettered``, if asked for, says whether the text holds a letter.
+    """
     new = T.StructType().add("lang_pred", "string").add("score", "double")
+    if lettered:
+        new = new.add(lettered, "boolean")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def worker():
@@ -179,7 +193,7 @@ def predict(docs: DataFrame, model: Model | None, drop: tuple[str, ...] = ()) ->
 
         def make(columns):
             n = len(columns[0])
-            names, scores = [UNKNOWN] * n, [0.0] * n
+            names, scores, letters = [UNKNOWN] * n, [0.0] * n, [False] * n
             at, sets = [], []
 
             def score() -> None:
@@ -193,13 +207,14 @@ def predict(docs: DataFrame, model: Model | None, drop: tuple[str, ...] = ()) ->
 
             for i, value in enumerate(columns[0]):
                 text = value.as_py()
-                if model is not None and text and _LETTER.search(text):
+                letters[i] = bool(text and _LETTER.search(text))
+                if model is not None and letters[i]:
                     at.append(i)
                     sets.append(presence.distinct(text))
                     if len(sets) == SCORED:
                         score()
             score()
-            return [names, scores]
+            return [names, scores, letters] if lettered else [names, scores]
 
         return make
 
@@ -211,7 +226,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, drop: tuple[str, ...] = (), lettered: str | None = None) -> DataFrame:
     """``docs`` with ``held_out``, ``lang_pred`` and ``score``, learned from the rows that are not held out."""
     model = fit(docs.filter(~held_out(docs["doc_id"])))
-    return predict(docs.withColumn("held_out", held_out(docs["doc_id"])), model, drop)
+    return predict(docs.withColumn("held_out", held_out(docs["doc_id"])), model, drop, lettered)

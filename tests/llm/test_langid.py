@@ -74,3 +74,26 @@ def test_slices_of_a_long_text_miss_nothing(monkeypatch):
     whole = set(langid.Presence().distinct(text).tolist())
     monkeypatch.setattr(langid, "SLICE", 9)
     assert set(langid.Presence().distinct(text).tolist()) == whole
+
+
+def test_more_languages_than_the_sample_was_made_for(spark):
+    """300 labels, the rarest with two rows; each is told from its own words."""
+    rows, at = [], 0
+    for k in range(300):
+        a, b, c = (chr(0x4E00 + 7 * k + j) for j in range(3))
+        for j in range(2 if k >= 200 else 4):
+            rows.append((at, f"{a}{b} {c}{a} " * (j + 3), f"l{k}"))
+            at += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.predict(docs, langid.fit(docs)).collect()
+    assert {r["lang_pred"] for r in found} == {f"l{k}" for k in range(300)}
+    assert all(r["lang_pred"] == r["lang"] for r in found)
+
+
+def test_a_rare_label_is_always_in_the_sample(spark):
+    docs = spark.range(3000).selectExpr(
+        "id AS doc_id", "CASE WHEN id < 2900 THEN concat('plain words ', id) ELSE concat('žluťoučký kůň ', id) END AS text",
+        "CASE WHEN id < 2900 THEN 'a' ELSE 'b' END AS lang",
+    )
+    for sample in (2, 2400):
+        assert langid.fit(docs, sample=sample, landmarks=2).languages == ["a", "b"]

@@ -1,5 +1,6 @@
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 from test_decontam import brute as contaminated
 from test_jaccard import brute as similar
 from test_line_dedup import brute as without_repeats
@@ -69,3 +70,10 @@ def test_near_copies_of_four_fifths_go(spark, documents):
     docs = documents([(i, " ".join(t)) for i, t in texts.items()])
     kept = corpus_pipeline.keep_one_of_similar(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5]
+
+
+def test_a_corpus_without_labels_keeps_its_documents(spark, documents):
+    texts = [TALK, "漢字", "x1", "12 ... ²", "", None, "\n", "\U00010570"]
+    docs = documents(list(enumerate(texts))).withColumn("source", F.lit("s"))
+    kept = corpus_pipeline.identify_language(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in kept) == [(0, None), (1, None), (2, None), (7, None)]
