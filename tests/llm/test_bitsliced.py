@@ -72,3 +72,37 @@ def test_chunk(n, dim, k, seed):
     found, scores = chunk.top(query, own, k)
     best = sorted((-int(s), int(i)) for s, i in zip(vectors @ query, ids) if i != own)[:k]
     assert sorted((-int(s), int(i)) for s, i in zip(scores, found)) == best
+
+
+def exact(rows, every, k=5):
+    """As ``brute``, in Python's integers."""
+    vectors = [(i, [int(256 * np.float64(np.float32(x)) // 1) for x in v]) for i, v, _ in rows]
+    out = []
+    for q, a in vectors:
+        if q % every == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors if i != q)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("extreme", [2.0**18, 3e6, 1e7])
+def test_components_of_any_size(spark, extreme):
+    rows = [(i, [extreme * (-1) ** i, extreme / (i + 1), 0.25 - i], 0) for i in range(30)]
+    rows += [(100 + i, [0.5, float(i), -1.0], 0) for i in range(10)]
+    assert run(spark, rows, 10) == exact(rows, 10)
+
+
+def test_components_beyond_longs(spark):
+    """Integers of over 64 bits; the best scores fit a long, others are far below."""
+    rows = [(1, [1e30, 0.0], 0), (2, [-1e30, 2.0], 0), (3, [3e12, 1.0], 0), (10, [0.0, 7.0], 0), (20, [0.0, -1.5], 0)]
+    rows += [(30 + i, [0.0, float(i)], 0) for i in range(1, 8)]
+    assert run(spark, rows, 10) == exact(rows, 10)
+    negative = [(10, [-1.0, 1.0], 0), (1, [1e30, 0.0], 0), *[(30 + i, [0.0, float(i)], 0) for i in range(1, 8)]]
+    assert run(spark, negative, 10) == exact(negative, 10)
+
+
+def test_a_score_that_fits_no_long_is_an_error(spark):
+    with pytest.raises(Exception, match="fit a long"):
+        run(spark, [(10, [1e30], 0), (1, [1e30], 0)], 10)
+    with pytest.raises(Exception, match="fit a long"):
+        run(spark, [(10, [1e30], 0), (1, [-1e30], 0)], 10)
