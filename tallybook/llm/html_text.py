@@ -8,7 +8,8 @@ next under the same parent, are joined by smoothness edges, weaker the farther a
 are in the tree. A maximum flow separates the two sides; the content side is the main text.
 
 Defined results: a null or empty page has an empty text; scripts, styles, markup and comments
-are never text; character references are decoded, white space in a block becomes one space,
+are never text, nor is what stands between both tags of the elements in ``SKIPPED`` (a tag of these that is
+not closed inside its parent is passed over); character references are decoded, white space in a block becomes one space,
 and blocks are joined by an empty line in page order; ids and URLs are carried, null or
 repeated; rows are independent; other columns are ignored.
 """
@@ -31,9 +32,13 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\b(hidden)\b""")
 _NAME = re.compile(r"[a-z]+")
+#: Names that say what an element has beside it, or has not.
+_BESIDE = re.compile(r"(?<![\w-])(?:has|no|with|without)[-_][\w-]+")
 
 # Elements by their role in HTML.
-RAW = frozenset("script style title textarea noscript iframe template svg math object select datalist xmp".split())
+#: Read up to their closing tag or the end of the page; elements that are skipped if they are closed.
+RAW = frozenset("script style title textarea iframe xmp".split())
+SKIPPED = frozenset("noscript template svg object select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -62,6 +67,10 @@ BOILERPLATE_NAMES = frozenset(
     "cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login share sharing "
     "social related recommended recommendations trending pagination pager complementary contentinfo search".split()
 )
+#: Of these, names of lists whose entries may be articles of their own, next to the page's article.
+LIST_NAMES = frozenset(
+    "comment comments reply replies discussion disqus respond related recommended recommendations trending".split()
+)
 UNSURE_NAMES = frozenset("header masthead widget widgets toolbar meta tags byline copyright legal topbar".split())
 CONTENT_NAMES = frozenset("article content post entry story main body text".split())
 
@@ -78,19 +87,23 @@ REMEMBERED = 20_000
 
 
 def _hint(attributes: str) -> int:
-    """-2 boilerplate, -1 unsure, 1 content, 0 nothing said, from the attributes of a tag."""
+    """-4 a list of other articles or remarks, -3 hidden, -2 boilerplate, -1 unsure, 1 content, 0 nothing said, from the attributes of a tag."""
     said = 0
     for name, value, hidden in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if hidden or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return -2
+            return -3
         if name == "aria-hidden" and "true" in value.lower():
-            return -2
+            return -3
         if name in ("class", "id", "role"):
-            words = _NAME.findall(value.lower())
-            if not BOILERPLATE_NAMES.isdisjoint(words):
-                return -2
-            if not UNSURE_NAMES.isdisjoint(words):
+            words = _NAME.findall(_BESIDE.sub(" ", value.lower()))
+            if not LIST_NAMES.isdisjoint(words):
+                said = -4
+            elif not BOILERPLATE_NAMES.isdisjoint(words):
+                said = min(said, -2)
+            elif said <= -2:
+                continue
+            elif not UNSURE_NAMES.isdisjoint(words):
                 said = -1
             elif said == 0 and not CONTENT_NAMES.isdisjoint(words):
                 said = 1
@@ -98,26 +111,77 @@ def _hint(attributes: str) -> int:
 
 
 class _Element:
-    __slots__ = ("name", "parent", "depth", "article", "content", "bad", "unsure")
+    __slots__ = ("name", "parent", "depth", "article", "content", "bad", "unsure", "surely_bad")
 
-    def __init__(self, name: str, parent: _Element | None, hint: int):
+    def __init__(self, name: str, parent: _Element | None, hint: int, after_article: bool = False):
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
         inherits = parent is not None
-        above = (parent.article, parent.content, parent.bad, parent.unsure) if inherits else (False,) * 4
-        self.article, self.content, self.bad, self.unsure = above
+        self.article, self.content = (parent.article, parent.content) if inherits else (False, False)
+        self.bad, self.unsure, self.surely_bad = (
+            (parent.bad, parent.unsure, parent.surely_bad) if inherits else (False, False, False)
+        )
         if name in ("html", "body"):
             return  # page-wide names say nothing about a part
-        if name in CONTENT_ELEMENTS and not self.bad:
-            self.article, self.unsure = True, False
+        if name in CONTENT_ELEMENTS and not self.surely_bad:
+            # the names of what stands around it do not count
+            self.article, self.unsure, self.bad = True, False, False
         if hint == 1:
             self.content = True
-        if name in BOILERPLATE_ELEMENTS or hint == -2:
+        if name in BOILERPLATE_ELEMENTS or hint == -3:
+            self.bad = self.surely_bad = True
+        if hint in (-2, -4) and name != "main":
             self.bad = True
+            self.surely_bad |= hint == -4 and after_article
         if name in UNSURE_ELEMENTS or hint == -1:
             self.unsure = True
 
 
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where the closing tag of a raw element ends, or -1."""
+    end = re.compile("</" + re.escape(name) + r"[\s/>]", re.I).search(page, at)
+    return -1 if end is None else page.find(">", end.start()) + 1 or len(page)
+
+
+_ANY_SKIPPED = re.compile(r"<(?:" + "|".join(sorted(SKIPPED)) + r")(?=[\s/>])", re.I)
+
+
+def _skipped(page: str) -> dict[int, int]:
+    """Where elements in ``SKIPPED`` that are closed inside their parent end, by where their opening tag ends."""
+    found: dict[int, int] = {}
+    if not _ANY_SKIPPED.search(page):
+        return found
+    opened: list[tuple[str, int]] = []
+    count = dict.fromkeys((*BLOCKS, *SKIPPED), 0)
+    at = 0
+    while tag := _TAG.search(page, at):
+        at = tag.end()
+        name = (tag[2] or "").lower()
+        alone = (tag[3] or "").rstrip().endswith("/")
+        if name in RAW and not tag[1]:
+            # in an image only scripts and styles are raw, and may be empty
+            if count["svg"] and (alone or name not in ("script", "style")):
+                continue
+            at = _raw_end(page, name, at)
+            if at < 0:
+                break
+        elif name not in count or name in VOID:
+            continue
+        elif not tag[1]:
+            if not (name in SKIPPED and alone):
+                opened.append((name, tag.end()))
+                count[name] += 1
+        elif count[name]:
+            while opened:  # those inside it that are still open were not closed
+                last, start = opened.pop()
+                count[last] -= 1
+                if last == name:
+                    break
+            if name in SKIPPED:
+                found[start] = tag.end()
+    return found
+
+
 class Parser:
     """Blocks of a page: (text, element, characters of link text)."""
 
@@ -139,6 +203,8 @@ class Parser:
         pieces: list[str] = []
         linked, in_link = 0, False
         skip_head = False
+        skipped = _skipped(page)
+        after_article = False
 
         def close_block() -> None:
             nonlocal linked, in_link
@@ -182,10 +248,12 @@ class Parser:
                     pieces.append(" ")
                 continue
             if name in RAW:
-                end = re.compile("</" + re.escape(name) + r"[\s/>]", re.I).search(page, at)
-                if end is None:
+                end = _raw_end(page, name, at)
+                if end < 0:
                     break
-                at = page.find(">", end.start()) + 1 or n
+                at = end
+            elif name in SKIPPED:
+                at = skipped.get(at, at)
             elif name == "a":
                 in_link = True
             elif name == "br":
@@ -202,7 +270,8 @@ class Parser:
                 up, top = here, here
                 while up.parent is not None and up.name not in until and up.name in ended:
                     up = top = up.parent
-                here = _Element(name, top, self.hint(tag[3]) if tag[3] else 0)
+                here = _Element(name, top, self.hint(tag[3]) if tag[3] else 0, after_article)
+                after_article |= name in CONTENT_ELEMENTS and not here.bad
         close_block()
         return out
 

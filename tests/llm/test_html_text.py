@@ -79,3 +79,48 @@ def test_cut_is_minimal(data):
     edges = [(a, b, float(data.draw(st.integers(0, 4)))) for a, b in pairs]
     best = min(cut_cost(labels, scores, edges) for labels in itertools.product([False, True], repeat=n))
     assert cut_cost(html_text.source_side(scores, edges), scores, edges) == pytest.approx(best)
+
+
+SENTENCE = "The river rose by two metres in the night, and the people of the valley moved to the hills. "
+
+
+@pytest.mark.parametrize(
+    "tag",
+    ["<svg width='1'/>", "<math/>", "<svg>", "<object data='x'>", "<select><option>one", "<datalist id='d'>", "<template>",
+     "<noscript>", "<svg><title>icon</title><style/></svg>", "<object data='x'/>"],
+)
+def test_what_follows_an_unclosed_element_stays(tag):
+    for after in ("", "<nav><svg></svg><object></object><select></select><template></template><noscript></noscript></nav>"):
+        page = f"<body><article><p>First. {SENTENCE}</p>{tag}<p>Second. {SENTENCE * 3}</p></article>{after}</body>"
+        text = html_text.main_text(page, html_text.Parser())
+        assert "First." in text and "Second." in text and "icon" not in text
+
+
+def test_closed_elements_are_skipped_and_formulas_kept():
+    page = f"<article><p>{SENTENCE}</p><svg><title>icon</title><p>in</p></svg><select><option>one<option>entry</select>"
+    page += f"<p>{SENTENCE} So <math><mi>x</mi><mo>=</mo><mn>42</mn></math> holds.</p></article>"
+    text = html_text.main_text(page, html_text.Parser())
+    assert "So x=42 holds." in text
+    assert not any(word in text for word in ("icon", "entry", "in\n\n"))
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "with-comments", "layout sidebar-left", "search-page"])
+@pytest.mark.parametrize("element", ["article", "main"])
+def test_names_of_a_wrapper_do_not_outweigh_the_article(name, element):
+    page = f"<body><div class='{name}'><{element}><p>{SENTENCE * 3}</p></{element}><div class='sidebar'>Links</div></div></body>"
+    text = html_text.main_text(page, html_text.Parser())
+    assert "The river rose" in text and "Links" not in text
+
+
+def test_hidden_and_boilerplate_elements_still_outweigh_an_article():
+    for opened, closed in (("<div hidden>", "</div>"), ("<aside>", "</aside>"), ("<div style='display:none'>", "</div>")):
+        page = f"<body><article><p>{SENTENCE * 3}</p></article>{opened}<article><p>Hidden. {SENTENCE}</p></article>{closed}</body>"
+        assert "Hidden." not in html_text.main_text(page, html_text.Parser())
+
+
+@pytest.mark.parametrize("name", ["comments", "related-posts"])
+def test_lists_of_other_articles_count_only_without_an_article_before(name):
+    inside = f"<div class='{name}'><article><p>Inside. {SENTENCE * 3}</p></article></div>"
+    before = f"<article><p>Before. {SENTENCE * 3}</p></article>"
+    assert "Inside." in html_text.main_text(f"<body>{inside}</body>", html_text.Parser())
+    assert "Inside." not in html_text.main_text(f"<body>{before}{inside}</body>", html_text.Parser())
