@@ -3,7 +3,7 @@
 from types import SimpleNamespace
 
 import pytest
-from conftest import MICRO_ACCOUNTS, MICRO_SPLITS, MICRO_TRANSACTIONS, day, make_ledger, money, rows
+from micro_ledger import MICRO_ACCOUNTS, MICRO_SPLITS, MICRO_TRANSACTIONS, day, make_ledger, money, rows
 from pyspark.sql import functions as F
 
 from tallybook import Ledger

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import MICRO_ACCOUNTS, MICRO_SPLITS, MICRO_TRANSACTIONS, make_ledger, money, rows
+from micro_ledger import MICRO_ACCOUNTS, MICRO_SPLITS, MICRO_TRANSACTIONS, make_ledger, money, rows
 
 from tallybook.operators import edits as E
 from tallybook.plans import reports

@@ -1,7 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import pytest
-from conftest import SMALL
+from micro_ledger import SMALL
 
 import __spark_entry__ as entry
 import check_queries

@@ -4,7 +4,7 @@ import random
 
 import duckdb
 import pytest
-from conftest import make_ledger, rows
+from micro_ledger import make_ledger, rows
 
 from tallybook import Ledger
 from tallybook.operators import counters, edits

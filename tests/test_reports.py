@@ -1,7 +1,7 @@
 """Reports on the hand-computed ledger."""
 
 import pytest
-from conftest import day, make_ledger, money, rows
+from micro_ledger import day, make_ledger, money, rows
 
 from tallybook.plans import reports
 

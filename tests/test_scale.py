@@ -3,7 +3,7 @@
 import contextlib
 
 import pytest
-from conftest import SMALL
+from micro_ledger import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
