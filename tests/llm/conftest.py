@@ -4,9 +4,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-
-SMALL = "/root/testdata/sf0.001"
+HERE = Path(__file__).resolve()
+sys.path[:0] = [str(HERE.parent), str(HERE.parents[2])]
 
 
 @pytest.fixture(scope="session")

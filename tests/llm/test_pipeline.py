@@ -1,5 +1,5 @@
 import pytest
-from conftest import SMALL
+from llm_inputs import SMALL
 from pyspark.sql import functions as F
 from test_decontam import brute as contaminated
 from test_jaccard import brute as similar

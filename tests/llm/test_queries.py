@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SMALL
+from llm_inputs import SMALL
 
 import __spark_entry__ as entry
 from tallybook.llm import queries
