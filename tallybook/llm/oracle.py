@@ -92,9 +92,97 @@ SELECT w.doc_id, (SELECT count(*) FROM sets WHERE sets.doc_id = w.doc_id)::BIGIN
 FROM w JOIN least_of USING (doc_id)
 """
 
+#: CRC-32 by its table: bytes come as hexadecimal pairs of the UTF-8 text.
+_CRC_TABLE = """
+SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS tbl
+"""
+
+
+def _crc32(text: str, table: str = "tbl") -> str:
+    return f"""xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+      list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda a, b: xor(a >> 8, {table}[(xor(a, b) & 255) + 1])))"""
+
+
+PERIODIC_RUNS = f"""
+WITH crc AS ({_CRC_TABLE}), d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w, len(w) AS n,
+         {_crc32("doc_id::VARCHAR")} AS h
+  FROM documents, crc
+), planted AS (
+  SELECT *, (h // 10) AS g, h % 10 = 0 AND n > 0 AS hit FROM d
+), placed AS (
+  SELECT *, CASE WHEN hit THEN g % n END AS a FROM planted
+), units AS (
+  SELECT *, CASE WHEN hit THEN 1 + (n - a) // (3 + g % 8) END AS u FROM placed
+), w AS (
+  SELECT r, n, i, w[CASE WHEN hit AND i >= a THEN a + (i - a) % u ELSE i END + 1] AS word
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM units)
+), pairs AS (
+  SELECT x.r, y.i - x.i AS p, x.i FROM w x JOIN w y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT r, p, i, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM pairs
+), stretches AS (
+  SELECT r, p, min(i) AS start, count(*) + p AS length FROM islands GROUP BY r, p, island
+), runs AS (
+  SELECT r, start, length, min(p) AS period FROM stretches
+  WHERE length >= greatest(6, 4 * p) GROUP BY r, start, length
+), dropped AS (
+  SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs
+), lines AS (
+  SELECT r, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS line
+  FROM runs GROUP BY r
+), longest AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) = 1
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN dropped USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+       (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(line, '')) AS runs_sha256,
+       sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN lines USING (r) LEFT JOIN longest USING (r) LEFT JOIN kept USING (r)
+"""
+
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}), runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+  GROUP BY ALL
+), hashed AS (
+  SELECT run, n, {_crc32("concat(doc_id, ':', run)")} AS h FROM runs, crc
+), spoiled AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM spoiled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), holes AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT x.word, y.word AS other, y.n FROM holes x JOIN holes y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT x.word, v.word, v.n FROM holes x JOIN v ON x.rest = v.word
+  UNION SELECT v.word, x.word, x.n FROM holes x JOIN v ON x.rest = v.word
+), counted AS (
+  SELECT word, count(*) AS n_near FROM near GROUP BY word
+), best AS (
+  SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, encode(other)) = 1
+), forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near,
+         CASE WHEN best.n >= 2 * v.n THEN other END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n
+  FROM v LEFT JOIN counted USING (word) LEFT JOIN best USING (word)
+), reached AS (
+  SELECT word, word AS at, form AS next FROM forms
+  UNION ALL SELECT reached.word, forms.word, forms.form FROM reached JOIN forms ON forms.word = reached.next
+)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n::BIGINT AS form_n
+FROM forms f JOIN reached r ON r.word = f.word AND r.next IS NULL
+"""
+
 SQL = {
     "op1_top_k_search": TOP_K,
     "op2_benchmark_decontamination": DECONTAMINATION,
     "op7_line_dedup": LINE_DEDUP,
     "op9_ngram_jaccard_join": JACCARD,
+    "op12_periodic_runs": PERIODIC_RUNS,
+    "op13_spelling_variants": SPELLING_VARIANTS,
 }

@@ -14,8 +14,11 @@ from tallybook.llm import (
     line_dedup,
     oracle,
     packing,
+    periodic,
     secret_scan,
     sharding,
+    spelling,
+    token_files,
     url_rules,
 )
 
@@ -68,6 +71,18 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_top_k_search": top_k_search,
     "op2_benchmark_decontamination": decontamination,
@@ -79,6 +94,9 @@ QUERIES = {
     "op8_packing": sequence_packing,
     "op9_ngram_jaccard_join": jaccard_join,
     "op10_secret_scan": secrets,
+    "op11_token_id_files": token_id_files,
+    "op12_periodic_runs": periodic_runs,
+    "op13_spelling_variants": spelling_variants,
 }
 
 ORACLE_SQL = oracle.SQL
