@@ -17,10 +17,11 @@ an empty table gives an empty manifest; other columns are ignored. Texts are tok
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,9 @@ SLICE = 4 << 20
 #: Words whose ids a task remembers, and the longest of them.
 REMEMBERED, LONGEST = 1 << 19, 256
 
+#: ASCII letters, and those of U+00C0 to U+00FF: normalising leaves them single letters.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
 WRITTEN = "shard long, name string, n_docs long, n_tokens long"
 
 
@@ -59,14 +63,14 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 class WordEncoder:
-    """Ids of a text by a tokenizer file that drops white space, as ``tokenizers`` gives them.
+    """Ids of texts by a tokenizer file that drops white space, as ``tokenizers`` gives them.
 
     No token of such a file reaches over white space, so what stands between it is encoded once and
-    remembered. ``normalizer`` and ``pre_tokenizer`` of the file must be of that kind: the words of a
-    probe are compared when the file is opened.
+    remembered; the words of many texts that are new are encoded in one call. ``normalizer`` and
+    ``pre_tokenizer`` of the file must be of that kind: a probe is compared when the file is opened.
     """
 
-    _PROBE = "It's  one\tof\n\nthe 12 ones: <|endoftext|>x Áb ́c d"
+    _PROBE = "It's  one\tof\n\nthe 12 ones: <|endoftext|>x Áb ́c d"
 
     def __init__(self, path: str):
         import os
@@ -77,34 +81,73 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
+        # tokens that end a word; what is made of letters alone is one word, with one such token
+        suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         whole = self._tokenizer.encode(self._PROBE, add_special_tokens=False).ids
-        if self._encoded(self._PROBE.encode()) != np.array(whole, dtype=self.dtype).tobytes():
+        if self.encoded([self._PROBE.encode()]) != [np.array(whole, dtype=self.dtype).tobytes()]:
             raise ValueError(f"{path} has tokens that depend on white space")
 
-    def _encoded(self, data: bytes) -> bytes:
-        words = data.split()
-        known = self._known
-        new = [w for w in set(words) if w not in known]
+    def encoded(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        if len(self._known) > REMEMBERED:  # words in use come back from the older half
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
+        out, open_ = [], []
+        new: dict[bytes, bytes] = {}
+        for text in texts:
+            words = text.split()
+            ids = list(map(known.get, words))
+            if None in ids:
+                at = [i for i, found in enumerate(ids) if found is None]
+                for i in at:
+                    word = words[i]
+                    if word in older:
+                        ids[i] = known[word] = older[word]
+                    elif word not in new:
+                        new[word] = b""
+                open_.append((len(out), ids, [(i, words[i]) for i in at if ids[i] is None]))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
         if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            texts = [w.decode("utf-8", "replace") for w in new]
-            found = self._tokenizer.encode_batch(texts, add_special_tokens=False)
-            ids = {w: np.array(e.ids, dtype=self.dtype).tobytes() for w, e in zip(new, found, strict=True)}
-            out = b"".join([known[w] if w in known else ids[w] for w in words])
-            known.update((w, i) for w, i in ids.items() if len(w) <= LONGEST)
-            return out
-        return b"".join(map(known.__getitem__, words))
+            self._encode_new(new)
+            known.update((w, i) for w, i in new.items() if len(w) <= LONGEST)
+        for place, ids, missing in open_:
+            for i, word in missing:
+                ids[i] = new[word]
+            out[place] = b"".join(ids)
+        return out
+
+    def _encode_new(self, new: dict[bytes, bytes]) -> None:
+        """Give each word its ids; words of letters are encoded in one text, cut where a word ends."""
+        letters = [w for w in new if _LETTERS.fullmatch(w)]
+        ids = self._ids([b" ".join(letters)])[0]
+        cuts = (np.flatnonzero(self._ends[ids]) + 1) * self.dtype.itemsize
+        if len(cuts) == len(letters):
+            data, at = ids.tobytes(), 0
+            for word, cut in zip(letters, cuts.tolist(), strict=True):
+                new[word], at = data[at:cut], cut
+        others = [w for w, found in new.items() if not found]
+        for word, ids in zip(others, self._ids(others), strict=True):
+            new[word] = ids.tobytes()
+
+    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.dtype) for e in found]
 
     def pieces(self, data: bytes) -> Iterator[bytes]:
-        """The ids of a text as bytes; a long text in pieces that end at white space."""
+        """The ids of a long text in pieces that end at white space."""
         at = 0
         while at < len(data):
             end = at + SLICE
             while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
                 end += 1
-            yield self._encoded(data[at:end])
+            yield self.encoded([data[at:end]])[0]
             at = end
 
 
@@ -121,7 +164,7 @@ class _Writer:
         self._ends: list[int] = []
         self._nulls = self._at = 0
 
-    def add(self, doc_id: int | None, pieces: Iterator[bytes]) -> None:
+    def add(self, doc_id: int | None, pieces: Iterable[bytes]) -> None:
         for piece in pieces:
             self._out.write(piece)
             self._at += len(piece) // self._width
@@ -198,13 +241,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
     rows = docs.select(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     if shards is None:
         size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-        shards = max(1, -(-size // SHARD_BYTES), min(spark.sparkContext.defaultParallelism, size >> 20))
+        shards = max(1, -(-size // SHARD_BYTES), min(4 * spark.sparkContext.defaultParallelism, size >> 22))
     placed = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     order = (F.col("doc_id").asc_nulls_last(), "h", "row")
     ranged = placed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = encoder = None
+
+        def add_all(held: list[tuple[int | None, bytes]]) -> None:
+            """Add documents whose texts are short together, or a single longer one."""
+            if len(held) == 1:
+                pieces = encoder.pieces(held[0][1])
+                out.add(held[0][0], (p for part in (pieces, (closing,)) for p in part))
+            else:
+                for (doc_id, _), ids in zip(held, encoder.encoded([data for _, data in held]), strict=True):
+                    out.add(doc_id, (ids + closing,))
+            held.clear()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -212,8 +266,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
                 encoder = WordEncoder(path)
                 out = _Writer(folder, TaskContext.get().partitionId(), encoder.dtype.itemsize)
                 closing = np.array([end], dtype=encoder.dtype).tobytes()
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                out.add(doc_id.as_py(), (p for part in (encoder.pieces(text.as_py().encode()), (closing,)) for p in part))
+            held, size = [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = text.as_py().encode()
+                if held and size + len(data) > SLICE:
+                    add_all(held)
+                    size = 0
+                held.append((doc_id, data))
+                size += len(data)
+            add_all(held)
         if out is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(names, out.close(), strict=True))], schema=schema)
 

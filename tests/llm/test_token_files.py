@@ -54,8 +54,11 @@ def test_elias_fano_refuses_unsorted():
 ODD = st.text(alphabet=st.sampled_from("aB cé́İΣ\n\t  \x1c\x85'st!12퟿\U0001f600<|>endoftx"), max_size=60)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.one_of(ODD, st.text(max_size=80)))
+LETTERS = st.lists(st.text(alphabet="abZÀÿßØö×÷'", min_size=1, max_size=9), max_size=12).map(" ".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(ODD, LETTERS, st.text(max_size=80)))
 def test_ids_of_the_library(text):
     encoder = token_files.WordEncoder(token_files.default_tokenizer())
     got = np.frombuffer(b"".join(encoder.pieces(text.encode())), encoder.dtype)
