@@ -22,6 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,9 @@ _HEAD = struct.Struct("<8sBQQq")  # magic, bytes an id, documents, documents wit
 #: Bytes of text a shard holds, about.
 SHARD_BYTES = 128 << 20
 #: Bytes of text that are tokenised at a time, and bytes of ids that are read at a time.
-SLICE = 4 << 20
-#: Words whose ids a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 1 << 19, 256
+SLICE = 1 << 20
+#: Words whose ids a Python worker remembers (up to twice as many), and the longest of them.
+REMEMBERED, LONGEST = 1 << 18, 256
 
 #: ASCII letters, and those of U+00C0 to U+00FF: normalising leaves them single letters.
 _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -151,6 +152,12 @@ class WordEncoder:
             at = end
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker: what it remembers serves all tasks it runs."""
+    return WordEncoder(path)
+
+
 class _Writer:
     """One shard being written."""
 
@@ -263,7 +270,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
             if not batch.num_rows:
                 continue
             if out is None:
-                encoder = WordEncoder(path)
+                encoder = _encoder(path)
                 out = _Writer(folder, TaskContext.get().partitionId(), encoder.dtype.itemsize)
                 closing = np.array([end], dtype=encoder.dtype).tobytes()
             held, size = [], 0
