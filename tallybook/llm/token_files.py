@@ -88,10 +88,24 @@ class WordEncoder:
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._added = [token.content.lower().encode() for token in added]
+        large, small = ("".join(map(chr, range(first, first + 26))) for first in (65, 97))
+        ids = [self._tokenizer.encode(f"{x} {' '.join(x)}", add_special_tokens=False).ids for x in (large, small)]
+        self._lowers = ids[0] == ids[1]
+        # a sign that is a word and a token of its own, to stand between words that are encoded in one text
+        alone = (c for c in "♥★●■♪" if len(self._tokenizer.encode(c, add_special_tokens=False).ids) == 1)
+        self._sign = next(alone, "").encode()
+        self._sign_id = self._tokenizer.encode(self._sign.decode(), add_special_tokens=False).ids[0] if self._sign else -1
         whole = self._tokenizer.encode(self._PROBE, add_special_tokens=False).ids
         if self.encoded([self._PROBE.encode()]) != [np.array(whole, dtype=self.dtype).tobytes()]:
             raise ValueError(f"{path} has tokens that depend on white space")
 
+    def _small(self, text: bytes) -> bytes:
+        """A-Z as small letters, where the file does the same and no added token is near."""
+        small = text.lower() if self._lowers else text
+        return text if any(token in small for token in self._added) else small
+
     def encoded(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes."""
         if len(self._known) > REMEMBERED:  # words in use come back from the older half
@@ -100,7 +114,7 @@ class WordEncoder:
         out, open_ = [], []
         new: dict[bytes, bytes] = {}
         for text in texts:
-            words = text.split()
+            words = self._small(text).split()
             ids = list(map(known.get, words))
             if None in ids:
                 at = [i for i, found in enumerate(ids) if found is None]
@@ -133,6 +147,16 @@ class WordEncoder:
             for word, cut in zip(letters, cuts.tolist(), strict=True):
                 new[word], at = data[at:cut], cut
         others = [w for w, found in new.items() if not found]
+        if self._sign:
+            plain = [w for w in others if self._sign not in w]
+            ids = self._ids([(b" " + self._sign + b" ").join(plain)])[0]
+            at = np.flatnonzero(ids == self._sign_id)
+            if len(at) == len(plain) - 1:
+                data, size = ids.tobytes(), self.dtype.itemsize
+                starts, ends = np.append(0, at + 1) * size, np.append(at, len(ids)) * size
+                for word, start, end in zip(plain, starts.tolist(), ends.tolist(), strict=True):
+                    new[word] = data[start:end]
+                others = [w for w in others if self._sign in w]
         for word, ids in zip(others, self._ids(others), strict=True):
             new[word] = ids.tobytes()
 
