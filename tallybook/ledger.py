@@ -7,6 +7,15 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 
 
+@dataclass(frozen=True)
+class Version:
+    """A published version of a book: where it is, and its number."""
+
+    root: str
+    year: str
+    number: int
+
+
 @dataclass(frozen=True)
 class Ledger:
     """Accounts, transactions and splits of one book.
@@ -14,12 +23,16 @@ class Ledger:
     ``journal`` is optional: the splits already joined with their date, account
     name and counter accounts (see ``operators.journal``). Reports read it when
     it is there and join the three tables when it is not.
+
+    ``version`` is the published version it was read from; ledgers staged from it keep it, so that
+    publishing them can tell whether the book has moved on.
     """
 
     accounts: DataFrame
     transactions: DataFrame
     splits: DataFrame
     journal: DataFrame | None = None
+    version: Version | None = None
 
     def stage(self, **tables: DataFrame) -> Ledger:
         """A copy with some tables replaced; the journal no longer fits, so it goes."""

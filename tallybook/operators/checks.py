@@ -22,6 +22,10 @@ class Refused(Exception):
     """A ledger that must not be published."""
 
 
+class Conflict(Refused):
+    """A ledger made from a version of its book that is no longer the newest one."""
+
+
 def _type_problems(table: str, df: DataFrame) -> list[tuple]:
     """Columns that are absent or of another type; read off the schema, no job runs."""
     found = {f.name: f.dataType for f in df.schema}

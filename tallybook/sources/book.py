@@ -1,17 +1,21 @@
 """Books on storage: one folder per year, one sub-folder per published version.
 
     <root>/book_year=2017/attempt-<unique>/{accounts,transactions,splits,journal}
-    <root>/book_year=2017/versions          one row per published version, naming its folder
+    <root>/book_year=2017/versions/<number>.json      names the folder of that version
 
 A version is written once and never changed, so readers of an older one are not
-disturbed. Its row in ``versions`` is added last: until then nobody reads it. Every attempt
-writes a folder of its own, so two publishers never mix their files; of two that end up with
-the same number, the one whose folder sorts last is the version.
+disturbed. Publishing is optimistic: a ledger remembers the version it was read from, every attempt
+writes a folder of its own, and last of all the file of the next number is created, which only
+one publisher can do. The others get a ``Conflict``, and their folders are removed; nobody's changes
+are lost without notice.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -19,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.ledger import Ledger, Staged
+from tallybook.ledger import Ledger, Staged, Version
 from tallybook.operators.checks import (
+    Conflict,
     require_balanced,
     require_no_fatal,
     require_valid,
@@ -29,6 +34,7 @@ from tallybook.operators.checks import (
 from tallybook.operators.journal import build_journal
 from tallybook.operators.scopes import shared_folder
 from tallybook.sources.schema import DEFAULT_YEAR, JOURNAL, KEYS, TABLES
+from tallybook.sources.store import put_new, remove
 
 
 def _book(root: str, year) -> str:
@@ -36,8 +42,9 @@ def _book(root: str, year) -> str:
 
 
 def published_versions(spark: SparkSession, root: str, year=DEFAULT_YEAR) -> DataFrame:
-    schema = "version long, has_journal boolean, folder string"
-    return spark.read.schema(schema).parquet(f"{_book(root, year)}/versions")
+    """One row per published version: its number, its folder, and the version it was made from (0: none)."""
+    schema = "version long, base long, has_journal boolean, folder string"
+    return spark.read.schema(schema).json(f"{_book(root, year)}/versions")
 
 
 def _version(spark: SparkSession, root: str, year, version: int | None = None):
@@ -50,7 +57,7 @@ def _version(spark: SparkSession, root: str, year, version: int | None = None):
         return None
     if version is not None:
         known = known.filter(F.col("version") == version)
-    return known.orderBy(F.desc("version"), F.desc("folder")).first()
+    return known.orderBy(F.desc("version")).first()
 
 
 def read_book(spark: SparkSession, root: str, year=DEFAULT_YEAR, version: int | None = None) -> Ledger:
@@ -58,7 +65,8 @@ def read_book(spark: SparkSession, root: str, year=DEFAULT_YEAR, version: int |
     known = _version(spark, root, year, version)
     if known is None:
         raise ValueError(f"no published book of {year} under {root}")
-    return _read_folder(spark, f"{_book(root, year)}/{known['folder']}", known["has_journal"])
+    ledger = _read_folder(spark, f"{_book(root, year)}/{known['folder']}", known["has_journal"])
+    return replace(ledger, version=Version(root, str(year), known["version"]))
 
 
 def _read_folder(spark: SparkSession, folder: str, journal: bool) -> Ledger:
@@ -83,6 +91,7 @@ def _write_ranges(rows: DataFrame, folder: str, name: str, keys: tuple[str, ...]
     files = max(-(-size // FILE_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES), 1)
     ranges = raw.repartitionByRange(files, *keys)
     ranges.sortWithinPartitions(*order).write.parquet(f"{folder}/{name}")
+    remove(spark, f"{folder}/unsorted/{name}")
 
 
 def _write_tables(ledger: Ledger, folder: str) -> None:
@@ -101,35 +110,78 @@ def write_journal(ledger: Ledger, folder: str) -> None:
     _write_ranges(build_journal(ledger), folder, "journal", ("date", "sid"), ("date", "aid"))
 
 
-def publish(staged: Staged | Ledger, root: str, year=DEFAULT_YEAR, journal: bool = True) -> Ledger:
+def _base(spark: SparkSession, ledger: Ledger, root: str, year, overwrite: bool) -> int:
+    """The number of the version a ledger may follow; 0 if the book has none."""
+    newest = _version(spark, root, year)
+    newest = newest["version"] if newest else 0
+    mine = ledger.version
+    if overwrite:
+        return newest
+    if mine is None or (mine.root, mine.year) != (root, str(year)):
+        if newest:
+            raise Conflict(f"Version {newest} of this book exists, and the ledger was not read from the book.")
+    elif mine.number != newest:
+        raise Conflict(f"Made from version {mine.number}, but version {newest} has been published.")
+    return newest
+
+
+def publish(
+    staged: Staged | Ledger, root: str, year=DEFAULT_YEAR, journal: bool = True, overwrite: bool = False
+) -> Ledger:
     """Write a ledger as the book's next version, unless it is invalid or unbalanced.
 
     A staged batch comes with its rejects and is refused if one of them is fatal; a plain
-    ledger has none. The tables are written first and checked as written, keys and
-    references included, so the changes behind them are computed once. A refused version
-    keeps its files but gets no row in ``versions``, hence is never read. Returns the
-    published ledger.
+    ledger has none. A ledger that was made from an older version than the newest one, or that was not
+    read from this book though the book has versions, raises ``Conflict``: before anything is written where
+    the newer version is there already, else when the version's number is taken.
+    ``overwrite`` says that it is to replace whatever is newest when publishing starts.
+
+    The tables are written first and checked as written, keys and
+    references included, so the changes behind them are computed once. The files of a refused
+    attempt are removed. Returns the published ledger.
     """
     ledger = staged.ledger if isinstance(staged, Staged) else staged
     spark = ledger.splits.sparkSession
+    base = _base(spark, ledger, root, year, overwrite)
     if isinstance(staged, Staged):
         require_no_fatal(staged.rejects)
     name = f"attempt-{uuid.uuid4().hex}"
     folder = f"{_book(root, year)}/{name}"
-    _write_tables(ledger, folder)
-    written = _read_folder(spark, folder, journal=False)
-    require_valid(written)
-    require_balanced(written)
-    if journal:
-        write_journal(written, folder)
-    latest = _version(spark, root, year)
-    row = spark.range(1).select(
-        F.lit(latest["version"] + 1 if latest else 1).cast("long").alias("version"),
-        F.lit(journal).alias("has_journal"),
-        F.lit(name).alias("folder"),
-    )
-    row.write.mode("append").parquet(f"{_book(root, year)}/versions")
-    return _read_folder(spark, folder, journal)
+    try:
+        _write_tables(ledger, folder)
+        written = _read_folder(spark, folder, journal=False)
+        require_valid(written)
+        require_balanced(written)
+        if journal:
+            write_journal(written, folder)
+        row = {"version": base + 1, "base": base, "has_journal": journal, "folder": name}
+        if not put_new(spark, f"{_book(root, year)}/versions/{base + 1:012d}.json", json.dumps(row)):
+            raise Conflict(f"Version {base + 1} has been published meanwhile.")
+    except BaseException:
+        remove(spark, folder)
+        raise
+    return replace(_read_folder(spark, folder, journal), version=Version(root, str(year), base + 1))
+
+
+def publish_changes(
+    spark: SparkSession,
+    root: str,
+    change: Callable[[Ledger], Staged | Ledger],
+    year=DEFAULT_YEAR,
+    attempts: int = 3,
+    journal: bool = True,
+) -> Ledger:
+    """Read the newest version, apply ``change`` and publish; after a conflict, on the version that came between.
+
+    The last of ``attempts`` raises its ``Conflict``. Any other refusal is raised at once.
+    """
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return publish(change(read_book(spark, root, year)), root, year, journal)
+        except Conflict:
+            if not left:
+                raise
+    raise ValueError("attempts must be at least 1")
 
 
 def store_unchecked(ledger: Ledger, folder: str, journal: bool = True) -> Ledger:

@@ -1,5 +1,7 @@
 """Books on storage, bulk files, checks and exports."""
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
 import pytest
@@ -8,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tallybook import Ledger
 from tallybook.operators import checks
-from tallybook.operators.edits import delete_splits, update_splits
+from tallybook.operators.edits import delete_splits, update_splits, update_transactions
 from tallybook.plans import reports
 from tallybook.plans.views import VIEWS, project_view
 from tallybook.sources import book as B
 from tallybook.sources import export
+from tallybook.sources.store import put_new
 
 
 @pytest.fixture()
@@ -93,17 +96,90 @@ def test_broken_keys_are_refused(spark, micro, balanced, tmp_path):
         B.read_book(spark, root)
 
 
-def test_two_publishers_do_not_mix(spark, balanced, tmp_path, monkeypatch):
-    """Both see the same newest version; each writes a folder of its own, and one of them is the version."""
+def edited(ledger, memo):
+    batch = ledger.splits.select(F.col("sid").alias("seq"), F.col("sid").alias("target_id"), F.lit("memo").alias("field"), F.lit(memo).alias("value"))
+    return update_splits(ledger, batch)
+
+
+def folders(tmp_path):
+    return [p for p in tmp_path.glob("books/book_year=2017/attempt-*/splits/*.parquet")]
+
+
+def test_a_stale_ledger_is_refused(spark, balanced, tmp_path):
+    root = str(tmp_path / "books")
+    first = B.publish(balanced, root, journal=False)
+    assert (first.version.number, B.read_book(spark, root).version) == (1, first.version)
+    mine, theirs = edited(B.read_book(spark, root), "mine"), edited(B.read_book(spark, root), "theirs")
+    second = B.publish(theirs, root, journal=False)
+    kept = len(folders(tmp_path))
+    with pytest.raises(checks.Conflict, match="Made from version 1, but version 2"):
+        B.publish(mine, root, journal=False)
+    with pytest.raises(checks.Conflict, match="not read from the book"):
+        B.publish(balanced, root, journal=False)
+    assert len(folders(tmp_path)) == kept
+    assert content(B.read_book(spark, root), "splits") == content(second, "splits")
+    # an older version may be published anew when that is said
+    again = B.publish(first, root, journal=False, overwrite=True)
+    assert again.version.number == 3 and content(B.read_book(spark, root), "splits") == content(balanced, "splits")
+    assert [tuple(r) for r in B.published_versions(spark, root).select("version", "base").orderBy("version").collect()] == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_of_publishers_at_once_one_succeeds(spark, balanced, tmp_path):
+    """All start from one version and pass the first check; the number goes to one of them."""
+    root = str(tmp_path / "books")
+    B.publish(balanced, root, journal=False)
+    start = threading.Barrier(3)
+
+    def run(name):
+        staged = edited(B.read_book(spark, root), name)
+        start.wait()
+        try:
+            return B.publish(staged, root, journal=False)
+        except checks.Conflict as error:
+            return error
+
+    with ThreadPoolExecutor(3) as pool:
+        found = list(pool.map(run, ["one", "two", "three"]))
+    done = [f for f in found if not isinstance(f, checks.Conflict)]
+    assert len(done) == 1 and done[0].version.number == 2
+    assert content(B.read_book(spark, root), "splits") == content(done[0], "splits")
+    assert len(list(tmp_path.glob("books/*/attempt-*"))) == 2  # the others left nothing
+
+
+def test_changes_are_applied_again_after_a_conflict(spark, balanced, tmp_path):
     root = str(tmp_path / "books")
-    monkeypatch.setattr(B, "_version", lambda *a, **k: None)
-    one = B.publish(balanced, root, journal=False)
-    other = B.publish(balanced.stage(splits=balanced.splits.withColumn("memo", F.lit("other"))), root, journal=False)
-    monkeypatch.undo()
-    assert content(one, "splits") == content(balanced, "splits")
-    read = B.read_book(spark, root)
-    assert content(read, "splits") in (content(one, "splits"), content(other, "splits"))
-    assert B.published_versions(spark, root).count() == 2
+    B.publish(balanced, root, journal=False)
+    seen = []
+
+    def change(ledger):
+        seen.append(ledger.version.number)
+        if len(seen) == 1:  # somebody else is faster
+            batch = spark.createDataFrame([(1, 2, "description", "theirs")], "seq long, target_id long, field string, value string")
+            B.publish(update_transactions(ledger, batch), root, journal=False)
+        return edited(ledger, "mine")
+
+    done = B.publish_changes(spark, root, change, journal=False)
+    assert seen == [1, 2] and done.version.number == 3
+    assert rows(done.splits, "memo") == [("mine",)] * 15
+    assert rows(done.transactions.filter("tid = 2"), "description") == [("theirs",)]
+    seen.clear()
+    with pytest.raises(checks.Conflict):
+        B.publish_changes(spark, root, change, attempts=1, journal=False)
+
+
+def test_a_file_is_created_once(spark, tmp_path):
+    path = str(tmp_path / "versions" / "7.json")
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda i: put_new(spark, path, f"text {i}"), range(24)))
+    assert sum(made) == 1
+    assert open(path).read() == f"text {made.index(True)}"
+    assert [p.name for p in tmp_path.glob("versions/*")] == ["7.json"]
+
+
+def test_nothing_but_the_tables_is_left(spark, balanced, tmp_path):
+    B.publish(balanced, str(tmp_path / "books"))
+    (made,) = tmp_path.glob("books/*/attempt-*")
+    assert not list(made.glob("unsorted/*"))
 
 
 def test_validate_schema(spark, micro):
