@@ -29,7 +29,6 @@ from tallybook.operators.journal import build_journal  # noqa: E402
 from tallybook.plans import reports  # noqa: E402
 from tallybook.plans.views import VIEWS, project_view  # noqa: E402
 from tallybook.sources import book, export  # noqa: E402
-from tallybook.sources.schema import JOURNAL  # noqa: E402
 from tallybook.sources.synthetic import derived_ledger  # noqa: E402
 
 # The date range of the scoped queries, and "today" for new transactions.
@@ -58,9 +57,7 @@ def stored_ledger(spark: SparkSession, sf_dir: str, journal: bool = False) -> Le
         plain = _stored[(*key, False)]
         folder = _folder(spark, "journal")
         book.write_journal(plain, folder)
-        _stored[(*key, True)] = Ledger(
-            plain.accounts, plain.transactions, plain.splits, spark.read.schema(JOURNAL).parquet(f"{folder}/journal")
-        )
+        _stored[(*key, True)] = book.read_journal(plain, folder)
     return _stored[(*key, journal)]
 
 
@@ -265,6 +262,27 @@ def _batch_rejects(ledger: Ledger) -> DataFrame:
     return edits.apply_edits(ledger, batch).rejects
 
 
+def _publish_conflict(ledger: Ledger) -> DataFrame:
+    """Two sessions edit version 1; the slower one is refused, and applies its edits to version 2."""
+    spark = ledger.splits.sparkSession
+    root = _folder(spark, "books")
+    off = reports.imbalances(ledger).withColumn("seq", F.col("tid")).withColumnRenamed("tid", "target_id")
+    book.publish(edits.delete_transactions(ledger, off), root, journal=False)
+    seen = book.read_book(spark, root)
+
+    def described(newest: Ledger):
+        return edits.update_accounts(newest, _batch(newest.accounts, "aid", ("description", F.col("kind"))))
+
+    book.publish(edits.update_accounts(seen, _batch(seen.accounts, "aid", ("name", F.concat("name", F.lit(" *"))))), root, journal=False)
+    refused = None
+    try:
+        book.publish(described(seen), root, journal=False)
+    except checks.Conflict as error:
+        refused = str(error)
+    done = book.publish_changes(spark, root, described, journal=False)
+    return done.accounts.withColumns({"version": F.lit(done.version.number).cast("long"), "refused": F.lit(refused)})
+
+
 def _export(ledger: Ledger) -> DataFrame:
     """The accounts view written as text lines and read again."""
     spark = ledger.splits.sparkSession
@@ -352,6 +370,7 @@ def ledger_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bulk_load": on(_bulk_load),
         "bulk_load_violations": on(_bulk_load_violations),
         "publish_round_trip": on(_publish_round_trip),
+        "publish_conflict": on(_publish_conflict),
         "export_report": on(_export),
         "column_widths": on(lambda L: export.column_widths(project_view(reports.split_list(L, ordered=False), "splits"), export.SCREEN_WIDTH)),
         # views

@@ -328,6 +328,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'splits', sid, 'amount', 'too many decimals', CAST(amount AS VARCHAR) || '5' FROM splits WHERE sid % 3 = 0
             UNION ALL SELECT 'transactions', tid, 'description', 'loaded whole', description || chr(10) || 'second line'
             FROM transactions WHERE tid % 5 <> 0"""),
+        "publish_conflict": ledger("""SELECT aid, kind, name || ' *' AS name, kind AS description, CAST(3 AS BIGINT) AS version,
+            'Made from version 1, but version 2 has been published.' AS refused FROM accounts"""),
         "publish_round_trip": ledger(
             balances().replace("FROM splits GROUP", "FROM splits WHERE tid NOT IN (SELECT tid FROM imbalances) GROUP"),
             IMBALANCES,
@@ -509,9 +511,12 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT s.sid, s.tid, s.aid, s.kind, {money('''CASE
                 WHEN w.last IS NULL THEN CASE WHEN s.kind = 'debit' THEN s.amount + 1 ELSE s.amount END
                 WHEN s.kind = 'debit' AND s.sid >= w.last THEN s.amount + 1 ELSE w.new_amount END''')} AS amount, s.memo
-            FROM splits s LEFT JOIN (SELECT tid, MAX(sid) AS last, arg_max(amount + 1, sid) AS new_amount
-                FROM journal WHERE opposite_count = 1 GROUP BY tid) w ON w.tid = s.tid""",
-            JOURNAL,
+            FROM splits s LEFT JOIN wide w ON w.tid = s.tid""",
+            # a statement edit of an amount needs one split opposite, in a transaction that exists
+            """sides AS MATERIALIZED (SELECT tid, kind, COUNT(*) AS n FROM splits GROUP BY tid, kind),
+            wide AS MATERIALIZED (SELECT s.tid, MAX(s.sid) AS last, arg_max(s.amount + 1, s.sid) AS new_amount
+                FROM splits s JOIN sides o ON o.tid = s.tid AND o.kind <> s.kind AND o.n = 1
+                WHERE s.tid IN (SELECT tid FROM transactions) GROUP BY s.tid)""",
         ),
         "delete_transactions": ledger(f"SELECT {SPLIT_COLUMNS} FROM splits WHERE tid NOT IN (SELECT tid FROM imbalances)", IMBALANCES),
         "delete_accounts": ledger(f"SELECT * FROM accounts WHERE {off}"),

@@ -12,19 +12,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.ledger import Ledger
-from tallybook.operators.joins import splits_with_account
+from tallybook.operators.joins import named_accounts
 from tallybook.operators.skew import join_facts
 from tallybook.sources.schema import SPLIT_KINDS
 
 
-def _listed(kind: str) -> Column:
-    names = F.collect_set(F.when(F.col("kind") == kind, F.col("account")))
-    return F.when(F.size(names) > 0, F.array_join(F.array_sort(names), ","))
+def side_names(ledger: Ledger) -> DataFrame:
+    """(tid, side, names): per transaction and side, the sorted distinct names of its accounts.
 
+    Splits are brought down to one row per account of a side by their numbers, whatever their count,
+    before names are looked up and listed; a side without named accounts is absent.
+    """
+    used = ledger.splits.select("tid", F.col("kind").alias("side"), "aid").distinct()
+    listed = F.array_join(F.array_sort(F.collect_set("account")), ",").alias("names")
+    return used.join(named_accounts(ledger), "aid").groupBy("tid", "side").agg(listed)
+
+
+def attach_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Add ``counter``: the account names opposite each row (tid, kind), NULL when there are none.
 
-def account_lists(named_splits: DataFrame) -> DataFrame:
-    """Per transaction, the sorted distinct account names of each side (NULL: none)."""
-    return named_splits.groupBy("tid").agg(*[_listed(k).alias(f"{k}_accounts") for k in SPLIT_KINDS])
+    ``names`` holds each list once; it is copied to the rows here, so this comes after other joins.
+    """
+    debit, credit = SPLIT_KINDS
+    kind = F.col("kind")
+    other = F.when(kind == debit, credit).when(kind == credit, debit)
+    lists = names.select("tid", F.col("side").alias("opposite_side"), F.col("names").alias("counter"))
+    joined = join_facts(rows.withColumn("opposite_side", other), lists, ("tid", "opposite_side"))
+    return joined.drop("opposite_side")
 
 
 def cash_sides(cash_splits: DataFrame) -> DataFrame:
@@ -55,8 +69,7 @@ def opposite(measure: str) -> Column:
 
 def with_counter(splits: DataFrame, ledger: Ledger) -> DataFrame:
     """Add ``counter``: the account names opposite each split, NULL when there are none."""
-    joined = join_facts(splits, account_lists(splits_with_account(ledger)), "tid")
-    return joined.withColumn("counter", opposite("accounts")).drop(*[f"{k}_accounts" for k in SPLIT_KINDS])
+    return attach_names(splits, side_names(ledger))
 
 
 def counter_splits(splits: DataFrame, required: bool = False) -> DataFrame:

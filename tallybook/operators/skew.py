@@ -12,20 +12,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-def laid_out_anew(facts: DataFrame, key: str) -> DataFrame:
-    """``facts`` with their layout by ``key`` forgotten, so that a join on it shuffles them itself.
+def laid_out_anew(facts: DataFrame, *keys: str) -> DataFrame:
+    """``facts`` with their layout by the keys forgotten, so that a join on them shuffles them itself.
 
-    The key makes a detour that does not change it but that hides where it came from.
+    A key makes a detour that does not change it but that hides where it came from.
     """
+    for key in keys:
+        facts = _detoured(facts, key)
+    return facts
+
+
+def _detoured(facts: DataFrame, key: str) -> DataFrame:
     if isinstance(facts.schema[key].dataType, StringType):
         return facts.withColumn(key, F.concat(F.col(key), F.lit("")))
     return facts.withColumn(key, F.col(key).cast("string").cast(facts.schema[key].dataType))
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Join ``rows`` with ``facts``, which has one row per ``key``.
+def join_facts(rows: DataFrame, facts: DataFrame, key: str | tuple[str, ...], how: str = "left") -> DataFrame:
+    """Join ``rows`` with ``facts``, which has one row per ``key``, a column or several.
 
     Building the join reads nothing. A key that holds a large part of the rows, or rows without a
     key, are split at run time; small facts are sent along, as Spark measures them.
     """
-    return rows.join(laid_out_anew(facts, key), key, how)
+    keys = (key,) if isinstance(key, str) else key
+    return rows.join(laid_out_anew(facts, *keys), list(keys), how)

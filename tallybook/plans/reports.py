@@ -23,8 +23,8 @@ from tallybook.functions.text import is_cash_account, kind_rank, like, mentions_
 from tallybook.ledger import Ledger
 from tallybook.operators.asof import attach, running_totals
 from tallybook.operators.checks import imbalances
-from tallybook.operators.counters import cash_sides, opposite
-from tallybook.operators.journal import build_journal, journal_of
+from tallybook.operators.counters import attach_names, cash_sides, opposite
+from tallybook.operators.journal import journal_rows, names_of
 from tallybook.operators.joins import dated_splits, named_accounts, splits_with_account
 from tallybook.operators.scopes import Keys, cut, in_dates, in_keys, stored_columns, stored_keys, zoom
 from tallybook.operators.skew import join_facts
@@ -99,10 +99,10 @@ def split_list(ledger: Ledger, sids: Keys = None, tids: Keys = None, ordered: bo
 # -- statements ------------------------------------------------------------------
 
 
-def _statement(rows: DataFrame, ordered: bool, wide: int) -> DataFrame:
+def _statement(rows: DataFrame, names: DataFrame, ordered: bool, wide: int) -> DataFrame:
     """Common columns and order: newest first, then the larger unsigned amount."""
     raw = F.col("amount")
-    report = rows.select(
+    report = attach_names(rows, names).select(
         "sid",
         "date",
         "description",
@@ -143,13 +143,22 @@ def _dated(detail: DataFrame, start, end) -> DataFrame:
     return detail.filter(F.col("date").isNotNull() & in_dates(start, end))
 
 
-def _of_accounts(ledger: Ledger, aids: Keys, start=None, end=None) -> tuple[DataFrame, DataFrame]:
-    """Journal rows of the wanted accounts, and their splits with dates; the dates only spare work."""
+def _names(near: Ledger, start=None, end=None) -> DataFrame:
+    """Account names of the sides of transactions; stored ones of the dates only."""
+    names = names_of(near)
+    return names if near.counters is None else names.filter(in_dates(start, end))
+
+
+def _of_accounts(ledger: Ledger, aids: Keys, start=None, end=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Journal rows of the wanted accounts, their splits with dates, and the names opposite.
+
+    The dates only spare work.
+    """
     near = _cut(ledger, start, end)
     if aids is not None and ledger.journal is None:
         near = zoom(ledger, stored_keys(in_keys(ledger.splits, "aid", aids), "tid"))
-    detail = in_keys(journal_of(near), "aid", aids).filter(F.col("account").isNotNull())
-    return detail, in_keys(dated_splits(near), "aid", aids)
+    detail = in_keys(journal_rows(near), "aid", aids).filter(F.col("account").isNotNull())
+    return detail, in_keys(dated_splits(near), "aid", aids), _names(near, start, end)
 
 
 def _chosen(ledger: Ledger, sids: Keys) -> DataFrame | None:
@@ -157,10 +166,10 @@ def _chosen(ledger: Ledger, sids: Keys) -> DataFrame | None:
     return None if sids is None else stored_columns(in_keys(ledger.splits, "sid", sids).select("sid", "tid", "aid"))
 
 
-def _of_splits(ledger: Ledger, chosen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Journal rows of the chosen splits, and the dates to probe for them."""
+def _of_splits(ledger: Ledger, chosen: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Journal rows of the chosen splits, the dates to probe for them, and the names opposite."""
     near = ledger if chosen is None or ledger.journal is not None else zoom(ledger, chosen)
-    return in_keys(journal_of(near), "sid", chosen), in_keys(dated_splits(near), "sid", chosen)
+    return in_keys(journal_rows(near), "sid", chosen), in_keys(dated_splits(near), "sid", chosen), _names(near)
 
 
 def account_statement(
@@ -171,9 +180,9 @@ def account_statement(
     Only splits in ``[start, end)`` count, so each balance starts from zero; without
     dates all of them do.
     """
-    detail, moves = _of_accounts(ledger, aids, start, end)
+    detail, moves, names = _of_accounts(ledger, aids, start, end)
     totals = running_totals(_dated(moves, start, end), _running(), by=("aid",))
-    return _statement(attach(_dated(detail, start, end), totals, by=("aid",)), ordered, wide=5)
+    return _statement(attach(_dated(detail, start, end), totals, by=("aid",)), names, ordered, wide=5)
 
 
 def account_statement_rows(
@@ -185,22 +194,22 @@ def account_statement_rows(
     ``start`` shows zero, a row after ``end`` the whole range's total.
     """
     chosen = _chosen(ledger, sids)
-    detail, probes = _of_splits(ledger, chosen)
+    detail, probes, names = _of_splits(ledger, chosen)
     # everything that ever moved the accounts of the chosen splits
     moves = in_keys(dated_splits(_cut(ledger, start, end)), "aid", chosen)
     totals = running_totals(moves.filter(in_dates(start, end)), _running(), by=("aid",), probes=probes)
-    return _statement(attach(detail, totals, by=("aid",)), ordered, wide=5)
+    return _statement(attach(detail, totals, by=("aid",)), names, ordered, wide=5)
 
 
-def _cash_book(ledger: Ledger, pattern: str, start, end) -> tuple[DataFrame, DataFrame]:
-    """Journal rows of the cash accounts in scope, and the same splits as movements.
+def _cash_book(ledger: Ledger, pattern: str, start, end) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Journal rows of the cash accounts in scope, the same splits as movements, and the names opposite.
 
     Movements carry ``counter_cash``: whether an account opposite mentions cash.
     """
     if ledger.journal is not None:
         scope = like(F.col("description"), pattern) & is_cash_account(F.col("account"))
         detail = _dated(ledger.journal.filter(scope), start, end)
-        return detail, detail.withColumn("counter_cash", mentions_cash(F.col("counter")))
+        return detail, detail, _names(ledger, start, end)
     near = _cut(ledger, start, end, pattern)
     # Only accounts that mention cash can mark a transfer, and the cash accounts are among them.
     mentioning = named_accounts(near).filter(mentions_cash(F.col("account")))
@@ -209,7 +218,7 @@ def _cash_book(ledger: Ledger, pattern: str, start, end) -> tuple[DataFrame, Dat
     transactions = near.transactions.select("tid", "date", "description")
     facts = transactions.join(cash_sides(marking), "tid", "left")
     moves = join_facts(splits, facts, "tid", how="inner").withColumn("counter_cash", opposite("cash"))
-    return _dated(build_journal(near, splits), start, end), _dated(moves, start, end)
+    return _dated(journal_rows(near, splits), start, end), _dated(moves, start, end), _names(near)
 
 
 def _internal() -> Column:
@@ -235,8 +244,8 @@ def cash_statement(
     The balance moves with every cash split; a transfer between cash accounts
     is left out of the running debits and credits.
     """
-    detail, moves = _cash_book(ledger, pattern, start, end)
-    return _statement(attach(detail, _cash_totals(moves)), ordered, wide=6)
+    detail, moves, names = _cash_book(ledger, pattern, start, end)
+    return _statement(attach(detail, _cash_totals(moves)), names, ordered, wide=6)
 
 
 def cash_statement_rows(
@@ -248,22 +257,22 @@ def cash_statement_rows(
     ordered: bool = True,
 ) -> DataFrame:
     """Cash-statement rows of chosen splits of any account, date and description."""
-    detail, probes = _of_splits(ledger, _chosen(ledger, sids))
-    _, moves = _cash_book(ledger, pattern, start, end)
+    detail, probes, names = _of_splits(ledger, _chosen(ledger, sids))
+    _, moves, _ = _cash_book(ledger, pattern, start, end)
     totals = _cash_totals(moves, probes=probes)
-    return _statement(attach(detail, totals), ordered, wide=6)
+    return _statement(attach(detail, totals), names, ordered, wide=6)
 
 
 def external_sums(ledger: Ledger, pattern: str = "%", start=None, end=None) -> DataFrame:
     """Debits and credits of each cash account, transfers between cash accounts left out."""
-    _, moves = _cash_book(ledger, pattern, start, end)
+    _, moves, _ = _cash_book(ledger, pattern, start, end)
     internal = _internal()
     return moves.groupBy("account").agg(debit_sum(internal).alias("debits"), credit_sum(internal).alias("credits"))
 
 
-def _plain_statement(rows: DataFrame, *order) -> DataFrame:
+def _plain_statement(rows: DataFrame, names: DataFrame, *order) -> DataFrame:
     """Raw kind and amount, balance only, and NULL where there is no counter account."""
-    report = rows.select(
+    report = attach_names(rows, names).select(
         "sid", "date", "description", "account", "counter", "kind", "amount", "balance"
     )
     return report.orderBy(*order) if order else report
@@ -271,21 +280,20 @@ def _plain_statement(rows: DataFrame, *order) -> DataFrame:
 
 def statement_history(ledger: Ledger, aids: Keys = None, ordered: bool = True) -> DataFrame:
     """Each account's whole history, oldest first."""
-    rows = _with_balance(ledger, aids)
-    return _plain_statement(rows, *(("date", "sid") if ordered else ()))
+    return _plain_statement(*_with_balance(ledger, aids), *(("date", "sid") if ordered else ()))
 
 
 def statement_opening(
     ledger: Ledger, aids: Keys = None, start=None, end=None, ordered: bool = True
 ) -> DataFrame:
     """Rows of ``[start, end)``, newest first, balances carrying all earlier history."""
-    rows = _with_balance(ledger, aids, start, end)
-    return _plain_statement(rows, *((F.desc("date"), F.desc("sid")) if ordered else ()))
+    return _plain_statement(*_with_balance(ledger, aids, start, end), *((F.desc("date"), F.desc("sid")) if ordered else ()))
 
 
-def _with_balance(ledger: Ledger, aids: Keys, start=None, end=None) -> DataFrame:
-    detail, moves = _of_accounts(ledger, aids)
+def _with_balance(ledger: Ledger, aids: Keys, start=None, end=None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the dates with their running balance, and the names opposite."""
+    detail, moves, names = _of_accounts(ledger, aids)
     # Rows on or after ``end`` cannot reach any balance shown.
     totals = running_totals(moves.filter(in_dates(None, end)), {"balance": signed_amount()}, by=("aid",))
-    return attach(_dated(detail, start, end), totals, by=("aid",))
+    return attach(_dated(detail, start, end), totals, by=("aid",)), names
 

@@ -1,6 +1,6 @@
 """Books on storage: one folder per year, one sub-folder per published version.
 
-    <root>/book_year=2017/attempt-<unique>/{accounts,transactions,splits,journal}
+    <root>/book_year=2017/attempt-<unique>/{accounts,transactions,splits,journal,counters}
     <root>/book_year=2017/versions/<number>.json      names the folder of that version
 
 A version is written once and never changed, so readers of an older one are not
@@ -31,9 +31,9 @@ from tallybook.operators.checks import (
     require_valid,
     validate_schema,
 )
-from tallybook.operators.journal import build_journal
+from tallybook.operators.journal import stored_counters, stored_journal
 from tallybook.operators.scopes import shared_folder
-from tallybook.sources.schema import DEFAULT_YEAR, JOURNAL, KEYS, TABLES
+from tallybook.sources.schema import COUNTERS, DEFAULT_YEAR, JOURNAL, KEYS, TABLES
 from tallybook.sources.store import put_new, remove
 
 
@@ -70,10 +70,18 @@ def read_book(spark: SparkSession, root: str, year=DEFAULT_YEAR, version: int |
 
 
 def _read_folder(spark: SparkSession, folder: str, journal: bool) -> Ledger:
-    tables = {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in TABLES.items()}
-    return Ledger(**tables, journal=spark.read.schema(JOURNAL).parquet(f"{folder}/journal") if journal else None)
+    wanted = {**TABLES, **(JOURNAL_TABLES if journal else {})}
+    return Ledger(**{name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in wanted.items()})
 
 
+def read_journal(ledger: Ledger, folder: str) -> Ledger:
+    """The ledger with the journal tables that ``write_journal`` left under ``folder``."""
+    read = ledger.splits.sparkSession.read
+    return replace(ledger, **{name: read.schema(schema).parquet(f"{folder}/{name}") for name, schema in JOURNAL_TABLES.items()})
+
+
+#: Tables that are made of the other three.
+JOURNAL_TABLES = {"journal": JOURNAL, "counters": COUNTERS}
 #: Bytes of a file of a table, at most; and at least, as long as there are tasks to read more of them.
 FILE_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 
@@ -106,8 +114,9 @@ def _write_tables(ledger: Ledger, folder: str) -> None:
 
 
 def write_journal(ledger: Ledger, folder: str) -> None:
-    """Write the journal under ``folder``, clustered by date for the reports' date ranges."""
-    _write_ranges(build_journal(ledger), folder, "journal", ("date", "sid"), ("date", "aid"))
+    """Write the journal tables under ``folder``, clustered by date for the reports' date ranges."""
+    _write_ranges(stored_journal(ledger), folder, "journal", ("date", "sid"), ("date", "aid"))
+    _write_ranges(stored_counters(ledger), folder, "counters", ("date", "tid", "side"), ("date", "tid", "side"))
 
 
 def _base(spark: SparkSession, ledger: Ledger, root: str, year, overwrite: bool) -> int:

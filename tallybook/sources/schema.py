@@ -27,16 +27,24 @@ SPLITS = T.StructType([
     T.StructField("amount", MONEY, False),
     T.StructField("memo", T.StringType(), True),
 ])
-#: A split with what the other tables say about it.
+#: A split with what the other tables say about it, but for the accounts opposite: of those only whether one
+#: mentions cash (NULL: there are none).
 JOURNAL = T.StructType(
     SPLITS.fields
     + [
         T.StructField("date", T.DateType(), True),
         T.StructField("description", T.StringType(), True),
         T.StructField("account", T.StringType(), True),
-        T.StructField("counter", T.StringType(), True),
+        T.StructField("counter_cash", T.BooleanType(), True),
     ]
 )
+#: The account names of one side of a transaction, once for all splits of the other side.
+COUNTERS = T.StructType([
+    T.StructField("tid", T.LongType(), True),
+    T.StructField("side", T.StringType(), True),
+    T.StructField("date", T.DateType(), True),
+    T.StructField("names", T.StringType(), True),
+])
 TABLES = {"accounts": ACCOUNTS, "transactions": TRANSACTIONS, "splits": SPLITS}
 KEYS = {"accounts": "aid", "transactions": "tid", "splits": "sid"}
 

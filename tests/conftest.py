@@ -8,7 +8,7 @@ HERE = Path(__file__).resolve().parent
 sys.path[:0] = [str(HERE), str(HERE.parent)]
 
 from micro_ledger import MICRO_ACCOUNTS, MICRO_SPLITS, MICRO_TRANSACTIONS, make_ledger  # noqa: E402
-from tallybook import Ledger  # noqa: E402
+from tallybook.operators.journal import with_journal  # noqa: E402
 from tallybook.session import configure  # noqa: E402
 
 
@@ -34,7 +34,4 @@ def micro(spark):
 
 @pytest.fixture(scope="session")
 def micro_with_journal(spark, micro):
-    from tallybook.operators.journal import build_journal
-
-    journal = build_journal(micro)
-    return Ledger(micro.accounts, micro.transactions, micro.splits, journal)
+    return with_journal(micro)

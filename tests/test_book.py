@@ -1,6 +1,7 @@
 """Books on storage, bulk files, checks and exports."""
 
 import threading
+import zlib
 from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
@@ -176,6 +177,26 @@ def test_a_file_is_created_once(spark, tmp_path):
     assert [p.name for p in tmp_path.glob("versions/*")] == ["7.json"]
 
 
+def stored_bytes(folder):
+    return sum(p.stat().st_size for name in ("journal", "counters") for p in (folder / name).glob("*.parquet"))
+
+
+def test_names_are_stored_once_a_side(spark, tmp_path):
+    """One transaction of n debits and m credited accounts: bytes grow as n + m, not as n times m."""
+    sizes = {}
+    for n, m in ((200, 200), (200, 1600), (1600, 200), (1600, 1600)):
+        names = [(1, "asset", "Purse", None)] + [(2 + i, "income", f"{zlib.crc32(b'%d' % i):08x}", None) for i in range(m)]
+        splits = [(i, 1, 1, "debit", "1.00", None) for i in range(n)]
+        splits += [(n + i, 1, 2 + i, "credit", "1.00", None) for i in range(m)]
+        folder = tmp_path / f"{n}-{m}"
+        ledger = make_ledger(spark, names, [(1, "2017-01-01", "Large")], splits)
+        B.write_journal(ledger, str(folder))
+        sizes[n, m] = stored_bytes(folder)
+    base = sizes[200, 200]
+    assert sizes[1600, 1600] - base < 1.5 * (sizes[1600, 200] - base + sizes[200, 1600] - base)
+    assert sizes[1600, 1600] < 1600 * 64  # a name is 8 letters; 1,600 lists of 1,600 names would be 23 MB
+
+
 def test_nothing_but_the_tables_is_left(spark, balanced, tmp_path):
     B.publish(balanced, str(tmp_path / "books"))
     (made,) = tmp_path.glob("books/*/attempt-*")

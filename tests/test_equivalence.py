@@ -6,9 +6,8 @@ import duckdb
 import pytest
 from micro_ledger import make_ledger, rows
 
-from tallybook import Ledger
 from tallybook.operators import counters, edits
-from tallybook.operators.journal import build_journal
+from tallybook.operators.journal import with_journal
 from tallybook.plans import reports
 
 JOURNAL = """
@@ -142,7 +141,7 @@ def test_cash_statement_rows(pair, shuffled):
 
 def test_stored_journal_gives_the_same_reports(pair):
     ledger, _ = pair
-    stored = Ledger(ledger.accounts, ledger.transactions, ledger.splits, build_journal(ledger))
+    stored = with_journal(ledger)
     for report in (reports.account_statement, reports.cash_statement, reports.statement_history):
         assert report(stored).collect() == report(ledger).collect()
     assert reports.external_sums(stored).collect() == reports.external_sums(ledger).collect()
