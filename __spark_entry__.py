@@ -26,6 +26,7 @@ from tallybook.functions.money import credit_sum, debit_sum, money_text, signed_
 from tallybook.operators import checks, counters, edits, joins, scopes  # noqa: E402
 from tallybook.operators.asof import attach, running_totals  # noqa: E402
 from tallybook.operators.journal import build_journal  # noqa: E402
+from tallybook.operators.session import Session  # noqa: E402
 from tallybook.plans import reports  # noqa: E402
 from tallybook.plans.views import VIEWS, project_view  # noqa: E402
 from tallybook.sources import book, export  # noqa: E402
@@ -299,14 +300,40 @@ def _preview(ledger: Ledger) -> DataFrame:
     return before.join(after, "aid")
 
 
+def _session(ledger: Ledger) -> Session:
+    """A session on the ledger; its steps are written to the shared folder."""
+    _folder(ledger.splits.sparkSession, "session")
+    return Session(ledger)
+
+
 def _reselect(ledger: Ledger) -> DataFrame:
     """Statement rows of the edited debits, as they read on the staged ledger."""
-    staged = edits.update_statement(ledger, statement_edits(ledger)).ledger
-    staged = book.store_unchecked(staged, _folder(ledger.splits.sparkSession, "staged"), journal=False)
+    staged = _session(ledger).edit({"statement": statement_edits(ledger)}).ledger
     changed = ledger.splits.filter(F.col("kind") == "debit")
     return VIEWS["account_statement"].reselect(staged, changed, START, END)
 
 
+def _reselect_cash(ledger: Ledger) -> DataFrame:
+    """Cash-statement rows of the edited debits, as they read on the staged ledger."""
+    staged = _session(ledger).edit({"statement": statement_edits(ledger)}).ledger
+    changed = ledger.splits.filter(F.col("kind") == "debit")
+    return VIEWS["cash_statement"].reselect(staged, changed, "%", START, END)
+
+
+def _reselect_splits(ledger: Ledger, view: str, changed: DataFrame) -> DataFrame:
+    """Edited splits, as the view shows them on the staged ledger."""
+    staged = _session(ledger).edit({"splits": split_edits(ledger)}).ledger
+    return VIEWS[view].reselect(staged, changed)
+
+
+def _session_cells(ledger: Ledger) -> DataFrame:
+    """What three steps changed, cell by cell: splits added to petty transactions, unbalanced ones deleted, accounts edited."""
+    off = reports.imbalances(ledger).withColumn("seq", F.col("tid")).withColumnRenamed("tid", "target_id")
+    petty = ledger.transactions.filter("description = 'Petty'").select(F.col("tid").alias("seq"), "tid")
+    session = _session(ledger).insert_splits(petty).delete_transactions(off).edit({"accounts": account_edits(ledger)})
+    return session.cells()
+
+
 def _both_updates(ledger: Ledger) -> DataFrame:
     """Split edits and statement edits in one batch; the later of each cell wins."""
     direct = split_edits(ledger).filter("field = 'amount'")
@@ -530,8 +557,11 @@ def ledger_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             )
         ),
         "reselect_splits": on(
-            lambda L: VIEWS["splits"].reselect(edits.update_splits(L, split_edits(L)).ledger, L.splits.filter("tid % 16 = 0"))
+            lambda L: _reselect_splits(L, "splits", L.splits)
         ),
+        "reselect_scoped_splits": on(lambda L: project_view(_reselect_splits(L, "scoped_splits", L.splits.filter("memo is null")), "scoped_splits")),
+        "reselect_cash_statement": on(_reselect_cash),
+        "session_cells": on(_session_cells),
         "insert_returned": on(_insert_returned),
         "batch_rejects": on(_batch_rejects),
     }

@@ -558,7 +558,36 @@ def oracle_sql() -> dict[str, str]:
         "reselect_splits": ledger(
             f"""SELECT sid, tid - tid % 4 AS tid, CASE WHEN kind = 'debit' THEN account ELSE 'Dormant' END AS account, 'credit' AS kind,
             {money(new_amount)} AS amount, {shown(new_amount)} AS amount_text, CASE WHEN memo IS NULL THEN 'checked' END AS memo
-            FROM (SELECT s.*, a.name AS account FROM splits s JOIN accounts a ON a.aid = s.aid) WHERE tid % 16 = 0"""
+            FROM (SELECT s.*, a.name AS account FROM splits s JOIN accounts a ON a.aid = s.aid)"""
+        ),
+        "reselect_scoped_splits": ledger(
+            f"""SELECT sid, 'credit' AS kind, CASE WHEN kind = 'debit' THEN account ELSE 'Dormant' END AS account, {shown(new_amount)} AS amount, 'checked' AS memo
+            FROM (SELECT s.*, a.name AS account FROM splits s JOIN accounts a ON a.aid = s.aid) WHERE memo IS NULL"""
+        ),
+        "reselect_cash_statement": ledger(
+            f"""SELECT * FROM ({statement(running('journal2', '', cash_scope, external=True), 6)})
+            WHERE sid IN (SELECT sid FROM splits WHERE kind = 'debit')""",
+            JOURNAL,
+            STATEMENT_AFTER,
+            after_journal,
+        ),
+        "session_cells": ledger(
+            f"""SELECT 'accounts' AS table_name, aid AS key, 'name' AS column_name, name AS old, name || ' *' AS new FROM accounts
+            UNION ALL SELECT 'accounts', aid, 'kind', kind, CASE WHEN kind = 'asset' THEN 'asset' ELSE 'expense' END FROM accounts
+                WHERE kind NOT IN ('asset', 'liability', 'expense')
+            UNION ALL SELECT 'accounts', aid, 'description', description, CASE WHEN name LIKE 'Cash%' THEN NULL ELSE name END FROM accounts
+                WHERE description IS DISTINCT FROM CASE WHEN name LIKE 'Cash%' THEN NULL ELSE name END
+            UNION ALL SELECT 'transactions', tid, unnest(['date', 'description']), unnest([{day()}, description]), NULL
+                FROM transactions WHERE tid IN (SELECT tid FROM imbalances)
+            UNION ALL SELECT 'splits', sid, column_name, old, NULL FROM (
+                SELECT sid, unnest(['tid', 'aid', 'kind', 'amount', 'memo']) AS column_name,
+                    unnest([tid::VARCHAR, aid::VARCHAR, kind, {money('amount')}::VARCHAR, memo]) AS old
+                FROM splits WHERE tid IN (SELECT tid FROM imbalances)) WHERE old IS NOT NULL
+            UNION ALL SELECT 'splits', sid, unnest(['tid', 'aid', 'kind', 'amount']), NULL, unnest([tid::VARCHAR, '1', 'debit', '0.00'])
+                FROM (SELECT tid, (SELECT MAX(sid) FROM splits) + 1 + tid
+                    - (SELECT MIN(tid) FROM transactions WHERE description = 'Petty') AS sid
+                    FROM transactions WHERE description = 'Petty')""",
+            IMBALANCES,
         ),
         "reselect_changed": ledger(
             f"SELECT * FROM ({statement(running('journal2', PER_ACCOUNT, s))}) WHERE sid IN (SELECT sid FROM splits WHERE kind = 'debit')",

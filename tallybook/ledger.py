@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -62,8 +62,13 @@ class Staged:
     reading ``ledger`` previews the changes, dropping it rolls them back.
     ``inserted`` tells which row came of which request: (``seq``, ``table_name``, ``id``); None
     for a batch that inserts nothing.
+
+    ``rows`` and ``gone`` say the same as ``ledger`` by what differs: per table, the rows that are new
+    or no longer read as before, whole, and the keys of rows that are deleted.
     """
 
     ledger: Ledger
     rejects: DataFrame
     inserted: DataFrame | None = None
+    rows: dict[str, DataFrame] = field(default_factory=dict)
+    gone: dict[str, DataFrame] = field(default_factory=dict)

@@ -27,13 +27,14 @@ from tallybook.functions.text import (
 )
 from tallybook.ledger import Ledger, Staged
 from tallybook.operators.counters import opposite, side_counts
-from tallybook.operators.scopes import not_in_keys
+from tallybook.operators.scopes import in_keys, not_in_keys
 from tallybook.operators.skew import join_facts
 from tallybook.sources.schema import (
     ACCOUNT_KINDS,
     ACCOUNTS,
     EDITS,
     IMBALANCE_ACCOUNT,
+    KEYS,
     MONEY,
     NEW_ACCOUNT_KIND,
     NEW_SPLIT_KIND,
@@ -68,11 +69,21 @@ def lookup_account(ledger: Ledger, names: DataFrame) -> DataFrame:
     return counted.filter("matches = 1").join(wanted, "name", "left_semi").select("name", "aid")
 
 
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def _as_plan(judged: DataFrame) -> DataFrame:
+    return judged
+
+
 class _Batch:
-    """A batch of edits. Nothing is read while it is judged: the plan is the same for any size."""
+    """A batch of edits. Nothing is read while it is judged: the plan is the same for any size.
 
-    def __init__(self, edits: DataFrame):
-        self.edits = edits.select(*EDITS.names)
+    ``keep`` is applied to the judged edits: it may store them, so that what follows reads them.
+    """
+
+    def __init__(self, edits: DataFrame, keep: Keep = _as_plan):
+        self.edits, self.keep = edits.select(*EDITS.names), keep
 
     def found(self, table: DataFrame, key: str, *columns: str, by: str = "target_id") -> DataFrame:
         """Rows of ``table`` that the batch points at, keyed as ``by``."""
@@ -93,9 +104,9 @@ def _first_reason(*tests: tuple[Column, Column | str, bool]) -> tuple[Column, Co
     return verdict["reason"], F.coalesce(verdict["fatal"], F.lit(False))
 
 
-def _judge(edits: DataFrame, *tests: tuple[Column, Column | str, bool]) -> DataFrame:
+def _judge(batch: _Batch, edits: DataFrame, *tests: tuple[Column, Column | str, bool]) -> DataFrame:
     reason, fatal = _first_reason(*tests)
-    return edits.withColumns({"reason": reason, "fatal": fatal})
+    return batch.keep(edits.withColumns({"reason": reason, "fatal": fatal}))
 
 
 def _rejected(judged: DataFrame) -> DataFrame:
@@ -168,6 +179,7 @@ class _Changes:
 def _account_changes(ledger: Ledger, batch: _Batch) -> _Changes:
     found = batch.found(ledger.accounts, "aid").withColumn("known", F.lit(True))
     judged = _judge(
+        batch,
         join_facts(batch.edits, found, "target_id"),
         (~F.col("field").isin("kind", "name", "description") | F.col("field").isNull(), NOT_EDITABLE, False),
         (
@@ -201,6 +213,7 @@ def _no_text() -> tuple[Column, str, bool]:
 def _transaction_changes(ledger: Ledger, batch: _Batch) -> _Changes:
     found = batch.found(ledger.transactions, "tid").withColumn("known", F.lit(True))
     judged = _judge(
+        batch,
         join_facts(batch.edits, found, "target_id"),
         (~F.col("field").isin("date", "description") | F.col("field").isNull(), NOT_EDITABLE, False),
         _bad_date(),
@@ -229,6 +242,7 @@ def _split_changes(ledger: Ledger, batch: _Batch) -> _Changes:
     kind, amount = parse_split_kind(value), parse_amount(value)
     shown = F.coalesce(value, F.lit(""))
     judged = _judge(
+        batch,
         join_facts(join_facts(edits, found, "target_id"), homes, "home"),
         (
             ~F.col("field").isin("tid", "account", "kind", "amount", "memo") | F.col("field").isNull(),
@@ -271,6 +285,7 @@ def _statement_changes(ledger: Ledger, batch: _Batch) -> _Changes:
     regular = F.coalesce(F.col("opposite_count") == 1, F.lit(False))
     unnamed = F.concat(F.lit(NO_ACCOUNT), shown)
     judged = _judge(
+        batch,
         join_facts(edits, placed, "target_id"),
         (
             ~F.col("field").isin("date", "description", "account", "counter", "amount")
@@ -353,27 +368,48 @@ def _new_splits(splits: DataFrame, changes: _Changes) -> DataFrame:
     return joined.select(*out)
 
 
-def apply_edits(ledger: Ledger, edits: dict[str, DataFrame]) -> Staged:
+def _touched(table: DataFrame, key: str, cells: list[DataFrame]) -> DataFrame:
+    return in_keys(table, key, _all(cells).select(F.col("key").alias(key)))
+
+
+def _touched_splits(splits: DataFrame, changes: _Changes) -> DataFrame:
+    """Splits with an edited cell, and all splits of transactions whose amount was set."""
+    if not changes.amounts:
+        return _touched(splits, "sid", changes.splits)
+    wide = _touched(splits, "tid", changes.amounts)
+    if not changes.splits:
+        return wide
+    whole = _all(changes.amounts).select(F.col("key").alias("tid"))
+    return wide.unionByName(not_in_keys(_touched(splits, "sid", changes.splits), "tid", whole))
+
+
+def apply_edits(ledger: Ledger, edits: dict[str, DataFrame], keep: Keep = _as_plan) -> Staged:
     """Apply one batch of edits, given per view they were made in.
 
-    The keys are from ``VIEWS``; ``seq`` orders the edits of all views together.
+    The keys are from ``VIEWS``; ``seq`` orders the edits of all views together. ``keep`` may store the
+    judged edits of a view, which several results are made of.
     """
     unknown = set(edits) - set(VIEWS)
     if unknown or not edits:
         raise ValueError(f"edits must be given for some of {VIEWS}, not {sorted(unknown)}")
-    changes = reduce(lambda a, b: a + b, [_JUDGES[view](ledger, _Batch(df)) for view, df in edits.items()])
-    tables = {}
+    changes = reduce(lambda a, b: a + b, [_JUDGES[view](ledger, _Batch(df, keep)) for view, df in edits.items()])
+    new, touched = {}, {}
     if changes.accounts:
-        tables["accounts"] = _overwrite(
-            ledger.accounts, "aid", _all(changes.accounts), ("kind", "name", "description")
-        )
+        cells = _all(changes.accounts)
+        new["accounts"] = lambda rows: _overwrite(rows, "aid", cells, ("kind", "name", "description"))
+        touched["accounts"] = _touched(ledger.accounts, "aid", changes.accounts)
     if changes.transactions:
-        tables["transactions"] = _overwrite(
-            ledger.transactions, "tid", _all(changes.transactions), ("date", "description")
-        )
+        dated = _all(changes.transactions)
+        new["transactions"] = lambda rows: _overwrite(rows, "tid", dated, ("date", "description"))
+        touched["transactions"] = _touched(ledger.transactions, "tid", changes.transactions)
     if changes.splits or changes.amounts:
-        tables["splits"] = _new_splits(ledger.splits, changes)
-    return Staged(ledger.stage(**tables), _all(changes.rejects))
+        new["splits"] = lambda rows: _new_splits(rows, changes)
+        touched["splits"] = _touched_splits(ledger.splits, changes)
+    return Staged(
+        ledger.stage(**{name: change(getattr(ledger, name)) for name, change in new.items()}),
+        _all(changes.rejects),
+        rows={name: new[name](rows) for name, rows in touched.items()},
+    )
 
 
 def update_accounts(ledger: Ledger, edits: DataFrame) -> Staged:
@@ -428,6 +464,12 @@ def _inserted(rows: DataFrame, table: str, key: str) -> DataFrame:
     return rows.select("seq", F.lit(table).alias("table_name"), F.col(key).alias("id"))
 
 
+def _with_rows(ledger: Ledger, table: str, rows: DataFrame, rejects: DataFrame, inserted: DataFrame) -> Staged:
+    """The ledger with new rows in one table."""
+    staged = ledger.stage(**{table: getattr(ledger, table).unionByName(rows)})
+    return Staged(staged, rejects, inserted, rows={table: rows})
+
+
 def insert_accounts(ledger: Ledger, requests: DataFrame) -> Staged:
     """One new account per row of ``requests(seq)``, named after its number."""
     numbered = requests.select("seq", _next_ids(ledger.accounts, "aid", requests).alias("aid"))
@@ -437,8 +479,7 @@ def insert_accounts(ledger: Ledger, requests: DataFrame) -> Staged:
         default_account_name(F.col("aid")).alias("name"),
         F.lit(None).alias("description"),
     )
-    accounts = ledger.accounts.unionByName(_shaped(rows, ACCOUNTS))
-    return Staged(ledger.stage(accounts=accounts), _no_rejects(requests), _inserted(numbered, "accounts", "aid"))
+    return _with_rows(ledger, "accounts", _shaped(rows, ACCOUNTS), _no_rejects(requests), _inserted(numbered, "accounts", "aid"))
 
 
 def insert_transactions(ledger: Ledger, requests: DataFrame, today=None) -> Staged:
@@ -449,12 +490,10 @@ def insert_transactions(ledger: Ledger, requests: DataFrame, today=None) -> Stag
         (F.current_date() if today is None else F.lit(today)).alias("date"),
         F.lit("").alias("description"),
     )
-    transactions = ledger.transactions.unionByName(_shaped(rows, TRANSACTIONS))
-    staged = ledger.stage(transactions=transactions)
-    return Staged(staged, _no_rejects(requests), _inserted(rows, "transactions", "tid"))
+    return _with_rows(ledger, "transactions", _shaped(rows, TRANSACTIONS), _no_rejects(requests), _inserted(rows, "transactions", "tid"))
 
 
-def insert_splits(ledger: Ledger, requests: DataFrame) -> Staged:
+def insert_splits(ledger: Ledger, requests: DataFrame, keep: Keep = _as_plan) -> Staged:
     """One new split per row of ``requests(seq[, tid])``: a debit of zero.
 
     Without a ``tid`` it joins the transaction with the lowest one. The account
@@ -465,9 +504,10 @@ def insert_splits(ledger: Ledger, requests: DataFrame) -> Staged:
     lowest = ledger.transactions.agg(F.min("tid")).scalar()
     holder = ledger.accounts.filter(F.col("name") == IMBALANCE_ACCOUNT)
     holder = holder.agg(F.when(F.count(F.lit(1)) == 1, F.min("aid"))).scalar()
-    batch = _Batch(_as_edits(requests.select("seq", F.coalesce(given, lowest).alias("target_id"))))
+    batch = _Batch(_as_edits(requests.select("seq", F.coalesce(given, lowest).alias("target_id"))), keep)
     homes = batch.found(ledger.transactions, "tid").withColumn("known", F.lit(True))
     judged = _judge(
+        batch,
         join_facts(batch.edits.withColumn("aid", holder), homes, "target_id"),
         (F.col("aid").isNull(), NO_ACCOUNT + IMBALANCE_ACCOUNT, True),
         (F.col("known").isNull(), "no transaction with this id", True),
@@ -481,8 +521,7 @@ def insert_splits(ledger: Ledger, requests: DataFrame) -> Staged:
         F.lit(0).cast(MONEY).alias("amount"),
         F.lit(None).alias("memo"),
     )
-    splits = ledger.splits.unionByName(_shaped(rows, SPLITS))
-    return Staged(ledger.stage(splits=splits), _rejected(judged), _inserted(rows, "splits", "sid"))
+    return _with_rows(ledger, "splits", _shaped(rows, SPLITS), _rejected(judged), _inserted(rows, "splits", "sid"))
 
 
 # -- deletes ---------------------------------------------------------------------------
@@ -495,56 +534,55 @@ def _as_edits(requests: DataFrame) -> DataFrame:
     )
 
 
-def _without(table: DataFrame, key: str, ids: DataFrame, column: str = "target_id") -> DataFrame:
-    return not_in_keys(table, key, ids.select(F.col(column).alias(key)))
+def _without(ledger: Ledger, rejects: DataFrame, **gone: tuple[str, DataFrame]) -> Staged:
+    """The ledger without rows; per table the column to go by, and the values of it that go."""
+    kept, keys = {}, {}
+    for table, (column, ids) in gone.items():
+        rows, key = getattr(ledger, table), KEYS[table]
+        kept[table] = not_in_keys(rows, column, ids)
+        keys[table] = ids if column == key else in_keys(rows, column, ids).select(key)
+    return Staged(ledger.stage(**kept), rejects, gone=keys)
+
+
+def _ids(requests: DataFrame, key: str, column: str = "target_id") -> DataFrame:
+    return requests.select(F.col(column).alias(key))
 
 
 def delete_transactions(ledger: Ledger, requests: DataFrame) -> Staged:
     """Delete transactions with all their splits; ids that do not exist are passed over."""
-    return Staged(
-        ledger.stage(
-            transactions=_without(ledger.transactions, "tid", requests),
-            splits=_without(ledger.splits, "tid", requests),
-        ),
-        _no_rejects(requests),
-    )
+    ids = _ids(requests, "tid")
+    return _without(ledger, _no_rejects(requests), transactions=("tid", ids), splits=("tid", ids))
 
 
 def delete_splits(ledger: Ledger, requests: DataFrame) -> Staged:
     """Delete splits; ids that do not exist are passed over."""
-    return Staged(ledger.stage(splits=_without(ledger.splits, "sid", requests)), _no_rejects(requests))
+    return _without(ledger, _no_rejects(requests), splits=("sid", _ids(requests, "sid")))
 
 
-def delete_accounts(ledger: Ledger, requests: DataFrame) -> Staged:
+def delete_accounts(ledger: Ledger, requests: DataFrame, keep: Keep = _as_plan) -> Staged:
     """Delete accounts, refusing those that splits still refer to."""
     # Down to one row per account before the join, however many splits it has.
     owners = ledger.splits.select("aid").distinct()
-    batch = _Batch(_as_edits(requests))
+    batch = _Batch(_as_edits(requests), keep)
     in_use = batch.found(owners, "aid").withColumn("used", F.lit(True))
     judged = _judge(
+        batch,
         join_facts(batch.edits, in_use, "target_id"),
         (F.col("used"), "account is still referenced from splits", True),
     )
-    return Staged(
-        ledger.stage(accounts=_without(ledger.accounts, "aid", _accepted(judged))), _rejected(judged)
-    )
+    return _without(ledger, _rejected(judged), accounts=("aid", _ids(_accepted(judged), "aid")))
 
 
-def delete_by_statement_row(ledger: Ledger, requests: DataFrame) -> Staged:
+def delete_by_statement_row(ledger: Ledger, requests: DataFrame, keep: Keep = _as_plan) -> Staged:
     """Delete the whole transactions behind cash-statement rows, given by sid."""
-    batch = _Batch(_as_edits(requests))
+    batch = _Batch(_as_edits(requests), keep)
     judged = _judge(
+        batch,
         join_facts(batch.edits, batch.found(ledger.splits, "sid", "tid"), "target_id"),
         (F.col("tid").isNull(), NO_STATEMENT_ROW, True),
     )
-    gone = _accepted(judged)
-    return Staged(
-        ledger.stage(
-            transactions=_without(ledger.transactions, "tid", gone, "tid"),
-            splits=_without(ledger.splits, "tid", gone, "tid"),
-        ),
-        _rejected(judged),
-    )
+    ids = _ids(_accepted(judged), "tid", "tid")
+    return _without(ledger, _rejected(judged), transactions=("tid", ids), splits=("tid", ids))
 
 
 # -- changes that are always refused --------------------------------------------------

@@ -1,0 +1,144 @@
+"""Sessions: changes kept as rows and keys, merged when read."""
+
+import pytest
+from micro_ledger import MICRO_ACCOUNTS, MICRO_SPLITS, MICRO_TRANSACTIONS, make_ledger, money, rows
+from pyspark.sql import functions as F
+
+from tallybook import Ledger
+from tallybook.operators import checks, edits
+from tallybook.operators.session import Session
+from tallybook.plans import reports
+from tallybook.sources import book
+from tallybook.sources.schema import TABLES
+
+EDIT = "seq long, target_id long, field string, value string"
+
+
+def batch(spark, *changes):
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(changes)], EDIT)
+
+
+def content(ledger):
+    return {name: sorted(map(tuple, getattr(ledger, name).select(*TABLES[name].names).collect()), key=str) for name in TABLES}
+
+
+def collected(spark, ledger):
+    """The ledger as local rows, so that plans of many steps do not pile up."""
+    return Ledger(**{n: spark.createDataFrame(r, TABLES[n]).coalesce(1) for n, r in content(ledger).items()})
+
+
+@pytest.fixture(scope="module")
+def stored(spark, micro, tmp_path_factory):
+    return book.store_unchecked(micro, str(tmp_path_factory.mktemp("session")), journal=False)
+
+
+BATCHES = {
+    "accounts": [(2, "name", "Bank"), (2, "name", "House bank"), (99, "name", "x"), (5, "kind", "loan")],
+    "transactions": [(3, "description", "Machine"), (4, "date", "2017-05-05"), (4, "tid", "9")],
+    "splits": [(11, "memo", "later"), (12, "account", "Food"), (21, "amount", "7"), (22, "tid", "3"), (99, "memo", "x")],
+    "statement": [(31, "amount", "33"), (41, "counter", "Card"), (51, "description", "Moved"), (61, "amount", "1")],
+}
+
+
+@pytest.mark.parametrize("views", [["accounts"], ["splits", "statement"], list(BATCHES)])
+def test_edits_read_as_the_whole_ledger_does(spark, stored, views):
+    edits_of = {v: batch(spark, *BATCHES[v]) for v in views}
+    plain = edits.apply_edits(stored, edits_of)
+    session = Session(stored).edit(edits_of)
+    assert content(session.ledger) == content(plain.ledger)
+    assert sorted(map(tuple, session.rejects.collect()), key=str) == sorted(map(tuple, plain.rejects.collect()), key=str)
+
+
+def test_steps_add_up(spark, stored):
+    """Each step sees those before; the result is that of the same steps on whole ledgers."""
+    ids = spark.createDataFrame([(1, 2)], "seq long, target_id long")
+    one = spark.createDataFrame([(1,), (2,)], "seq long")
+    session, plain = Session(stored), stored
+    steps = [
+        ("insert_accounts", (one,)),
+        ("insert_transactions", (one, "2017-06-01")),
+        ("insert_splits", (spark.createDataFrame([(1, 10), (2, 77)], "seq long, tid long"),)),
+        ("delete_transactions", (ids,)),
+        ("delete_splits", (spark.createDataFrame([(1, 93), (2, 31)], "seq long, target_id long"),)),
+        ("delete_by_statement_row", (spark.createDataFrame([(1, 51), (2, 500)], "seq long, target_id long"),)),
+        ("delete_accounts", (spark.createDataFrame([(1, 8), (2, 3)], "seq long, target_id long"),)),
+        ("insert_splits", (spark.createDataFrame([(1, 10)], "seq long, tid long"),)),
+    ]
+    for name, arguments in steps:
+        after = getattr(session, name)(*arguments)
+        plain = collected(spark, getattr(edits, name)(plain, *arguments).ledger)
+        session = after
+        if name.startswith("insert_splits"):
+            edit = {"splits": batch(spark, (91, "memo", name), (94, "memo", name))}
+            session, plain = after.edit(edit), collected(spark, edits.apply_edits(plain, edit).ledger)
+        assert content(session.ledger) == content(plain), name
+
+
+def test_cells(spark, stored):
+    session = Session(stored).edit({"accounts": batch(spark, *BATCHES["accounts"]), "splits": batch(spark, (11, "amount", "100"), (91, "memo", "m"))})
+    session = session.delete_splits(spark.createDataFrame([(1, 92)], "seq long, target_id long"))
+    got = sorted(tuple(r) for r in session.cells().collect())
+    assert got == [
+        ("accounts", 2, "name", "Checking", "House bank"),
+        ("splits", 91, "memo", None, "m"),
+        ("splits", 92, "aid", "4", None),
+        ("splits", 92, "amount", "2.00", None),
+        ("splits", 92, "kind", "credit", None),
+        ("splits", 92, "tid", "9", None),
+    ]
+    assert Session(stored).cells().collect() == []
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scoped_report_reads_the_scope_and_the_changes(spark, stored):
+    """Nothing of the judging is left in a report; its filters reach the first ledger and the changes."""
+    edit = {"statement": batch(spark, *BATCHES["statement"]), "splits": batch(spark, *BATCHES["splits"])}
+    session, lazy = Session(stored).edit(edit), edits.apply_edits(stored, edit).ledger
+    report = plan(reports.split_list(session.ledger, sids=[11, 41]))
+    scans = [line for line in report.split("\n") if "FileScan" in line and "memo" in line]
+    assert len(scans) == 2 and all("In(sid, [11,41])" in line for line in scans)
+    assert report.count("FileScan") <= 6 < plan(reports.split_list(lazy, sids=[11, 41])).count("FileScan")
+    dated = plan(reports.account_statement(session.ledger, [2], "2017-01-01", "2017-02-01"))
+    scans = [line for line in dated.split("\n") if "FileScan" in line and "date" in line]
+    assert scans and all("GreaterThanOrEqual(date,2017-01-01)" in line for line in scans)
+    for name in ("account_statement_rows",):
+        got = rows(getattr(reports, name)(session.ledger, [11, 41]), "sid", "balance", "counter")
+        assert got == rows(getattr(reports, name)(lazy, [11, 41]), "sid", "balance", "counter")
+
+
+def test_a_step_judges_once(spark, stored):
+    """The judged edits are a stored table: rows, cells and rejects are made of it."""
+    calls = []
+
+    def keep(judged):
+        calls.append(judged)
+        return judged
+
+    edits.apply_edits(stored, {v: batch(spark, *c) for v, c in BATCHES.items()}, keep=keep)
+    assert len(calls) == len(BATCHES)
+
+
+def test_publishing_a_session(spark, tmp_path):
+    sound = [s for s in MICRO_SPLITS if s[1] != 8]
+    root = str(tmp_path / "books")
+    book.publish(make_ledger(spark, MICRO_ACCOUNTS, MICRO_TRANSACTIONS, sound), root, journal=False)
+    start = Session(book.read_book(spark, root))
+    session = start.edit({"statement": batch(spark, (31, "amount", "33"))})
+    done = book.publish(session.staged, root, journal=False)
+    assert done.version.number == 2
+    assert rows(done.splits.filter("tid = 3").orderBy("sid"), "amount") == [(money("33.00"),)] * 2
+    with pytest.raises(checks.Conflict):
+        book.publish(start.edit({"accounts": batch(spark, (2, "name", "x"))}).staged, root)
+    with pytest.raises(checks.Refused, match="Unexpected query result"):
+        book.publish(Session(done).edit({"splits": batch(spark, (999, "memo", "x"))}).staged, root)
+
+
+def test_empty_steps(spark, stored):
+    session = Session(stored).edit({"splits": spark.createDataFrame([], EDIT)})
+    session = session.delete_splits(spark.createDataFrame([], "seq long, target_id long"))
+    assert content(session.ledger) == content(stored) and session.cells().collect() == []
+    assert session.staged.rejects.count() == 0 and Session(stored).staged.rejects.count() == 0
+    assert session.ledger.splits.filter(F.col("sid") < 0).count() == 0
