@@ -28,10 +28,12 @@ from pyspark.sql import types as T
 from tallybook.llm.tables import with_columns_in_arrow
 
 _TAG = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+[^>]*)>?""", re.S
+    # a quote opens a value only behind an equals sign; <!--> and <!---> are whole comments
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*')?)*+)>?""", re.S
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\b(hidden)\b""")
 _NAME = re.compile(r"[a-z]+")
+_SENTENCE_END = re.compile(r"[.!?…](?=\s|$)")
 #: Names that say what an element has beside it, or has not.
 _BESIDE = re.compile(r"(?<![\w-])(?:has|no|with|without)[-_][\w-]+")
 
@@ -57,6 +59,7 @@ IMPLIED_END = {
     "option": (frozenset({"option"}), frozenset()),
 }
 CONTENT_ELEMENTS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose text is no content wherever they stand, and those whose text is content inside an article only.
 BOILERPLATE_ELEMENTS = frozenset("nav aside footer form menu dialog button label fieldset legend search".split())
 UNSURE_ELEMENTS = frozenset(("header",))
@@ -71,13 +74,15 @@ BOILERPLATE_NAMES = frozenset(
 LIST_NAMES = frozenset(
     "comment comments reply replies discussion disqus respond related recommended recommendations trending".split()
 )
+#: Of these, names that say as much as a part of a longer name: remarks of readers are often as long as an article.
+REMARK_NAMES = frozenset("comment comments reply replies disqus respond".split())
 UNSURE_NAMES = frozenset("header masthead widget widgets toolbar meta tags byline copyright legal topbar".split())
 CONTENT_NAMES = frozenset("article content post entry story main body text".split())
 
 #: Weights of the classifier, in units of log-odds.
 W = {
     "start": -1.0, "article": 3.0, "content": 1.5, "boilerplate": -8.0, "unsure": -4.0, "unsure_in_article": -0.5,
-    "length": 0.5, "most_length": 2.5, "sentence": 0.4, "links": -3.0,
+    "doubt": -2.5, "answer": 0.5, "most_answer": 4.0, "length": 0.5, "most_length": 2.5, "sentence": 0.4, "links": -3.0,
     "p": 0.7, "blockquote": 0.7, "pre": 0.7, "h1": 1.0, "h2": 0.5, "h3": 0.5, "h4": 0.3, "li": -0.3, "td": -0.2,
 }
 #: Capacity of a smoothness edge between blocks under one parent, and its factor for each further step in the tree.
@@ -87,7 +92,7 @@ REMEMBERED = 20_000
 
 
 def _hint(attributes: str) -> int:
-    """-4 a list of other articles or remarks, -3 hidden, -2 boilerplate, -1 unsure, 1 content, 0 nothing said, from the attributes of a tag."""
+    """-4 a list of other articles or remarks, -3 hidden, -2 boilerplate, -1 unsure, 1 content, 2 a doubt, 3 a doubt that an article before it settles, 0 nothing said, from the attributes of a tag."""
     said = 0
     for name, value, hidden in _ATTRIBUTE.findall(attributes):
         name = name.lower()
@@ -96,28 +101,38 @@ def _hint(attributes: str) -> int:
         if name == "aria-hidden" and "true" in value.lower():
             return -3
         if name in ("class", "id", "role"):
-            words = _NAME.findall(_BESIDE.sub(" ", value.lower()))
-            if not LIST_NAMES.isdisjoint(words):
+            value = _BESIDE.sub(" ", value.lower().strip("\"'"))
+            named = [_NAME.findall(w) for w in value.split()]
+            # a name made of listed words alone says what one of them does
+            whole = {w for words in named for w in words if len(words) == 1 or BOILERPLATE_NAMES.issuperset(words)}
+            parts = {w for words in named for w in words}
+            if not LIST_NAMES.isdisjoint(whole):
                 said = -4
-            elif not BOILERPLATE_NAMES.isdisjoint(words):
+            elif not REMARK_NAMES.isdisjoint(parts) and CONTENT_NAMES.isdisjoint(whole):
+                said = -4
+            elif not BOILERPLATE_NAMES.isdisjoint(whole):
                 said = min(said, -2)
             elif said <= -2:
                 continue
-            elif not UNSURE_NAMES.isdisjoint(words):
+            elif not UNSURE_NAMES.isdisjoint(parts):
                 said = -1
-            elif said == 0 and not CONTENT_NAMES.isdisjoint(words):
+            elif said == 0 and not BOILERPLATE_NAMES.isdisjoint(parts):
+                # a word inside a longer name only casts doubt
+                said = 2 if LIST_NAMES.isdisjoint(parts) else 3
+            elif said == 0 and not CONTENT_NAMES.isdisjoint(parts):
                 said = 1
     return said
 
 
 class _Element:
-    __slots__ = ("name", "parent", "depth", "article", "content", "bad", "unsure", "surely_bad")
+    __slots__ = ("name", "parent", "depth", "article", "content", "bad", "unsure", "surely_bad", "doubtful")
 
     def __init__(self, name: str, parent: _Element | None, hint: int, after_article: bool = False):
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
         inherits = parent is not None
         self.article, self.content = (parent.article, parent.content) if inherits else (False, False)
+        self.doubtful = inherits and parent.doubtful
         self.bad, self.unsure, self.surely_bad = (
             (parent.bad, parent.unsure, parent.surely_bad) if inherits else (False, False, False)
         )
@@ -125,9 +140,12 @@ class _Element:
             return  # page-wide names say nothing about a part
         if name in CONTENT_ELEMENTS and not self.surely_bad:
             # the names of what stands around it do not count
-            self.article, self.unsure, self.bad = True, False, False
+            self.article, self.unsure, self.bad, self.doubtful = True, False, False, False
         if hint == 1:
             self.content = True
+        self.doubtful |= hint in (2, 3)
+        if hint == 3 and after_article and name != "main":
+            self.bad = self.surely_bad = True
         if name in BOILERPLATE_ELEMENTS or hint == -3:
             self.bad = self.surely_bad = True
         if hint in (-2, -4) and name != "main":
@@ -291,6 +309,10 @@ def score(text: str, element: _Element, linked: int) -> float:
         value += W["boilerplate"]
     elif element.unsure:
         value += W["unsure_in_article"] if element.article else W["unsure"]
+    elif element.doubtful and not element.article:
+        # a heading is told by what it stands with
+        value += W["doubt"] / (2 if element.name in HEADINGS else 1)
+        value += min(W["most_answer"], W["answer"] * len(_SENTENCE_END.findall(text)))
     return value
 
 

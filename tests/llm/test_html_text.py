@@ -124,3 +124,34 @@ def test_lists_of_other_articles_count_only_without_an_article_before(name):
     before = f"<article><p>Before. {SENTENCE * 3}</p></article>"
     assert "Inside." in html_text.main_text(f"<body>{inside}</body>", html_text.Parser())
     assert "Inside." not in html_text.main_text(f"<body>{before}{inside}</body>", html_text.Parser())
+
+
+STORY = "<h1>On engines</h1><p>" + " ".join(["The engine looks for words in the index and ranks what it finds by weight."] * 8) + "</p>"
+PLAIN_STORY = "On engines\n\n" + " ".join(["The engine looks for words in the index and ranks what it finds by weight."] * 8)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="story search-engines">{STORY}</div>',
+        f'<div class="related-work post">{STORY}</div>',
+        f'<div id="social-history">{STORY}</div>',
+        f"<div class=search-results-for-you>{STORY}</div>",
+        f"<div title=it's>{STORY}</div><!-- it's -->",
+        f"<!-->{STORY}",
+        f"<!--->{STORY}",
+        f"<!-- a > b --!>{STORY}<!-- never closed <p>x</p>",
+        f'<div data-x="a > b">{STORY}</div>',
+    ],
+)
+def test_the_article_stays(page):
+    """Listed words inside longer names, apostrophes in values without quotes, the short forms of comments."""
+    assert html_text.main_text(f"<html><body>{page}</body></html>", html_text.Parser()) == PLAIN_STORY
+
+
+@pytest.mark.parametrize("name", ["site-search", "cookie-banner", "post-comments", "comment_list", "nav-menu", "sidebar", "related-links"])
+def test_names_of_other_parts(name):
+    """Short texts under a listed word, and remarks of readers of any length, go."""
+    text = "I liked this text very much, and I read all of it. " * 6 if "comment" in name else "Search our site for more."
+    page = f'<body><article>{STORY}</article><div class="{name}"><p>{text}</p></div></body>'
+    assert html_text.main_text(page, html_text.Parser()) == PLAIN_STORY
