@@ -32,6 +32,8 @@ SEPARATOR = 0
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A long text is encoded in slices of about this many characters.
 SLICE = 1 << 20
+#: White space as the pattern means it, in runs that are too long for its look-ahead.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def default_tokenizer() -> str:
@@ -58,7 +60,9 @@ class Encoder:
     """Ids of a text without added tokens, as the tokenizer file gives them.
 
     A long text is encoded in slices. A single space with other characters on both sides
-    always starts a token, so a text may be cut before one.
+    always starts a token, so a text may be cut before one. Of a run of white space the pattern takes
+    all but the last character before anything else, or all at the end of the text; a very long run
+    is given to the byte-pair merging as just that piece.
     """
 
     def __init__(self, path: str):
@@ -69,6 +73,17 @@ class Encoder:
         )
 
     def ids(self, text: str) -> np.ndarray:
+        parts, at = [], 0
+        if len(text) >= 10_000:
+            for run in _LONG_SPACE.finditer(text):
+                end = run.end() if run.end() == len(text) else run.end() - 1
+                parts.append(self._sliced(text[at : run.start()]))
+                parts.append(np.array(self._bpe._encode_single_piece(text[run.start() : end]), dtype="<u4"))
+                at = end
+        rest = self._sliced(text[at:])
+        return np.concatenate([*parts, rest]) if parts else rest
+
+    def _sliced(self, text: str) -> np.ndarray:
         if len(text) <= 2 * SLICE:
             return np.array(self._bpe.encode_ordinary(text), dtype="<u4")
         parts, at = [], 0

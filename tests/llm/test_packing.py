@@ -159,3 +159,20 @@ def test_ids_around_added_tokens(pieces):
 def test_pieces_with_added_tokens(spark, documents, unchanged):
     docs = [(i, f"word{i} <|endoftext|> and more" * (i % 9)) for i in range(60)]
     check(packing.pack(documents(docs, 2), capacity=64).collect(), docs, unchanged, 64, 2)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t\n ", " ", "  ", "a", "7", "!"])
+@pytest.mark.parametrize("frame", ["{}", "x{}", "{}x", "x {} y", "<|endoftext|>{}<|endoftext|>", "{}\nNo. {}"])
+def test_long_runs(run, frame):
+    """Runs of one kind of characters, beyond what the pattern's look-ahead can hold, as the library encodes them."""
+    text = frame.replace("{}", run * 30_000)
+    from tokenizers import Tokenizer as Library
+
+    want = Library.from_file(packing.default_tokenizer()).encode(text, add_special_tokens=False).ids
+    assert packing.Tokenizer(packing.default_tokenizer()).ids(text).tolist() == want
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "a"])
+def test_five_million_characters(spark, documents, run):
+    got = packing.pack(documents([(1, run * 5_000_000)])).collect()
+    assert sum(r["length"] for r in got) == got[0]["doc_tokens"]
