@@ -52,6 +52,7 @@ KINDS = ("assign", "access", "hex", "checked", "jwt", "pem", "card")
 BASE_KINDS = KINDS[:3]
 
 _HEX = frozenset("0123456789abcdef")
+_DIGITS = frozenset("0123456789")
 
 
 def _right_checksum(found: re.Match) -> bool:
@@ -83,9 +84,13 @@ _ANCHORED = {
     "checked": (CHECKED, _right_checksum),
     "jwt": (JWT, _has_header),
     "pem": (PEM, lambda m: True),
+    "card": (CARD, _passes_luhn),
 }
-#: Where four digits, a separator and four digits begin.
-_CARD_GROUP = re.compile(r"(?<![0-9])(?=[0-9]{4}[ -][0-9]{4}[ -])")
+#: Kinds whose pattern begins with a run that decides, by what follows it, for all hits in it: of a failed
+#: match, hits up to the end of that run fail as well and are passed over.
+_DECIDING_RUN = {"jwt": re.compile(r"[A-Za-z0-9_-]+")}
+#: Characters of a card number up to the one before its first separator.
+_CARD_LEAD = 3
 
 
 def _automaton():
@@ -98,6 +103,11 @@ def _automaton():
     for word in ("AKIA", *CHECKED_WORDS, "eyJ", "-----BEGIN "):
         kind = "access" if word == "AKIA" else "jwt" if word == "eyJ" else "pem" if word[0] == "-" else "checked"
         found.add_word(word.lower(), (kind, len(word)))
+    # a card number is met at the digit before each separator
+    for a in "0123456789":
+        for separator in " -":
+            for b in "0123456789":
+                found.add_word(a + separator + b, ("card", 3))
     found.make_automaton()
     return found
 
@@ -131,17 +141,18 @@ def find_spans(text: str, automaton) -> list[tuple[int, str, int]]:
     for kind, places in hits.items():
         pattern, counts = _ANCHORED[kind]
         end = 0
+        if kind == "card":
+            # a number begins where no digit stands before it
+            places = [p - _CARD_LEAD for p in places if p >= _CARD_LEAD and not (p > _CARD_LEAD and text[p - _CARD_LEAD - 1] in _DIGITS)]
         for start in sorted(places):
-            if start >= end and (found := pattern.match(text, start)):
+            if start < end:
+                continue
+            if found := pattern.match(text, start):
                 end = found.end()
                 if counts(found):
                     spans.append((start, kind, end))
-    end = 0
-    for group in _CARD_GROUP.finditer(text):
-        if group.start() >= end and (found := CARD.match(text, group.start())):
-            end = found.end()
-            if _passes_luhn(found):
-                spans.append((group.start(), "card", end))
+            elif kind in _DECIDING_RUN:
+                end = _DECIDING_RUN[kind].match(text, start).end()
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
