@@ -38,7 +38,7 @@ def test_stages_match_brute_force(spark, folder):
         if name == "language_id":
             expected = {i: t for i, t in rows if t and langid._LETTER.search(t)}
         elif name == "line_dedup":
-            expected = {i: t for i, t, _, removed in without_repeats(rows)[0] if not removed or t.strip(" ")}
+            expected = {i: t for i, t, _, removed in without_repeats(rows)[0] if not removed or t.strip()}
         elif name == "ngram_jaccard_join":
             expected = {i: before[i] for i, n, c in similar(rows) if n == 0 or i == c}
         else:
