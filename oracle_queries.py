@@ -7,6 +7,8 @@ of the splits, running totals from window functions over the detail rows.
 from __future__ import annotations
 
 START, END = "1996-01-01", "1998-01-01"
+#: A first day inside a month.
+MID_YEAR = "1996-05-17"
 TODAY = "2017-06-01"
 
 LEDGER = """
@@ -448,6 +450,19 @@ def oracle_sql() -> dict[str, str]:
         "statement_history": ledger(f"SELECT {plain} FROM ({running('journal', PER_ACCOUNT)})", JOURNAL),
         "statement_opening": ledger(f"SELECT {plain} FROM ({running('journal', PER_ACCOUNT)}) WHERE {s}", JOURNAL),
         "imbalances": ledger(f"SELECT tid, {money('s')} AS s FROM imbalances", IMBALANCES),
+        "statement_opening_journal": ledger(
+            f"SELECT {plain} FROM ({running('journal', PER_ACCOUNT)}) WHERE {scope(MID_YEAR, END)}", JOURNAL
+        ),
+        "account_statement_rows_journal": ledger(f"SELECT * FROM ({r7}) WHERE {CASH}", JOURNAL),
+        "checkpoints": ledger(
+            f"""SELECT f.aid, CAST(0 AS INTEGER) AS month, CAST(y.year AS INTEGER) AS year, {money('SUM(signed)')} AS balance,
+            {money('SUM(debit)')} AS debit_balance, {money('SUM(credit)')} AS credit_balance
+            FROM (SELECT aid, MIN(year(date)) AS first FROM journal WHERE date IS NOT NULL GROUP BY aid) f
+            JOIN (SELECT unnest(range(0, 10000)) AS year) y
+                ON y.year > f.first AND y.year <= (SELECT MAX(year(date)) + 1 FROM transactions)
+            JOIN journal j ON j.aid = f.aid AND year(j.date) < y.year GROUP BY f.aid, y.year""",
+            JOURNAL,
+        ),
         "journal": ledger(f"SELECT {enriched}, counter FROM journal", JOURNAL),
         "commit_gate": ledger(f"SELECT COUNT(*) = 0 AS ok, COUNT(*) AS imbalanced, {money('SUM(s)')} AS off_by FROM imbalances", IMBALANCES),
         "staged_preview": ledger(

@@ -20,9 +20,9 @@ class Version:
 class Ledger:
     """Accounts, transactions and splits of one book.
 
-    ``journal`` and ``counters`` are optional and come together: the splits already joined with
-    their date and account name, and the account names of each side of a transaction
-    (see ``operators.journal``). Reports read them when
+    ``journal``, ``counters`` and ``checkpoints`` are optional and come together: the splits already
+    joined with their date and account name, the account names of each side of a transaction
+    (see ``operators.journal``), and balances by account, year and month (``operators.checkpoints``). Reports read them when
     they are there and join the three tables when they are not.
 
     ``version`` is the published version it was read from; ledgers staged from it keep it, so that
@@ -34,11 +34,12 @@ class Ledger:
     splits: DataFrame
     journal: DataFrame | None = None
     counters: DataFrame | None = None
+    checkpoints: DataFrame | None = None
     version: Version | None = None
 
     def stage(self, **tables: DataFrame) -> Ledger:
         """A copy with some tables replaced; the journal no longer fits, so it goes."""
-        return replace(self, journal=None, counters=None, **tables)
+        return replace(self, journal=None, counters=None, checkpoints=None, **tables)
 
     def sql(self, query: str, **parameters) -> DataFrame:
         """Run a SQL query over ``{accounts}``, ``{transactions}`` and ``{splits}``.

@@ -21,11 +21,13 @@ def running_totals(
     measures: dict[str, Column],
     by: tuple[str, ...] = (),
     probes: DataFrame | None = None,
+    opening: DataFrame | None = None,
 ) -> DataFrame:
     """Per day (and ``by`` key), each measure summed over that day and all before it.
 
     ``probes`` are further days that want an answer although nothing moves on
     them: before the first movement it is zero, after the last the full total.
+    ``opening`` has totals to start from, as rows of a day before all movements.
     """
     keys = [*by, "date"]
     parts = movements.select(*keys, *[m.cast(MONEY).alias(name) for name, m in measures.items()])
@@ -33,6 +35,8 @@ def running_totals(
         nothing = [F.lit(0).cast(MONEY).alias(name) for name in measures]
         parts = parts.unionByName(probes.select(*keys, *nothing))
     days = parts.groupBy(*keys).agg(*[total(F.col(name)).alias(name) for name in measures])
+    if opening is not None:
+        days = days.unionByName(opening.select(*days.columns))
     # Without a ``by`` key all days meet in one task: at most 3.65 million rows,
     # the days between the years 1 and 9999.
     upto = Window.partitionBy(*by).orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)

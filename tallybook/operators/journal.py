@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.text import mentions_cash
 from tallybook.ledger import Ledger
+from tallybook.operators.checkpoints import build_checkpoints
 from tallybook.operators.counters import attach_names, cash_sides, opposite, side_names
 from tallybook.operators.joins import named_accounts
 from tallybook.operators.skew import join_facts
@@ -62,4 +63,6 @@ def stored_counters(ledger: Ledger) -> DataFrame:
 
 def with_journal(ledger: Ledger) -> Ledger:
     """The ledger with its journal as plans over its tables."""
-    return replace(ledger, journal=stored_journal(ledger), counters=stored_counters(ledger))
+    return replace(
+        ledger, journal=stored_journal(ledger), counters=stored_counters(ledger), checkpoints=build_checkpoints(ledger)
+    )

@@ -22,6 +22,7 @@ from tallybook.functions.money import (
 from tallybook.functions.text import is_cash_account, kind_rank, like, mentions_cash
 from tallybook.ledger import Ledger
 from tallybook.operators.asof import attach, running_totals
+from tallybook.operators.checkpoints import month_of, moves_of_months, openings_before, openings_of
 from tallybook.operators.checks import imbalances
 from tallybook.operators.counters import attach_names, cash_sides, opposite
 from tallybook.operators.journal import journal_rows, names_of
@@ -195,12 +196,24 @@ def account_statement_rows(
     """
     chosen = _chosen(ledger, sids)
     detail, probes, names = _of_splits(ledger, chosen)
+    if chosen is not None and ledger.checkpoints is not None and start is None and end is None:
+        return _statement(_with_month_totals(ledger, detail), names, ordered, wide=5)
     # everything that ever moved the accounts of the chosen splits
     moves = in_keys(dated_splits(_cut(ledger, start, end)), "aid", chosen)
     totals = running_totals(moves.filter(in_dates(start, end)), _running(), by=("aid",), probes=probes)
     return _statement(attach(detail, totals, by=("aid",)), names, ordered, wide=5)
 
 
+def _with_month_totals(ledger: Ledger, detail: DataFrame) -> DataFrame:
+    """Rows with their account's totals up to their day, from what was stored before their month and the month itself."""
+    detail = detail.withColumn("first", F.trunc("date", "month"))
+    wanted = stored_columns(detail.filter("date is not null").select("aid", "first").distinct())
+    keys = ("aid", "first")
+    moves = moves_of_months(dated_splits(ledger), wanted)
+    totals = running_totals(moves, _running(), by=keys, opening=openings_of(ledger.checkpoints, wanted))
+    return attach(detail, totals, by=keys)
+
+
 def _cash_book(ledger: Ledger, pattern: str, start, end) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Journal rows of the cash accounts in scope, the same splits as movements, and the names opposite.
 
@@ -293,6 +306,13 @@ def statement_opening(
 def _with_balance(ledger: Ledger, aids: Keys, start=None, end=None) -> tuple[DataFrame, DataFrame]:
     """Rows of the dates with their running balance, and the names opposite."""
     detail, moves, names = _of_accounts(ledger, aids)
+    if start is not None and ledger.checkpoints is not None:
+        # what was stored before the month of ``start`` takes the place of all history before it
+        month = month_of(start)
+        opening = in_keys(openings_before(ledger.checkpoints, month), "aid", aids)
+        near = moves.filter(in_dates(month, end))
+        totals = running_totals(near, {"balance": signed_amount()}, by=("aid",), opening=opening)
+        return attach(_dated(detail, start, end), totals, by=("aid",)), _names(ledger, start, end)
     # Rows on or after ``end`` cannot reach any balance shown.
     totals = running_totals(moves.filter(in_dates(None, end)), {"balance": signed_amount()}, by=("aid",))
     return attach(_dated(detail, start, end), totals, by=("aid",)), names

@@ -1,6 +1,6 @@
 """Books on storage: one folder per year, one sub-folder per published version.
 
-    <root>/book_year=2017/attempt-<unique>/{accounts,transactions,splits,journal,counters}
+    <root>/book_year=2017/attempt-<unique>/{accounts,transactions,splits,journal,counters,checkpoints}
     <root>/book_year=2017/versions/<number>.json      names the folder of that version
 
 A version is written once and never changed, so readers of an older one are not
@@ -31,9 +31,10 @@ from tallybook.operators.checks import (
     require_valid,
     validate_schema,
 )
+from tallybook.operators.checkpoints import build_checkpoints
 from tallybook.operators.journal import stored_counters, stored_journal
 from tallybook.operators.scopes import shared_folder
-from tallybook.sources.schema import COUNTERS, DEFAULT_YEAR, JOURNAL, KEYS, TABLES
+from tallybook.sources.schema import CHECKPOINTS, COUNTERS, DEFAULT_YEAR, JOURNAL, KEYS, TABLES
 from tallybook.sources.store import put_new, remove
 
 
@@ -81,13 +82,15 @@ def read_journal(ledger: Ledger, folder: str) -> Ledger:
 
 
 #: Tables that are made of the other three.
-JOURNAL_TABLES = {"journal": JOURNAL, "counters": COUNTERS}
+JOURNAL_TABLES = {"journal": JOURNAL, "counters": COUNTERS, "checkpoints": CHECKPOINTS}
 #: Bytes of a file of a table, at most; and at least, as long as there are tasks to read more of them.
 FILE_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 
 
-def _write_ranges(rows: DataFrame, folder: str, name: str, keys: tuple[str, ...], order: tuple[str, ...]) -> None:
-    """Write rows in ranges of ``keys``, each sorted by ``order``.
+def _write_ranges(
+    rows: DataFrame, folder: str, name: str, keys: tuple[str, ...], order: tuple[str, ...], by: str | None = None
+) -> None:
+    """Write rows in ranges of ``keys``, each sorted by ``order``; in folders of a column's values if one is named.
 
     Finding the ranges reads the rows once more than writing them, so they are first written as
     they come; the number of ranges follows from their measured bytes.
@@ -98,7 +101,7 @@ def _write_ranges(rows: DataFrame, folder: str, name: str, keys: tuple[str, ...]
     size = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     files = max(-(-size // FILE_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES), 1)
     ranges = raw.repartitionByRange(files, *keys)
-    ranges.sortWithinPartitions(*order).write.parquet(f"{folder}/{name}")
+    ranges.sortWithinPartitions(*order).write.partitionBy(*([by] if by else [])).parquet(f"{folder}/{name}")
     remove(spark, f"{folder}/unsorted/{name}")
 
 
@@ -117,6 +120,9 @@ def write_journal(ledger: Ledger, folder: str) -> None:
     """Write the journal tables under ``folder``, clustered by date for the reports' date ranges."""
     _write_ranges(stored_journal(ledger), folder, "journal", ("date", "sid"), ("date", "aid"))
     _write_ranges(stored_counters(ledger), folder, "counters", ("date", "tid", "side"), ("date", "tid", "side"))
+    # from the journal as written; a folder per year
+    dated = replace(ledger, journal=ledger.splits.sparkSession.read.schema(JOURNAL).parquet(f"{folder}/journal"))
+    _write_ranges(build_checkpoints(dated), folder, "checkpoints", ("year", "aid"), ("year", "aid"), by="year")
 
 
 def _base(spark: SparkSession, ledger: Ledger, root: str, year, overwrite: bool) -> int:

@@ -45,6 +45,15 @@ COUNTERS = T.StructType([
     T.StructField("date", T.DateType(), True),
     T.StructField("names", T.StringType(), True),
 ])
+#: What an account moved before a year (month 0) and in each of its months.
+CHECKPOINTS = T.StructType([
+    T.StructField("aid", T.LongType(), True),
+    T.StructField("month", T.IntegerType(), True),
+    T.StructField("balance", TOTAL, True),
+    T.StructField("debit_balance", TOTAL, True),
+    T.StructField("credit_balance", TOTAL, True),
+    T.StructField("year", T.IntegerType(), True),
+])
 TABLES = {"accounts": ACCOUNTS, "transactions": TRANSACTIONS, "splits": SPLITS}
 KEYS = {"accounts": "aid", "transactions": "tid", "splits": "sid"}
 
