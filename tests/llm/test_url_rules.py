@@ -1,5 +1,7 @@
 import itertools
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def test_fixed_rules(spark):
         assert (r["rule"], r["verdict"]) == (fixed or (None, "allow"))
 
 
-def brute_mined(spark, urls, blocked, support, confidence):
+def brute_mined(spark, urls, blocked, support, confidence, least=url_rules.MIN_BLOCKED):
     """URLs blocked by any token set with enough support and confidence, by listing all sets of up to three."""
     frame = pages_of(spark, urls).select("page_id", url_rules.tokens_of(F.col("url")).alias("t"))
     tokens = {r["page_id"]: frozenset(r["t"]) for r in frame.collect()}
@@ -51,7 +53,7 @@ def brute_mined(spark, urls, blocked, support, confidence):
         for combo in {c for t in items for c in itertools.combinations(sorted(t), size)}:
             has = [i for i, t in enumerate(items) if t.issuperset(combo)]
             bad = [i for i in has if blocked[i]]
-            if len(bad) >= support * len(urls) - 1e-9 and len(bad) >= confidence * len(has) - 1e-9:
+            if len(bad) >= max(least, support * len(urls) - 1e-9) and len(has) < len(urls) and len(bad) >= confidence * len(has) - 1e-9:
                 out.update(has)
     return out
 
@@ -79,6 +81,40 @@ def test_needless_rules_are_pruned(spark):
     assert rules and all(len(r["tokens"]) == 1 for r in rules)
 
 
+def test_random_urls_match_brute_force(spark):
+    rng = random.Random(8)
+    urls = [f"http://{rng.choice('abc')}.org/{rng.choice('defg')}/{rng.choice('hij')}" for _ in range(80)]
+    blocked = [("a.org" in u and "/d" in u) or "/j" in u or rng.random() < 0.1 for u in urls]
+    frame = spark.createDataFrame(list(zip(urls, blocked, strict=True)), "url string, blocked boolean")
+    for least, confidence in ((1, 0.9), (4, 0.6), (9, 0.8)):
+        rules = url_rules.mine(frame, 0.01, confidence, least)
+        hits = {r["url"] for r in url_rules.matching(frame, rules).collect()}
+        want = brute_mined(spark, urls, blocked, 0.01, confidence, least)
+        assert {i for i, u in enumerate(urls) if u in hits} == want
+
+
+def test_shared_tokens_do_not_multiply(spark):
+    """One site's URLs share 40 words: they are one item, and any of them tells the site."""
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    rows = [("http://shop.net/" + "/".join(words) + f"/{'abcd'[i % 4]}", i % 4 < 3) for i in range(400)]
+    rows += [(f"http://other{i % 7}.org/x", False) for i in range(100)]
+    start = time.time()
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean"), 0.01, 0.7)
+    found = rules.collect()
+    assert time.time() - start < 60
+    (site,) = [r["tokens"] for r in found if any("host:shop" in part for part in r["tokens"])]
+    assert len(site) == 1 and {f"path:{w}" for w in words} <= set(site[0])
+    asked = spark.createDataFrame([(f"http://elsewhere.com/{words[5]}",), ("http://elsewhere.com/x",)], "url string")
+    assert [r["url"] for r in url_rules.matching(asked, rules).collect()] == [f"http://elsewhere.com/{words[5]}"]
+
+
+def test_a_single_blocked_row_makes_no_rule(spark):
+    rows = [("http://once.org/a", True)] + [(f"http://ok.org/{c}", False) for c in "abcdefgh"]
+    frame = spark.createDataFrame(rows, "url string, blocked boolean")
+    assert url_rules.mine(frame).collect() == []
+    assert url_rules.mine(frame, min_blocked=1).count() > 0
+
+
 def test_empty_tables(spark):
     assert url_rules.judge(pages_of(spark, []), labels_of(spark, [])).collect() == []
 
