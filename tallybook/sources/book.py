@@ -87,11 +87,45 @@ JOURNAL_TABLES = {"journal": JOURNAL, "counters": COUNTERS, "checkpoints": CHECK
 FILE_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 
 
+#: Bits of each column in a place of two columns.
+_PLACE_BITS = 12
+
+
+def _place(rows: DataFrame, date: str, number: str) -> Column:
+    """One number for the place of a row by two columns: the bits of both, turn by turn.
+
+    Each column is cut into equal steps between its least and greatest value. A range of places is a
+    small window of both columns, so files of such ranges can be skipped by either.
+    """
+    day, at = F.unix_date(F.col(date)).cast("long"), F.col(number)
+    bounds = rows.agg(*[f(c) for c in (day, at) for f in (F.min, F.max)]).first()
+
+    def step(value: Column, low: int | None, high: int | None) -> Column:
+        if low is None:
+            return F.lit(0).cast("long")
+        part = (value.cast("double") - float(low)) / (float(high) - float(low) + 1.0)
+        return F.coalesce(F.least(F.floor(part * (1 << _PLACE_BITS)), F.lit((1 << _PLACE_BITS) - 1)), F.lit(0)).cast("long")
+
+    place = F.lit(0).cast("long")
+    for offset, value in enumerate((step(at, *bounds[2:]), step(day, *bounds[:2]))):
+        for bit in range(_PLACE_BITS):
+            place = place.bitwiseOR(F.shiftleft(F.shiftright(value, bit).bitwiseAND(F.lit(1).cast("long")), 2 * bit + offset))
+    return place
+
+
 def _write_ranges(
-    rows: DataFrame, folder: str, name: str, keys: tuple[str, ...], order: tuple[str, ...], by: str | None = None
+    rows: DataFrame,
+    folder: str,
+    name: str,
+    keys: tuple[str, ...],
+    order: tuple[str, ...],
+    by: str | None = None,
+    near: tuple[str, str] | None = None,
 ) -> None:
     """Write rows in ranges of ``keys``, each sorted by ``order``; in folders of a column's values if one is named.
 
+    With ``near``, a date and a number, ranges go by the place of both before ``keys``.
+
     Finding the ranges reads the rows once more than writing them, so they are first written as
     they come; the number of ranges follows from their measured bytes.
     """
@@ -100,7 +134,9 @@ def _write_ranges(
     raw = spark.read.schema(rows.schema).parquet(f"{folder}/unsorted/{name}")
     size = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     files = max(-(-size // FILE_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES), 1)
-    ranges = raw.repartitionByRange(files, *keys)
+    if near:
+        raw, keys = raw.withColumn("place", _place(raw, *near)), ("place", *keys)
+    ranges = raw.repartitionByRange(files, *keys).select(*rows.columns)
     ranges.sortWithinPartitions(*order).write.partitionBy(*([by] if by else [])).parquet(f"{folder}/{name}")
     remove(spark, f"{folder}/unsorted/{name}")
 
@@ -117,8 +153,11 @@ def _write_tables(ledger: Ledger, folder: str) -> None:
 
 
 def write_journal(ledger: Ledger, folder: str) -> None:
-    """Write the journal tables under ``folder``, clustered by date for the reports' date ranges."""
-    _write_ranges(stored_journal(ledger), folder, "journal", ("date", "sid"), ("date", "aid"))
+    """Write the journal tables under ``folder``, for reports of some dates, some accounts, or both.
+
+    Files of the journal are windows of dates and accounts; names and checkpoints go by date.
+    """
+    _write_ranges(stored_journal(ledger), folder, "journal", ("date", "sid"), ("date", "aid"), near=("date", "aid"))
     _write_ranges(stored_counters(ledger), folder, "counters", ("date", "tid", "side"), ("date", "tid", "side"))
     # from the journal as written; a folder per year
     dated = replace(ledger, journal=ledger.splits.sparkSession.read.schema(JOURNAL).parquet(f"{folder}/journal"))

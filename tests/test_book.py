@@ -5,6 +5,7 @@ import zlib
 from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
+import pyarrow.parquet as pq
 import pytest
 from micro_ledger import MICRO_ACCOUNTS, MICRO_SPLITS, MICRO_TRANSACTIONS, day, make_ledger, money, rows
 from pyspark.sql import functions as F
@@ -197,6 +198,37 @@ def test_names_are_stored_once_a_side(spark, tmp_path):
     assert sizes[1600, 1600] < 1600 * 64  # a name is 8 letters; 1,600 lists of 1,600 names would be 23 MB
 
 
+def ranges_of(folder, column):
+    """(least, greatest) of a column in each file, by the files' own statistics."""
+    out = []
+    for path in sorted(folder.glob("*.parquet")):
+        meta = pq.ParquetFile(path).metadata
+        at = [meta.schema.column(i).name for i in range(meta.num_columns)].index(column)
+        stats = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+        out.append((min(s.min for s in stats), max(s.max for s in stats)))
+    return out
+
+
+def test_dates_and_accounts_both_skip_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "FILE_BYTES", 1500)
+    names = [(i, "asset", f"Account {i}", None) for i in range(1, 121)]
+    days = [(i, f"20{10 + i // 360:02d}-{1 + i // 30 % 12:02d}-{1 + i % 28:02d}", "d") for i in range(3600)]
+    # account 7 has a third of all splits
+    splits = [(2 * i + k, i, 7 if (i + k) % 3 == 0 else 1 + (i * 37 + k * 11) % 120, kind, "1.00", None) for i in range(3600) for k, kind in enumerate(("debit", "credit"))]
+    ledger = make_ledger(spark, names, days, splits)
+    B.write_journal(ledger, str(tmp_path))
+    dates, aids = (ranges_of(tmp_path / "journal", c) for c in ("date", "aid"))
+    assert len(dates) >= 30
+    month = [low <= day("2014-06-30") and high >= day("2014-06-01") for low, high in dates]
+    account = [low <= 90 <= high for low, high in aids]
+    assert sum(month) < 0.4 * len(dates) and sum(account) < 0.4 * len(aids)
+    assert sum(a and b for a, b in zip(month, account, strict=True)) < 0.15 * len(dates)
+    stored = B.read_journal(ledger, str(tmp_path))
+    assert stored.journal.count() == len(splits)
+    got = reports.account_statement(stored, [90], "2014-06-01", "2014-07-01")
+    assert got.collect() == reports.account_statement(ledger, [90], "2014-06-01", "2014-07-01").collect()
+
+
 def test_nothing_but_the_tables_is_left(spark, balanced, tmp_path):
     B.publish(balanced, str(tmp_path / "books"))
     (made,) = tmp_path.glob("books/*/attempt-*")
