@@ -77,3 +77,31 @@ def test_a_corpus_without_labels_keeps_its_documents(spark, documents):
     docs = documents(list(enumerate(texts))).withColumn("source", F.lit("s"))
     kept = corpus_pipeline.identify_language(spark, docs, "").collect()
     assert sorted((r["doc_id"], r["lang"]) for r in kept) == [(0, None), (1, None), (2, None), (7, None)]
+
+
+@pytest.fixture
+def written(spark, tmp_path, documents):
+    """Writes ``documents`` and ``benchmark`` where ``run`` reads them."""
+
+    def write(rows, items):
+        documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
+        spark.createDataFrame(items, "item_id string, text string, doc_id long").write.parquet(str(tmp_path / "benchmark.parquet"))
+        return str(tmp_path)
+
+    return write
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (None, " \n\t"), (3, "12 34")]])
+def test_nothing_left(spark, written, rows):
+    """Empty tables, and documents without a letter."""
+    assert corpus_pipeline.run(spark, written(rows, [])).collect() == []
+
+
+def test_odd_rows(spark, written):
+    """Null ids, repeated rows, long texts and clashing columns pass; an item without text or words hits nothing."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x" for i in range(400)]
+    text = " ".join(words)
+    rows = [(None, "a text without an id, of some words"), (1, text), (1, text), (2, text), (3, "b" * 300_000), (4, "one two three four five six seven")]
+    found = corpus_pipeline.run(spark, written(rows, [("i1", None, 1), ("i2", "", 2), ("i3", "...", 3)]))
+    kept = {r["doc_id"]: r["doc_tokens"] for r in found.collect()}
+    assert set(kept) == {None, 1, 3, 4}
