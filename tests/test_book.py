@@ -355,6 +355,24 @@ def test_project_view(micro):
     assert project_view(VIEWS["accounts"].select(micro), "accounts").columns == ["aid", "kind", "name", "balance"]
 
 
+def test_an_export_computes_its_report_once(spark, tmp_path):
+    """Rows are counted as they are made; widths, order and an empty report are right."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    report = spark.range(0, 3000, numPartitions=7).mapInPandas(count, "id long").withColumn("name", F.repeat(F.lit("x"), F.pmod("id", F.lit(13)).cast("int")))
+    export.export_report(report, str(tmp_path / "lines"), form="text")
+    assert made.value == 3000
+    lines = [line for part in sorted((tmp_path / "lines").glob("part-*")) for line in part.read_text().splitlines()]
+    assert lines == [f"{i:<4} | {'x' * (i % 13):<12}" for i in range(3000)]
+    export.export_report(report.limit(0), str(tmp_path / "none"), form="text")
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
+
+
 def test_column_widths_and_lines(spark):
     report = spark.createDataFrame([(1, "x" * 60), (1000, None)], "id long, description string")
     assert export.column_widths(report).first().asDict() == {"id": 4, "description": 60}
