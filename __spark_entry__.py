@@ -23,7 +23,8 @@ import oracle_queries  # noqa: E402
 from tallybook import Ledger  # noqa: E402
 from tallybook.functions import text  # noqa: E402
 from tallybook.functions.money import credit_sum, debit_sum, money_text, signed_amount, signed_sum  # noqa: E402
-from tallybook.operators import checks, counters, edits, joins, scopes  # noqa: E402
+from tallybook.ledger import Change  # noqa: E402
+from tallybook.operators import changes, checks, counters, edits, joins, scopes  # noqa: E402
 from tallybook.operators.asof import attach, running_totals  # noqa: E402
 from tallybook.operators.journal import build_journal  # noqa: E402
 from tallybook.operators.session import Session  # noqa: E402
@@ -335,6 +336,24 @@ def _session_cells(ledger: Ledger) -> DataFrame:
     return session.cells()
 
 
+def _change_imbalances(ledger: Ledger) -> DataFrame:
+    """What edits of splits leave off balance, looked for where a split was touched."""
+    session = _session(ledger).edit({"splits": split_edits(ledger)})
+    return changes.change_imbalances(ledger, session.changes)
+
+
+def _change_problems(ledger: Ledger) -> DataFrame:
+    """Splits moved to other account numbers, petty transactions and income accounts deleted: what points nowhere."""
+    return changes.change_problems(
+        ledger,
+        {
+            "accounts": Change(ledger.accounts.limit(0), ledger.accounts.filter("kind = 'income'").select("aid")),
+            "transactions": Change(ledger.transactions.limit(0), ledger.transactions.filter("description = 'Petty'").select("tid")),
+            "splits": Change(ledger.splits.filter("memo is null").withColumn("aid", F.col("aid") * 2), ledger.splits.limit(0).select("sid")),
+        },
+    )
+
+
 def _both_updates(ledger: Ledger) -> DataFrame:
     """Split edits and statement edits in one batch; the later of each cell wins."""
     direct = split_edits(ledger).filter("field = 'amount'")
@@ -568,6 +587,8 @@ def ledger_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "session_cells": on(_session_cells),
         "insert_returned": on(_insert_returned),
         "batch_rejects": on(_batch_rejects),
+        "change_imbalances": on(_change_imbalances),
+        "change_problems": on(_change_problems),
     }
 
 

@@ -563,6 +563,18 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT seq, 'splits', {new_sid} FROM insert_rows WHERE tid IN (SELECT tid FROM transactions)""",
             next_tid,
         ),
+        "change_imbalances": ledger(f"""
+            SELECT tid - tid % 4 AS tid, {money("SUM(-CASE WHEN kind = 'debit' THEN amount + 1 ELSE amount END)")} AS s
+            FROM splits GROUP BY 1 HAVING SUM(CASE WHEN kind = 'debit' THEN amount + 1 ELSE amount END) <> 0"""),
+        "change_problems": ledger("""
+            SELECT 'splits' AS table_name, sid AS key, 'aid' AS column_name, 'no such row' AS problem, CAST(aid * 2 AS VARCHAR) AS found
+                FROM splits WHERE memo IS NULL AND aid * 2 NOT IN (SELECT aid FROM accounts WHERE kind <> 'income')
+            UNION ALL SELECT 'splits', sid, 'aid', 'no such row', CAST(aid AS VARCHAR)
+                FROM splits WHERE memo IS NOT NULL AND aid IN (SELECT aid FROM accounts WHERE kind = 'income')
+            UNION ALL SELECT 'splits', sid, 'tid', 'no such row', CAST(tid AS VARCHAR)
+                FROM splits WHERE memo IS NULL AND tid NOT IN (SELECT tid FROM transactions WHERE description <> 'Petty')
+            UNION ALL SELECT 'splits', sid, 'tid', 'no such row', CAST(tid AS VARCHAR)
+                FROM splits WHERE memo IS NOT NULL AND tid IN (SELECT tid FROM transactions WHERE description = 'Petty')"""),
         "reselect_accounts": ledger(
             f"""SELECT aid, 'expense' AS kind, name || ' *' AS name, CASE WHEN name LIKE 'Cash%' THEN NULL ELSE name END AS description,
             balance, balance_text FROM ({balances("kind = 'income'")})"""

@@ -26,7 +26,8 @@ class Ledger:
     they are there and join the three tables when they are not.
 
     ``version`` is the published version it was read from; ledgers staged from it keep it, so that
-    publishing them can tell whether the book has moved on.
+    publishing them can tell whether the book has moved on. ``published`` holds only for the tables of that
+    version as they were read, which passed every check.
     """
 
     accounts: DataFrame
@@ -36,10 +37,11 @@ class Ledger:
     counters: DataFrame | None = None
     checkpoints: DataFrame | None = None
     version: Version | None = None
+    published: bool = False
 
     def stage(self, **tables: DataFrame) -> Ledger:
         """A copy with some tables replaced; the journal no longer fits, so it goes."""
-        return replace(self, journal=None, counters=None, checkpoints=None, **tables)
+        return replace(self, journal=None, counters=None, checkpoints=None, published=False, **tables)
 
     def sql(self, query: str, **parameters) -> DataFrame:
         """Run a SQL query over ``{accounts}``, ``{transactions}`` and ``{splits}``.
@@ -55,6 +57,14 @@ class Ledger:
         )
 
 
+@dataclass(frozen=True)
+class Change:
+    """What differs in one table: whole rows that are new or changed, and keys of rows that are gone."""
+
+    rows: DataFrame
+    gone: DataFrame
+
+
 @dataclass(frozen=True)
 class Staged:
     """Outcome of a batch of changes: the ledger after it, and what was refused.
@@ -65,7 +75,8 @@ class Staged:
     for a batch that inserts nothing.
 
     ``rows`` and ``gone`` say the same as ``ledger`` by what differs: per table, the rows that are new
-    or no longer read as before, whole, and the keys of rows that are deleted.
+    or no longer read as before, whole, and the keys of rows that are deleted. ``base`` is the ledger they
+    differ from; without it they say nothing.
     """
 
     ledger: Ledger
@@ -73,3 +84,4 @@ class Staged:
     inserted: DataFrame | None = None
     rows: dict[str, DataFrame] = field(default_factory=dict)
     gone: dict[str, DataFrame] = field(default_factory=dict)
+    base: Ledger | None = None

@@ -75,38 +75,41 @@ def validate_schema(ledger: Ledger) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def repeated_keys(table: str, counted: DataFrame) -> DataFrame:
+    """The keys of a table that come more than once; ``counted`` has the key and its ``count``."""
+    key = KEYS[table]
+    return counted.filter("count > 1").select(
+        F.lit(table).alias("table_name"),
+        F.col(key).alias("key"),
+        F.lit(key).alias("column_name"),
+        F.lit("repeated key").alias("problem"),
+        F.col("count").cast("string").alias("found"),
+    )
+
+
+def lost_references(splits: DataFrame, column: str, lost: DataFrame) -> DataFrame:
+    """The splits whose ``column`` is one of the ``lost`` keys, which have no row."""
+    return splits.join(lost.select(column), column, "left_semi").select(
+        F.lit("splits").alias("table_name"),
+        F.col("sid").alias("key"),
+        F.lit(column).alias("column_name"),
+        F.lit("no such row").alias("problem"),
+        F.col(column).cast("string").alias("found"),
+    )
+
+
 def validate_keys(ledger: Ledger) -> DataFrame:
     """Repeated keys, and splits that point at no account or no transaction.
 
     Dearer than ``validate_schema``: the keys of each table are counted across the cluster once,
     and the counts of accounts and transactions also answer which references exist.
     """
-    counted = {t: getattr(ledger, t).groupBy(key).agg(F.count(F.lit(1)).alias("n")) for t, key in KEYS.items()}
-    parts = [
-        counted[table]
-        .filter("n > 1")
-        .select(
-            F.lit(table).alias("table_name"),
-            F.col(key).alias("key"),
-            F.lit(key).alias("column_name"),
-            F.lit("repeated key").alias("problem"),
-            F.col("n").cast("string").alias("found"),
-        )
-        for table, key in KEYS.items()
-    ]
+    counted = {t: getattr(ledger, t).groupBy(key).count() for t, key in KEYS.items()}
+    parts = [repeated_keys(table, counted[table]) for table in KEYS]
     for column, parent in (("aid", "accounts"), ("tid", "transactions")):
         # references are brought down to one row per key before they meet their table
         used = ledger.splits.groupBy(column).agg(F.count(F.lit(1)).alias("uses"))
-        lost = used.join(counted[parent], column, "left_anti").select(column)
-        parts.append(
-            ledger.splits.join(lost, column, "left_semi").select(
-                F.lit("splits").alias("table_name"),
-                F.col("sid").alias("key"),
-                F.lit(column).alias("column_name"),
-                F.lit("no such row").alias("problem"),
-                F.col(column).cast("string").alias("found"),
-            )
-        )
+        parts.append(lost_references(ledger.splits, column, used.join(counted[parent], column, "left_anti")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -124,17 +127,27 @@ def commit_gate(ledger: Ledger) -> DataFrame:
     )
 
 
+def refuse_imbalances(found: DataFrame) -> None:
+    """Raise if a transaction is off balance."""
+    if not found.isEmpty():
+        raise Refused(IMBALANCE_MESSAGE)
+
+
+def refuse_problems(*found: DataFrame) -> None:
+    """Raise if there is a violation, naming one."""
+    for problems in found:
+        for worst in problems.take(1):
+            raise Refused("Invalid ledger: {table_name}.{column_name}: {problem}".format(**worst.asDict()))
+
+
 def require_balanced(ledger: Ledger) -> None:
     """Raise unless the splits of every transaction add up to zero."""
-    if not imbalances(ledger).isEmpty():
-        raise Refused(IMBALANCE_MESSAGE)
+    refuse_imbalances(imbalances(ledger))
 
 
 def require_valid(ledger: Ledger) -> None:
     """Raise when a row breaks the column contract, repeats a key or points nowhere, naming one such row."""
-    worst = validate_schema(ledger).take(1) or validate_keys(ledger).take(1)
-    if worst:
-        raise Refused("Invalid ledger: {table_name}.{column_name}: {problem}".format(**worst[0].asDict()))
+    refuse_problems(validate_schema(ledger), validate_keys(ledger))
 
 
 def require_no_fatal(rejects: DataFrame | None) -> None:

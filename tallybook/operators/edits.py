@@ -409,6 +409,7 @@ def apply_edits(ledger: Ledger, edits: dict[str, DataFrame], keep: Keep = _as_pl
         ledger.stage(**{name: change(getattr(ledger, name)) for name, change in new.items()}),
         _all(changes.rejects),
         rows={name: new[name](rows) for name, rows in touched.items()},
+        base=ledger,
     )
 
 
@@ -467,7 +468,7 @@ def _inserted(rows: DataFrame, table: str, key: str) -> DataFrame:
 def _with_rows(ledger: Ledger, table: str, rows: DataFrame, rejects: DataFrame, inserted: DataFrame) -> Staged:
     """The ledger with new rows in one table."""
     staged = ledger.stage(**{table: getattr(ledger, table).unionByName(rows)})
-    return Staged(staged, rejects, inserted, rows={table: rows})
+    return Staged(staged, rejects, inserted, rows={table: rows}, base=ledger)
 
 
 def insert_accounts(ledger: Ledger, requests: DataFrame) -> Staged:
@@ -541,7 +542,7 @@ def _without(ledger: Ledger, rejects: DataFrame, **gone: tuple[str, DataFrame])
         rows, key = getattr(ledger, table), KEYS[table]
         kept[table] = not_in_keys(rows, column, ids)
         keys[table] = ids if column == key else in_keys(rows, column, ids).select(key)
-    return Staged(ledger.stage(**kept), rejects, gone=keys)
+    return Staged(ledger.stage(**kept), rejects, gone=keys, base=ledger)
 
 
 def _ids(requests: DataFrame, key: str, column: str = "target_id") -> DataFrame:

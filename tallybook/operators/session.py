@@ -14,8 +14,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.ledger import Ledger, Staged
+from tallybook.ledger import Change, Ledger, Staged
 from tallybook.operators import edits
+from tallybook.operators.changes import merged
 from tallybook.operators.scopes import in_keys, not_in_keys, stored_columns
 from tallybook.sources.schema import KEYS, REJECTS, TABLES
 
@@ -23,14 +24,6 @@ from tallybook.sources.schema import KEYS, REJECTS, TABLES
 CELLS = ("table_name", "key", "column_name", "old", "new")
 
 
-@dataclass(frozen=True)
-class Change:
-    """What differs in one table: whole rows that are new or changed, and keys of rows that are gone."""
-
-    rows: DataFrame
-    gone: DataFrame
-
-
 @dataclass(frozen=True)
 class Session:
     """A first ledger and the changes since. Each step returns a new session; older ones stay as they are."""
@@ -43,7 +36,7 @@ class Session:
     @property
     def ledger(self) -> Ledger:
         """The first ledger with all changes, merged when it is read."""
-        return self.base.stage(**{name: self._merged(name) for name in self.changes}) if self.changes else self.base
+        return merged(self.base, self.changes)
 
     @property
     def staged(self) -> Staged:
@@ -51,12 +44,8 @@ class Session:
         rejects = self.rejects
         if rejects is None:
             rejects = self.base.splits.sparkSession.createDataFrame([], REJECTS)
-        return Staged(self.ledger, rejects)
-
-    def _merged(self, name: str) -> DataFrame:
-        change, key = self.changes[name], KEYS[name]
-        replaced = change.rows.select(key).unionByName(change.gone)
-        return not_in_keys(getattr(self.base, name), key, replaced).unionByName(change.rows)
+        rows, gone = ({name: getattr(c, part) for name, c in self.changes.items()} for part in ("rows", "gone"))
+        return Staged(self.ledger, rejects, rows=rows, gone=gone, base=self.base)
 
     def _after(self, step: Staged) -> Session:
         """The session with one more step, its rows and keys written now."""

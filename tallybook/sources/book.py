@@ -23,9 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.ledger import Ledger, Staged, Version
+from tallybook.ledger import Change, Ledger, Staged, Version
+from tallybook.operators.changes import change_imbalances, change_problems, merged
 from tallybook.operators.checks import (
     Conflict,
+    refuse_imbalances,
+    refuse_problems,
     require_balanced,
     require_no_fatal,
     require_valid,
@@ -67,7 +70,7 @@ def read_book(spark: SparkSession, root: str, year=DEFAULT_YEAR, version: int |
     if known is None:
         raise ValueError(f"no published book of {year} under {root}")
     ledger = _read_folder(spark, f"{_book(root, year)}/{known['folder']}", known["has_journal"])
-    return replace(ledger, version=Version(root, str(year), known["version"]))
+    return replace(ledger, version=Version(root, str(year), known["version"]), published=True)
 
 
 def _read_folder(spark: SparkSession, folder: str, journal: bool) -> Ledger:
@@ -164,6 +167,24 @@ def write_journal(ledger: Ledger, folder: str) -> None:
     _write_ranges(build_checkpoints(dated), folder, "checkpoints", ("year", "aid"), ("year", "aid"), by="year")
 
 
+def _stored_changes(staged: Staged, folder: str) -> dict[str, Change]:
+    """What a batch changes, computed once and written under ``folder``."""
+    spark = staged.ledger.splits.sparkSession
+    changes = {}
+    for name, schema in TABLES.items():
+        key = KEYS[name]
+        parts = {"rows": schema.names, "gone": [key]}
+        if name not in staged.rows and name not in staged.gone:
+            continue
+        empty = spark.createDataFrame([], schema)
+        for part, columns in parts.items():
+            df = getattr(staged, part).get(name, empty).select(*columns)
+            df.write.parquet(f"{folder}/{name}_{part}")
+            parts[part] = spark.read.schema(df.schema).parquet(f"{folder}/{name}_{part}")
+        changes[name] = Change(**parts)
+    return changes
+
+
 def _base(spark: SparkSession, ledger: Ledger, root: str, year, overwrite: bool) -> int:
     """The number of the version a ledger may follow; 0 if the book has none."""
     newest = _version(spark, root, year)
@@ -190,9 +211,10 @@ def publish(
     the newer version is there already, else when the version's number is taken.
     ``overwrite`` says that it is to replace whatever is newest when publishing starts.
 
-    The tables are written first and checked as written, keys and
-    references included, so the changes behind them are computed once. The files of a refused
-    attempt are removed. Returns the published ledger.
+    A batch made from a version as it was read, or a session on one, is published by its changes: they are
+    stored, and only what they touch is checked, as that version was checked before. Anything else
+    is written whole and checked as written, keys and references included. Either way the changes behind the
+    tables are computed once. The files of a refused attempt are removed. Returns the published ledger.
     """
     ledger = staged.ledger if isinstance(staged, Staged) else staged
     spark = ledger.splits.sparkSession
@@ -202,10 +224,18 @@ def publish(
     name = f"attempt-{uuid.uuid4().hex}"
     folder = f"{_book(root, year)}/{name}"
     try:
-        _write_tables(ledger, folder)
-        written = _read_folder(spark, folder, journal=False)
-        require_valid(written)
-        require_balanced(written)
+        if isinstance(staged, Staged) and staged.base is not None and staged.base.published:
+            changes = _stored_changes(staged, f"{folder}/changes")
+            refuse_problems(change_problems(staged.base, changes))
+            refuse_imbalances(change_imbalances(staged.base, changes))
+            _write_tables(merged(staged.base, changes), folder)
+            remove(spark, f"{folder}/changes")
+            written = _read_folder(spark, folder, journal=False)
+        else:
+            _write_tables(ledger, folder)
+            written = _read_folder(spark, folder, journal=False)
+            require_valid(written)
+            require_balanced(written)
         if journal:
             write_journal(written, folder)
         row = {"version": base + 1, "base": base, "has_journal": journal, "folder": name}
@@ -214,7 +244,7 @@ def publish(
     except BaseException:
         remove(spark, folder)
         raise
-    return replace(_read_folder(spark, folder, journal), version=Version(root, str(year), base + 1))
+    return replace(_read_folder(spark, folder, journal), version=Version(root, str(year), base + 1), published=True)
 
 
 def publish_changes(
