@@ -37,6 +37,7 @@ from tallybook.operators.checks import (
 from tallybook.operators.checkpoints import build_checkpoints
 from tallybook.operators.journal import stored_counters, stored_journal
 from tallybook.operators.scopes import shared_folder
+from tallybook.sources.records import read_records
 from tallybook.sources.schema import CHECKPOINTS, COUNTERS, DEFAULT_YEAR, JOURNAL, KEYS, TABLES
 from tallybook.sources.store import put_new, remove
 
@@ -283,7 +284,8 @@ def store_unchecked(ledger: Ledger, folder: str, journal: bool = True) -> Ledger
 def _read_lines(spark: SparkSession, name: str, path, header: bool, multi_line: bool) -> DataFrame:
     """The lines of one table's files as text columns, and ``broken``: the line, where its fields do not fit.
 
-    With a header, columns go by their names; files of one table must name them in the same order.
+    ``open`` is whether the line opens quotes that its file never closes. With a header, columns go by
+    their names; files of one table must name them in the same order.
     """
     schema = TABLES[name]
     options = {"multiLine": multi_line, "escape": '"', "header": header}
@@ -294,8 +296,18 @@ def _read_lines(spark: SparkSession, name: str, path, header: bool, multi_line:
         if unknown or missing or len(columns) != len(schema.names):
             raise ValueError(f"{name}: unknown or repeated columns {unknown or columns}, missing columns {missing}")
     texts = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "broken"]])
+    if multi_line:
+        options = {"multiLine": True, "escape": '"', "columnNameOfCorruptRecord": "broken"}
+        parsed = F.from_csv("record", texts.simpleString()[len("struct<") : -1].replace(":", " "), options)
+        rows = read_records(spark, path).select("first", "record", "open", parsed.alias("fields"))
+        if header:
+            same = reduce(lambda a, b: a & b, [F.col(f"fields.{c}").eqNullSafe(F.lit(c)) for c in columns])
+            text = F.concat(F.lit(f"{name}: files with other columns than {columns}: "), "record")
+            rows = rows.filter(F.when(~F.col("first"), True).when(same, False).otherwise(F.raise_error(text).cast("boolean")))
+        broken = F.when(F.col("open"), F.col("record")).otherwise(F.col("fields.broken"))
+        return rows.select(*[F.col(f"fields.{c}").alias(c) for c in columns], broken.alias("broken"), "open")
     reader = spark.read.schema(texts).options(**options, enforceSchema=False, columnNameOfCorruptRecord="broken")
-    return reader.csv(path)
+    return reader.csv(path).withColumn("open", F.lit(False))
 
 
 def _unreadable(text: Column, kind: T.DataType) -> Column:
@@ -317,10 +329,11 @@ def bulk_load(
     an unknown or missing one raises; without, they come in the order of the schema. Returns the
     ledger made of the lines that have a field for each column and whose every value can be
     read as its column's type, and the violations: lines with too few or too many
-    fields, values that cannot be read or would be rounded, and broken column rules of the rest.
+    fields, quotes that are never closed (what follows them in the file is not loaded), values that cannot be
+    read or would be rounded, and broken column rules of the rest.
 
-    ``multi_line`` allows line breaks inside quotes. A file is then read by one task, so
-    large loads come in many files; without it a file is split.
+    ``multi_line`` allows line breaks inside quotes. Large files are split either way; with it their lines
+    are shuffled once, to find out which of them begin inside quotes.
     """
     tables, unreadable = {}, []
     for name, schema in TABLES.items():
@@ -337,7 +350,11 @@ def bulk_load(
                 test, F.struct(column.alias("column_name"), F.lit(text).alias("problem"), found.alias("found"))
             )
 
-        problems = [problem(~whole, F.lit(None).cast("string"), "wrong number of fields", F.col("broken"))]
+        no_column = F.lit(None).cast("string")
+        problems = [
+            problem(~whole & ~F.col("open"), no_column, "wrong number of fields", F.col("broken")),
+            problem(F.col("open"), no_column, "quotes never closed", F.col("broken")),
+        ]
         for c, test in bad.items():
             rounded = whole & test & typed[c].isNotNull()
             problems.append(problem(whole & test & ~rounded, F.lit(c), "unreadable value", F.col(c)))
