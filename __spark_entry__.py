@@ -259,6 +259,17 @@ def _insert_returned(ledger: Ledger) -> DataFrame:
     return done[0].inserted.union(done[1].inserted).union(done[2].inserted)
 
 
+def _insert_gapless(ledger: Ledger) -> DataFrame:
+    """Ids without gaps for requests whose ``seq`` is negative, far apart, or repeated many times."""
+    far = ledger.transactions.select((F.col("tid") * 4_000_000_007 - 1_000_000_000_000).alias("seq"))
+    done = (
+        edits.insert_accounts(ledger, ledger.splits.select((F.col("aid") * 1_000_003).alias("seq")), gapless=True),
+        edits.insert_transactions(ledger, far, TODAY, gapless=True),
+        edits.insert_splits(ledger, ledger.splits.select(F.col("aid").alias("seq"), (F.col("tid") + 1).alias("tid")), gapless=True),
+    )
+    return done[0].inserted.union(done[1].inserted).union(done[2].inserted)
+
+
 def _batch_rejects(ledger: Ledger) -> DataFrame:
     """Fatal and plain rejects of one batch over three views."""
     batch = {"accounts": account_edits(ledger), "transactions": transaction_edits(ledger), "splits": split_edits(ledger)}
@@ -586,6 +597,7 @@ def ledger_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reselect_cash_statement": on(_reselect_cash),
         "session_cells": on(_session_cells),
         "insert_returned": on(_insert_returned),
+        "insert_gapless": on(_insert_gapless),
         "batch_rejects": on(_batch_rejects),
         "change_imbalances": on(_change_imbalances),
         "change_problems": on(_change_problems),

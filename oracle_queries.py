@@ -556,6 +556,13 @@ def oracle_sql() -> dict[str, str]:
                 )
             )
         ),
+        "insert_gapless": ledger("""
+            SELECT aid * 1000003 AS seq, 'accounts' AS table_name,
+                (SELECT MAX(aid) FROM accounts) + ROW_NUMBER() OVER (ORDER BY aid) AS id FROM splits
+            UNION ALL SELECT tid * 4000000007 - 1000000000000, 'transactions',
+                (SELECT MAX(tid) FROM transactions) + ROW_NUMBER() OVER (ORDER BY tid) FROM transactions
+            UNION ALL SELECT aid, 'splits', (SELECT MAX(sid) FROM splits) + ROW_NUMBER() OVER (ORDER BY aid, tid)
+                FROM splits WHERE tid + 1 IN (SELECT tid FROM transactions)"""),
         "insert_returned": ledger(
             f"""SELECT tid AS seq, 'accounts' AS table_name,
                 (SELECT MAX(aid) FROM accounts) + 1 + tid - (SELECT MIN(tid) FROM transactions) AS id FROM transactions

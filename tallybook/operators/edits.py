@@ -27,6 +27,7 @@ from tallybook.functions.text import (
 )
 from tallybook.ledger import Ledger, Staged
 from tallybook.operators.counters import opposite, side_counts
+from tallybook.operators.ranks import numbered
 from tallybook.operators.scopes import in_keys, not_in_keys
 from tallybook.operators.skew import join_facts
 from tallybook.sources.schema import (
@@ -446,13 +447,27 @@ def _next_ids(table: DataFrame, key: str, requests: DataFrame) -> Column:
 
     Like the numbers of a database sequence they may have gaps, where ``seq``
     has them. No row waits for another, so a batch of any size is numbered in
-    parallel; ``seq`` must not repeat within the batch.
+    parallel; ``seq`` must not repeat within the batch. ``_numbered`` has no gaps and takes any ``seq``.
     """
     last = table.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
     first = requests.agg(F.min("seq")).scalar()
     return (last + F.lit(1) + F.col("seq") - first).cast("long")
 
 
+def _numbered(table: DataFrame, key: str, requests: DataFrame, gapless: bool, *columns: str) -> DataFrame:
+    """``seq`` and other columns of the requests, and the id of each as ``key``.
+
+    ``gapless`` ids follow each other in the order of ``seq``, then of the other columns; ``seq`` may be sparse,
+    negative, or repeat.
+    """
+    if not gapless:
+        return requests.select("seq", _next_ids(table, key, requests).alias(key), *columns)
+    last = table.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
+    return numbered(requests.withColumn("seq", F.col("seq").cast("long")), "seq", *columns).select(
+        "seq", (last + F.lit(1) + F.col("number")).cast("long").alias(key), *columns
+    )
+
+
 def _shaped(rows: DataFrame, schema) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
@@ -471,35 +486,39 @@ def _with_rows(ledger: Ledger, table: str, rows: DataFrame, rejects: DataFrame,
     return Staged(staged, rejects, inserted, rows={table: rows}, base=ledger)
 
 
-def insert_accounts(ledger: Ledger, requests: DataFrame) -> Staged:
-    """One new account per row of ``requests(seq)``, named after its number."""
-    numbered = requests.select("seq", _next_ids(ledger.accounts, "aid", requests).alias("aid"))
-    rows = numbered.select(
+def insert_accounts(ledger: Ledger, requests: DataFrame, gapless: bool = False) -> Staged:
+    """One new account per row of ``requests(seq)``, named after its number.
+
+    With ``gapless`` the ids of a batch follow each other, and ``seq`` may be any longs, repeated ones too (so with every insert).
+    """
+    new = _numbered(ledger.accounts, "aid", requests, gapless)
+    rows = new.select(
         "aid",
         F.lit(NEW_ACCOUNT_KIND).alias("kind"),
         default_account_name(F.col("aid")).alias("name"),
         F.lit(None).alias("description"),
     )
-    return _with_rows(ledger, "accounts", _shaped(rows, ACCOUNTS), _no_rejects(requests), _inserted(numbered, "accounts", "aid"))
+    return _with_rows(ledger, "accounts", _shaped(rows, ACCOUNTS), _no_rejects(requests), _inserted(new, "accounts", "aid"))
 
 
-def insert_transactions(ledger: Ledger, requests: DataFrame, today=None) -> Staged:
+def insert_transactions(ledger: Ledger, requests: DataFrame, today=None, gapless: bool = False) -> Staged:
     """One new transaction per row of ``requests(seq)``: today, without description."""
-    rows = requests.select(
+    rows = _numbered(ledger.transactions, "tid", requests, gapless).select(
         "seq",
-        _next_ids(ledger.transactions, "tid", requests).alias("tid"),
+        "tid",
         (F.current_date() if today is None else F.lit(today)).alias("date"),
         F.lit("").alias("description"),
     )
     return _with_rows(ledger, "transactions", _shaped(rows, TRANSACTIONS), _no_rejects(requests), _inserted(rows, "transactions", "tid"))
 
 
-def insert_splits(ledger: Ledger, requests: DataFrame, keep: Keep = _as_plan) -> Staged:
+def insert_splits(ledger: Ledger, requests: DataFrame, keep: Keep = _as_plan, gapless: bool = False) -> Staged:
     """One new split per row of ``requests(seq[, tid])``: a debit of zero.
 
     Without a ``tid`` it joins the transaction with the lowest one. The account
     is the one named for imbalances; without exactly one such account, or with a
-    ``tid`` that does not exist, the insert is refused.
+    ``tid`` that does not exist, the insert is refused. It then uses up an id, unless they are to be ``gapless``;
+    requests of one ``seq`` are then numbered by their transaction.
     """
     given = F.col("tid") if "tid" in requests.columns else F.lit(None).cast("long")
     lowest = ledger.transactions.agg(F.min("tid")).scalar()
@@ -513,9 +532,14 @@ def insert_splits(ledger: Ledger, requests: DataFrame, keep: Keep = _as_plan) ->
         (F.col("aid").isNull(), NO_ACCOUNT + IMBALANCE_ACCOUNT, True),
         (F.col("known").isNull(), "no transaction with this id", True),
     )
-    rows = _accepted(judged).select(
+    accepted = _accepted(judged)
+    if gapless:
+        new = _numbered(ledger.splits, "sid", accepted, True, "target_id").withColumn("aid", holder)
+    else:
+        new = accepted.select("seq", _next_ids(ledger.splits, "sid", requests).alias("sid"), "target_id", "aid")
+    rows = new.select(
         "seq",
-        _next_ids(ledger.splits, "sid", requests).alias("sid"),
+        "sid",
         F.col("target_id").alias("tid"),
         "aid",
         F.lit(NEW_SPLIT_KIND).alias("kind"),

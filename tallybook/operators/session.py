@@ -78,14 +78,14 @@ class Session:
         """Apply edits, given per view (``edits.apply_edits``); they are judged once."""
         return self._after(edits.apply_edits(self.ledger, batch, keep=stored_columns))
 
-    def insert_accounts(self, requests: DataFrame) -> Session:
-        return self._after(edits.insert_accounts(self.ledger, requests))
+    def insert_accounts(self, requests: DataFrame, gapless: bool = False) -> Session:
+        return self._after(edits.insert_accounts(self.ledger, requests, gapless))
 
-    def insert_transactions(self, requests: DataFrame, today=None) -> Session:
-        return self._after(edits.insert_transactions(self.ledger, requests, today))
+    def insert_transactions(self, requests: DataFrame, today=None, gapless: bool = False) -> Session:
+        return self._after(edits.insert_transactions(self.ledger, requests, today, gapless))
 
-    def insert_splits(self, requests: DataFrame) -> Session:
-        return self._after(edits.insert_splits(self.ledger, requests, keep=stored_columns))
+    def insert_splits(self, requests: DataFrame, gapless: bool = False) -> Session:
+        return self._after(edits.insert_splits(self.ledger, requests, keep=stored_columns, gapless=gapless))
 
     def delete_accounts(self, requests: DataFrame) -> Session:
         return self._after(edits.delete_accounts(self.ledger, requests, keep=stored_columns))
