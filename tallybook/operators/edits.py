@@ -3,7 +3,8 @@
 An edit is a row ``(seq, target_id, field, value)``: set ``field`` of the row
 with id ``target_id`` to the text ``value``. Every edit is judged against the
 ledger as it was before the batch. Accepted edits are brought down to cells of
-the three tables; where several reach the same cell, the highest ``seq`` wins.
+the three tables; where several reach the same cell, the highest ``seq`` wins (of equal ones
+always the same edit; an amount set on a split goes before one set on its transaction).
 The others become ``rejects``: refused with a reason, and marked fatal when a
 database would have broken off the transaction. Batches may be as large as the
 tables: all of it is joins and aggregates.
@@ -12,10 +13,12 @@ tables: all of it is joins and aggregates.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallybook.functions.text import (
     default_account_name,
@@ -40,6 +43,7 @@ from tallybook.sources.schema import (
     NEW_ACCOUNT_KIND,
     NEW_SPLIT_KIND,
     REJECTS,
+    SPLIT_KINDS,
     SPLITS,
     TRANSACTIONS,
 )
@@ -133,28 +137,71 @@ def _is(field: str) -> Column:
     return F.col("field") == field
 
 
-def _last_values(cells: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """One row per key; per column a struct of the last value, or NULL if never edited."""
+#: What a place in the order of edits leaves for the value, where edits of a cell share their ``seq``.
+_PER_SEQ = 10**18
+
+
+def _place() -> Column:
+    """The place of a cell's edit: by ``seq``, then by a hash of the value, so that equal places are equal values."""
+    by_value = F.pmod(F.xxhash64("value"), F.lit(_PER_SEQ))
+    return F.col("seq").cast("decimal(20,0)") * F.lit(Decimal(_PER_SEQ)) + by_value.cast("decimal(18,0)")
+
+
+def _is_text(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.StringType) and field.name != "kind"
+
+
+def _kinds() -> Column:
+    return F.array(*[F.lit(kind) for kind in (*ACCOUNT_KINDS, *SPLIT_KINDS)])
+
+
+def _packed(field: T.StructField, value: Column) -> Column:
+    """The value as a number; a kind as its place among the kinds."""
+    return F.array_position(_kinds(), value).cast("int") if field.name == "kind" else value.cast(field.dataType)
+
+
+def _unpacked(field: T.StructField, value: Column) -> Column:
+    return F.try_element_at(_kinds(), value) if field.name == "kind" else value
+
+
+def _last_values(cells: DataFrame, table: T.StructType, columns: Iterable[str]) -> DataFrame:
+    """One row per key; per column the last value ``new_`` and its ``seq_``, which is NULL if it was never edited.
+
+    Only numbers are aggregated: places, and values that are numbers. A text is fetched afterwards, by
+    its key and place. Of edits that share a cell and a ``seq`` one wins, always the same one.
+    """
+    fields = [table[c] for c in columns]
+    cells = cells.withColumn("place", _place())
     picks = []
-    for c in columns:
-        mine = F.col("column") == c
-        picks.append(
-            F.max_by(F.when(mine, F.struct("value", "seq")), F.when(mine, F.col("seq"))).alias(f"new_{c}")
-        )
-    return cells.groupBy("key").agg(*picks)
+    for f in fields:
+        mine = F.col("column") == f.name
+        place = F.when(mine, F.col("place"))
+        picks.append(F.max(F.when(mine, F.col("seq"))).alias(f"seq_{f.name}"))
+        if _is_text(f):
+            picks.append(F.max(place).alias(f"place_{f.name}"))
+        else:
+            picks.append(F.max_by(F.when(mine, _packed(f, F.col("value"))), place).alias(f"new_{f.name}"))
+    last = cells.groupBy("key").agg(*picks)
+    for f in filter(_is_text, fields):
+        place = f"place_{f.name}"
+        texts = cells.filter(F.col("column") == f.name)
+        texts = texts.select("key", F.col("place").alias(place), F.col("value").alias(f"new_{f.name}")).distinct()
+        last = last.join(texts, ["key", place], "left").drop(place)
+    return last
+
+
+def _edited(field: T.StructField, columns: Iterable[str]) -> Column:
+    """The cell after the edits, where the last ones were joined to its row."""
+    if field.name not in columns:
+        return F.col(field.name)
+    new = _unpacked(field, F.col(f"new_{field.name}"))
+    return F.when(F.col(f"seq_{field.name}").isNotNull(), new).otherwise(F.col(field.name)).alias(field.name)
 
 
 def _overwrite(table: DataFrame, key: str, cells: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """The table with its edited cells replaced."""
-    last = _last_values(cells, columns).withColumnRenamed("key", key)
-    joined = table.join(last, key, "left")
-    out = []
-    for field in table.schema:
-        new = F.col(f"new_{field.name}") if field.name in columns else None
-        old = F.col(field.name)
-        value = old if new is None else F.when(new.isNotNull(), new["value"].cast(field.dataType)).otherwise(old)
-        out.append(value.alias(field.name))
-    return joined.select(*out)
+    last = _last_values(cells, table.schema, columns).withColumnRenamed("key", key)
+    return table.join(last, key, "left").select(*[_edited(f, columns) for f in table.schema])
 
 
 # -- judging the edits of each view --------------------------------------------------
@@ -346,27 +393,21 @@ def _new_splits(splits: DataFrame, changes: _Changes) -> DataFrame:
     then competes by ``seq`` with the edit of the split itself.
     """
     names = ("tid", "aid", "kind", "amount", "memo")
-    joined = splits
-    own = None
+    joined, edited = splits, ()
     if changes.splits:
-        own = _last_values(_all(changes.splits), names).withColumnRenamed("key", "sid")
+        own, edited = _last_values(_all(changes.splits), splits.schema, names).withColumnRenamed("key", "sid"), names
         joined = joined.join(own, "sid", "left")
+    out = {f.name: _edited(f, edited) for f in splits.schema}
     if changes.amounts:
-        whole = _last_values(_all(changes.amounts), ["amount"]).select(
-            F.col("key").alias("tid"), F.col("new_amount").alias("new_whole")
+        whole = _last_values(_all(changes.amounts), splits.schema, ["amount"]).select(
+            F.col("key").alias("tid"), F.col("new_amount").alias("whole_amount"), F.col("seq_amount").alias("whole_seq")
         )
         joined = join_facts(joined, whole, "tid")
-    out = []
-    for field in splits.schema:
-        old, new = F.col(field.name), None
-        if own is not None and field.name in names:
-            new = F.col(f"new_{field.name}")
-        if changes.amounts and field.name == "amount":
-            wide = F.col("new_whole")
-            new = wide if new is None else F.when(new.isNull() | (wide["seq"] > new["seq"]), wide).otherwise(new)
-        value = old if new is None else F.when(new.isNotNull(), new["value"].cast(field.dataType)).otherwise(old)
-        out.append(value.alias(field.name))
-    return joined.select(*out)
+        later = F.col("whole_seq").isNotNull()
+        if edited:
+            later &= F.col("seq_amount").isNull() | (F.col("whole_seq") > F.col("seq_amount"))
+        out["amount"] = F.when(later, F.col("whole_amount")).otherwise(out["amount"]).alias("amount")
+    return joined.select(*out.values())
 
 
 def _touched(table: DataFrame, key: str, cells: list[DataFrame]) -> DataFrame:

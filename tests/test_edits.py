@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from micro_ledger import MICRO_ACCOUNTS, MICRO_SPLITS, MICRO_TRANSACTIONS, make_ledger, money, rows
+from pyspark.sql import functions as F
 
 from tallybook.operators import edits as E
 from tallybook.plans import reports
@@ -276,3 +277,38 @@ def test_many_edits_of_one_large_transaction(spark):
     assert after.count() == n + 1
     assert rows(after.select("amount").distinct(), "amount") == [(money("2000.00"),)]
     assert rows(after.filter("sid = 0"), "aid") == [(3,)]
+
+
+def test_last_values_sort_nothing(spark, micro):
+    """Edits of numbers and texts are combined by hash tables, in every view."""
+    fields = ("kind", "name", "description", "date", "memo", "amount", "tid", "account", "counter")
+    some = spark.range(0, 50).select(F.col("id").alias("seq"), (F.col("id") % 5).alias("target_id"), F.element_at(F.array(*map(F.lit, fields)), (F.col("id") % len(fields) + 1).cast("int")).alias("field"), F.col("id").cast("string").alias("value"))
+    for staged in (E.apply_edits(micro, {view: some}) for view in E.VIEWS):
+        for name in staged.rows:
+            text = getattr(staged.ledger, name)._jdf.queryExecution().executedPlan().toString()
+            assert "HashAggregate" in text and "SortAggregate" not in text and "ObjectHash" not in text, name
+
+
+def test_edits_that_share_a_seq(spark, micro):
+    """One of them wins, the same one in whatever order they come; texts do not double rows."""
+    memos = [(5, 11, "memo", x) for x in ("a", "b", "c", "a")]
+    kinds = [(5, 12, "kind", "debit"), (5, 12, "kind", "credit"), (4, 12, "amount", "9"), (5, 21, "amount", "1"), (5, 21, "amount", "2")]
+    seen = set()
+    for some in (memos + kinds, kinds[::-1] + memos[::-1]):
+        for parts in (1, 4):
+            mixed = spark.createDataFrame(some, "seq long, target_id long, field string, value string").repartition(parts)
+            after = E.update_splits(micro, mixed).ledger.splits
+            assert after.count() == micro.splits.count()
+            seen.add(tuple(map(tuple, after.filter("sid in (11, 12, 21)").orderBy("sid").collect())))
+    assert len(seen) == 1
+    first = seen.pop()
+    assert first[0][-1] in ("a", "b", "c") and first[1][4] == money("9") and first[2][4] in (money("1"), money("2"))
+
+
+def test_seq_at_its_limits(spark, micro):
+    far = spark.createDataFrame(
+        [(2**63 - 1, 11, "memo", "last"), (-(2**63), 11, "memo", "first"), (2**63 - 2, 11, "memo", None), (-(2**63), 12, "memo", "None"), (-(2**63) + 1, 12, "memo", "x")],
+        "seq long, target_id long, field string, value string",
+    )
+    after = E.update_splits(micro, far).ledger.splits
+    assert rows(after.filter("sid in (11, 12)").orderBy("sid"), "memo") == [("last",), ("x",)]
