@@ -126,19 +126,33 @@ def _sum_of(rows) -> np.ndarray:
     return sum(np.frombuffer(c, dtype=kinds[len(c)]).astype("<i4") for c in rows)
 
 
-def _summed(rows: DataFrame, parts: int, bits: int) -> np.ndarray:
-    """Counters of all tasks added up: rows (``row``, ``part``, ``counts``), in steps of bounded width."""
+def _ranks_of(counts: np.ndarray) -> np.ndarray:
+    """Frequencies on a scale of one byte."""
+    return np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8)
 
-    def add(pdf):
-        return pdf.head(1).assign(counts=[_sum_of(pdf["counts"]).tobytes()])
+
+def _any_of(rows) -> np.ndarray:
+    """Rows of marks put together, eight in a byte."""
+    return np.bitwise_or.reduce([np.frombuffer(c, dtype=np.uint8) for c in rows])
+
+
+def _put_together(rows: DataFrame, parts: int, merge, finish, out: np.ndarray) -> np.ndarray:
+    """Rows (``row``, ``part``, ``counts``) of all tasks merged into ``out``, in steps of bounded width.
+
+    The tasks ``finish`` the merged rows, so the driver gets a byte or a bit for each place.
+    """
+
+    def step(last: Callable[[np.ndarray], np.ndarray]):
+        return lambda pdf: pdf.head(1).assign(counts=[last(merge(pdf["counts"])).tobytes()])
 
     schema = "row int, part long, counts binary"
     while parts > FAN_IN:
         parts = -(-parts // FAN_IN)
-        rows = rows.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("row", "part").applyInPandas(add, schema)
-    out = np.zeros(1 << bits, dtype=np.int64)
-    for r in rows.groupBy("row").applyInPandas(add, schema).toLocalIterator():
-        out[r["row"] * _ROW : (r["row"] + 1) * _ROW] = _sum_of([r["counts"]])
+        wider = rows.withColumn("part", F.expr(f"part div {FAN_IN}"))
+        rows = wider.groupBy("row", "part").applyInPandas(step(lambda merged: merged), schema)
+    for r in rows.groupBy("row").applyInPandas(step(finish), schema).toLocalIterator():
+        piece = np.frombuffer(r["counts"], dtype=np.uint8)
+        out[r["row"] * len(piece) : (r["row"] + 1) * len(piece)] = piece
     return out
 
 
@@ -209,7 +223,7 @@ def _entries(docs: DataFrame, nodes: Nodes, ranks, at_least: Threshold, marks=No
 
     With ``marks``, only at those whose mark is set.
     """
-    shift, mark_shift, low = np.uint64(64 - ORDER_BITS), np.uint64(64 - MARK_BITS), np.uint64(8)
+    shift, low = np.uint64(64 - ORDER_BITS), np.uint64(8)
 
     def each(state, node, doc_id, numbers):
         n = len(numbers)
@@ -218,7 +232,7 @@ def _entries(docs: DataFrame, nodes: Nodes, ranks, at_least: Threshold, marks=No
         first = numbers[np.argsort(order, kind="stable")[: at_least.window(n)]]
         core = np.arange(len(first)) < at_least.core(n)
         if marks is not None:
-            marked = marks.value[(first >> mark_shift).astype(np.int64)]
+            marked = _marked(marks.value, first)
             first, core = first[marked], core[marked]
         state.append((first, core, node, n))
         return True
@@ -234,7 +248,10 @@ def _entries(docs: DataFrame, nodes: Nodes, ranks, at_least: Threshold, marks=No
 
 
 def _marks(rows: DataFrame, numbers: Callable[[list[np.ndarray]], np.ndarray]):
-    """A broadcast bit for each value of the highest bits of the 64-bit numbers made of the columns of ``rows``."""
+    """A broadcast bit for each value of the highest bits of the 64-bit numbers made of the columns of ``rows``.
+
+    ``_marked`` reads them.
+    """
 
     def mark(batches):
         found = np.zeros(1 << MARK_BITS, dtype=bool)
@@ -244,11 +261,18 @@ def _marks(rows: DataFrame, numbers: Callable[[list[np.ndarray]], np.ndarray]):
         for i in range(0, len(found), _ROW):
             piece = found[i : i + _ROW]
             if piece.any():
-                yield [[i // _ROW], [TaskContext.get().partitionId()], [piece.astype(np.uint8).tobytes()]]
+                yield [[i // _ROW], [TaskContext.get().partitionId()], [np.packbits(piece).tobytes()]]
 
     marked = stored(_arrow_map(rows, "row int, part long, counts binary", mark), "marks")
-    total = _summed(marked, max(1, rows.rdd.getNumPartitions()), MARK_BITS)
-    return rows.sparkSession.sparkContext.broadcast(total > 0)
+    parts = max(1, rows.rdd.getNumPartitions())
+    bits = np.zeros((1 << MARK_BITS) // 8, dtype=np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(_put_together(marked, parts, _any_of, lambda merged: merged, bits))
+
+
+def _marked(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit numbers have their mark set."""
+    places = numbers >> np.uint64(64 - MARK_BITS)
+    return (bits[(places >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (places & np.uint64(7)).astype(np.uint8))) & 1 > 0
 
 
 def _regions(docs: DataFrame, nodes: Nodes, ranks, at_least: Threshold) -> DataFrame:
@@ -338,7 +362,7 @@ def _groups(docs: DataFrame, nodes: Nodes, members: DataFrame, at_least: Thresho
     marks = _marks(members.select("node"), lambda columns: columns[0])
 
     def each(state, node, doc_id, numbers):
-        if marks.value[(node & (1 << 64) - 1) >> (64 - MARK_BITS)]:
+        if _marked(marks.value, np.uint64(node & (1 << 64) - 1)):
             state.append((node, _classes(numbers)))
         return True
 
@@ -439,8 +463,7 @@ def _joined(docs: DataFrame, nodes: Nodes, grouped: DataFrame, at_least: Thresho
     marks = _marks(grouped.select("node", F.coalesce("least", F.lit(0))), both)
 
     def each(state, node, doc_id, numbers):
-        own = (node ^ (doc_id or 0) * 0x9E3779B97F4A7C15) & (1 << 64) - 1
-        if marks.value[own >> (64 - MARK_BITS)]:
+        if _marked(marks.value, np.uint64((node ^ (doc_id or 0) * 0x9E3779B97F4A7C15) & (1 << 64) - 1)):
             state.append((node, numbers.tobytes()))
             return True
         return False
@@ -463,8 +486,9 @@ def named_nodes(docs: DataFrame, at_least: Threshold, width: int = 3) -> tuple[D
     spark = docs.sparkSession
     shapes = stored(_shapes(docs, width), "shapes")
     parts = max(1, docs.rdd.getNumPartitions())
-    counts = _summed(shapes.filter("counts IS NOT NULL").select("row", "part", "counts"), parts, ORDER_BITS)
-    ranks = spark.sparkContext.broadcast(np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8))
+    counters = shapes.filter("counts IS NOT NULL").select("row", "part", "counts")
+    order = np.zeros(1 << ORDER_BITS, dtype=np.uint8)
+    ranks = spark.sparkContext.broadcast(_put_together(counters, parts, _sum_of, _ranks_of, order))
 
     rows = shapes.filter("n IS NOT NULL").drop("row", "part", "counts")
     some = rows.filter("n > 0")

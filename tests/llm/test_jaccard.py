@@ -202,3 +202,29 @@ def test_a_class_of_over_65535_shingles():
     b = a + np.uint64(47_000)
     counts = [np.frombuffer(c, "<u2" if len(c) == 128 else "<u4").astype(np.int64) for c in map(jaccard._classes, (a, b))]
     assert jaccard._may_be_linked(np.array([len(a), len(b)]), np.array(counts), jaccard.Threshold(90, 100)).all()
+
+
+def test_the_driver_holds_a_byte_or_a_bit_for_each_place(spark, documents, monkeypatch):
+    sizes, broadcast = [], type(spark.sparkContext).broadcast
+
+    def recorded(context, value):
+        if isinstance(value, np.ndarray):
+            sizes.append(value.nbytes)
+        return broadcast(context, value)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", recorded)
+    rows = near_copies(6, n=30)
+    assert run(documents(rows)) == brute(rows)
+    assert sizes == [1 << jaccard.ORDER_BITS, *[(1 << jaccard.MARK_BITS) // 8] * 3]
+
+
+def test_marks_tell_numbers_apart(spark):
+    rng = np.random.default_rng(1)
+    numbers = rng.integers(-(1 << 63), 1 << 63, 3000)
+    rows = spark.createDataFrame([(int(n),) for n in numbers[:1000]], "node long").repartition(3)
+    bits = jaccard._marks(rows, lambda columns: columns[0]).value
+    found = jaccard._marked(bits, numbers.view(np.uint64))
+    shift = np.uint64(64 - jaccard.MARK_BITS)
+    places = numbers.view(np.uint64) >> shift
+    assert found.tolist() == np.isin(places, places[:1000]).tolist()
+    assert [bool(jaccard._marked(bits, n)) for n in numbers.view(np.uint64)[990:1010]] == found[990:1010].tolist()
