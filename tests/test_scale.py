@@ -7,7 +7,7 @@ from micro_ledger import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tallybook.operators import counters, edits, scopes
+from tallybook.operators import counters, edits, scopes, skew
 from tallybook.plans import reports
 
 
@@ -170,3 +170,33 @@ def test_zoom(book):
     near = scopes.zoom(book, chosen)
     assert near.splits.count() == book.splits.join(chosen.select("tid"), "tid", "left_semi").count() < book.splits.count()
     assert near.transactions.count() == chosen.select("tid").distinct().count()
+
+
+def test_rows_without_a_key_pass_the_joins_by(spark):
+    schema = "id long, name string, home long"
+    rows = spark.createDataFrame([(1, "a", None), (2, None, 5), (3, None, None), (4, "z", None), (5, None, 6)], schema)
+    named = spark.createDataFrame([("a", 10), ("b", 11)], "name string, aid int")
+    homes = spark.createDataFrame([(5, True)], "home long, known boolean")
+    with settings(spark, **NO_AUTO_BROADCAST):
+        joined = skew.join_some_facts(rows, {"name": named, "home": homes})
+        nodes, met = [joined._jdf.queryExecution().optimizedPlan()], []
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Join":
+                met.append("isnotnull" in node.left().constraints().toString())
+        assert met == [True, True]
+        got = sorted(tuple(r) for r in joined.select("id", "name", "home", "aid", "known").collect())
+    assert got == [
+        (1, "a", None, 10, None), (2, None, 5, None, True), (3, None, None, None, None), (4, "z", None, None, None), (5, None, 6, None, None)
+    ]
+
+
+def test_only_naming_edits_are_looked_up_by_name(spark, book):
+    judged = edits.update_splits(book, entry.split_edits(book)).rejects
+    with settings(spark, **NO_AUTO_BROADCAST):
+        text = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Union") >= 1
+    assert sorted(judged.groupBy("field").count().collect()) == sorted(
+        edits.update_splits(book, scopes.stored_columns(entry.split_edits(book))).rejects.groupBy("field").count().collect()
+    )
