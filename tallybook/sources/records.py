@@ -1,8 +1,8 @@
 """Records of CSV files that many tasks read at once, though quotes may hold line breaks.
 
 A line says nothing about whether it begins inside quotes; but it turns either of the two states it may
-begin in into the state it ends in, and such steps compose. Every range of a file composes its
-lines, the ranges of a file are composed in order (one small row each), and then each line knows its
+begin in into the state it ends in, and such steps compose. Every block of some thousand lines composes its
+lines, the blocks of a file are composed in order (one small row each), and then each line knows its
 state and each record its lines. Lines that are a record of their own, nearly all, are never grouped.
 """
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: States of the reader after a piece of text: outside quotes, inside, right after a quote that closed.
 _OUT, _IN, _CLOSED = 0, 1, 2
+#: Bits of the number of lines that are put in order at a time; so many a window keeps without a sorter of its own.
+BLOCK_BITS = 12
 
 
 def _state_after(line: Column, inside: bool) -> Column:
@@ -68,8 +70,8 @@ def read_records(spark: SparkSession, path) -> DataFrame:
 
     Line breaks inside quotes are kept as they are; ``\\r`` before the line break that ends a record goes, empty lines
     outside quotes are passed over. If a file ends inside quotes, the record that opens them cannot
-    be told from the rest of the file: only its first line is returned, as ``open``. A range of a file (``spark.sql.files.maxPartitionBytes``)
-    is what one task orders at a time; compressed files are one range.
+    be told from the rest of the file: only its first line is returned, as ``open``. Ranges of a file
+    (``spark.sql.files.maxPartitionBytes``) are cut into blocks of lines, which tasks share out evenly; compressed files are one range.
     """
     lines = (
         spark.read.option("lineSep", "\n")
@@ -81,6 +83,7 @@ def read_records(spark: SparkSession, path) -> DataFrame:
             F.monotonically_increasing_id().alias("n"),
             F.col("value").alias("line"),
         )
+        .withColumn("block", F.shiftright("n", BLOCK_BITS))
     )
     quoted = F.col("line").contains('"')
     lines = lines.withColumns(
@@ -89,45 +92,46 @@ def read_records(spark: SparkSession, path) -> DataFrame:
             "b": F.when(quoted, _state_after(F.col("line"), True)).otherwise(True),
         }
     )
-    in_range = Window.partitionBy("file", "at").orderBy("n")
-    lines = _composed(lines, in_range.rowsBetween(Window.unboundedPreceding, -1), in_range)
+    in_block = Window.partitionBy("block", "at", "file").orderBy("n")
+    lines = _composed(lines, in_block.rowsBetween(Window.unboundedPreceding, -1), in_block)
 
-    # one row a range, for either state it may begin in: the state it ends in, and its last line that begins a record
+    # one row a block, for either state it may begin in: the state it ends in, and its last line that begins a record
     def state(start: int) -> Column:
         return _resolved(F.lit(start))
 
     full = ~F.col("line").isin("", "\r")
-    ranges = lines.groupBy("file", "at").agg(
+    blocks = lines.groupBy("block", "at", "file").agg(
         *[F.max_by(F.when(state(s), F.col("b")).otherwise(F.col("a")), "n").alias(name) for s, name in enumerate("ab")],
         *[F.max(F.when(~state(s), F.col("n"))).alias(f"start_{s}") for s in (0, 1)],
         F.min(F.when(full, F.col("n"))).alias("first_full"),
     )
-    in_file = Window.partitionBy("file").orderBy("at")
+    in_file = Window.partitionBy("file").orderBy("at", "block")
     earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
     everywhere = in_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranges = _composed(ranges, earlier, in_file).withColumn("begins", _resolved(F.lit(0)))
-    ranges = ranges.withColumns(
+    blocks = _composed(blocks, earlier, in_file).withColumn("begins", _resolved(F.lit(0)))
+    blocks = blocks.withColumns(
         {
             "start": F.when(F.col("begins"), F.col("start_1")).otherwise(F.col("start_0")),
             "cut_off": F.last(F.when(F.col("begins"), F.col("b")).otherwise(F.col("a"))).over(everywhere),
         }
     ).select(
-        "file",
+        "block",
         "at",
+        "file",
         "begins",
         F.last("start", ignorenulls=True).over(earlier).alias("carried"),
         F.first("first_full", ignorenulls=True).over(everywhere).alias("header"),
         F.when(F.col("cut_off"), F.last("start", ignorenulls=True).over(everywhere)).alias("unclosed"),
     )
 
-    lines = lines.join(ranges, ["file", "at"])
+    lines = lines.join(blocks, ["block", "at", "file"])
     inside = _resolved(F.col("begins"))
     lines = lines.select(
-        "file", "at", "n", "line", "header", "carried", "unclosed",
+        "file", "at", "block", "n", "line", "header", "carried", "unclosed",
         F.when(~inside, F.col("n")).alias("start"),
         F.when(inside, F.col("b")).otherwise(F.col("a")).alias("goes_on"),
     )
-    lines = lines.withColumn("key", F.coalesce(F.last("start", ignorenulls=True).over(in_range), F.col("carried")))
+    lines = lines.withColumn("key", F.coalesce(F.last("start", ignorenulls=True).over(in_block), F.col("carried")))
     open_ = F.coalesce(F.col("key") == F.col("unclosed"), F.lit(False))
     one = F.col("start").isNotNull() & (~F.col("goes_on") | open_)
 

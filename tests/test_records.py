@@ -68,6 +68,21 @@ def test_a_record_over_many_ranges_and_one_with_returns(spark, tmp_path):
     assert got == {f'1,"{long}",x', '2,"two\r\nlines",y', '3,,"z"'}
 
 
+def test_the_lines_of_one_range_are_put_in_order_by_many_tasks(spark, tmp_path):
+    # quotes are open over more than one block of lines
+    long = "\n".join(f"line {i}" for i in range(10_000))
+    lines = [f"{i},x,y" for i in range(40_000)]
+    (tmp_path / "a.csv").write_text("\n".join([*lines[:20_000], f'a,"{long}",b', *lines[20_000:]]) + "\n")
+    name, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(name, "false")
+    try:
+        got = read_records(spark, str(tmp_path)).select("record", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(r.record for r in got) == sorted([*lines, f'a,"{long}",b'])
+    assert len({r.task for r in got if '"' not in r.record}) > 1
+
+
 def test_first_records_and_quotes_never_closed(spark, tmp_path):
     (tmp_path / "a.csv").write_text('\na,"b\nb",c\n1,2,3\n')
     (tmp_path / "b.csv").write_text('a,b,c\n1,"2\n3"\n4,"5\n' + "6,7,8\n" * 50)
