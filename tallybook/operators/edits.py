@@ -168,7 +168,8 @@ def _last_values(cells: DataFrame, table: T.StructType, columns: Iterable[str])
     """One row per key; per column the last value ``new_`` and its ``seq_``, which is NULL if it was never edited.
 
     Only numbers are aggregated: places, and values that are numbers. A text is fetched afterwards, by
-    its key and place. Of edits that share a cell and a ``seq`` one wins, always the same one.
+    its key, by which the edits are laid out already: its place is the one that is not below the last.
+    Of edits that share a cell and a ``seq`` one wins, always the same one.
     """
     fields = [table[c] for c in columns]
     cells = cells.withColumn("place", _place())
@@ -185,8 +186,11 @@ def _last_values(cells: DataFrame, table: T.StructType, columns: Iterable[str])
     for f in filter(_is_text, fields):
         place = f"place_{f.name}"
         texts = cells.filter(F.col("column") == f.name)
-        texts = texts.select("key", F.col("place").alias(place), F.col("value").alias(f"new_{f.name}")).distinct()
-        last = last.join(texts, ["key", place], "left").drop(place)
+        texts = texts.select(
+            F.col("key").alias("text_key"), F.col("place").alias("text_place"), F.col("value").alias(f"new_{f.name}")
+        ).distinct()
+        found = (F.col("key") == F.col("text_key")) & (F.col("text_place") >= F.col(place))
+        last = last.join(texts, found, "left").drop("text_key", "text_place", place)
     return last
 
 
