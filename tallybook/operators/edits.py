@@ -634,7 +634,7 @@ def delete_accounts(ledger: Ledger, requests: DataFrame, keep: Keep = _as_plan)
     # Down to one row per account before the join, however many splits it has.
     owners = ledger.splits.select("aid").distinct()
     batch = _Batch(_as_edits(requests), keep)
-    in_use = batch.found(owners, "aid").withColumn("used", F.lit(True))
+    in_use = owners.select(F.col("aid").alias("target_id"), F.lit(True).alias("used"))
     judged = _judge(
         batch,
         join_facts(batch.edits, in_use, "target_id"),

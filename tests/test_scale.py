@@ -200,3 +200,21 @@ def test_only_naming_edits_are_looked_up_by_name(spark, book):
     assert sorted(judged.groupBy("field").count().collect()) == sorted(
         edits.update_splits(book, scopes.stored_columns(entry.split_edits(book))).rejects.groupBy("field").count().collect()
     )
+
+
+def test_last_texts_are_fetched_where_the_edits_lie(spark, book):
+    """The last edits of a key are not laid out by their places to meet the texts, and back."""
+    with settings(spark, **NO_AUTO_BROADCAST):
+        splits = edits.update_splits(book, entry.split_edits(book)).ledger.splits
+        moved = [line for line in plan(splits).splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not [line for line in moved if "place" in line]
+
+
+def test_accounts_in_use_are_looked_up_once(spark, micro):
+    """Deleted accounts meet the accounts of splits directly, without finding those that are asked for first."""
+    asked = micro.accounts.select(F.col("aid").alias("seq"), F.col("aid").alias("target_id"))
+    with settings(spark, **NO_AUTO_BROADCAST):
+        staged = edits.delete_accounts(micro, asked.unionByName(asked))
+        assert "LeftSemi" not in plan(staged.rejects)
+    assert sorted(r.target_id for r in staged.rejects.collect()) == [i for i in range(2, 8) for _ in range(2)]
+    assert sorted(r.aid for r in staged.ledger.accounts.collect()) == list(range(2, 8))
