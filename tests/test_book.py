@@ -235,6 +235,28 @@ def test_nothing_but_the_tables_is_left(spark, balanced, tmp_path):
     assert not list(made.glob("unsorted/*"))
 
 
+def test_a_table_that_a_batch_leaves_is_not_written_again(spark, balanced, tmp_path):
+    root = str(tmp_path / "books")
+    first = B.publish(balanced, root, journal=False)
+    second = B.publish(edited(first, "a"), root, journal=False)
+    third = B.publish(edited(second, "b"), root)
+    made = [[p.name for p in sorted(f.iterdir()) if p.name in B.TABLES] for f in tmp_path.glob("books/book_year=2017/attempt-*")]
+    assert sorted(made) == [["accounts", "splits", "transactions"], ["splits"], ["splits"]]
+    for version, ledger in enumerate((first, second, third), 1):
+        again = B.read_book(spark, root, version=version)
+        for name in B.TABLES:
+            assert content(again, name) == content(ledger, name)
+    assert content(third, "transactions") == content(first, "transactions") != []
+
+
+def test_a_task_sorts_so_many_rows_for_a_file_at_most(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "FILE_ROWS", 100, raising=False)
+    rows = spark.range(1000).select(F.col("id").alias("tid"), F.lit(1).alias("n"))
+    B._write_ranges(rows, str(tmp_path), "rows", ("tid",), ("tid",))
+    assert len(list((tmp_path / "rows").glob("*.parquet"))) >= 8
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 1000
+
+
 def test_validate_schema(spark, micro):
     assert checks.validate_schema(micro).count() == 0
     accounts = spark.createDataFrame(
