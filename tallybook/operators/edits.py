@@ -74,6 +74,12 @@ def lookup_account(ledger: Ledger, names: DataFrame) -> DataFrame:
     return counted.filter("matches = 1").join(wanted, "name", "left_semi").select("name", "aid")
 
 
+def _sent_along(df: DataFrame) -> bool:
+    """Whether Spark takes a frame to be small enough for a broadcast; nothing is read for it."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+
+
 Keep = Callable[[DataFrame], DataFrame]
 
 
@@ -82,7 +88,7 @@ def _as_plan(judged: DataFrame) -> DataFrame:
 
 
 class _Batch:
-    """A batch of edits. Nothing is read while it is judged: the plan is the same for any size.
+    """A batch of edits. Nothing is read while it is judged.
 
     ``keep`` is applied to the judged edits: it may store them, so that what follows reads them.
     """
@@ -95,6 +101,16 @@ class _Batch:
         wanted = self.edits.select(F.col(by).alias(key)).distinct()
         return table.join(wanted, key, "left_semi").select(F.col(key).alias(by), *columns)
 
+    def facts(self, table: DataFrame, key: str, *columns: str, by: str = "target_id") -> DataFrame:
+        """Rows of ``table`` for a left join of the edits, keyed as ``by``: at least those the batch points at.
+
+        Finding them first spares a large table its shuffle where Spark can send the batch along. A larger batch
+        would be shuffled once more for it, and so would the rows that were found: it meets the table directly.
+        """
+        if _sent_along(self.edits):
+            return self.found(table, key, *columns, by=by)
+        return table.select(F.col(key).alias(by), *columns)
+
 
 def _first_reason(*tests: tuple[Column, Column | str, bool]) -> tuple[Column, Column]:
     """The reason of the first test that holds, and whether that one is fatal."""
@@ -570,10 +586,10 @@ def insert_splits(ledger: Ledger, requests: DataFrame, keep: Keep = _as_plan, ga
     holder = ledger.accounts.filter(F.col("name") == IMBALANCE_ACCOUNT)
     holder = holder.agg(F.when(F.count(F.lit(1)) == 1, F.min("aid"))).scalar()
     batch = _Batch(_as_edits(requests.select("seq", F.coalesce(given, lowest).alias("target_id"))), keep)
-    homes = batch.found(ledger.transactions, "tid").withColumn("known", F.lit(True))
+    homes = batch.facts(ledger.transactions, "tid").withColumn("known", F.lit(True))
     judged = _judge(
         batch,
-        join_facts(batch.edits.withColumn("aid", holder), homes, "target_id"),
+        join_facts(batch.edits, homes, "target_id").withColumn("aid", holder),
         (F.col("aid").isNull(), NO_ACCOUNT + IMBALANCE_ACCOUNT, True),
         (F.col("known").isNull(), "no transaction with this id", True),
     )
@@ -648,7 +664,7 @@ def delete_by_statement_row(ledger: Ledger, requests: DataFrame, keep: Keep = _a
     batch = _Batch(_as_edits(requests), keep)
     judged = _judge(
         batch,
-        join_facts(batch.edits, batch.found(ledger.splits, "sid", "tid"), "target_id"),
+        join_facts(batch.edits, batch.facts(ledger.splits, "sid", "tid"), "target_id"),
         (F.col("tid").isNull(), NO_STATEMENT_ROW, True),
     )
     ids = _ids(_accepted(judged), "tid", "tid")

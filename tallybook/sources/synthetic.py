@@ -117,8 +117,9 @@ def derived_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
         *[F.sum(F.when(F.col("class") == k, price)).alias(f"sold_{k}") for k in range(CLASSES)],
     )
     home = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select("c_custkey", "n_regionkey")
-    facts = orders.join(sold, orders.o_orderkey == sold.l_orderkey, "left").join(
-        home, orders.o_custkey == home.c_custkey, "left"
+    # sums are met last, so that they are not moved by customer
+    facts = orders.join(home, orders.o_custkey == home.c_custkey, "left").join(
+        sold, orders.o_orderkey == sold.l_orderkey, "left"
     )
     customer_aid = F.col("o_custkey") + CUSTOMER
     planted = F.when(F.col("o_orderkey") % 97 == 0, F.lit(1)).otherwise(F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tallybook.operators import counters, edits, scopes, skew
 from tallybook.plans import reports
+from tallybook.sources.synthetic import derived_ledger
 
 
 @contextlib.contextmanager
@@ -218,3 +219,31 @@ def test_accounts_in_use_are_looked_up_once(spark, micro):
         assert "LeftSemi" not in plan(staged.rejects)
     assert sorted(r.target_id for r in staged.rejects.collect()) == [i for i in range(2, 8) for _ in range(2)]
     assert sorted(r.aid for r in staged.ledger.accounts.collect()) == list(range(2, 8))
+
+
+def test_a_large_batch_meets_its_table_directly(spark, book):
+    """Rows that a batch points at are not found first where that takes a shuffle of the batch and of the rows."""
+    new = book.transactions.select(F.col("tid").alias("seq"), (F.col("tid") + 1).alias("tid"))
+    with settings(spark, **NO_AUTO_BROADCAST):
+        inserted = edits.insert_splits(book, new).rejects
+        assert "LeftSemi" not in plan(inserted)
+        assert plan(inserted).count("Exchange hashpartitioning") == 2
+
+
+def test_a_small_batch_spares_its_table_the_shuffle(spark, book):
+    lines = spark.createDataFrame([(1, 256, "memo", "x"), (2, 7, "memo", "y"), (3, None, "memo", "z")], "seq long, target_id long, field string, value string")
+    lines = scopes.stored_columns(lines.coalesce(1))  # of known size
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="16k"):
+        df = edits.update_splits(book, lines).rejects
+        got = df.select("seq", "reason").collect()
+        text = plan(df)
+    assert "LeftSemi, BuildRight" in text  # the table is not shuffled to find them
+    assert sorted(tuple(r) for r in got) == [(2, edits.NO_SPLIT), (3, edits.NO_SPLIT)]
+
+
+def test_sums_of_orders_are_not_moved_by_customer(spark):
+    """Orders meet their customer's region while they are narrow, and their sums by class last."""
+    with settings(spark, **NO_AUTO_BROADCAST):
+        text = plan(derived_ledger(spark, SMALL).splits)
+    joins = [line for line in text.splitlines() if "SortMergeJoin" in line]
+    assert "o_orderkey" in joins[0] and "o_custkey" in joins[1]
