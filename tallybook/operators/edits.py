@@ -245,7 +245,7 @@ class _Changes:
 
 
 def _account_changes(ledger: Ledger, batch: _Batch) -> _Changes:
-    found = batch.found(ledger.accounts, "aid").withColumn("known", F.lit(True))
+    found = batch.facts(ledger.accounts, "aid").withColumn("known", F.lit(True))
     judged = _judge(
         batch,
         join_facts(batch.edits, found, "target_id"),
@@ -279,7 +279,7 @@ def _no_text() -> tuple[Column, str, bool]:
 
 
 def _transaction_changes(ledger: Ledger, batch: _Batch) -> _Changes:
-    found = batch.found(ledger.transactions, "tid").withColumn("known", F.lit(True))
+    found = batch.facts(ledger.transactions, "tid").withColumn("known", F.lit(True))
     judged = _judge(
         batch,
         join_facts(batch.edits, found, "target_id"),
@@ -304,8 +304,8 @@ def _with_named_account(ledger: Ledger, batch: _Batch, *fields: str, **more: Dat
 def _split_changes(ledger: Ledger, batch: _Batch) -> _Changes:
     value = F.col("value")
     batch.edits = batch.edits.withColumn("home", F.when(_is("tid"), parse_tid(value)))
-    found = batch.found(ledger.splits, "sid").withColumn("known", F.lit(True))
-    homes = batch.found(ledger.transactions, "tid", by="home").withColumn("home_known", F.lit(True))
+    found = batch.facts(ledger.splits, "sid").withColumn("known", F.lit(True))
+    homes = batch.facts(ledger.transactions, "tid", by="home").withColumn("home_known", F.lit(True))
     edits = _with_named_account(ledger, batch, "account", home=homes)
     kind, amount = parse_split_kind(value), parse_amount(value)
     shown = F.coalesce(value, F.lit(""))

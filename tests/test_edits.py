@@ -312,3 +312,41 @@ def test_seq_at_its_limits(spark, micro):
     )
     after = E.update_splits(micro, far).ledger.splits
     assert rows(after.filter("sid in (11, 12)").orderBy("sid"), "memo") == [("last",), ("x",)]
+
+
+def test_large_and_small_batches_are_judged_alike(spark):
+    """Of targets that are null, unknown, or keys of several rows, whether Spark sends the batch along or not."""
+    ledger = make_ledger(
+        spark,
+        [*MICRO_ACCOUNTS, MICRO_ACCOUNTS[0]],
+        [*MICRO_TRANSACTIONS, MICRO_TRANSACTIONS[0]],
+        [*MICRO_SPLITS, MICRO_SPLITS[0]],
+    )
+    lines = {
+        "accounts": batch(spark, (1, "name", "A"), (99, "name", "B"), (None, "kind", "asset"), (1, "aid", "3")),
+        "transactions": batch(spark, (1, "date", "soon"), (99, "date", "2017-01-01"), (None, "description", "C"), (2, "description", "D")),
+        "splits": batch(spark, (11, "tid", "1"), (11, "tid", "99"), (99, "memo", "E"), (None, "kind", "debit"), (11, "amount", "n/a")),
+    }
+    added = spark.createDataFrame([(1, 1), (2, 99), (3, None), (4, 2)], "seq long, tid long")
+    gone = ids(spark, 11, 99, None, 63)
+
+    def outcome():
+        steps = (E.apply_edits(ledger, lines), E.insert_splits(ledger, added), E.delete_by_statement_row(ledger, gone))
+        return [
+            sorted((tuple(r) for r in df.collect()), key=repr)
+            for s in steps
+            for df in (s.rejects, s.ledger.accounts, s.ledger.transactions, s.ledger.splits)
+        ]
+
+    name, found = "spark.sql.autoBroadcastJoinThreshold", []
+    before = spark.conf.get(name)
+    for most in ("-1", "10m"):
+        spark.conf.set(name, most)
+        try:
+            found.append(outcome())
+        finally:
+            spark.conf.set(name, before)
+    assert found[0] == found[1]
+    reasons = [r[4] for r in found[0][0]]
+    assert reasons.count("cannot read n/a") == 2  # the split comes twice
+    assert reasons.count("no transaction with this id") == 4 and reasons.count("no account with this id") == 2

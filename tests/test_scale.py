@@ -247,3 +247,10 @@ def test_sums_of_orders_are_not_moved_by_customer(spark):
         text = plan(derived_ledger(spark, SMALL).splits)
     joins = [line for line in text.splitlines() if "SortMergeJoin" in line]
     assert "o_orderkey" in joins[0] and "o_custkey" in joins[1]
+
+
+def test_a_large_batch_over_views_meets_each_table_once(spark, book):
+    batches = {"accounts": entry.account_edits(book), "transactions": entry.transaction_edits(book), "splits": entry.split_edits(book)}
+    with settings(spark, **NO_AUTO_BROADCAST):
+        text = plan(edits.apply_edits(book, batches).rejects)
+    assert text.count("LeftSemi") == 1  # the names that are looked up
