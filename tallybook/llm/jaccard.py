@@ -53,8 +53,11 @@ from tallybook.llm.components import components
 from tallybook.llm.shingles import shingle_sets
 from tallybook.llm.tables import stored
 
-#: Numbers of counters (as powers of 2) for the order of shingles, and for pivots and nodes that take part.
-ORDER_BITS, MARK_BITS = 21, 23
+#: Numbers of counters (as powers of 2) for the order of shingles, and of marks for pivots and nodes that take part: these
+#: at least, ``MARKS_EACH`` for each of them, and 64 MB at most.
+ORDER_BITS, MARK_BITS, MARKS_EACH, MOST_MARK_BITS = 21, 23, 16, 29
+#: Pivots are looked for by their highest bits: so many for the bucket they travel in, and so many within it.
+BUCKET_BITS, START_BITS = 12, 31
 #: Counters travel in rows of this many; at most ``FAN_IN`` rows are added up by one task at a time.
 _ROW, FAN_IN = 1 << 16, 64
 #: Nodes in a block of a region; nodes, and bytes of sets, in a block of a group.
@@ -131,9 +134,25 @@ def _ranks_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8)
 
 
+def _set_bits(bits: np.ndarray, places: np.ndarray) -> None:
+    np.bitwise_or.at(bits, places >> 3, np.uint8(128) >> (places & 7).astype(np.uint8))
+
+
+def _row_of_marks(bits: np.ndarray) -> bytes:
+    """A row of marks, or the places of the marks that are set if they are shorter."""
+    places = np.flatnonzero(np.unpackbits(bits)).astype("<u2")
+    return min(bits.tobytes(), places.tobytes(), key=len)
+
+
 def _any_of(rows) -> np.ndarray:
     """Rows of marks put together, eight in a byte."""
-    return np.bitwise_or.reduce([np.frombuffer(c, dtype=np.uint8) for c in rows])
+    found = np.zeros(_ROW // 8, dtype=np.uint8)
+    for c in rows:
+        if len(c) == len(found):
+            found |= np.frombuffer(c, dtype=np.uint8)
+        else:
+            _set_bits(found, np.frombuffer(c, dtype="<u2").astype(np.int64))
+    return found
 
 
 def _put_together(rows: DataFrame, parts: int, merge, finish, out: np.ndarray) -> np.ndarray:
@@ -218,23 +237,67 @@ def _once_per_task(docs: DataFrame, nodes: Nodes, schema: str, start, each, end)
     return _arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), schema, work)
 
 
-def _entries(docs: DataFrame, nodes: Nodes, ranks, at_least: Threshold, marks=None) -> DataFrame:
-    """(``pivot``, ``node``, ``n``, ``core``): each node at its first pivots in the global order.
+def _first_pivots(ranks: np.ndarray, at_least: Threshold, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's first pivots in the global order, and which of them are its core."""
+    shift, low = np.uint64(64 - ORDER_BITS), np.uint64(8)
+    # rank first, then the number itself; equal keys keep the order of numbers
+    order = ranks[(numbers >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56) | numbers >> low
+    first = numbers[np.argsort(order, kind="stable")[: at_least.window(len(numbers))]]
+    return first, np.arange(len(first)) < at_least.core(len(numbers))
+
 
-    With ``marks``, only at those whose mark is set.
+def _ends_of_runs(starts: np.ndarray) -> np.ndarray:
+    """Of sorted numbers ``2 * start + core``, the first and the last one of each start."""
+    changes = np.flatnonzero(np.diff(starts >> 1)) + 1
+    return starts[np.unique(np.concatenate([[0], changes, changes - 1, [len(starts) - 1]]))] if len(starts) else starts
+
+
+def _shared_pivots(docs: DataFrame, nodes: Nodes, ranks, at_least: Threshold) -> DataFrame:
+    """(``start``): highest bits of pivots, the others being 0, that have several nodes, one of them in its core.
+
+    Pivots travel as 32 bits each, sorted, in buckets. Two pivots with the same highest bits may be taken for one,
+    which the regions made of them settle.
     """
-    shift, low = np.uint64(64 - ORDER_BITS), np.uint64(8)
+    below = np.uint64(64 - BUCKET_BITS - START_BITS)
+
+    def end(state):
+        starts = np.concatenate([(first >> below) << np.uint64(1) | core.astype(np.uint64) for first, core in state] or [np.empty(0, np.uint64)])
+        starts = _ends_of_runs(np.sort(starts))
+        buckets = (starts >> np.uint64(START_BITS + 1)).astype(np.int64)
+        within = (starts & np.uint64((1 << START_BITS + 1) - 1)).astype("<u4")
+        found, at = np.unique(buckets, return_index=True)
+        return [found.astype(np.int32), [piece.tobytes() for piece in np.split(within, at[1:])] if len(found) else []]
 
     def each(state, node, doc_id, numbers):
-        n = len(numbers)
-        # rank first, then the number itself; equal keys keep the order of numbers
-        order = ranks.value[(numbers >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56) | numbers >> low
-        first = numbers[np.argsort(order, kind="stable")[: at_least.window(n)]]
-        core = np.arange(len(first)) < at_least.core(n)
-        if marks is not None:
-            marked = _marked(marks.value, first)
-            first, core = first[marked], core[marked]
-        state.append((first, core, node, n))
+        state.append(_first_pivots(ranks.value, at_least, numbers))
+        return True
+
+    def find(table: pa.Table) -> pa.Table:
+        starts = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), dtype="<u4") for x in table.column("starts")]))
+        firsts = np.concatenate([[0], np.flatnonzero(np.diff(starts >> 1)) + 1, [len(starts)]])
+        # of equal starts the one in a core is the last
+        more = (np.diff(firsts) > 1) & (starts[firsts[1:] - 1] & 1 > 0)
+        high = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(START_BITS)
+        shared = (high | (starts[firsts[:-1][more]] >> 1).astype(np.uint64)) << below
+        return pa.table([pa.array(shared.view("<i8"))], names=["start"])
+
+    buckets = _once_per_task(docs, nodes, "bucket int, starts binary", list, each, end)
+    return buckets.groupBy("bucket").applyInArrow(find, "start long")
+
+
+def _spread(pivots: np.ndarray) -> np.ndarray:
+    """Numbers to mark the starts of pivots by; pivots themselves lie closer where numbers are small, as these come first."""
+    below = np.uint64(64 - BUCKET_BITS - START_BITS)
+    return (pivots >> below) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _entries(docs: DataFrame, nodes: Nodes, ranks, at_least: Threshold, marks) -> DataFrame:
+    """(``pivot``, ``node``, ``n``, ``core``): each node at its first pivots in the global order whose mark is set."""
+
+    def each(state, node, doc_id, numbers):
+        first, core = _first_pivots(ranks.value, at_least, numbers)
+        marked = _marked(marks.value, _spread(first))
+        state.append((first[marked], core[marked], node, len(numbers)))
         return True
 
     def end(state):
@@ -250,39 +313,41 @@ def _entries(docs: DataFrame, nodes: Nodes, ranks, at_least: Threshold, marks=No
 def _marks(rows: DataFrame, numbers: Callable[[list[np.ndarray]], np.ndarray]):
     """A broadcast bit for each value of the highest bits of the 64-bit numbers made of the columns of ``rows``.
 
-    ``_marked`` reads them.
+    The bits follow the number of different rows, so that few others have their mark set. ``_marked`` reads them.
     """
+    different = rows.agg(F.approx_count_distinct(F.xxhash64(*rows.columns))).first()[0]
+    n_bits = min(MOST_MARK_BITS, max(MARK_BITS, (MARKS_EACH * different).bit_length()))
 
     def mark(batches):
-        found = np.zeros(1 << MARK_BITS, dtype=bool)
+        found = np.zeros((1 << n_bits) // 8, dtype=np.uint8)
         for batch in batches:
             made = numbers([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns])
-            found[(made >> np.uint64(64 - MARK_BITS)).astype(np.int64)] = True
-        for i in range(0, len(found), _ROW):
-            piece = found[i : i + _ROW]
-            if piece.any():
-                yield [[i // _ROW], [TaskContext.get().partitionId()], [np.packbits(piece).tobytes()]]
+            _set_bits(found, (made >> np.uint64(64 - n_bits)).astype(np.int64))
+        pieces = found.reshape(-1, _ROW // 8)
+        for some in np.array_split(np.flatnonzero(pieces.any(axis=1)), -(-len(pieces) // 256)):
+            yield [some.astype(np.int32), [TaskContext.get().partitionId()] * len(some), [_row_of_marks(pieces[i]) for i in some]]
 
     marked = stored(_arrow_map(rows, "row int, part long, counts binary", mark), "marks")
     parts = max(1, rows.rdd.getNumPartitions())
-    bits = np.zeros((1 << MARK_BITS) // 8, dtype=np.uint8)
+    bits = np.zeros((1 << n_bits) // 8, dtype=np.uint8)
     return rows.sparkSession.sparkContext.broadcast(_put_together(marked, parts, _any_of, lambda merged: merged, bits))
 
 
 def _marked(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """Which of the 64-bit numbers have their mark set."""
-    places = numbers >> np.uint64(64 - MARK_BITS)
+    places = numbers >> np.uint64(64 - (len(bits).bit_length() + 2))
     return (bits[(places >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (places & np.uint64(7)).astype(np.uint8))) & 1 > 0
 
 
 def _regions(docs: DataFrame, nodes: Nodes, ranks, at_least: Threshold) -> DataFrame:
     """Members of regions with more than one node: (``pivot``, ``size``, ``node``, ``n``)."""
     shared = (F.count("*") > 1) & F.max("core")
-    everywhere = _entries(docs, nodes, ranks, at_least).select("pivot", "core")
-    pivots = stored(everywhere.groupBy("pivot").agg(shared.alias("more")).filter("more").select("pivot"), "pivots")
-    marks = _marks(pivots, lambda columns: columns[0])
-    entries = _entries(docs, nodes, ranks, at_least, marks).join(pivots.hint("merge"), "pivot")
-    met = entries.groupBy("pivot", "node").agg(F.max("n").alias("n"), F.max("core").alias("core"))
+    pivots = stored(_shared_pivots(docs, nodes, ranks, at_least), "pivots")
+    marks = _marks(pivots, lambda columns: _spread(columns[0]))
+    start = F.col("pivot").bitwiseAND(F.lit(-1 << 64 - BUCKET_BITS - START_BITS))
+    entries = _entries(docs, nodes, ranks, at_least, marks).withColumn("start", start).join(pivots.hint("merge"), "start")
+    # grouped as they were laid out for the join
+    met = entries.groupBy("start", "pivot", "node").agg(F.max("n").alias("n"), F.max("core").alias("core")).drop("start")
     # a little wide, so that rounding never puts a pair that fits more than one class apart
     step = math.log(at_least.under / at_least.over) * (1 + 1e-9)
     own = F.floor(F.log("n") / step).cast("int")
@@ -482,7 +547,7 @@ def _joined(docs: DataFrame, nodes: Nodes, grouped: DataFrame, at_least: Thresho
 
 
 def named_nodes(docs: DataFrame, at_least: Threshold, width: int = 3) -> tuple[DataFrame, DataFrame, Nodes]:
-    """(rows ``doc_id``, ``n``, ``node``; rows ``node``, ``component_id``; the names of sets)."""
+    """(rows ``doc_id``, ``n``, ``node``; rows ``node``, ``component_id``, ``rows`` of the component; the names of sets)."""
     spark = docs.sparkSession
     shapes = stored(_shapes(docs, width), "shapes")
     parts = max(1, docs.rdd.getNumPartitions())
@@ -498,15 +563,16 @@ def named_nodes(docs: DataFrame, at_least: Threshold, width: int = 3) -> tuple[D
     k1 = F.col("k1")
     node = F.when(k1.isin(sorted(nodes.shared)), k1.bitwiseXOR(F.col("k2"))).otherwise(k1) if nodes.shared else k1
     named = stored(
-        some.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "named"
+        some.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count("*").alias("rows")),
+        "named",
     )
 
     members = _regions(docs, nodes, ranks, at_least)
     grouped = stored(_groups(docs, nodes, members, at_least).join(named, "node"), "grouped")
     roots = components(_joined(docs, nodes, grouped, at_least))
     together = stored(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
-    ids = together.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = stored(together.join(ids, "root").select("node", "component_id"), "components")
+    ids = together.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("rows"))
+    answer = stored(together.drop("rows").join(ids, "root").select("node", "component_id", "rows"), "components")
     return rows.select("doc_id", "n", node.alias("node")), answer, nodes
 
 
@@ -530,24 +596,29 @@ def keep_one(docs: DataFrame, over: int = 90, under: int = 100, width: int = 3)
     Where no row of a component has an id, one row of each distinct set stays.
     """
     _, answer, nodes = named_nodes(docs.select("doc_id", "text"), Threshold(over, under), width)
+    # a component of one row needs no judging, so its text is not moved; marks may take some for others, which are judged
+    crowded = answer.filter("rows > 1").drop("rows")
+    marks = _marks(crowded.select("node"), lambda columns: columns[0])
 
     given = docs.select(F.col("text").cast("string").alias("__text"), *[docs[f"`{c}`"] for c in docs.columns])
     schema = StructType([StructField("__node", LongType()), *docs.schema.fields])
 
-    def run(batches):
-        for batch in batches:
-            found = [nodes.of(_key(s)) if len(s) else None for s in nodes.sets(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *batch.columns[1:]], names=schema.names)
-
-    named = given.mapInArrow(run, schema)
-    answer = answer.withColumnsRenamed({"node": "__own", "component_id": "__component"})
-    # rows without a set match nothing; a number of their own spreads them
-    spread = F.coalesce("__node", F.xxhash64("doc_id"))
-    judged = named.withColumn("__spread", spread).join(answer, F.col("__spread") == F.col("__own"), "left")
-    empty = F.col("__node").isNull()
-    chosen = judged.filter(empty | F.col("doc_id").eqNullSafe(F.col("__component")))
+    def rows_that(are_crowded: bool):
+        def run(batches):
+            for batch in batches:
+                found = pa.array([nodes.of(_key(s)) if len(s) else None for s in nodes.sets(batch.column(0))], pa.int64())
+                sets = found.is_valid().to_numpy(zero_copy_only=False)
+                taken = sets & _marked(marks.value, found.fill_null(0).to_numpy().view(np.uint64))
+                rows = pa.RecordBatch.from_arrays([found, *batch.columns[1:]], names=schema.names)
+                yield rows.filter(pa.array(taken if are_crowded else ~taken))
+
+        return given.mapInArrow(run, schema)
+
+    crowded = crowded.withColumnsRenamed({"node": "__own", "component_id": "__component"})
+    judged = rows_that(True).join(crowded, F.col("__node") == F.col("__own"), "left")
+    alone = F.col("__own").isNull()
+    chosen = judged.filter(alone | F.col("doc_id").eqNullSafe(F.col("__component")))
     # repeated rows are dropped by a key the join is not laid out by: a set that a third of all rows
     # share is then split between tasks of the join, and dropped before it is shuffled again
-    own = F.col("__spread").cast("string").cast("long")
-    one = chosen.filter(~empty).withColumn("__spread", own).dropDuplicates(["__spread"])
-    return one.select(*docs.columns).union(chosen.filter(empty).select(*docs.columns))
+    one = chosen.withColumn("__node", F.col("__node").cast("string").cast("long")).dropDuplicates(["__node"])
+    return rows_that(False).select(*docs.columns).union(one.select(*docs.columns))

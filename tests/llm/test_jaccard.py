@@ -1,11 +1,13 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallybook.llm import components, jaccard, shingles
 
@@ -228,3 +230,64 @@ def test_marks_tell_numbers_apart(spark):
     places = numbers.view(np.uint64) >> shift
     assert found.tolist() == np.isin(places, places[:1000]).tolist()
     assert [bool(jaccard._marked(bits, n)) for n in numbers.view(np.uint64)[990:1010]] == found[990:1010].tolist()
+
+
+def test_marks_follow_what_is_marked(spark):
+    """With many more numbers than the least marks, next to none of the others is taken for one of them."""
+    rows = spark.range(1 << 20).select(F.xxhash64("id").alias("node"))
+    bits = jaccard._marks(rows, lambda columns: columns[0]).value
+    assert len(bits) * 8 >= 8 << 20
+    own = rows.limit(1000).toPandas()["node"].to_numpy().view(np.uint64)
+    assert jaccard._marked(bits, own).all()
+    others = np.random.default_rng(2).integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    assert jaccard._marked(bits, others).mean() < 0.08
+
+
+def test_shared_pivots_are_marked_evenly():
+    """A set's first pivots are those with small numbers among equal ranks; their marks are spread all the same."""
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.integers(0, 1 << 64, 400, dtype=np.uint64)) for _ in range(200)]
+    ranks = np.zeros(1 << jaccard.ORDER_BITS, dtype=np.uint8)
+    first = np.concatenate([jaccard._first_pivots(ranks, jaccard.Threshold(80, 100), s)[0] for s in sets])
+    assert (first < np.uint64(1 << 62)).mean() > 0.9
+    assert 0.2 < (jaccard._spread(first) < np.uint64(1 << 62)).mean() < 0.3
+
+
+def test_texts_that_are_alone_are_not_shuffled(spark, documents):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(300))) for i in range(60)]
+    rows += [(100, rows[0][1] + " more"), (101, rows[0][1]), (101, rows[0][1]), (102, "")]
+    kept = jaccard.keep_one(jaccard.stored(documents(rows), "given"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(60), 102]
+    moved = _metrics(kept._jdf.queryExecution().executedPlan(), "shuffleRecordsWritten")
+    assert moved and sum(m.value() for m in moved) <= 8
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = files.getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    table = jaccard.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def _metrics(plan, name):
+    """Values of a metric in all nodes of an executed plan, those of adaptive stages too."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.executedPlan()
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        plan = plan.plan()
+    found = [plan.metrics().apply(name)] if plan.metrics().contains(name) else []
+    children = plan.children()
+    for i in range(children.size()):
+        found += _metrics(children.apply(i), name)
+    return found
