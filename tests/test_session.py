@@ -1,13 +1,18 @@
 """Sessions: changes kept as rows and keys, merged when read."""
 
+import re
+import time
+
 import pytest
 from micro_ledger import MICRO_ACCOUNTS, MICRO_SPLITS, MICRO_TRANSACTIONS, make_ledger, money, rows
 from pyspark.sql import functions as F
 
 from tallybook import Ledger
 from tallybook.operators import checks, edits
+from tallybook.operators.scopes import stored_columns
 from tallybook.operators.session import Session
 from tallybook.plans import reports
+from tallybook.plans.views import VIEWS
 from tallybook.sources import book
 from tallybook.sources.schema import TABLES
 
@@ -142,3 +147,60 @@ def test_empty_steps(spark, stored):
     assert content(session.ledger) == content(stored) and session.cells().collect() == []
     assert session.staged.rejects.count() == 0 and Session(stored).staged.rejects.count() == 0
     assert session.ledger.splits.filter(F.col("sid") < 0).count() == 0
+
+
+def _exchanges(df):
+    return len(re.findall(r"\bExchange hashpartitioning", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_a_step_of_statement_edits_meets_each_table_once(spark, micro, monkeypatch):
+    """Changed rows are those that meet a cell in the join that changes them; they are not looked for first."""
+    monkeypatch.setattr(edits, "_sent_along", lambda df: False)
+    changes = batch(spark, (11, "amount", "5"), (12, "date", "2017-05-05"), (41, "account", "Petty Cash"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        staged = edits.apply_edits(micro, {"statement": changes}, keep=stored_columns)
+        assert _exchanges(staged.rows["transactions"]) <= 3  # the table, the last values
+        assert _exchanges(staged.rows["splits"]) <= 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_touched_rows_are_those_with_a_cell(spark, micro):
+    """Rows that meet a cell, with or without another value, and all splits of a transaction whose amount was set."""
+    sids = [r["sid"] for r in micro.splits.orderBy("sid").collect()]
+    changes = batch(spark, *[(sid, *cell) for sid in sids for cell in (("amount", "7"), ("date", "2017-05-05"))])
+    staged = edits.apply_edits(micro, {"statement": changes}, keep=stored_columns)
+    after = {r["sid"]: tuple(r) for r in staged.ledger.splits.collect()}
+    before = {r["sid"]: tuple(r) for r in micro.splits.collect()}
+    rows = {r["sid"]: tuple(r) for r in staged.rows["splits"].collect()}
+    assert rows and all(after[sid] == row for sid, row in rows.items())
+    assert {sid for sid in after if after[sid] != before[sid]} <= set(rows)
+    dated = {tuple(r) for r in staged.rows["transactions"].collect()}
+    assert dated <= {tuple(r) for r in staged.ledger.transactions.collect()}
+    assert len(dated) == staged.ledger.transactions.filter("date = '2017-05-05'").count()
+
+
+def test_reselecting_puts_the_staged_ledger_together_once(spark, micro):
+    """What a report reads several times of a staged ledger is stored; its plan merges each table once or twice."""
+    staged = Session(micro).edit({"statement": batch(spark, (11, "amount", "5"), (12, "date", "2017-05-05"))}).ledger
+    sids = micro.splits.filter("kind = 'debit'")
+    for view, scope in (("account_statement", ()), ("cash_statement", ("%",))):
+        report = VIEWS[view].reselect(staged, sids, *scope, "2017-01-01", "2018-01-01")
+        assert report._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") <= 2
+
+
+def test_what_reselecting_stores_leaves_no_shuffles(spark, micro):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = files.getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    stored_columns(micro.splits.groupBy("tid").count())
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
